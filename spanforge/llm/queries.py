@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import quality
 from spanforge.llm.decontamination import contamination
+from spanforge.llm.lm_scoring import score
 from spanforge.llm.packing import pack
 from spanforge.llm.token_counts import count_tokens
 
@@ -36,11 +37,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
