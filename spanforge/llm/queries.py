@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanforge.llm import quality
 from spanforge.llm.decontamination import contamination
 from spanforge.llm.lm_scoring import score
+from spanforge.llm.near_duplicates import near_duplicates
 from spanforge.llm.packing import pack
 from spanforge.llm.token_counts import count_tokens
 
@@ -21,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), k=4, num=85, den=100)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(documents(spark, sf_dir), "doc_id"))
 
@@ -42,6 +47,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
