@@ -11,6 +11,7 @@ from spanforge.llm.decontamination import contamination
 from spanforge.llm.lm_scoring import score
 from spanforge.llm.near_duplicates import near_duplicates
 from spanforge.llm.packing import pack
+from spanforge.llm.substring_dedup import remove_repeats
 from spanforge.llm.token_counts import count_tokens
 
 
@@ -26,6 +27,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=4, num=85, den=100)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(documents(spark, sf_dir), "doc_id"))
 
@@ -48,6 +53,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
