@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     words = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = 2.2 * 1.25 * 2 * (den - num) / (den + num)
     buckets = max(12, int(words * share / ENTRIES))
-    raw = scratch.keep(shared_keys(part_keys(docs, k, bands, buckets)), "keys")
+    raw = scratch.keep(shared_keys(part_keys(docs.filter("doc_id is not null"), k, bands, buckets)), "keys")
     # each document leaves out its most frequent keys, as many as the group has to spare
     rank = F.row_number().over(Window.partitionBy("doc", "grp", "n").orderBy(F.desc("often"), "key"))
     spare = F.element_at(F.array(*[F.lit(int(x)) for x in bands.spare[:200]]), (F.col("grp") + 1).cast("int"))
@@ -276,7 +276,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs, all columns, of one document from each component: the one with the smallest id."""
+    """The rows of docs, all columns, of one document from each component: the one with the smallest id.
+
+    Of rows that share an id one stays; rows without an id all stay.
+    """
     groups = near_duplicates(docs, k, num, den)
     keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
