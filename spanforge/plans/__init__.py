@@ -1 +1 @@
-"""See the module docstrings."""
+"""Named queries over the Parquet tables, and their SQL."""
