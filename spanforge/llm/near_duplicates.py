@@ -16,11 +16,13 @@ it stays in both.  Very common shingles and empty parts cost those spare keys an
 no pairs.
 
 Keys travel in packed columns to buckets, and only keys of two different sets or
-more come out.  Per key, documents are compared with hubs, chosen through
-aggregates; verified links make components, keys within one component are
-settled, and the rest meets four times as many hubs in the next round, until no
-key joins two components.  No pairs are made within a group beyond those, and
-none between documents that are already connected.
+more come out.  Each key's documents first meet one hub, chosen by an aggregate;
+verified links make components, and keys within one component are settled.  The
+documents of the other keys are compared in blocks: a block holds a bounded part
+of a key's documents with their sets, written-out sketches of 1024 bits rule out
+almost all pairs in array operations, and a pair is verified only if its sketches
+allow it and its documents are not connected yet.  Nothing but new links leaves a
+block, so no pairs are emitted within a group; large keys are cut into more blocks.
 """
 
 from __future__ import annotations
@@ -72,24 +74,6 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
-def sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, s1, s2): size and digest of each row's set."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, one, two = [], [], []
-            for text in binaries(batch.column("text")):
-                s = shingles(text, k)
-                a, b = signature(s)
-                n.append(len(s))
-                one.append(a)
-                two.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, one, two))], names=["doc_id", "n", "s1", "s2"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return binary_text(docs, "doc_id").mapInArrow(measure, f"doc_id {kind}, n long, s1 long, s2 long")
-
-
 ENTRY = [("key", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("n", "<u4"), ("group", "<u2")]
 
 
@@ -117,30 +101,35 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return out
 
 
-def part_keys(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
-    """(bucket, entries): the part keys of all rows, packed by batch and bucket."""
+def sketch_rows(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
+    """One pass over the texts: (doc_id, n, s1, s2) of each row's set, and (bucket, entries) with packed part keys."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column("doc_id").cast(pa.int64())
             seen: set[tuple[int, int, int]] = set()
-            held, room = [], 0
+            held, room, rows, start = [], 0, [], 0
             texts = binaries(batch.column("text"))
-            for row, text in enumerate(texts):
+            for row, (doc, text) in enumerate(zip(ids.to_pylist(), texts, strict=True)):
                 s = shingles(text, k)
-                if len(s):
-                    a, b = signature(s)
-                    if (a, b, int(ids[row])) not in seen:
-                        seen.add((a, b, int(ids[row])))
-                        held.append((int(ids[row]), a & 0xFFFFFFFF, s))
-                        room += len(s)
-                if held and (room >= 2_000_000 or row == len(texts) - 1):
-                    yield from packed(held)
-                    held, room = [], 0
-            if held:
-                yield from packed(held)
-
-    def packed(held: list) -> Iterator[pa.RecordBatch]:
+                a, b = signature(s)
+                rows.append((len(s), a, b))
+                if len(s) and doc is not None and (a, b, doc) not in seen:
+                    seen.add((a, b, doc))
+                    held.append((doc, a & 0xFFFFFFFF, s))
+                    room += len(s)
+                if room >= 2_000_000 or row == len(texts) - 1:
+                    yield made(ids.slice(start, len(rows)), rows, held)
+                    held, room, rows, start = [], 0, [], row + 1
+
+    def made(ids: pa.Array, rows: list, held: list) -> pa.RecordBatch:
+        of, data = packed(held) if held else ([], [])
+        n, none = len(rows), pa.nulls
+        numbers = [pa.array([r[i] for r in rows] + [None] * len(of), pa.int64()) for i in range(3)]
+        columns = [pa.concat_arrays([ids, none(len(of), pa.int64())]), *numbers, pa.array([None] * n + of, pa.int64()), pa.array([None] * n + data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "bucket", "entries"])
+
+    def packed(held: list) -> tuple[list[int], list[bytes]]:
         held.sort(key=lambda x: x[0])
         n = np.array([len(s) for _, _, s in held], np.int64)
         doc, sig = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.uint32)
@@ -163,15 +152,10 @@ def part_keys(docs: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
         order = np.lexsort((rows, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
         columns = [key, doc[rows], sig[rows], n[rows].astype(np.uint32), group.astype(np.uint16)]
-        of, data = [], []
-        for b in range(buckets):
-            if cuts[b] < cuts[b + 1]:
-                mine = order[cuts[b] : cuts[b + 1]]
-                of.append(b)
-                data.append(squeeze([np.ascontiguousarray(c[mine]) for c in columns]))
-        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "entries"])
+        of = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        return of, [squeeze([np.ascontiguousarray(c[order[cuts[b] : cuts[b + 1]]]) for c in columns]) for b in of]
 
-    return binary_text(docs, "doc_id").mapInArrow(emit, "bucket long, entries binary")
+    return binary_text(docs, "doc_id").mapInArrow(emit, "doc_id long, n long, s1 long, s2 long, bucket long, entries binary")
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:
@@ -219,6 +203,73 @@ def links_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.filter(enough).select("u", "v").distinct()
 
 
+BLOCK, BLOCK_ROWS, SKETCH_BITS = 2_048, 4_000, 1_024
+
+
+def bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches, one row of 64-bit words for each set."""
+    out = np.zeros((len(sets), SKETCH_BITS), np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def compare_blocks(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Links (u, v) that connect documents of different components, from groups of rows (part, side, doc, of, shingles).
+
+    Sides 0 and 1 are two blocks of a key: only pairs across them are compared;
+    a group of side 2 alone is one block, all its pairs are compared.
+    """
+    column = table.column("shingles").combine_chunks()
+    values, cuts = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    doc, of, part, side = (table.column(c).to_numpy() for c in ("doc", "of", "part", "side"))
+    docs, at, row = np.unique(doc, return_index=True, return_inverse=True)
+    sets = [values[cuts[i] : cuts[i + 1]] for i in at]
+    sketch, n = bit_sketches(sets), np.array([len(s) for s in sets], np.int64)
+    label = np.unique(of[at], return_inverse=True)[1]  # of each document: its component, as it grows
+
+    links: list[tuple[int, int]] = []
+    order = np.argsort(part, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        whole = side[rows[0]] == 2
+        left, right = (row[rows], row[rows]) if whole else (row[rows[side[rows] == 0]], row[rows[side[rows] == 1]])
+        for i, a in enumerate(left):
+            others = right[i + 1 :] if whole else right
+            others = others[label[others] != label[a]]
+            if not len(others):
+                continue
+            # at the threshold, sets of a and b shingles differ in (den - num) / (den + num) * (a + b) at most
+            differ = np.bitwise_count(sketch[others] ^ sketch[a]).sum(1, dtype=np.int64)
+            for b in others[differ * (den + num) <= (den - num) * (n[a] + n[others])]:
+                if label[a] == label[b]:
+                    continue
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if den * common >= num * (n[a] + n[b] - common):
+                    links.append((int(docs[a]), int(docs[b])))
+                    label[label == label[b]] = label[a]
+    u, v = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
+    return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+
+def block_links(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links across components among documents that share an open key, by blocks of a key's documents.
+
+    now: key, doc, of.  A key of more than BLOCK documents is cut into blocks by
+    hash, and every two blocks meet once.
+    """
+    many = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    cut = now.select("key", "doc", "of").join(many, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    meet = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    each = cut.withColumn("other", meet)
+    part = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    rows = each.select(part.alias("part"), side.alias("side"), "doc", "of").join(sets, "doc")
+    n = now.count()
+    buckets = max(12, n // BLOCK_ROWS)
+    grouped = rows.withColumn("bucket", F.pmod("part", F.lit(buckets))).groupBy("bucket")
+    return grouped.applyInArrow(lambda t: compare_blocks(t, num, den), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -227,52 +278,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     component_id is the smallest doc_id that can be reached.  Null, empty and
     blank texts have empty sets and are linked with nothing.  Equal texts share a
     set; rows that share an id count as one document whose links add up.  No rows
-    give no rows.  doc_id is an integer; other columns are not read.
+    give no rows.  doc_id is an integer; a row without one shares the class of its
+    text.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(docs.sparkSession, "near")
     bands = Bands(num, den)
-    meta = scratch.keep(sizes(docs, k), "meta")
-    classes = scratch.keep(meta.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.col("doc_id").cast("long")).alias("rep")), "classes")
-    words = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     share = 2.2 * 1.25 * 2 * (den - num) / (den + num)
-    buckets = max(12, int(words * share / ENTRIES))
-    raw = scratch.keep(shared_keys(part_keys(docs.filter("doc_id is not null"), k, bands, buckets)), "keys")
+    buckets = max(12, int(size / 6.5 * share / ENTRIES))
+    rows = scratch.keep(sketch_rows(docs, k, bands, buckets), "rows")
+    meta = rows.filter("bucket is null").select("doc_id", "n", "s1", "s2")
+    classes = scratch.keep(meta.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    raw = scratch.keep(shared_keys(rows.filter("bucket is not null").select("bucket", "entries")), "keys")
     # each document leaves out its most frequent keys, as many as the group has to spare
     rank = F.row_number().over(Window.partitionBy("doc", "grp", "n").orderBy(F.desc("often"), "key"))
     spare = F.element_at(F.array(*[F.lit(int(x)) for x in bands.spare[:200]]), (F.col("grp") + 1).cast("int"))
     kept = raw.withColumn("rank", rank).filter(F.col("rank") > spare).select("key", "doc", "n")
     weight = kept.groupBy("doc").agg(F.count(F.lit(1)).alias("weight"))
     open_ = scratch.keep(kept.join(weight, "doc"), "open")
-    sets = scratch.keep(sets_of(docs, weight, k), "sets")
-    links = None
-    found = None
-    hubs = 1
-    while True:
-        now = open_ if found is None else open_.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-        now = now.withColumn("of", F.col("doc") if found is None else F.coalesce("component", "doc")).drop("component")
-        mixed = now.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("key")
-        now = scratch.keep(now.join(mixed, "key", "left_semi"), "now")
-        if now.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("doc", F.lit(hubs)), F.lit(hubs))
-        chosen = now.groupBy("key", salt.alias("salt")).agg(F.max_by(F.struct("doc", "n", "of"), F.struct("weight", -F.col("doc"))).alias("hub"))
-        chosen = chosen.select("key", F.col("hub.doc").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.of").alias("hof"))
-        near = F.lit(den) * F.least("n", "hn") >= F.lit(num) * F.greatest("n", "hn")
-        met = now.join(chosen, "key").filter((F.col("of") != F.col("hof")) & near)
-        pairs = met.select(F.least("doc", "h").alias("u"), F.greatest("doc", "h").alias("v")).distinct()
-        new = links_of(pairs, sets, num, den)
-        links = scratch.keep(new if links is None else links.union(new), "links")
-        found = scratch.keep(components(links, scratch), "found")
-        open_ = scratch.keep(now.drop("of").join(chosen.select("key", F.col("h").alias("doc")), ["key", "doc"], "left_anti"), "open")
-        hubs *= 4
-    out = meta.join(classes, ["s1", "s2", "n"], "left")
-    if found is not None:
-        out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "rep", F.col("doc_id").cast("long"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    sets = scratch.keep(sets_of(docs, open_, k), "sets")
+
+    # first, one hub for each key: the document with most open keys
+    hub = open_.groupBy("key").agg(F.max_by(F.struct("doc", "n"), F.struct("weight", -F.col("doc"))).alias("hub"))
+    near = F.lit(den) * F.least("n", "hub.n") >= F.lit(num) * F.greatest("n", "hub.n")
+    met = open_.join(hub, "key").filter((F.col("doc") != F.col("hub.doc")) & near)
+    pairs = met.select(F.least("doc", "hub.doc").alias("u"), F.greatest("doc", "hub.doc").alias("v")).distinct()
+    links = scratch.keep(links_of(pairs, sets, num, den), "links")
+    found = components(links, scratch)
+
+    # then blocks for the keys that still join different components
+    now = open_.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("of", F.coalesce("component", "doc"))
+    mixed = now.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("key")
+    now = scratch.keep(now.join(mixed, "key", "left_semi").select("key", "doc", "of"), "now")
+    more = scratch.keep(block_links(now, sets, num, den), "more")
+    if not more.isEmpty():
+        found = components(links.union(more), scratch)
+    out = meta.join(classes, ["s1", "s2", "n"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.coalesce("component", "rep", "doc_id")
+    kind = docs.schema["doc_id"].dataType
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
