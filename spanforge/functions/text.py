@@ -45,7 +45,11 @@ def words(c: Column) -> Column:
 def language(c: Column, stop: dict[str, list[str]] | None = None) -> Column:
     """nl if it has strictly more stop words than en, else en."""
     stop = stop or STOP_WORDS
-    count = {k: F.size(F.filter(words(c), lambda w, s=s: w.isin(*s))) for k, s in stop.items()}
+
+    def among(names: list[str]):
+        return lambda w: w.isin(*names)
+
+    count = {k: F.size(F.filter(words(c), among(s))) for k, s in stop.items()}
     return F.when(count["nl"] > count["en"], "nl").otherwise("en")
 
 

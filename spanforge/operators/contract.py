@@ -64,10 +64,10 @@ def entity_issues(entities: Column, sentence: Column) -> Column:
 
 
 def tag_parts(tag: Column) -> Column:
-    """(prefix, label, valid) of a tag; O and tags without a hyphen have no prefix."""
+    """(tag, prefix, label, valid) of a tag; O and tags without a hyphen have no prefix."""
     split = tag.contains("-") & (tag != "O")
     prefix, label = F.when(split, F.substring_index(tag, "-", 1)), F.when(split, F.regexp_extract(tag, r"(?s)^[^-]*-(.*)$", 1))
-    return F.struct(prefix.alias("prefix"), label.alias("label"), F.coalesce(split & prefix.isin("B", "I") & known(label), F.lit(False)).alias("valid"))
+    return F.struct(tag.alias("tag"), prefix.alias("prefix"), label.alias("label"), F.coalesce(split & prefix.isin("B", "I") & known(label), F.lit(False)).alias("valid"))
 
 
 def bio_issues(tags: Column) -> Column:
@@ -82,7 +82,7 @@ def bio_issues(tags: Column) -> Column:
             before = F.get(parts, i - 1)
             follows = F.coalesce(before.getField("prefix").isin("B", "I") & (before.getField("label") == p.getField("label")), F.lit(False))
             return present(
-                when((F.get(tags, i) != "O") & ~p.getField("valid"), "invalid_bio_tag", indexed("ner_tags", i)),
+                when((p.getField("tag") != "O") & ~p.getField("valid"), "invalid_bio_tag", indexed("ner_tags", i)),
                 when(p.getField("valid") & (p.getField("prefix") == "I") & ~follows, "invalid_bio_transition", indexed("ner_tags", i)),
             )
 

@@ -102,7 +102,7 @@ def split_summary(rows: DataFrame) -> DataFrame:
 
     named = rows.select("part", "collection", F.aggregate("gold", F.lit(0), lambda a, x: a + x).alias("labels"))
     examples = named.groupBy("part").agg(F.count(F.lit(1)).alias("examples"), F.count_if(F.col("labels") == 0).alias("without_values"))
-    sizes = examples.select("part", F.inline(F.array(F.struct(F.lit("examples").alias("kind"), F.lit("").alias("name"), F.col("examples").alias("n")), F.struct(F.lit("without_values"), F.lit(""), F.col("without_values")))))
+    sizes = examples.select("part", F.inline(F.array(F.struct(F.lit("examples").alias("kind"), F.lit("").alias("name"), F.col("examples").alias("n")), F.struct(F.lit("without_values").alias("kind"), F.lit("").alias("name"), F.col("without_values").alias("n")))))
     by_collection = named.groupBy("part", "collection").agg(F.count(F.lit(1)).alias("n")).select("part", F.lit("collection").alias("kind"), F.col("collection").alias("name"), "n")
     by_value = label_counts(rows.withColumn("pred", F.col("gold")), "part").filter("tp > 0").select("part", F.lit("value").alias("kind"), F.col("value").alias("name"), F.col("tp").cast("long").alias("n"))
     out = sizes.unionByName(by_collection).unionByName(by_value)

@@ -41,6 +41,21 @@ def tune(rows: DataFrame, default: float = 0.5) -> DataFrame:
     return pick(counted.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("positives") - F.col("tp"))), default)
 
 
+def sparse_spans(words: Column) -> Column:
+    """Spans (s, e) of the words of one label, given as (pos, tag) in order; words between them have no tag."""
+
+    def begins(w: Column, i: Column) -> Column:
+        return F.startswith(w.getField("tag"), F.lit("B")) | ~F.coalesce(F.get(words, i - 1).getField("pos") == w.getField("pos") - 1, F.lit(False))
+
+    def ends(w: Column, i: Column) -> Column:
+        after = F.get(words, i + 1)
+        return after.isNull() | begins(after, i + 1)
+
+    first = F.transform(F.filter(words, begins), lambda w: w.getField("pos"))
+    last = F.transform(F.filter(words, ends), lambda w: w.getField("pos"))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("s"), (b + 1).alias("e")))
+
+
 def tune_spans(sequences: DataFrame, default: float = 0.5) -> DataFrame:
     """(value, threshold, f1) by exact span F1 from rows with gold tags and best (array of (tag, p)).
 
@@ -49,23 +64,22 @@ def tune_spans(sequences: DataFrame, default: float = 0.5) -> DataFrame:
     Each sequence makes its few changed span counts per label and grid point in
     the row; only counts are shuffled.
     """
-    reach = F.transform("best", lambda b: F.coalesce(cell_of(b.getField("p")), F.lit(0)))
-    cut = sequences.select("gold", F.transform("best", lambda b: b.getField("tag")).alias("tag"), reach.alias("reach"))
-    each = cut.select("gold", "tag", "reach", F.explode(vocab()).alias("value"))
-    own = each.select(
-        "value",
-        F.filter(S.spans(F.col("gold")), lambda s: s.getField("value") == F.col("value")).alias("g"),
-        F.transform("tag", lambda t: F.when(tag_value(t) == F.col("value"), t).otherwise("O")).alias("tag"),
-        "reach",
-    )
-    some = own.filter((F.size("g") > 0) | F.exists("tag", lambda t: t != "O"))
+
+    def of_values(x: Column) -> Column:
+        """For each label: its gold spans, and its words as (pos, tag, cell)."""
+        gold, words = x.getField("gold"), x.getField("words")
+        mine = lambda found, v: F.filter(found, lambda y: y.getField("value") == v)
+        return F.transform(vocab(), lambda v: F.struct(v.alias("value"), mine(gold, v).alias("g"), mine(words, v).alias("w")))
+
+    words = F.transform("best", lambda b, i: F.struct(i.alias("pos"), b.getField("tag").alias("tag"), tag_value(b.getField("tag")).alias("value"), cell_of(b.getField("p")).alias("cell")))
+    each = sequences.select(F.inline(S.let(F.struct(S.spans(F.col("gold")).alias("gold"), words.alias("words")), of_values)))
+    some = each.filter((F.size("g") > 0) | (F.size("w") > 0))
     grid = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("cell"), F.lit(t).alias("threshold")) for i, t in enumerate(GRID)]))
-    at = some.withColumn("at", grid)
-    decoded = F.zip_with("tag", "reach", lambda t, r: F.when(r >= F.col("at.cell"), t).otherwise("O"))
-    spans = at.select("value", "at.threshold", "g", S.spans(decoded).alias("p"))
-    counts = spans.groupBy("value", "threshold").agg(
-        F.sum(F.size(F.array_intersect("g", "p"))).alias("tp"), F.sum(F.size("p")).alias("n_pred"), F.sum(F.size("g")).alias("positives")
-    )
+    at = some.select("value", "g", "w", grid.alias("at"))
+    reached = F.filter("w", lambda w: w.getField("cell") >= F.col("at.cell"))
+    spans = at.select("value", "at.threshold", "g", S.let(reached, sparse_spans).alias("p"))
+    same = F.size(F.array_intersect(F.transform("g", lambda x: F.struct(x.getField("s").alias("s"), x.getField("e").alias("e"))), F.col("p")))
+    counts = spans.groupBy("value", "threshold").agg(F.sum(same).alias("tp"), F.sum(F.size("p")).alias("n_pred"), F.sum(F.size("g")).alias("positives"))
     full = sequences.sparkSession.createDataFrame([(v, t) for v in VALUES for t in GRID], "value string, threshold double")
     joined = F.broadcast(full).join(counts, ["value", "threshold"], "left").fillna(0, ["tp", "n_pred", "positives"])
     return pick(joined.withColumn("f1", f1(F.col("tp"), F.col("n_pred") - F.col("tp"), F.col("positives") - F.col("tp"))), default)

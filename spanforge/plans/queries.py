@@ -358,7 +358,6 @@ CASE WHEN len(list_filter(ts, lambda x: regexp_full_match(x, '[\\p{{L}}\\p{{N}}]
 SELECT collection, code, count(*)::BIGINT AS n FROM f WHERE code IS NOT NULL GROUP BY ALL""",
 )
 def quality_flags(spark, d):
-    flags = records(spark, d).select("collection", F.explode(contract.quality_flags()).alias("f")).filter("f.severity = 'warning' and f.code <> 'unresolved_color_mapping'")
     clean = records(spark, d).withColumn("curated_sentence", F.lit(None).cast("string"))
     flags = clean.select("collection", F.explode(contract.quality_flags()).alias("f")).filter("f.severity = 'warning'")
     return flags.groupBy("collection", F.col("f.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -442,9 +441,6 @@ def release_rows(spark, d):
     return registry.release_rows(s, V.reviews(s)).select("doc_id", "sentence_id", "page", "record_sha256", "position")
 
 
-PALETTE = "(VALUES ('#00FF00', 'social', 'approved'), ('RED', NULL, 'ignored')) AS palette(hex, label, status)"
-
-
 @query("unmapped_colors", f"WITH {RECORD_KINDS}, c AS (SELECT DISTINCT collection, CASE WHEN kind = 4 THEN 'RED' ELSE '#00FF00' END AS hex FROM kinds) SELECT collection, hex FROM c WHERE hex NOT IN ('#00FF00')")
 def unmapped_colors(spark, d):
     palette = spark.createDataFrame([("#00FF00", "social", "approved")], "hex string, label string, status string")
