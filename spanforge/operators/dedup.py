@@ -40,15 +40,14 @@ def merge_texts(rows: DataFrame, text: str, values: Column, order: str, *keep: s
     rows that agree with it lie, for each label set, in one interval of the
     order; those are counted after joining the interval back by key and set.
     """
-    base = rows.select(normalise_space(F.col(text)).alias("key"), mask_of(values).alias("mask"), F.col(order).alias("ord"), F.col(text).alias("text"), *keep)
-    sets = base.groupBy("key", "mask").agg(F.min("ord").alias("first"))
+    base = rows.select(normalise_space(F.col(text)).alias("key"), mask_of(values).alias("_mask"), F.col(order).alias("_ord"), F.struct(F.col(text).alias("text"), *keep).alias("_kept"))
+    sets = base.groupBy("key", "_mask").agg(F.min("_ord").alias("first"))
     grown = Window.partitionBy("key").orderBy("first")
-    union = sets.select("key", F.bit_or("mask").over(grown.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("mask"), F.col("first").alias("lo"), F.lead("first").over(grown).alias("hi"))
-    agrees = union.groupBy("key", "mask").agg(F.min("lo").alias("lo"), F.max(F.struct(F.col("hi").isNull().alias("open"), F.col("hi").alias("hi"))).alias("h"))
-    joined = base.join(agrees, ["key", "mask"], "left")
-    same = F.coalesce((F.col("ord") > F.col("lo")) & (F.col("h.open") | (F.col("ord") <= F.col("h.hi"))), F.lit(False))
-    first = F.min_by(F.struct("text", *keep), F.col("ord")).alias("kept")
-    merged = joined.groupBy("key").agg(first, F.bit_or("mask").alias("mask"), (F.count(F.lit(1)) - 1).alias("merged"), F.count_if(same).alias("same"))
+    union = sets.select("key", F.bit_or("_mask").over(grown.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_mask"), F.col("first").alias("lo"), F.lead("first").over(grown).alias("hi"))
+    agrees = union.groupBy("key", "_mask").agg(F.min("lo").alias("lo"), F.max(F.struct(F.col("hi").isNull().alias("open"), F.col("hi").alias("hi"))).alias("h"))
+    joined = base.join(agrees, ["key", "_mask"], "left")
+    same = F.coalesce((F.col("_ord") > F.col("lo")) & (F.col("h.open") | (F.col("_ord") <= F.col("h.hi"))), F.lit(False))
+    merged = joined.groupBy("key").agg(F.min_by("_kept", "_ord").alias("kept"), F.bit_or("_mask").alias("mask"), (F.count(F.lit(1)) - 1).alias("merged"), F.count_if(same).alias("same"))
     return merged.select("key", "kept.*", names_of(F.col("mask")).alias("values"), "merged", (F.col("merged") - F.col("same")).alias("conflicting"))
 
 
