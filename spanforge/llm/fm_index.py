@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from spanforge.llm.decontamination import suffix_array
-
 
 class WaveletMatrix:
     """Rank queries on a sequence of small numbers: one bit plane for each bit, with counts every 64 places."""
@@ -20,80 +18,122 @@ class WaveletMatrix:
         self.levels = max(1, int(symbols - 1).bit_length())
         self.n = len(values)
         self.planes, self.blocks, self.zeros = [], [], []
+        values = values.astype(np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            bit = (values >> level & 1).astype(np.uint8)
-            padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
+            bit = (values >> np.uint32(level) & np.uint32(1)).astype(bool)
+            padded = np.zeros((self.n // 64 + 1) * 64, bool)
             padded[: self.n] = bit
             plane = np.packbits(padded, bitorder="little").view("<u8")
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(plane), dtype=np.int64)])
-            self.planes.append(plane)
+            ones = np.zeros(len(plane) + 1, np.int64)
+            np.cumsum(np.bitwise_count(plane), out=ones[1:])
+            self.planes.append(np.append(plane, np.uint64(0)))
             self.blocks.append(ones)
             self.zeros.append(int(self.n - ones[-1]))
-            values = np.concatenate([values[bit == 0], values[bit == 1]])
+            values = np.concatenate([values[~bit], values[bit]])
+        # where each symbol's places end up: the walk from place 0, made once
+        every = np.arange(symbols, dtype=np.int64)
+        self.base = self.walk(every, np.zeros(symbols, np.int64))
 
-    def ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        word = at >> 6
-        below = self.planes[level][np.minimum(word, len(self.planes[level]) - 1)] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-        return self.blocks[level][word] + np.bitwise_count(below)
+    def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for level in range(self.levels):
+            word = at >> 6
+            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+            ones = self.blocks[level][word] + np.bitwise_count(self.planes[level][word] & mask)
+            one = (symbol >> (self.levels - 1 - level) & 1).astype(bool)
+            at = np.where(one, self.zeros[level] + ones, at - ones)
+        return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before the place `at`."""
-        lo, hi = np.zeros(len(at), np.int64), at.astype(np.int64)
-        for level in range(self.levels):
-            one = (symbol >> (self.levels - 1 - level) & 1).astype(bool)
-            ones_lo, ones_hi = self.ones(level, lo), self.ones(level, hi)
-            lo = np.where(one, self.zeros[level] + ones_lo, lo - ones_lo)
-            hi = np.where(one, self.zeros[level] + ones_hi, hi - ones_hi)
-        return hi - lo
+        return self.walk(symbol, at) - self.base[symbol]
+
+
+def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and each key's rank among the distinct ones."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.empty(len(keys), bool)
+    new[:1] = False
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(new)
+    return order, rank
 
 
 class FmIndex:
-    """The index of a text of symbols, 0 being the separator, for patterns of up to 2 * window - 1 words."""
+    """The index of a text of symbols, 0 being the separator, for patterns of up to window + 1 words.
+
+    Suffixes are ordered by as many words as that takes; the order of those equal
+    so far does not matter to patterns within them.
+    """
 
     def __init__(self, text: np.ndarray, window: int):
         self.text, self.window = text, window
-        self.rows = suffix_array(text, 2 * window)
-        symbols = int(text.max()) + 1 if len(text) else 1
+        n, symbols = len(text), int(text.max()) + 1 if len(text) else 1
+        width = max(1, symbols.bit_length())
+        depth = max(1, min(62 // width, window))
+        behind = lambda a, k: np.concatenate([a[k:], np.zeros(min(k, n), a.dtype)])
+        key = text.astype(np.int64)
+        for k in range(1, depth):  # the first few words fit into one number
+            key = key << width | behind(text, k)
+        order, rank = ranks(key)
+        halves = (rank, depth)
+        while depth <= window and n:
+            if depth <= window:
+                halves = (rank, depth)
+            order, rank = ranks(rank * (n + 1) + behind(rank + 1, depth))
+            depth *= 2
+        self.rows = order
         counts = np.bincount(text, minlength=symbols)
         self.first = np.cumsum(counts) - counts
         self.last_column = WaveletMatrix(text[self.rows - 1], symbols)
-        # runs of rows that agree in a whole window, and the earliest place of each
-        same = np.ones(max(0, len(text) - 1), bool)
-        for depth in range(window):
-            at = self.rows + depth
-            word = np.where(at < len(text), text[np.minimum(at, len(text) - 1)], 0)
-            same &= (word[1:] == word[:-1]) & (word[1:] > 0)
-        start = np.concatenate([[True], ~same]) if len(text) else np.empty(0, bool)
+        # runs of rows that agree in a whole window, by two overlapping halves, and the earliest place of each
+        half, size = halves
+        at = np.minimum(self.rows + (window - size), max(0, n - 1))
+        one, two = half[self.rows], half[at]
+        start = np.ones(n, bool)
+        start[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         self.run_of = np.cumsum(start) - 1
         self.run_start = np.flatnonzero(start)
-        self.run_end = np.append(self.run_start[1:], len(text))
-        self.earliest = np.minimum.reduceat(self.rows, self.run_start) if len(text) else np.empty(0, np.int64)
+        self.run_end = np.append(self.run_start[1:], n)
+        self.earliest = np.minimum.reduceat(self.rows, self.run_start) if n else np.empty(0, np.int64)
+
+    def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The bound of an interval after its pattern is extended by a word to the left."""
+        return self.first[symbol] + self.last_column.rank(symbol, at)
 
-    def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the patterns extended by a word to the left."""
-        base = self.first[symbol]
-        return base + self.last_column.rank(symbol, lo), base + self.last_column.rank(symbol, hi)
+    def find(self, pattern: np.ndarray) -> tuple[int, int]:
+        """The interval of rows that start with a pattern of window + 1 words at most, by backward search."""
+        lo, hi = np.zeros(1, np.int64), np.full(1, len(self.text), np.int64)
+        for symbol in pattern[::-1]:
+            if not 0 < symbol < len(self.first):
+                return 0, 0
+            s = np.array([symbol])
+            lo, hi = self.step(s, lo), self.step(s, hi)
+            if lo[0] >= hi[0]:
+                return 0, 0
+        return int(lo[0]), int(hi[0])
 
     def matching(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Streams the pieces [begin, end) of the text from right to left through the index.
+        """Streams the pieces [begin, end) of the indexed text from right to left through the index.
 
         For each place that starts a whole window inside its piece: the place, how
-        often the window occurs in the index, and where first.
+        often the window occurs in the index, and where first.  As the pieces are
+        in the index, no interval is ever empty and its lower bound will do.
         """
-        lo, hi = np.zeros(len(begin), np.int64), np.full(len(begin), len(self.text), np.int64)
+        lo = np.zeros(len(begin), np.int64)
         active, place = np.arange(len(begin)), end - 1
         out: list[tuple[np.ndarray, ...]] = []
         depth = 0
         while len(active):
-            lo, hi = self.step(self.text[place], lo, hi)
+            lo = self.step(self.text[place], lo)
             depth += 1
-            if depth > self.window:  # one word too deep: back to the window's depth
+            if depth >= self.window:  # a word too deep or just right: the run of rows at the window's depth
                 run = self.run_of[lo]
-                lo, hi = self.run_start[run], self.run_end[run]
-            if depth >= self.window:
-                out.append((place, hi - lo, self.earliest[self.run_of[lo]]))
+                lo = self.run_start[run]
+                out.append((place, self.run_end[run] - lo, self.earliest[run]))
             on = place > begin[active]
-            active, lo, hi, place = active[on], lo[on], hi[on], place[on] - 1
+            active, lo, place = active[on], lo[on], place[on] - 1
         if not out:
             return (np.empty(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))

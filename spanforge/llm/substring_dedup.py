@@ -31,23 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import MIX_A, MIX_B, WORD_CODES, Scratch, binaries, mix, rolling
-from spanforge.llm.fm_index import FmIndex
+from spanforge.llm.common import MIX_A, MIX_B, WORD_CODES, Scratch, binaries, mix
+from spanforge.llm.fm_index import FmIndex, ranks
 
 WINDOW = 20
 K = 6
-MOST_WINDOWS = 256
 #: Entries of a bucket and words of a shard, about; segments of a minimizer from which it is cut up.
 ENTRIES, SHARD_WORDS, HOT = 400_000, 400_000, 2_000
 
 
-def segments(codes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, number of windows) of the segments of a text, in order."""
-    grams = mix(rolling(codes, k) ^ MIX_B)
+def multilinear(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k codes: a sum with fixed odd factors, then a finaliser."""
+    n = max(0, len(codes) - k + 1)
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64) * MIX_A) | np.uint64(1)
+    out = np.zeros(n, np.uint64)
+    for i in range(k if n else 0):
+        out += codes[i : i + n] * factors[i]
+    return mix(out)
+
+
+def segments(codes: np.ndarray, sizes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, text, first window, number of windows) of the segments of texts that stand one after another."""
+    empty = np.empty(0, np.int64)
     n = len(codes) - window + 1
     if n <= 0:
-        empty = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), empty, empty
+        return np.empty(0, np.uint64), empty, empty, empty
+    grams = multilinear(codes, k) ^ MIX_B
     width, done = window - k + 1, 1
     least, place = grams, np.arange(len(grams))
     while done < width:  # the first smallest hash over 1, 2, 4, ... places, then over the whole width
@@ -56,12 +65,16 @@ def segments(codes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.nda
         least = np.where(right, least[step:], least[: len(least) - step])
         place = np.where(right, place[step:], place[: len(place) - step])
         done += step
+    base = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    inside = np.arange(n) + window <= (base + sizes)[text]  # windows that do not run into the next text
     # a new place is a new segment even if the hash is the same, so text that repeats itself counts its minimizer twice
     change = np.ones(n, bool)
-    change[1:] = place[1:] != place[:-1]
-    first = np.flatnonzero(change)
-    sizes = np.diff(np.append(first, n))
-    return least[first], first, sizes
+    change[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(change & inside)
+    group = np.cumsum(change & inside) - 1
+    windows = np.bincount(group[inside], minlength=len(first))
+    return least[first], text[first], first - base[text[first]], windows
 
 
 ENTRY = [("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u2"), ("count", "<u4")]
@@ -120,14 +133,11 @@ def minimizer_entries(texts: DataFrame, window: int, k: int, buckets: int) -> Da
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts_, _ in batches_of_docs(batch, 24 << 20):
-                found = [(segments(WORD_CODES.of(t.split()), window, k), d) for t, d in zip(texts_, ids, strict=True)]
-                found = [(s, d) for s, d in found if len(s[0])]
-                if not found:
+                codes = [WORD_CODES.of(t.split()) for t in texts_]
+                key, text, start, number = segments(np.concatenate(codes), np.array([len(c) for c in codes]), window, k)
+                if not len(key):
                     continue
-                key = np.concatenate([s[0] for s, _ in found])
-                start = np.concatenate([s[1] for s, _ in found]).astype(np.uint32)
-                number = np.concatenate([s[2] for s, _ in found]).astype(np.uint16)
-                doc = np.repeat(np.array([d for _, d in found], np.int64), [len(s[0]) for s, _ in found])
+                doc, start, number = ids[text], start.astype(np.uint32), number.astype(np.uint16)
                 values, back, often = np.unique(key, return_inverse=True, return_counts=True)
                 once = often[back] == 1
                 known = mix(doc.astype(np.uint64) * MIX_A) % np.uint64(buckets)
@@ -172,9 +182,22 @@ def repeated_segments(entries: DataFrame, hot: int) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(meet, "doc_id long, key long, start long, windows long")
 
 
-def pack_segments(doc: list[int], start: list[int], codes: list[np.ndarray]) -> bytes:
-    head = np.array([doc, start, [len(c) for c in codes]], "<i8")
-    return len(doc).to_bytes(4, "little") + zlib.compress(head.tobytes() + np.concatenate(codes).astype("<u8").tobytes(), 1)
+def gathered(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of `values` that begin there and have those sizes, one after another."""
+    at = np.cumsum(sizes) - sizes
+    return values[np.repeat(begin - at, sizes) + np.arange(int(sizes.sum()))]
+
+
+def packed_pieces(shard: np.ndarray, doc: np.ndarray, start: np.ndarray, begin: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """For each shard, its pieces' heads and codes in one block."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    of, data = [], []
+    for rows in np.split(order, cuts) if len(order) else []:
+        head = np.stack([doc[rows], start[rows], sizes[rows]]).astype("<i8")
+        of.append(int(shard[rows[0]]))
+        data.append(len(rows).to_bytes(4, "little") + zlib.compress(head.tobytes() + gathered(codes, begin[rows], sizes[rows]).astype("<u8").tobytes(), 1))
+    return of, data
 
 
 def unpack_segments(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -183,68 +206,60 @@ def unpack_segments(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<i8", 3 * n).reshape(3, n), np.frombuffer(raw, "<u8", offset=24 * n)
 
 
-def joined_segments(found: list[dict]) -> Iterator[tuple[int, int, int]]:
-    """(key, first window, windows): segments of a document, those that follow one another with one key made one."""
-    key, start, n = None, 0, 0
-    for s in sorted(found, key=lambda s: s["start"]):
-        if key == s["key"] and s["start"] == start + n and n + s["windows"] <= MOST_WINDOWS:
-            n += s["windows"]
-        elif key != s["key"] or s["start"] >= start + n or s["windows"] != n:  # equal segments: a repeated row
-            if key is not None:
-                yield key, start, n
-            key, start, n = s["key"], s["start"], s["windows"]
-    if key is not None:
-        yield key, start, n
-
-
 def words_to_shards(joined: DataFrame, hot_keys, window: int, shards: int) -> DataFrame:
-    """(shard, doc_id, start, stop, segments): packed segments for shards, and intervals that a batch settles by itself."""
+    """(shard, doc_id, start, stop, segments): packed segments for shards, and intervals that a batch settles by itself.
+
+    joined: doc_id, text, segs (packed segments of the text, or null).
+    """
     schema = "shard long, doc_id long, start long, stop long, segments binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_keys.value
+        hot = np.sort(np.array(list(hot_keys.value), np.int64))
         for batch in batches:
             held = batch.filter(batch.column("segs").is_valid())
-            wanted = held.column("segs")
+            segs = held.column("segs")
             for ids, texts, order in batches_of_docs(held, 24 << 20):
-                to: dict[int, tuple[list, list, list]] = {}
-                singles: list[tuple[int, int, np.ndarray, int]] = []
-
-                def send(shard: int, doc: int, start: int, codes: np.ndarray) -> None:
-                    d, s, c = to.setdefault(shard, ([], [], []))
-                    d.append(doc)
-                    s.append(start)
-                    c.append(codes)
-
-                for doc, text, row in zip(ids.tolist(), texts, order, strict=True):
-                    codes = WORD_CODES.of(text.split())
-                    for key, start, n in joined_segments(wanted[row].as_py()):
-                        piece = codes[start : start + n + window - 1]
-                        if key not in hot:
-                            send((key & 0x7FFFFFFFFFFFFFFF) % shards, doc, start, piece)
-                            continue
-                        for i, h in enumerate(rolling(piece, window).tolist()):
-                            singles.append((doc, start + i, piece[i : i + window], h))
-                first: dict[int, tuple[int, int]] = {}
-                for doc, start, _, h in singles:  # documents come in order, places within them need not
-                    first[h] = min(first.get(h, (doc, start)), (doc, start))
-                settled: list[tuple[int, int]] = []
-                sent: set[tuple[int, int, int]] = set()
-                for doc, start, codes, h in singles:
-                    if first[h] != (doc, start):
-                        settled.append((doc, start))
-                    elif (h, doc, start) not in sent:
-                        sent.add((h, doc, start))
-                        send(h % shards, doc, start, codes)
-                if to:
-                    keys = sorted(to)
-                    data = [pack_segments(*to[s]) for s in keys]
-                    none = pa.nulls(len(keys), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), none, none, none, pa.array(data, pa.binary())], names=["shard", "doc_id", "start", "stop", "segments"])
-                if settled:
-                    d, s = (np.array(x, np.int64) for x in zip(*settled, strict=True))
+                words = [WORD_CODES.of(t.split()) for t in texts]
+                codes = np.concatenate(words)
+                base = np.cumsum([len(w) for w in words]) - [len(w) for w in words]
+                mine = segs.take(pa.array(order))
+                flat, per = mine.flatten(), np.diff(mine.offsets.to_numpy())
+                key, start, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "start", "windows"))
+                text = np.repeat(np.arange(len(texts)), per)
+                by = np.lexsort((start, text))
+                key, start, n, text = key[by], start[by], n[by], text[by]
+                # segments of a text that follow one another with one minimizer travel as one piece
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + n[:-1])
+                at = np.flatnonzero(new)
+                n = np.add.reduceat(n, at) if len(at) else n
+                key, start, text = key[at], start[at], text[at]
+                is_hot = np.isin(key, hot)
+                cold = ~is_hot
+                doc, begin = ids[text], base[text] + start
+                sent = [((key[cold] & 0x7FFFFFFFFFFFFFFF) % shards, doc[cold], start[cold], begin[cold], n[cold] + window - 1)]
+                d = s = np.empty(0, np.int64)
+                if is_hot.any():
+                    hash_ = multilinear(codes, window)
+                    w_at = gathered(np.arange(len(codes)), begin[is_hot], n[is_hot])
+                    w_doc = np.repeat(doc[is_hot], n[is_hot])
+                    w_start = w_at - np.repeat(base[text[is_hot]], n[is_hot])
+                    h = hash_[w_at]
+                    o = np.lexsort((w_start, w_doc, h))
+                    h, w_at, w_doc, w_start = h[o], w_at[o], w_doc[o], w_start[o]
+                    lead = np.ones(len(h), bool)
+                    lead[1:] = h[1:] != h[:-1]
+                    first = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+                    later = (w_doc != w_doc[first]) | (w_start != w_start[first])
+                    d, s = w_doc[later], w_start[later]
+                    sent.append(((h[lead] % np.uint64(shards)).astype(np.int64), w_doc[lead], w_start[lead], w_at[lead], np.full(int(lead.sum()), window)))
+                of, data = packed_pieces(*(np.concatenate(x) for x in zip(*sent, strict=True)), codes)
+                if of:
+                    none = pa.nulls(len(of), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), none, none, none, pa.array(data, pa.binary())], names=["shard", "doc_id", "start", "stop", "segments"])
+                if len(d):
                     d, s, e = merged(d, s, s + window)
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(d.astype(np.uint64)) % np.uint64(shards), pa.int64()), pa.array(d), pa.array(s), pa.array(e), pa.nulls(len(d), pa.binary())], names=["shard", "doc_id", "start", "stop", "segments"])
+                    yield pa.RecordBatch.from_arrays([pa.array((mix(d.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)), pa.array(d), pa.array(s), pa.array(e), pa.nulls(len(d), pa.binary())], names=["shard", "doc_id", "start", "stop", "segments"])
 
     return joined.mapInArrow(emit, schema)
 
@@ -266,21 +281,20 @@ def repeats_in_shard(table: pa.Table, window: int) -> pa.Table:
     heads, words = [], []
     for x in binaries(packed.drop_null()):
         head, codes = unpack_segments(x)
-        cuts = np.cumsum(head[2])[:-1]
         heads.append(head)
-        words += np.split(codes, cuts)
+        words.append(codes)
     ready = [table.column(c).combine_chunks().filter(done).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "start", "stop")]
     if heads:
-        head = np.concatenate(heads, 1)
+        head, flat = np.concatenate(heads, 1), np.concatenate(words)
+        from_ = np.cumsum(head[2]) - head[2]
         order = np.lexsort((head[1], head[0]))
         head = head[:, order]
         size = head[2] + 1
         begin = np.cumsum(size) - size
         text = np.zeros(int(size.sum()), np.int64)
-        flat = np.concatenate([words[i] for i in order])
         inside = np.ones(len(text), bool)
         inside[begin + head[2]] = False
-        text[inside] = np.unique(flat, return_inverse=True)[1] + 1
+        text[inside] = ranks(gathered(flat, from_[order], head[2]))[1] + 1
         index = FmIndex(text, window)
         place, _, earliest = index.matching(begin, begin + head[2])
         segment = np.searchsorted(begin, [place, earliest], "right") - 1
