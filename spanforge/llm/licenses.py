@@ -141,7 +141,9 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     all_rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(x).alias("license"), F.lit("".join(f"<{i}>" for i in ids)).alias("pattern")) for n, x, ids in rules])
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(F.regexp_replace(text, r"([.;:!?]) ", "$1\n"), "\n")
-    flow = F.split(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n]+", " "), r"([.;:!?]) ", "$1\n"), "\n")
+    # running text ends at blank lines, other line ends are spaces
+    paragraphs = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r]*(\n[ \t\r]*)+", "\x1d")
+    flow = F.split(F.regexp_replace(F.regexp_replace(paragraphs, r"[ \t\r\n]+", " "), r"([.;:!?]) ", "$1\n"), "[\n\x1d]")
     none = F.array().cast("array<string>")
     found = F.when(text.rlike(KEYWORD), F.struct(identifiers(lines, table).alias("by_line"), identifiers(flow, table).alias("by_flow"))).otherwise(F.struct(none.alias("by_line"), none.alias("by_flow")))
 
@@ -174,7 +176,7 @@ def oracle(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, li
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 known(sentence, id) AS (VALUES {names}),
 parts AS (SELECT rid, 'line' AS way, string_split(regexp_replace(t, '([.;:!?]) ', '\1' || chr(10), 'g'), chr(10)) AS p FROM d
-          UNION ALL SELECT rid, 'flow', string_split(regexp_replace(regexp_replace(t, '[ \t\r\n]+', ' ', 'g'), '([.;:!?]) ', '\1' || chr(10), 'g'), chr(10)) FROM d),
+          UNION ALL SELECT rid, 'flow', string_split(replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r]*\n[ \t\r]*(\n[ \t\r]*)+', chr(29), 'g'), '[ \t\r\n]+', ' ', 'g'), '([.;:!?]) ', '\1' || chr(10), 'g'), chr(29), chr(10)), chr(10)) FROM d),
 each AS (SELECT rid, way, i, trim(regexp_replace(lower(p[i]), '[^a-z0-9]+', ' ', 'g')) AS sentence
          FROM (SELECT rid, way, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
 seqs AS (SELECT rid, way, list(id ORDER BY i) AS ids FROM each JOIN known USING (sentence) GROUP BY rid, way),
