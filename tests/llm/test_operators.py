@@ -300,7 +300,7 @@ def test_code_probabilities_sum_to_one():
 
     rng = np.random.default_rng(0)
     code = lm_scoring.Code([b"a", b"b", b"c", b"\n"], np.array([5, 3, 2, 4, 1]))
-    tables = [rng.integers(0, 9, (1 << 12, 2)).astype(np.uint16) for _ in range(2)]
+    tables = [lm_scoring.compact(rng.integers(0, 9, (1 << 12, 2)).astype(np.uint16)) for _ in range(2)]
     mixer = lm_scoring.Mixer()
     before = np.array([0, 1, 0])
     total = 0.0
