@@ -105,14 +105,19 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete tables that keep() made, once nothing reads them any more."""
-        jvm = self.spark.sparkContext._jvm
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if self.root.split(":", 1)[-1].lstrip("/") in file:
-                path = jvm.org.apache.hadoop.fs.Path(file)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def free(self, *done: DataFrame) -> None:
+        """Deletes tables of this object that nothing reads any more, and lets Spark remove shuffles of finished steps.
 
+        Spark drops a shuffle's files when the driver's garbage collector finds it
+        unused, which may otherwise not happen before a query ends.
+        """
+        import gc
 
-def read_text_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        jvm = self.spark.sparkContext._jvm
+        own = self.root.rsplit("/", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for df in done for f in df.inputFiles()}:
+            if f"/{own}/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()

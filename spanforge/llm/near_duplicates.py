@@ -78,9 +78,9 @@ ENTRY = [("key", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("n", "<u4"), ("group",
 
 
 def squeeze(columns: list[np.ndarray]) -> bytes:
-    """Columns after one another, key bytes cut to six; rows come by document, so all but the keys shrink to little."""
+    """Columns after one another, key bytes cut to five; rows come by document, so all but the keys shrink to little."""
     key, doc, *rest = columns
-    parts = [key.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()]
+    parts = [key.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()]
     steps = np.diff(doc, prepend=np.int64(0))
     parts.append(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
     parts += [x.view(np.uint8).reshape(len(key), -1).T.tobytes() for x in rest]
@@ -91,7 +91,7 @@ def unsqueeze(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
     raw, at = zlib.decompress(data[4:]), 0
     out = np.zeros(n, ENTRY)
-    for name, width in (("key", 6), ("doc", 8), ("sig", 4), ("n", 4), ("group", 2)):
+    for name, width in (("key", 5), ("doc", 8), ("sig", 4), ("n", 4), ("group", 2)):
         plane = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
         full = np.zeros((n, out.dtype[name].itemsize), np.uint8)
         full[:, :width] = plane
@@ -287,16 +287,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     share = 2.2 * 1.25 * 2 * (den - num) / (den + num)
     buckets = max(12, int(size / 6.5 * share / ENTRIES))
     rows = scratch.keep(sketch_rows(docs, k, bands, buckets), "rows")
-    meta = rows.filter("bucket is null").select("doc_id", "n", "s1", "s2")
+    meta = scratch.keep(rows.filter("bucket is null").select("doc_id", "n", "s1", "s2"), "meta")
     classes = scratch.keep(meta.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     raw = scratch.keep(shared_keys(rows.filter("bucket is not null").select("bucket", "entries")), "keys")
+    scratch.free(rows)
     # each document leaves out its most frequent keys, as many as the group has to spare
     rank = F.row_number().over(Window.partitionBy("doc", "grp", "n").orderBy(F.desc("often"), "key"))
     spare = F.element_at(F.array(*[F.lit(int(x)) for x in bands.spare[:200]]), (F.col("grp") + 1).cast("int"))
     kept = raw.withColumn("rank", rank).filter(F.col("rank") > spare).select("key", "doc", "n")
     weight = kept.groupBy("doc").agg(F.count(F.lit(1)).alias("weight"))
     open_ = scratch.keep(kept.join(weight, "doc"), "open")
+    scratch.free(raw)
     sets = scratch.keep(sets_of(docs, open_, k), "sets")
+    scratch.free()
 
     # first, one hub for each key: the document with most open keys
     hub = open_.groupBy("key").agg(F.max_by(F.struct("doc", "n"), F.struct("weight", -F.col("doc"))).alias("hub"))
@@ -304,6 +307,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     met = open_.join(hub, "key").filter((F.col("doc") != F.col("hub.doc")) & near)
     pairs = met.select(F.least("doc", "hub.doc").alias("u"), F.greatest("doc", "hub.doc").alias("v")).distinct()
     links = scratch.keep(links_of(pairs, sets, num, den), "links")
+    scratch.free()
     found = components(links, scratch)
 
     # then blocks for the keys that still join different components
@@ -311,6 +315,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     mixed = now.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("key")
     now = scratch.keep(now.join(mixed, "key", "left_semi").select("key", "doc", "of"), "now")
     more = scratch.keep(block_links(now, sets, num, den), "more")
+    scratch.free(sets, now)
     if not more.isEmpty():
         found = components(links.union(more), scratch)
     out = meta.join(classes, ["s1", "s2", "n"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
