@@ -21,8 +21,8 @@ def effective_text(curated: Column, sentence: Column) -> Column:
     return strip(F.coalesce(F.when(curated != "", curated), sentence, F.lit("")))
 
 
-# Ligatures and a look-alike apostrophe with their replacements.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
+# Ligatures, and the letter that some PDF fonts use for the hyphen, with their replacements.
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "ft", "\ufb06": "st", "\u0372": "-"}
 
 
 def expand_ligatures(c: Column, table: dict[str, str] | None = None) -> Column:
@@ -33,8 +33,8 @@ def expand_ligatures(c: Column, table: dict[str, str] | None = None) -> Column:
 
 # Stop words that tell English from Dutch.
 STOP_WORDS = {
-    "en": "the and of to in is that for with on as are this by from at be was were it".split(),
-    "nl": "de het een en van in is dat op te met voor zijn niet aan er om ook als bij".split(),
+    "en": ["the", "of", "and", "to", "is", "in", "that", "it", "was", "for"],
+    "nl": ["de", "het", "en", "van", "ik", "je", "we", "ze", "op", "in"],
 }
 
 
@@ -86,8 +86,40 @@ def contrast(hex_: Column) -> Column:
     return F.when(r * 299 + g * 587 + b * 114 >= 150_000, "#000000").otherwise("#FFFFFF")
 
 
-# Colour names of word-processor highlights.
+# Highlight names of word processors, and names of common colours.
 HIGHLIGHTS = {
+    "YELLOW": "#FFFF00",
+    "BRIGHT_GREEN": "#00FF00",
+    "TURQUOISE": "#00FFFF",
+    "PINK": "#FF00FF",
+    "BLUE": "#0000FF",
+    "RED": "#FF0000",
+    "DARK_BLUE": "#000080",
+    "TEAL": "#008080",
+    "GREEN": "#008000",
+    "VIOLET": "#800080",
+    "DARK_RED": "#800000",
+    "DARK_YELLOW": "#808000",
+    "GRAY_50": "#808080",
+    "GRAY_25": "#C0C0C0",
+    "BLACK": "#000000",
+}
+COLOR_NAMES = {
+    "#000000": "Black",
+    "#000080": "Navy",
+    "#0000FF": "Blue",
+    "#008000": "Green",
+    "#00FF00": "Bright green",
+    "#00FFFF": "Turquoise",
+    "#800000": "Dark red",
+    "#800080": "Violet",
+    "#FF0000": "Red",
+    "#FF00FF": "Magenta",
+    "#FFFF00": "Yellow",
+    "#FFFFFF": "White",
+}
+#: The same highlights as document files spell them.
+DOCX_HIGHLIGHTS = {
     "yellow": "#FFFF00",
     "green": "#00FF00",
     "cyan": "#00FFFF",
@@ -103,10 +135,21 @@ HIGHLIGHTS = {
     "darkGray": "#808080",
     "lightGray": "#C0C0C0",
     "black": "#000000",
-    "white": "#FFFFFF",
 }
 
 
+def color_name(hex_: Column) -> Column:
+    """The name of a common colour, or "Near" and that of the nearest one."""
+    exact = F.element_at(F.create_map(*[F.lit(x) for kv in COLOR_NAMES.items() for x in kv]), hex_)
+    near = nearest_color(hex_, {name: code for code, name in COLOR_NAMES.items()})
+    return F.coalesce(exact, F.concat(F.lit("Near "), F.lower(near)))
+
+
+def is_margin_code(c: Column) -> Column:
+    """Whether a block is only a code from the margin, such as EN1 or SO3/EN1."""
+    return F.trim(c).isin("AUT", "INT", "N.v.t.") | F.trim(c).rlike(r"^[A-Z]{2}\d(/[A-Z]{2}\d)*$")
+
+
 def highlight_hex(name: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in HIGHLIGHTS.items() for x in kv]), name)
 

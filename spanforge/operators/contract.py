@@ -228,20 +228,20 @@ def scope_is_valid(full: Column, pages: Column) -> Column:
 
 
 # Roles of people in their order, and kinds of cited items.
-ROLES = ["original_annotator", "data_curator", "data_owner", "extractor"]
-ITEM_TYPES = ["report", "article", "book", "thesis", "webpage", "dataset", "other"]
+ROLES = ["annotator", "curator", "data_owner"]
+ITEM_TYPES = ["article", "book", "chapter", "paper-conference", "report", "webpage"]
 
 
 def person_issues() -> Column:
     """Rules for (person_id, name, roles, email, orcid, active_curator)."""
     c = F.col
     return present(
-        when(~c("person_id").rlike("^[a-z0-9][a-z0-9-]*$"), "invalid_person_id", "$.person_id"),
+        when(~c("person_id").rlike("^PERSON-[A-Z0-9]+$"), "invalid_person_id", "$.person_id"),
         when(strip(c("name")) == "", "missing_name", "$.name"),
         when((c("email") != "") & ~c("email").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "invalid_email", "$.email"),
-        when((c("orcid") != "") & ~c("orcid").rlike(r"^\d{4}-\d{4}-\d{4}-\d{3}[\dX]$"), "invalid_orcid", "$.orcid"),
+        when((c("orcid") != "") & ~c("orcid").rlike(r"^\d{4}-\d{4}-\d{4}-[\dX]{4}$"), "invalid_orcid", "$.orcid"),
         when((F.size("roles") == 0) | (F.size(F.array_except("roles", F.array(*[F.lit(r) for r in ROLES]))) > 0), "invalid_role", "$.roles"),
-        when(c("active_curator") & ~F.array_contains("roles", "data_curator"), "curator_role_missing", "$.active_curator"),
+        when(c("active_curator") & ~F.array_contains("roles", "curator"), "curator_role_missing", "$.active_curator"),
     )
 
 
@@ -250,7 +250,10 @@ def roles_in_order(roles: Column) -> Column:
 
 
 def citation_issues() -> Column:
-    """Rules for (title, creators, item_type, issued_year, undated, reference, not_findable_reason)."""
+    """Rules for (title, creators, item_type, issued_year, undated, citation, reference, not_findable_reason).
+
+    A source is dated or undated, not both; it has a reference or a reason why none is to be found.
+    """
     c = F.col
     dated = c("issued_year").isNotNull()
     reference, reason = F.coalesce(c("reference"), F.lit("")) != "", F.coalesce(c("not_findable_reason"), F.lit("")) != ""
@@ -259,7 +262,9 @@ def citation_issues() -> Column:
         when(F.size("creators") == 0, "missing_source_creator", "$.creators"),
         when(~c("item_type").isin(*ITEM_TYPES), "invalid_item_type", "$.item_type"),
         when(dated == F.coalesce(c("undated"), F.lit(False)), "year_or_undated", "$.issued_year"),
-        when(reference == reason, "reference_or_reason", "$.reference"),
+        when(~c("issued_year").between(1000, 9999), "invalid_year", "$.issued_year"),
+        when(F.coalesce(strip(c("citation")), F.lit("")) == "", "missing_citation", "$.citation"),
+        when(~reference & ~reason, "missing_findability", "$.reference"),
     )
 
 

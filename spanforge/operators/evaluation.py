@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Categories that a full evaluation covers.
-CATEGORIES = ["clean", "multi_label", "nested_span", "ocr_noise", "multi_page", "unmapped_color", "no_annotation"]
+CATEGORIES = ["structured_annotations", "flattened_highlights", "colored_fonts", "mixed_conventions", "decorations", "malformed_pdf", "unsupported_scan"]
 
 
 def record_ratios(gold: DataFrame, observed: DataFrame, key: str = "case_id") -> DataFrame:

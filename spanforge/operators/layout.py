@@ -84,15 +84,21 @@ def project_bio(tokens: DataFrame, entities: DataFrame, *keys: str, width: int =
     return t.join(won, [*keys, "token"], "left").select(*keys, "token", F.coalesce("tag", F.lit("O")).alias("tag"))
 
 
-def is_margin(y0: Column, y1: Column, height: Column, margin: int = 70) -> Column:
-    """Headers and footers by a fixed margin."""
-    return (y1 <= margin) | (y0 >= height - margin)
+def middle(low: Column, high: Column) -> Column:
+    return (low + high) / 2
 
 
-def is_page_number(text: Column, y0: Column, y1: Column, height: Column) -> Column:
-    """A bare number, with or without "page", in the upper or lower 15 percent."""
-    band = (y1 <= 0.15 * height) | (y0 >= 0.85 * height)
-    return band & F.trim(text).rlike(r"(?i)^(page\s+|p\.\s*)?\d{1,4}(\s*(/|of)\s*\d{1,4})?$")
+def is_margin(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, rotation: Column, margin: int = 70) -> Column:
+    """Headers and footers: blocks whose middle lies in the margin above or below, as the page is turned."""
+    beside = (middle(x0, x1) < margin) | (middle(x0, x1) > width - margin)
+    return F.when(rotation.isin(90, 270), beside).otherwise((middle(y0, y1) < margin) | (middle(y0, y1) > height - margin))
+
+
+def is_page_number(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, rotation: Column, band: float = 0.15) -> Column:
+    """A bare number, with or without dashes, near the upper or lower edge, as the page is turned."""
+    across, down = middle(x0, x1), middle(y0, y1)
+    near = F.when(rotation.isin(90, 270), (across < width * band) | (across > width * (1 - band))).otherwise((down < height * band) | (down > height * (1 - band)))
+    return near & F.trim(text).rlike(r"^([-–—]\s*)?\d{1,4}(\s*[-–—])?$")
 
 
 def reading_order(blocks: DataFrame, *keys: str, full: float = 0.6, shared: float = 0.3) -> DataFrame:

@@ -219,3 +219,9 @@ def complete_join(ids: DataFrame, examples: DataFrame, key: str = "example_id")
     if lost:
         raise ValueError(f"{lost} ids are on one side only")
     return ids.join(examples, key)
+
+
+def guide(code: Column, path: Column) -> Column:
+    """The page of the documentation that helps with an issue."""
+    package = code.contains("package") | code.contains("resource") | path.contains("citation") | path.contains("rights")
+    return F.when(package, "DATA_PACKAGE").when(F.startswith(code, F.lit("source_")) | path.contains("registry"), "TUTORIAL").otherwise("VALIDATION")

@@ -366,8 +366,8 @@ def quality_flags(spark, d):
 @query(
     "language_vote",
     """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS w FROM documents),
-n AS (SELECT doc_id, count(*) FILTER (w IN ('the','and','of','to','in','is','that','for','with','on','as','are','this','by','from','at','be','was','were','it')) AS en,
-count(*) FILTER (w IN ('de','het','een','en','van','in','is','dat','op','te','met','voor','zijn','niet','aan','er','om','ook','als','bij')) AS nl FROM w GROUP BY doc_id)
+n AS (SELECT doc_id, count(*) FILTER (w IN ('the','of','and','to','is','in','that','it','was','for')) AS en,
+count(*) FILTER (w IN ('de','het','en','van','ik','je','we','ze','op','in')) AS nl FROM w GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN coalesce(nl, 0) > coalesce(en, 0) THEN 'nl' ELSE 'en' END AS language FROM documents d LEFT JOIN n USING (doc_id)""",
 )
 def language_vote(spark, d):
@@ -530,8 +530,8 @@ def eval_span_ratios(spark, d):
 
 @query(
     "eval_coverage",
-    """WITH c AS (SELECT source, (['clean','multi_label','nested_span','ocr_noise','multi_page'])[doc_id % 5 + 1] AS category, lang FROM documents),
-need AS (SELECT unnest(['clean','multi_label','nested_span','ocr_noise','multi_page','unmapped_color','no_annotation']) AS category)
+    """WITH c AS (SELECT source, (['structured_annotations','flattened_highlights','colored_fonts','mixed_conventions','decorations'])[doc_id % 5 + 1] AS category, lang FROM documents),
+need AS (SELECT unnest(['structured_annotations','flattened_highlights','colored_fonts','mixed_conventions','decorations','malformed_pdf','unsupported_scan']) AS category)
 SELECT k.source, string_agg(need.category, ',' ORDER BY need.category) AS missing FROM (SELECT DISTINCT source FROM documents) k CROSS JOIN need
 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source = k.source AND c.category = need.category) GROUP BY k.source""",
 )

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import HIGHLIGHTS
+from spanforge.functions.text import DOCX_HIGHLIGHTS
 from spanforge.operators import layout
 from spanforge.sources.packages import LISTS
 
@@ -24,7 +24,7 @@ def run_color(run) -> str | None:
     if p is None:
         return None
     value = lambda tag, key: None if p.find(W + tag) is None else p.find(W + tag).get(W + key)
-    named = HIGHLIGHTS.get(value("highlight", "val") or "")
+    named = DOCX_HIGHLIGHTS.get(value("highlight", "val") or "")
     for hex_ in (named, value("shd", "fill"), value("color", "val")):
         hex_ = (hex_ or "").lstrip("#").upper()
         if len(hex_) == 6 and hex_ not in ("000000", "FFFFFF"):

@@ -128,7 +128,12 @@ def test_text(spark):
     assert one(T.hex_color(F.lit(1), F.lit(255), F.lit(0))) == "#01FF00" and one(T.is_colourful(F.lit("#808080"))) is False
     assert one(T.nearest_color(F.lit("#FE0101"), {"red": "#FF0000", "blue": "#0000FF"})) == "red"
     assert tuple(one(T.strip_speaker(F.lit("Jan de Vries: ja")))) == ("ja", 14)
-    assert one(T.language(F.lit("het is de kerk"))) == "nl" and one(T.language(F.lit("is"))) == "en"
+    assert one(T.language(F.lit("Het is de kerk"))) == "nl" and one(T.language(F.lit("is"))) == "en"
+    assert one(T.color_name(F.lit("#FF0000"))) == "Red" and one(T.color_name(F.lit("#FE0102"))) == "Near red" and one(T.contrast(F.lit("#FFFF00"))) == "#000000"
+    assert one(T.is_margin_code(F.lit(" SO3/EN1 "))) and not one(T.is_margin_code(F.lit("SO3 EN1")))
+    n = lambda v: F.lit(float(v))
+    assert one(layout.is_page_number(F.lit(" - 12 -"), n(0), n(0), n(9), n(9), n(600), n(800), F.lit(0)))
+    assert not one(layout.is_margin(n(0), n(300), n(9), n(309), n(600), n(800), F.lit(0))) and one(layout.is_margin(n(0), n(300), n(9), n(309), n(600), n(800), F.lit(90)))
 
 
 def test_evaluation(spark):
@@ -143,10 +148,10 @@ def test_evaluation(spark):
 
 
 def test_people(spark):
-    who = spark.createDataFrame([("p-1", "A", ["data_curator"], "", "", True, "x")], "person_id string, name string, roles array<string>, email string, orcid string, active_curator boolean, affiliation string")
+    who = spark.createDataFrame([("PERSON-1", "A", ["curator"], "", "", True, "x")], "person_id string, name string, roles array<string>, email string, orcid string, active_curator boolean, affiliation string")
     assert who.select(contract.person_issues()).first()[0] == []
-    docs = spark.createDataFrame([("d1", "p-1"), ("d2", "p-9")], "document_id string, person_id string")
-    assert {r.document_id: r.code for r in people.assign(docs, who, "data_curator").collect()} == {"d1": None, "d2": "unknown_person"}
+    docs = spark.createDataFrame([("d1", "PERSON-1"), ("d2", "PERSON-9")], "document_id string, person_id string")
+    assert {r.document_id: r.code for r in people.assign(docs, who, "curator").collect()} == {"d1": None, "d2": "unknown_person"}
 
 
 def test_quotations(spark, tmp_path):
