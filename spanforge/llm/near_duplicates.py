@@ -19,10 +19,11 @@ Keys travel in packed columns to buckets, and only keys of two different sets or
 more come out.  Each key's documents first meet one hub, chosen by an aggregate;
 verified links make components, and keys within one component are settled.  The
 documents of the other keys are compared in blocks: a block holds a bounded part
-of a key's documents with their sets, written-out sketches of 1024 bits rule out
+of a key's documents, written-out sketches of 1024 bits rule out
 almost all pairs in array operations, and a pair is verified only if its sketches
-allow it and its documents are not connected yet.  Nothing but new links leaves a
-block, so no pairs are emitted within a group; large keys are cut into more blocks.
+allow it and its documents are not connected yet.  A block sends on one pair at most for
+every two components it joins, so no pairs are emitted within a group; large keys
+are cut into more blocks.  Rounds go on until no pair is left to ask.
 """
 
 from __future__ import annotations
@@ -179,18 +180,27 @@ def shared_keys(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "key long, doc long, n long, grp long, often long")
 
 
+BLOCK, BLOCK_ROWS, SKETCH_BITS = 2_048, 20_000, 1_024
+
+
+def bit_sketch(s: np.ndarray) -> bytes:
+    """The written-out parity sketch of a set."""
+    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc, shingles) of the rows whose id is wanted."""
+    """(doc, size, sketch, shingles) of the rows whose id is wanted."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [shingles(t, k).view(np.int64) for t in binaries(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
+                found = [shingles(t, k) for t in binaries(part.column("text"))]
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([bit_sketch(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "size", "sketch", "shingles"])
 
     texts = binary_text(docs, "doc_id").join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return texts.mapInArrow(make, "doc long, shingles array<long>")
+    return texts.mapInArrow(make, "doc long, size long, sketch binary, shingles array<long>")
 
 
 def links_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -203,32 +213,23 @@ def links_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.filter(enough).select("u", "v").distinct()
 
 
-BLOCK, BLOCK_ROWS, SKETCH_BITS = 2_048, 4_000, 1_024
-
-
-def bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity sketches, one row of 64-bit words for each set."""
-    out = np.zeros((len(sets), SKETCH_BITS), np.uint8)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(out, axis=1).view(np.uint64)
-
-
 def compare_blocks(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Links (u, v) that connect documents of different components, from groups of rows (part, side, doc, of, shingles).
+    """Pairs (u, v) of different components that may be links, from groups of rows (part, side, doc, of, size, sketch, failed).
 
-    Sides 0 and 1 are two blocks of a key: only pairs across them are compared;
-    a group of side 2 alone is one block, all its pairs are compared.
+    Sides 0 and 1 are two blocks of a key: only pairs across them are compared; a
+    group of side 2 alone is one block, all its pairs are compared.  Components
+    count as joined once a pair between them is sent on, so few pairs leave; if one
+    of those turns out to be no link, the next round knows it as failed.
     """
-    column = table.column("shingles").combine_chunks()
-    values, cuts = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
-    doc, of, part, side = (table.column(c).to_numpy() for c in ("doc", "of", "part", "side"))
+    doc, of, part, side, size = (table.column(c).to_numpy() for c in ("doc", "of", "part", "side", "size"))
     docs, at, row = np.unique(doc, return_index=True, return_inverse=True)
-    sets = [values[cuts[i] : cuts[i + 1]] for i in at]
-    sketch, n = bit_sketches(sets), np.array([len(s) for s in sets], np.int64)
+    bits = table.column("sketch").combine_chunks().take(pa.array(at))
+    sketch = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(at), -1)
+    n = size[at]
+    failed = [set(f or ()) for f in table.column("failed").combine_chunks().take(pa.array(at)).to_pylist()]
     label = np.unique(of[at], return_inverse=True)[1]  # of each document: its component, as it grows
 
-    links: list[tuple[int, int]] = []
+    pairs: list[tuple[int, int]] = []
     order = np.argsort(part, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
         whole = side[rows[0]] == 2
@@ -241,31 +242,33 @@ def compare_blocks(table: pa.Table, num: int, den: int) -> pa.Table:
             # at the threshold, sets of a and b shingles differ in (den - num) / (den + num) * (a + b) at most
             differ = np.bitwise_count(sketch[others] ^ sketch[a]).sum(1, dtype=np.int64)
             for b in others[differ * (den + num) <= (den - num) * (n[a] + n[others])]:
-                if label[a] == label[b]:
-                    continue
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if den * common >= num * (n[a] + n[b] - common):
-                    links.append((int(docs[a]), int(docs[b])))
+                if label[a] != label[b] and int(docs[b]) not in failed[a]:
+                    pairs.append((int(docs[a]), int(docs[b])))
                     label[label == label[b]] = label[a]
-    u, v = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
+    u, v = (np.array([x[k] for x in pairs], np.int64) for k in (0, 1))
     return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
 
-def block_links(now: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): links across components among documents that share an open key, by blocks of a key's documents.
+def block_pairs(now: DataFrame, sets: DataFrame, failed: DataFrame | None, num: int, den: int) -> DataFrame:
+    """(u, v): possible links across components among documents that share an open key, by blocks of a key's documents.
 
     now: key, doc, of.  A key of more than BLOCK documents is cut into blocks by
-    hash, and every two blocks meet once.
+    hash, and every two blocks meet once; rows carry sketches, not sets.
     """
+    about = sets.select("doc", "size", "sketch")
+    if failed is None:
+        about = about.withColumn("failed", F.lit(None).cast("array<long>"))
+    else:
+        both = failed.union(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        about = about.join(both.groupBy(F.col("u").alias("doc")).agg(F.collect_set("v").alias("failed")), "doc", "left")
     many = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     cut = now.select("key", "doc", "of").join(many, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     meet = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     each = cut.withColumn("other", meet)
     part = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    rows = each.select(part.alias("part"), side.alias("side"), "doc", "of").join(sets, "doc")
-    n = now.count()
-    buckets = max(12, n // BLOCK_ROWS)
+    rows = each.select(part.alias("part"), side.alias("side"), "doc", "of").join(about, "doc")
+    buckets = max(12, now.count() // BLOCK_ROWS)
     grouped = rows.withColumn("bucket", F.pmod("part", F.lit(buckets))).groupBy("bucket")
     return grouped.applyInArrow(lambda t: compare_blocks(t, num, den), "u long, v long").distinct()
 
@@ -310,14 +313,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     scratch.free()
     found = components(links, scratch)
 
-    # then blocks for the keys that still join different components
-    now = open_.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("of", F.coalesce("component", "doc"))
-    mixed = now.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("key")
-    now = scratch.keep(now.join(mixed, "key", "left_semi").select("key", "doc", "of"), "now")
-    more = scratch.keep(block_links(now, sets, num, den), "more")
-    scratch.free(sets, now)
-    if not more.isEmpty():
-        found = components(links.union(more), scratch)
+    # then blocks for the keys that still join different components, until no pair is left
+    failed = None
+    while True:
+        now = open_.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("of", F.coalesce("component", "doc"))
+        mixed = now.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("key")
+        now = scratch.keep(now.join(mixed, "key", "left_semi").select("key", "doc", "of"), "now")
+        asked = scratch.keep(block_pairs(now, sets, failed, num, den), "asked")
+        scratch.free(now)
+        if asked.isEmpty():
+            break
+        new = scratch.keep(links_of(asked, sets, num, den), "links")
+        wrong = asked.join(new, ["u", "v"], "left_anti")
+        failed = scratch.keep(wrong if failed is None else failed.union(wrong), "failed")
+        links = links.union(new)
+        found = components(links, scratch)
+    scratch.free(sets)
     out = meta.join(classes, ["s1", "s2", "n"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     kind = docs.schema["doc_id"].dataType
