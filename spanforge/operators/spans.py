@@ -54,10 +54,16 @@ def counted(sequences: DataFrame, counts: Column, *keys: str) -> DataFrame:
     return filled.select(*keys, "value", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
 
 
+def span_names(tags: Column) -> Column:
+    """Spans as texts "s:e:value": set operations on texts hash, those on structs compare each with each."""
+    return F.transform(spans(tags), lambda x: F.concat_ws(":", x.getField("s"), x.getField("e"), x.getField("value")))
+
+
 def by_value(found: Column, column: str) -> Column:
-    """Structs (value, tp, fp, fn) with one in the given count, from an array with field value."""
+    """Structs (value, tp, fp, fn) with one in the given count, from span texts."""
+    value = lambda x: F.substring_index(x, ":", -1)
     one = lambda x: [(F.lit(1 if c == column else 0)).cast("long").alias(c) for c in ("tp", "fp", "fn")]
-    return F.transform(found, lambda x: F.struct(x.getField("value").alias("value"), *one(x)))
+    return F.transform(found, lambda x: F.struct(value(x).alias("value"), *one(x)))
 
 
 def exact_counts(gold: Column, pred: Column) -> Column:
@@ -67,7 +73,7 @@ def exact_counts(gold: Column, pred: Column) -> Column:
         g, p = pair.getField("g"), pair.getField("p")
         return F.concat(by_value(F.array_intersect(g, p), "tp"), by_value(F.array_except(p, g), "fp"), by_value(F.array_except(g, p), "fn"))
 
-    return let(F.struct(spans(gold).alias("g"), spans(pred).alias("p")), of)
+    return let(F.struct(span_names(gold).alias("g"), span_names(pred).alias("p")), of)
 
 
 def token_counts(gold: Column, pred: Column) -> Column:

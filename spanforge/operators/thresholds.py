@@ -78,7 +78,8 @@ def tune_spans(sequences: DataFrame, default: float = 0.5) -> DataFrame:
     at = some.select("value", "g", "w", grid.alias("at"))
     reached = F.filter("w", lambda w: w.getField("cell") >= F.col("at.cell"))
     spans = at.select("value", "at.threshold", "g", S.let(reached, sparse_spans).alias("p"))
-    same = F.size(F.array_intersect(F.transform("g", lambda x: F.struct(x.getField("s").alias("s"), x.getField("e").alias("e"))), F.col("p")))
+    place = lambda x: x.getField("s") * F.lit(1 << 31) + x.getField("e")  # noqa: E731  numbers: set operations on them hash
+    same = F.size(F.array_intersect(F.transform("g", place), F.transform("p", place)))
     counts = spans.groupBy("value", "threshold").agg(F.sum(same).alias("tp"), F.sum(F.size("p")).alias("n_pred"), F.sum(F.size("g")).alias("positives"))
     full = sequences.sparkSession.createDataFrame([(v, t) for v in VALUES for t in GRID], "value string, threshold double")
     joined = F.broadcast(full).join(counts, ["value", "threshold"], "left").fillna(0, ["tp", "n_pred", "positives"])
