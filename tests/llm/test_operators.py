@@ -335,7 +335,7 @@ def test_quality(spark, docs, empty):
     assert quality.keep_clean(empty).count() == quality.ledger(empty).count() == 0
     verdicts = quality.verdicts(entries).collect()
     for r in quality.ablation(entries).collect():
-        bit = 1 << list(quality.RULES).index(r.rule)
+        bit = 1 << quality.RULES.index(r.rule)
         assert r.n_kept == sum(v.fail_bits == 0 for v in verdicts) and r.n_kept_without == sum(v.fail_bits & ~bit == 0 for v in verdicts)
         assert r.n_failed == sum(bool(v.fail_bits & bit) for v in verdicts) and r.n_only == sum(v.fail_bits == bit for v in verdicts)
 
