@@ -19,7 +19,7 @@ Keys travel in packed columns to buckets, and only keys of two different sets or
 more come out.  Each key's documents first meet one hub, chosen by an aggregate;
 verified links make components, and keys within one component are settled.  The
 documents of the other keys are compared in blocks: a block holds a bounded part
-of a key's documents, written-out sketches of 1024 bits rule out
+of a key's documents, written-out sketches rule out
 almost all pairs in array operations, and a pair is verified only if its sketches
 allow it and its documents are not connected yet.  A block sends on one pair at most for
 every two components it joins, so no pairs are emitted within a group; large keys
@@ -180,12 +180,18 @@ def shared_keys(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "key long, doc long, n long, grp long, often long")
 
 
-BLOCK, BLOCK_ROWS, SKETCH_BITS = 2_048, 20_000, 1_024
+BLOCK, BLOCK_ROWS = 2_048, 20_000
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """The written-out parity sketch of a set."""
-    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    """The written-out parity sketch of a set, in four bits a shingle or more, so that it rules out pairs at any size."""
+    bits = 1 << max(8, (4 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """A sketch in fewer 64-bit words: the exclusive-or of its parts is the sketch that has so many bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words), 0)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -223,8 +229,8 @@ def compare_blocks(table: pa.Table, num: int, den: int) -> pa.Table:
     """
     doc, of, part, side, size = (table.column(c).to_numpy() for c in ("doc", "of", "part", "side", "size"))
     docs, at, row = np.unique(doc, return_index=True, return_inverse=True)
-    bits = table.column("sketch").combine_chunks().take(pa.array(at))
-    sketch = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(at), -1)
+    sketch = table.column("sketch").combine_chunks().take(pa.array(at)).to_pylist()
+    length = np.array([len(x) // 8 for x in sketch], np.int64)
     n = size[at]
     failed = [set(f or ()) for f in table.column("failed").combine_chunks().take(pa.array(at)).to_pylist()]
     label = np.unique(of[at], return_inverse=True)[1]  # of each document: its component, as it grows
@@ -234,13 +240,18 @@ def compare_blocks(table: pa.Table, num: int, den: int) -> pa.Table:
     for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
         whole = side[rows[0]] == 2
         left, right = (row[rows], row[rows]) if whole else (row[rows[side[rows] == 0]], row[rows[side[rows] == 1]])
+        if not len(left) or not len(right) or (label[row[rows]] == label[row[rows[0]]]).all():
+            continue
+        words = int(length[row[rows]].min())  # sizes in a group differ by two bands at most
+        facing = np.stack([folded(sketch[b], words) for b in right])
         for i, a in enumerate(left):
-            others = right[i + 1 :] if whole else right
-            others = others[label[others] != label[a]]
-            if not len(others):
+            begin = i + 1 if whole else 0
+            open_ = np.flatnonzero(label[right[begin:]] != label[a]) + begin
+            if not len(open_):
                 continue
+            others, mine = right[open_], facing[i] if whole else folded(sketch[a], words)
             # at the threshold, sets of a and b shingles differ in (den - num) / (den + num) * (a + b) at most
-            differ = np.bitwise_count(sketch[others] ^ sketch[a]).sum(1, dtype=np.int64)
+            differ = np.bitwise_count(facing[open_] ^ mine).sum(1, dtype=np.int64)
             for b in others[differ * (den + num) <= (den - num) * (n[a] + n[others])]:
                 if label[a] != label[b] and int(docs[b]) not in failed[a]:
                     pairs.append((int(docs[a]), int(docs[b])))
