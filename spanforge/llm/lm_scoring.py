@@ -14,11 +14,12 @@ last one learns online while a document is read.
 Mixing.  The predictors' log-odds are added with weights; a gate made of the
 predictors' confidences and the node's depth picks the weight set.  A last stage
 maps the mixed probability through adaptive interpolated tables, one for each
-depth, and averages.  Weights and maps are learned online, bit by bit in small
-batches, over a bounded sample of training texts (``FIT_DOCS`` documents of at most
-``FIT_BYTES`` bytes, by hash of their id), each bit's own count left out.  The
-counters themselves cover all training texts: each task counts into tables of its
-own, and the tables are added in a tree of bounded fan-in.
+depth, and averages.  Both start from a fit over all training texts, each bit's own
+count left out: ``ROUNDS`` Newton steps, whose sums by gate and by map cell add up
+over tasks, so neither order nor partitions matter.  From there on each document
+learns by itself: every ``BATCH`` bits its own weights and maps are updated.  The
+counters cover all training texts too: each task counts into tables of its own, and
+the tables are added in a tree of bounded fan-in.
 
 Every prediction uses earlier tokens only, so the score is the logarithm of a
 proper probability of the text's words and its end.
@@ -43,13 +44,15 @@ from spanforge.llm.common import LOWER, MIX_A, MIX_B, Scratch, binaries, mix
 HEAD = 65_536
 HEAD_WORD_BYTES = 64
 TABLE_BITS = 22
-FIT_DOCS, FIT_BYTES = 800, 20_000
+ROUNDS, BATCH = 2, 1_024
 FAN_IN = 64
 #: No word holds a line feed.
 END = b"\n"
 A = 0.4
 GATES, DEPTHS = 16, 8
 APM_STEPS, APM_EDGE = 33, 8.0
+#: What the fit's first weights count for, and rates of learning inside a document.
+RIDGE, RATE, MAP_PRIOR = 8.0, 0.005, 255.0
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -306,47 +309,138 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.3, 0.4, 0.2, 0.15, 0.0], np.float32), (2 * GATES * DEPTHS, 1)))
     maps: np.ndarray = field(default_factory=lambda: np.tile(squash(np.linspace(-APM_EDGE, APM_EDGE, APM_STEPS)), (DEPTHS, 1)))
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        s = x[0] * self.weights[:, 0][gate]
-        for k in range(1, len(x)):
-            s += x[k] * self.weights[:, k][gate]
-        return np.clip(s, -14, 14)
-
-    def refined(self, s: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of bit 1 after the last stage, and the map cells they came from with their shares."""
-        place = (np.clip(s, -APM_EDGE, APM_EDGE) + np.float32(APM_EDGE)) * np.float32((APM_STEPS - 1) / (2 * APM_EDGE))
-        low = np.minimum(place.astype(np.int32), APM_STEPS - 2)
-        share = place - low
-        cell = np.minimum(depth, DEPTHS - 1).astype(np.int32) * APM_STEPS + low
-        flat = self.maps.reshape(-1).astype(np.float32)
-        p = flat[cell]
-        p += (flat[cell + 1] - p) * share
-        return np.clip(0.5 * (squash(s) + p), 1e-6, 1 - 1e-6), cell, share
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, depth: np.ndarray, bit: np.ndarray, rate: float) -> None:
-        """One online step over a small batch: gated weights, then the maps."""
-        s = self.mixed(x, gate)
-        _, cell, share = self.refined(s, depth)
-        error = (bit - squash(s)).astype(np.float32)
-        size = len(self.weights)
-        often = np.sqrt(np.maximum(np.bincount(gate, minlength=size), 1))
-        for k in range(len(x)):
-            self.weights[:, k] += rate * np.bincount(gate, error * x[k], size) / often
-        flat = self.maps.reshape(-1)
-        for c, part in ((cell, 1 - share), (cell + 1, share)):
-            hit, ones = np.bincount(c, part, len(flat)), np.bincount(c, part * bit, len(flat))
-            flat += (ones - hit * flat) / (hit + 30.0)
-
-
-def fit(code: Code, tables: list[np.ndarray], texts: list[bytes], table_bits: int) -> Mixer:
+    def online(self, x: np.ndarray, gate: np.ndarray, depth: np.ndarray, bit: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Probabilities of bit 1; each document (of, ascending) learns from its own earlier batches.
+
+        All documents take their next batch side by side, the longest first, so
+        those that go on are always the first ones.
+        """
+        size = np.bincount(of)
+        order = np.argsort(-size, kind="stable")
+        first, size = (np.cumsum(size) - size)[order], size[order]
+        p = np.empty(len(bit), np.float32)
+        gates, cells = len(self.weights), self.maps.size
+        weights, maps = self.weights.T[:, None], self.maps.reshape(1, -1)  # one for all, until documents have their own
+        more, at = len(size), 0
+        while more:
+            cut = np.minimum(size[:more] - at, BATCH)
+            start = np.cumsum(cut) - cut
+            i = np.repeat(first[:more] + at - start, cut) + np.arange(cut.sum())
+            own = np.repeat(np.arange(more) if at else np.zeros(more, np.int64), cut)
+            set_ = own * gates + gate[i]
+            flat_w, flat_m = weights.reshape(len(x), -1), maps.reshape(-1)
+            xs = x[:, i]
+            s = mixed(xs, flat_w, set_)
+            low, share = place(s)
+            cell = own * cells + np.minimum(depth[i], DEPTHS - 1) * APM_STEPS + low
+            p[i] = refined(s, flat_m, cell, share)
+            more, at = int(np.searchsorted(-size, -(at + BATCH), "left")), at + BATCH
+            if not more:
+                break
+            # the documents that go on have whole batches, which come first
+            n = more * BATCH
+            if at == BATCH:
+                weights, maps = np.repeat(weights, more, 1), np.repeat(maps, more, 0)
+                own = np.repeat(np.arange(more), BATCH)
+                set_, cell = set_[:n] + own * gates, cell[:n] + own * cells
+            weights, maps, set_, cell, share = weights[:, :more].copy(), maps[:more].copy(), set_[:n], cell[:n], share[:n]
+            b = bit[i[:n]]
+            error = b - squash(s[:n])
+            often = np.sqrt(np.maximum(np.bincount(set_, minlength=more * gates), 1))
+            for k in range(len(x)):
+                weights[k] += (RATE * np.bincount(set_, error * xs[k, :n], more * gates) / often).reshape(more, gates)
+            hit = np.bincount(cell, 1 - share, maps.size) + np.bincount(cell + 1, share, maps.size)
+            ones = np.bincount(cell, (1 - share) * b, maps.size) + np.bincount(cell + 1, share * b, maps.size)
+            flat = maps.reshape(-1)
+            flat += (ones - hit * flat) / (hit + MAP_PRIOR)
+        return p
+
+    def stepped(self, sums: np.ndarray) -> Mixer:
+        """The mixer after one Newton step from the sums of fit_sums; sets that were never seen stay."""
+        gates, k = self.weights.shape
+        parts = np.split(sums, np.cumsum([gates * k, gates * k * (k + 1) // 2, self.maps.size]))
+        slope, upper = parts[0].reshape(k, gates).T, parts[1].reshape(-1, gates)
+        bend = np.zeros((gates, k, k))
+        for u, (i, j) in zip(upper, PAIRS, strict=True):
+            bend[:, i, j] = bend[:, j, i] = u
+        before = self.weights.astype(np.float64)
+        slope = slope - RIDGE * (before - Mixer().weights)
+        step = np.linalg.solve(bend + RIDGE * np.eye(k), slope[..., None])[..., 0]
+        hit, ones = (m.reshape(self.maps.shape) for m in parts[2:])
+        return Mixer((before + np.clip(step, -0.5, 0.5)).astype(np.float32), (ones + 30.0 * Mixer().maps) / (hit + 30.0))
+
+
+PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
+
+
+def mixed(x: np.ndarray, weights: np.ndarray, set_: np.ndarray) -> np.ndarray:
+    """Weighted log-odds; weights: one row for each predictor."""
+    s = x[0] * weights[0][set_]
+    for k in range(1, len(x)):
+        s += x[k] * weights[k][set_]
+    return np.clip(s, -14, 14)
+
+
+def place(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower map cell of log-odds, and the share of the upper one."""
+    at = (np.clip(s, -APM_EDGE, APM_EDGE) + np.float32(APM_EDGE)) * np.float32((APM_STEPS - 1) / (2 * APM_EDGE))
+    low = np.minimum(at.astype(np.int32), APM_STEPS - 2)
+    return low, at - low
+
+
+def refined(s: np.ndarray, maps: np.ndarray, cell: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Probabilities of bit 1 after the last stage."""
+    p = maps[cell]
+    p = p + (maps[cell + 1] - p) * share
+    return np.clip(0.5 * (squash(s) + p), 1e-6, 1 - 1e-6)
+
+
+def fit_sums(code: Code, tables: list[np.ndarray], mixer: Mixer, texts: list[bytes], table_bits: int) -> np.ndarray:
+    """Slopes and second derivatives by gate, and hits and ones by map cell, added over all bits of the texts."""
+    gates, cells = len(mixer.weights), mixer.maps.size
+    weights = np.ascontiguousarray(mixer.weights.T)
+    total = np.zeros(gates * (5 + len(PAIRS)) + 2 * cells)
+    for _, _, _, symbols, doc in runs(texts, code, 20_000):
+        every = decisions(code, symbols, doc, table_bits)
+        x_all, gate_all = inputs(code, tables, every, doc)
+        for at in range(0, len(gate_all), 65_536):
+            cut = slice(at, at + 65_536)
+            x, gate, bit = x_all[:, cut], gate_all[cut], every.bit[cut]
+            s = mixed(x, weights, gate)
+            p = squash(s)
+            error, curve = bit - p, p * (1 - p)
+            low, share = place(s)
+            cell = np.minimum(every.depth[cut], DEPTHS - 1) * APM_STEPS + low
+            parts = [np.bincount(gate, error * x[k], gates) for k in range(5)]
+            curved = x * curve
+            parts += [np.bincount(gate, curved[i] * x[j], gates) for i, j in PAIRS]
+            parts.append(np.bincount(cell, 1 - share, cells) + np.bincount(cell + 1, share, cells))
+            parts.append(np.bincount(cell, (1 - share) * bit, cells) + np.bincount(cell + 1, share * bit, cells))
+            total += np.concatenate(parts)
+    return total
+
+
+def fit(train: DataFrame, code, tables: list[np.ndarray], table_bits: int) -> Mixer:
+    """Weights and maps from all training texts, in a fixed number of rounds over them."""
+    context = train.sparkSession.sparkContext
+    counters = context.broadcast(tables)
     mixer = Mixer()
-    for round_ in range(2):
-        for _, _, _, symbols, doc in runs(texts, code, 20_000):
-            bits = decisions(code, symbols, doc, table_bits)
-            x, gate = inputs(code, tables, bits, doc)
-            for at in range(0, len(gate), 4096):
-                cut = slice(at, at + 4096)
-                mixer.learn(x[:, cut], gate[cut], bits.depth[cut], bits.bit[cut], 0.02 if round_ == 0 else 0.005)
+    for _ in range(ROUNDS):
+        now = mixer
+
+        def gather(batches: Iterator[pa.RecordBatch], now: Mixer = now) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                got = fit_sums(code.value, counters.value, now, binaries(batch.column("text")), table_bits)
+                total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
+
+        found = train.select("text").mapInArrow(gather, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # a fixed number of sums
+        if not found:
+            break
+        mixer = mixer.stepped(np.array([r["x"] for r in sorted(found)]))
+    counters.destroy()
     return mixer
 
 
@@ -357,8 +451,9 @@ def log_probabilities(code: Code, tables: list[np.ndarray], mixer: Mixer, symbol
     if not len(bits.node):
         return np.zeros(n_docs)
     x, gate = inputs(code, tables, bits, doc)
-    p, _, _ = mixer.refined(mixer.mixed(x, gate), bits.depth)
-    return np.bincount(doc[bits.token], np.log(np.where(bits.bit == 1, p, 1 - p)), n_docs)
+    of = doc[bits.token]
+    p = mixer.online(x, gate, bits.depth, bits.bit, of)
+    return np.bincount(of, np.log(np.where(bits.bit == 1, p, 1 - p)), n_docs)
 
 
 def score(docs: DataFrame, head: int = HEAD, table_bits: int | None = None) -> DataFrame:
@@ -384,8 +479,7 @@ def score(docs: DataFrame, head: int = HEAD, table_bits: int | None = None) -> D
         per_token = float((made.size * made.counts).sum()) / max(1, made.counts.sum())
         table_bits = int(np.clip(np.ceil(np.log2(max(1.0, n_all * per_token / 8))), 12, TABLE_BITS))
     tables = count_tables(train, code, table_bits, scratch)
-    sample = train.filter(F.length("text") <= FIT_BYTES).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(FIT_DOCS).collect()
-    mixer = fit(made, tables, [bytes(r["text"]) for r in sample], table_bits)
+    mixer = fit(train, code, tables, table_bits)
     model = spark.sparkContext.broadcast(([compact(t) for t in tables], mixer))
     head_logs = np.log10(made.counts[:-1] + 0.5)
 

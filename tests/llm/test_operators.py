@@ -310,6 +310,38 @@ def test_code_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def test_mixer_is_fitted_on_all_training_texts(spark, monkeypatch):
+    import numpy as np
+
+    made, plain = [], lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda *a: made.append(plain(*a)) or made[-1])
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd"]) for _ in range(12_000)) for _ in range(6)]  # all longer than 20,000 bytes
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 3):
+        lm_scoring.score(df.repartition(parts)).collect()
+    assert np.abs(made[0].weights - lm_scoring.Mixer().weights).max() > 0.01
+    assert np.allclose(made[0].weights, made[1].weights, atol=1e-4) and np.allclose(made[0].maps, made[1].maps, atol=1e-4)
+
+
+def test_documents_go_on_learning_by_themselves(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    code = lm_scoring.Code([b"a", b"b", b"c", b"\n"], np.array([5, 3, 2, 4, 1]))
+    tables = [lm_scoring.compact(rng.integers(0, 900, (1 << 12, 2)).astype(np.uint16)) for _ in range(2)]
+    docs = [rng.integers(0, 3, n) for n in (9_000, 40, 5_000, 0, 700)]
+    run = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    scores = lambda *r: lm_scoring.log_probabilities(code, tables, lm_scoring.Mixer(), *r, 12)
+    got = scores(*run)
+    for d, one in zip(docs, got, strict=True):
+        assert not len(d) or math.isclose(scores(d, np.zeros(len(d), np.int64))[0], one, rel_tol=1e-6)
+    monkeypatch.setattr(lm_scoring, "RATE", 0.0, raising=False)
+    monkeypatch.setattr(lm_scoring, "MAP_PRIOR", 1e18, raising=False)
+    frozen = scores(*run)
+    assert got[0] > frozen[0] + 10 and got[2] > frozen[2] + 10
+
+
 # --- quality, licences, chat -------------------------------------------------------------------
 
 
