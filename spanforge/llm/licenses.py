@@ -2,7 +2,8 @@
 
 A text is cut into sentences twice, by lines and by running text (so that wrapped
 sentences are found too).  Each normalised sentence is looked up in a table of
-known licence sentences; what is found, in order, is the text's sequence of
+known licence sentences, alone and with those after it, for some known sentences
+hold a sentence's end inside; what is found, in order, is the text's sequence of
 identifiers.  Rules are tried in their order; a rule matches where its identifiers
 follow one another, and takes them out, so a full notice wins over its parts.
 All of it happens inside the row, in DataFrame expressions.
@@ -89,6 +90,8 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("cc0.waiver", "CC0-1.0", ["cc0.waived"]),
 ]
 
+#: Begins a part that was cut off inside a line or paragraph.
+SAME = "\x1e"
 #: Every known sentence has one of these words; others need no normalising.
 KEYWORD = "(?i)licen[sc]e|permission|redistribut|warranty|copyright|general public"
 
@@ -105,11 +108,30 @@ def known(sentences: dict[str, str]) -> dict[str, str]:
     return {normalise(s): k for k, s in sentences.items()}
 
 
-def identifiers(parts: Column, table: Column) -> Column:
-    """Identifiers of those parts that are known sentences, in order."""
-    likely = F.filter(parts, lambda s: s.rlike(KEYWORD))
-    names = F.transform(likely, lambda s: F.element_at(table, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    return F.filter(names, lambda x: x.isNotNull())
+def starts(sentences: dict[str, str]) -> tuple[str, int]:
+    """What the first part of every known sentence has, and the most parts that one is cut into."""
+    import re
+
+    cut = [re.split(r"(?<=[.;:!?]) ", s) for s in sentences.values()]
+    more = {normalise(c[0]).replace(" ", "[^a-z0-9]+") for c in cut if not re.search(KEYWORD, c[0])}
+    return "|".join([KEYWORD, *sorted(more)]), max(map(len, cut), default=1)
+
+
+def identifiers(parts: Column, table: Column, start: str, most: int) -> Column:
+    """Identifiers of known sentences, in order: parts, or runs of parts (those after the first begin with SAME)."""
+
+    def found(all_: Column) -> Column:
+        def name(s: Column, i: Column) -> Column:
+            whole = lambda n: F.trim(F.regexp_replace(F.lower(F.array_join(F.slice(all_, i + 1, n), " ")), "[^a-z0-9]+", " "))
+            got, goes_on = [F.element_at(table, whole(1))], F.lit(True)
+            for n in range(2, most + 1):
+                goes_on = goes_on & F.startswith(F.get(all_, i + (n - 1)), F.lit(SAME))
+                got.append(F.when(goes_on, F.element_at(table, whole(n))))
+            return F.when(s.rlike(start), F.coalesce(*reversed(got)))
+
+        return F.filter(F.transform(all_, name), lambda x: x.isNotNull())
+
+    return let(parts, found)
 
 
 def matched(sequence: Column, rules: Column) -> Column:
@@ -140,12 +162,13 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     table = F.create_map(*pairs)
     all_rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(x).alias("license"), F.lit("".join(f"<{i}>" for i in ids)).alias("pattern")) for n, x, ids in rules])
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(F.regexp_replace(text, r"([.;:!?]) ", "$1\n"), "\n")
+    start, most = starts(sentences)
+    lines = F.split(F.regexp_replace(text, r"([.;:!?]) ", f"$1\n{SAME}"), "\n")
     # running text ends at blank lines, other line ends are spaces
     paragraphs = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r]*(\n[ \t\r]*)+", "\x1d")
-    flow = F.split(F.regexp_replace(F.regexp_replace(paragraphs, r"[ \t\r\n]+", " "), r"([.;:!?]) ", "$1\n"), "[\n\x1d]")
+    flow = F.split(F.regexp_replace(F.regexp_replace(paragraphs, r"[ \t\r\n]+", " "), r"([.;:!?]) ", f"$1\n{SAME}"), "[\n\x1d]")
     none = F.array().cast("array<string>")
-    found = F.when(text.rlike(KEYWORD), F.struct(identifiers(lines, table).alias("by_line"), identifiers(flow, table).alias("by_flow"))).otherwise(F.struct(none.alias("by_line"), none.alias("by_flow")))
+    found = F.when(text.rlike(KEYWORD), F.struct(identifiers(lines, table, start, most).alias("by_line"), identifiers(flow, table, start, most).alias("by_flow"))).otherwise(F.struct(none.alias("by_line"), none.alias("by_flow")))
 
     def result(f: Column) -> Column:
         a, b = f.getField("by_line"), f.getField("by_flow")

@@ -397,6 +397,18 @@ def test_licenses(spark, empty):
     assert a == b and licenses.scan(empty).count() == 0
 
 
+def test_every_known_sentence_and_rule_is_found(spark):
+    texts = [*licenses.SENTENCES.values(), *("Some words.\n" + ". ".join(licenses.SENTENCES[i] for i in ids) + ".\nMore" for _, _, ids in licenses.RULES)]
+    texts += ["SPDX-License-Identifier:\n\nMIT", "SPDX-License-Identifier: MIT. Other", licenses.SENTENCES["gpl2.free"].replace(" ", "\n", 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.sentence_ids, r.rules.split(","), r.licenses) for r in licenses.scan(df).orderBy("doc_id").collect()]
+    n = len(licenses.SENTENCES)
+    assert [g[0] for g in got[:n]] == list(licenses.SENTENCES)
+    assert [g[0] for g in got[n:-3]] == [",".join(ids) for _, _, ids in licenses.RULES]
+    assert all(name in g[1] for g, (name, _, _) in zip(got[n:-3], licenses.RULES, strict=True))
+    assert [g[2] for g in got[-3:]] == ["", "MIT", "GPL-2.0-or-later"]
+
+
 def test_chat(spark):
     call = lambda **c: f"<tool_call>{json.dumps(c)}</tool_call>"
     rows = [
