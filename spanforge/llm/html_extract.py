@@ -27,7 +27,8 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute: its name, and a value after an equals sign; attributes are read one after another, values never searched.
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?+")
 SPACE = re.compile(r"\s+")
 
 # Element names of the HTML standard by their part in the page.
@@ -171,7 +172,7 @@ class Page:
         found: dict[str, str] = {}
         if attributes:
             for a in ATTRIBUTE.finditer(attributes):
-                found[a[1].lower()] = a[2] or a[3] or a[4] or ""
+                found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")  # of equal names the first counts
         classes = found.get("class", "").lower().split()
         label = ".".join([name, *sorted({re.sub(r"\d+", "#", c) for c in classes})[:4]])
         role = found.get("role", "").lower()
@@ -181,7 +182,7 @@ class Page:
         if name in ("article", "main", "body", "html") or strong:
             return False, label, True if name != "body" and name != "html" else False
         left = name in DROPPED or name == "header" and not in_article or role in ROLES_ASIDE
-        left |= "hidden" in found and name != "html" and not attributes.strip().startswith("data-") or found.get("aria-hidden", "").lower() == "true"
+        left |= "hidden" in found and name != "html" or found.get("aria-hidden", "").lower() == "true"
         left |= "display:none" in found.get("style", "").replace(" ", "").lower()
         for w in words:
             if w and not {"with", "has", "no", "without"} & set(w):

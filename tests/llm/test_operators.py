@@ -463,3 +463,11 @@ def test_page_structure():
     assert other.text("body>div.a") == "short"
     for text in ("", "<", "<p", "a<b", "<script>", "&#65;", "<!-- x", "<a href='x>y'>t</a>"):
         html_extract.Page(text).text(None)
+
+
+def test_attributes_are_read_by_name():
+    text = lambda inner: html_extract.Page(f"<body><div>{inner}<p>{'Words of the article. ' * 9}</p></div></body>").text(None)
+    for kept in ('<p title="The hidden valley">Kept</p>', '<p>See <a href="/hidden-valley">Kept</a></p>', '<p><a href="/p?id=nav">Kept</a></p>', "<div data-hidden=x data-id=nav>Kept</div>", '<p title="a" data-class="sidebar">Kept</p>', "<p alt='style=display:none'>Kept</p>"):
+        assert "Kept" in text(kept), kept
+    for left in ('<div id="sidebar" data-video="x">Gone</div>', '<div id=sidebar width="5">Gone</div>', "<p hidden>Gone</p>", "<p data-a=1 HIDDEN=''>Gone</p>", "<p style='display: none'>Gone</p>", '<p data-x="y" aria-hidden = "true">Gone</p>', '<div class="ads" class="x">Gone</div>'):
+        assert "Gone" not in text(left), left
