@@ -163,25 +163,45 @@ def next_status(status: Column, event: Column) -> Column:
 # --- packages ----------------------------------------------------------------------------
 
 
-def package_issues(metadata: DataFrame, records: DataFrame, reviews: DataFrame) -> DataFrame:
+PACKAGE_FILES = ("package_metadata", "annotations", "review_state")
+
+
+def package_issues(metadata: DataFrame, records: DataFrame, reviews: DataFrame, files: DataFrame) -> DataFrame:
     """(document_id, code) from all rules over packages; one small DataFrame for each rule, put together.
 
     metadata: document_id, record_count, source_state; records and reviews: document_id, sentence_id, record_sha256, reviews also status.
+    files: document_id, file (one of PACKAGE_FILES), state (ok, missing, unreadable, invalid_json, or invalid for a
+    content that breaks its schema), named_document (the id that the file states), resource_path (where the metadata
+    has the annotations).  metadata has a row for every registered document; a file without a row is missing.
     """
     key = ["document_id", "sentence_id"]
     rule = lambda df, code: df.select("document_id", F.lit(code).alias("code")).distinct()
     counts = records.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sentence_id").alias("ids"))
     with_counts = metadata.join(counts, "document_id", "left")
     joined = records.select(*key, F.col("record_sha256").alias("now")).join(reviews, key, "full_outer")
+    every = metadata.select("document_id", F.explode(F.array(*[F.lit(f) for f in PACKAGE_FILES])).alias("file")).join(files, ["document_id", "file"], "left")
+    every = every.withColumn("state", F.coalesce("state", F.lit("missing")))
+    # what cannot be read is not compared with anything
+    unread = every.filter("file = 'package_metadata' and state <> 'ok' or file = 'annotations' and state not in ('ok', 'invalid')").select("document_id")
+    unreviewed = every.filter("file = 'review_state' and state <> 'ok'").select("document_id")
+    other = every.filter("state = 'ok' and named_document <> document_id")
     rules = [
+        rule(every.filter("state = 'missing'"), "missing_package_file"),
+        rule(every.filter("state = 'unreadable'"), "unreadable_package_file"),
+        rule(every.filter("state = 'invalid_json'"), "invalid_json"),
+        rule(every.filter("file = 'package_metadata' and state = 'invalid'"), "invalid_package_metadata"),
+        rule(other.filter("file = 'package_metadata'"), "metadata_document_mismatch"),
+        rule(every.filter("file = 'annotations' and state = 'invalid'"), "invalid_annotations_document"),
+        rule(every.filter("file = 'package_metadata' and state = 'ok' and resource_path <> 'annotations.json'"), "annotation_resource_mismatch"),
+        rule(other.filter("file = 'review_state'"), "review_document_mismatch"),
         rule(with_counts.filter("source_state = 'missing'"), "source_missing"),
         rule(with_counts.filter("source_state = 'changed'"), "source_not_current"),
-        rule(with_counts.filter("coalesce(n, 0) <> record_count"), "annotation_count_mismatch"),
+        rule(with_counts.filter("coalesce(n, 0) <> record_count").join(unread, "document_id", "left_anti"), "annotation_count_mismatch"),
         rule(with_counts.filter("ids < n"), "duplicate_sentence_id"),
-        rule(joined.filter("now is null or status is null"), "review_annotation_mismatch"),
+        rule(joined.filter("now is null or status is null").join(unreviewed, "document_id", "left_anti"), "review_annotation_mismatch"),
         rule(joined.filter("now <> record_sha256"), "stale_sentence_review"),
         rule(joined.filter("status in ('pending', 'needs_correction')"), "sentence_review_incomplete"),
-        rule(joined.filter("status not in ('pending', 'approved', 'needs_correction', 'excluded')"), "invalid_review_state"),
+        rule(joined.filter("status not in ('pending', 'approved', 'needs_correction', 'excluded')").select("document_id").union(every.filter("file = 'review_state' and state = 'invalid'").select("document_id")), "invalid_review_state"),
     ]
     out = rules[0]
     for r in rules[1:]:

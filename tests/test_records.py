@@ -215,3 +215,40 @@ def test_stream(spark, tmp_path):
     stream.awaitTermination(60)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch))
     assert {r.user_id: r.ts.day for r in audit.latest(spark.read.parquet(str(tmp_path / "in"))).collect()} == {0: 2, 1: 2, 2: 2}
+
+
+def test_package_issues(spark):
+    codes = {
+        "good": set(),
+        "absent": {"missing_package_file"},
+        "locked": {"unreadable_package_file"},
+        "broken": {"invalid_json"},
+        "schema": {"invalid_package_metadata"},
+        "foreign": {"metadata_document_mismatch"},
+        "object": {"invalid_annotations_document", "annotation_count_mismatch", "review_annotation_mismatch"},
+        "path": {"annotation_resource_mismatch"},
+        "review": {"review_document_mismatch"},
+        "state": {"invalid_review_state"},
+        "gone": {"source_missing"},
+        "changed": {"source_not_current"},
+        "count": {"annotation_count_mismatch"},
+        "twice": {"duplicate_sentence_id"},
+        "stale": {"stale_sentence_review"},
+        "open": {"sentence_review_incomplete"},
+        "unmatched": {"review_annotation_mismatch"},
+    }
+    source = {"gone": "missing", "changed": "changed"}
+    size = {"count": 5, "twice": 2}
+    metadata = spark.createDataFrame([(d, size.get(d, 1), source.get(d, "current")) for d in codes], "document_id string, record_count long, source_state string")
+    records = spark.createDataFrame([(d, 1, "h") for d in [*codes, "twice"] if d != "object"], "document_id string, sentence_id long, record_sha256 string")
+    status = {"open": "pending"}
+    reviews = [(d, 1, "old" if d == "stale" else "h", status.get(d, "approved")) for d in codes if d not in ("state", "unmatched")]
+    reviews = spark.createDataFrame(reviews, "document_id string, sentence_id long, record_sha256 string, status string")
+    states = {("locked", "annotations"): "unreadable", ("broken", "package_metadata"): "invalid_json", ("schema", "package_metadata"): "invalid", ("object", "annotations"): "invalid", ("state", "review_state"): "invalid"}
+    named = {("foreign", "package_metadata"): "x", ("review", "review_state"): "x"}
+    files = [(d, f, states.get((d, f), "ok"), None if f == "annotations" else named.get((d, f), d), "other.json" if d == "path" else "annotations.json") for d in codes for f in registry.PACKAGE_FILES if (d, f) != ("absent", "package_metadata")]
+    files = spark.createDataFrame(files, "document_id string, file string, state string, named_document string, resource_path string")
+    got = {d: set() for d in codes}
+    for r in registry.package_issues(metadata, records, reviews, files).collect():
+        got[r.document_id].add(r.code)
+    assert got == codes
