@@ -7,6 +7,7 @@ sums per resample are combined; labels x resamples rows are shuffled per task.
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 from collections.abc import Callable
@@ -19,10 +20,22 @@ from spanforge.functions.vocabulary import VALUES
 
 #: Upper edges, in thousandths, of the numbers of draws 0, 1, 2, ... of a row in a resample of equal size.
 POISSON = [368, 736, 920, 981, 996, 999]
+#: The same edges in 2^-32: cumulative Poisson(1) chances.
+POISSON_32 = [round(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) * 2**32) for i in range(12)]
+DEFAULT_RESAMPLES = 1000
+
+
+def digest_weight(row: Column, resample: Column) -> Column:
+    """How often a row is drawn in a resample: a Poisson number from 32 bits of an MD5 digest, independent for each pair."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", row.cast("string"), resample.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return sum((u >= edge).cast("int") for edge in POISSON_32)
 
 
 def hashed_weight(row: Column, resample: Column) -> Column:
-    """How often a row is drawn in a resample: a Poisson number from integer arithmetic, the same on any engine."""
+    """As digest_weight, from integer arithmetic mod 1000; rows with equal numbers mod 1000 are drawn together.
+
+    Only the named queries use it, whose SQL has the same arithmetic.
+    """
     u = (row * 7919 + resample * 104_729 + row * resample * 31 + (row + 17) * (resample + 5) * (row + resample)) % 1000
     return sum((u >= edge).cast("int") for edge in POISSON)
 
@@ -58,13 +71,13 @@ def metric_columns() -> list[Column]:
     return [F.struct(F.lit(name).alias("metric"), c.alias("value")) for name, c in named]
 
 
-def resampled(rows: DataFrame, rules: dict[str, str], resamples: int, row: str, weight: Callable[[Column, Column], Column] | None = None, weights: DataFrame | None = None) -> DataFrame:
+def resampled(rows: DataFrame, rules: dict[str, str], resamples: int = DEFAULT_RESAMPLES, row: str = "doc_id", weight: Callable[[Column, Column], Column] | None = None, weights: DataFrame | None = None) -> DataFrame:
     """(rule, resample, metric, value); resample 0 is the rows as they are.  All rules share the weights."""
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), *count_columns(F.col("gold"), F.col(c))) for r, c in rules.items()]))
     counts = rows.select(F.col(row).alias("row"), each.alias("x")).select("row", "x.*")
     names = [f"{c}{k}" for k in range(len(VALUES)) for c in ("tp", "fp", "fn")]
     if weights is None:
-        weight = weight or hashed_weight
+        weight = weight or digest_weight
         number = F.explode(F.sequence(F.lit(0), F.lit(resamples)))
         drawn = counts.withColumn("resample", number).withColumn("w", F.when(F.col("resample") == 0, 1).otherwise(weight(F.col("row"), F.col("resample").cast("long"))))
     else:

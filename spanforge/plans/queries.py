@@ -473,7 +473,7 @@ UNION ALL SELECT rule, b, 'f1/' || value, f1(tp, fp, fn) FROM c)"""
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
     rows = V.units(spark, d).withColumn("default", F.transform("prob", lambda p: (p >= 0.5).cast("int")))
-    return statistics.resampled(rows, {"tuned": "pred", "default": "default"}, RESAMPLES, "doc_id").filter("metric <> 'macro_f1'")
+    return statistics.resampled(rows, {"tuned": "pred", "default": "default"}, RESAMPLES, "doc_id", statistics.hashed_weight).filter("metric <> 'macro_f1'")
 
 
 @query(

@@ -195,3 +195,17 @@ def test_bootstrap(spark):
     assert {r.p_value for r in statistics.paired(s, "bad", "same").collect()} == {1.0}
     ci = {(r.rule, r.metric): r for r in statistics.intervals(s).collect()}
     assert ci["good", "micro_f1"].lo == ci["good", "micro_f1"].hi == 1.0 and ci["bad", "micro_f1"].lo <= ci["bad", "micro_f1"].value <= ci["bad", "micro_f1"].hi
+
+
+def test_rows_are_drawn_apart(spark):
+    def vectors(weight):
+        drawn = spark.range(3_000).select("id", F.array(*[weight(F.col("id"), F.lit(b).cast("long")) for b in range(1, 41)]).alias("w"))
+        return drawn.agg(F.countDistinct("w"), F.avg(F.aggregate("w", F.lit(0), lambda a, x: a + x) / 40)).first()
+
+    n, mean = vectors(statistics.digest_weight)
+    assert n == 3_000 and abs(mean - 1) < 0.02
+    assert vectors(statistics.hashed_weight)[0] <= 1_000
+    rows = spark.range(3).select("id", F.array(*[F.lit(1)] * 8).alias("gold"))
+    got = statistics.resampled(rows, {"r": "gold"}, 5, "id")
+    same = statistics.resampled(rows, {"r": "gold"}, 5, "id", statistics.digest_weight)
+    assert sorted(got.collect()) == sorted(same.collect())
