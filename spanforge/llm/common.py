@@ -7,11 +7,15 @@ are never decoded where only words count.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ MIX_C = np.uint64(0x94D049BB133111EB)
 class WordCodes(dict):
     """Word bytes to 64-bit codes; a bounded memo in each worker, the same codes everywhere."""
 
-    LIMIT = 600_000
+    LIMIT = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -76,20 +80,69 @@ def binaries(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose values in a column have about so many bytes together; no rows, no slices.
+
+    What a task makes of its texts then depends on the slice and not on the batch.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = min(batch.num_rows, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "left")) + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+@functools.cache
+def _libc():
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        found.mallopt(-3, 1 << 20)  # arrays of a megabyte or more get pages of their own, which go back when freed
+        pa.set_memory_pool(pa.system_memory_pool())
+        return found
+    except (OSError, AttributeError):  # another C library: freed memory stays with the worker
+        return None
+
+
+def trimmed(result=None):
+    """The result, after memory that this worker has freed went back to the system."""
+    if libc := _libc():
+        libc.malloc_trim(0)
+    return result
+
+
+def lean(items: Iterable) -> Iterator:
+    """The items; before the first and after each, memory that this worker has freed goes back to the system."""
+    trimmed()
+    for x in items:
+        yield x
+        del x
+        trimmed()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a test folder if it is unset."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or a test folder if it is unset in local mode."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    import tempfile
-
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not found.isEmpty():
-        return found.get().rstrip("/")
-    made = f"file://{tempfile.mkdtemp(prefix='spanforge-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spanforge-')}")
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get().rstrip("/")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table has not."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 class Scratch:

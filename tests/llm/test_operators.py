@@ -60,6 +60,11 @@ def empty(docs):
 # --- near duplicates ---------------------------------------------------------------------
 
 
+def shingles_plain(text, k):
+    w = words(text, lower=True)
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
 def components_plain(rows, k, num, den):
     sets, parent = [], {}
 
@@ -69,8 +74,7 @@ def components_plain(rows, k, num, den):
         return x
 
     for i, t in rows:
-        w = words(t, lower=True)
-        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())))
+        sets.append((i, shingles_plain(t, k)))
         parent.setdefault(i, i)
     for x, (i, a) in enumerate(sets):
         for j, b in sets[:x]:
@@ -82,7 +86,7 @@ def components_plain(rows, k, num, den):
 
 @pytest.mark.parametrize("k, num, block", [(4, 85, 2048), (5, 80, 4)])
 def test_near_duplicates(docs, rows, k, num, block, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SETS", block)
     got = sorted(map(tuple, near_duplicates.near_duplicates(docs, k, num, 100).collect()))
     assert got == components_plain(rows, k, num, 100)
 
@@ -94,6 +98,28 @@ def test_keep_one(docs, rows, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_every_link(docs, rows, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK_SETS", 7)
+    pairs, members = near_duplicates.links(docs, 4, 85, 100)
+    texts = dict(rows)
+    of = {r.doc_id: r["class"] for r in members.collect()}
+    got = {frozenset((r.a, r.b)) for r in pairs.collect()}
+    sets = {c: shingles_plain(texts[d], 4) for d, c in of.items() if c is not None}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert got == want and want
+
+
+def test_two_texts_under_one_id(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(5, a), (5, b), (7, a + " z"), (9, b + " z"), (9, b + " z"), (3, "c " * 9)], "doc_id long, text string")
+    got = near_duplicates.near_duplicates(df, 5, 80, 100).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5), (9, 5)]
+    assert sorted((r.doc_id, r.text) for r in near_duplicates.keep_one(df).collect()) == sorted([(3, "c " * 9), (5, a), (5, b)])
+    clash = df.selectExpr("doc_id", "text", "'x' as mark", "1 as node", "2 as place")
+    assert near_duplicates.keep_one(clash).columns == clash.columns and near_duplicates.keep_one(clash).count() == 3
+
+
 def test_rows_without_id_are_kept(spark):
     df = spark.createDataFrame([(None, "a b c d e f", "en", "s", 1), (5, "a b c d e f", "en", "s", 1), (None, None, None, None, None)], SCHEMA)
     assert near_duplicates.keep_one(df).count() == 3
