@@ -1,5 +1,9 @@
 """A compressed full-text index over words: a wavelet matrix of the Burrows-Wheeler transform.
 
+What an index keeps: the matrix' bit planes, one bit a row for where a new window
+starts, and the first place of each window that occurs twice or more; a window that
+occurs once is where it was read.  The suffix order is dropped once these are made.
+
 Queries run side by side as arrays.  A window of fixed depth is found by backward
 search; when the search goes on to the left, the interval is widened back to the
 window's depth by the runs of rows that agree so far, so each further word costs one
@@ -11,24 +15,39 @@ from __future__ import annotations
 import numpy as np
 
 
+class BitVector:
+    """Rank of ones, with counts every 64 places."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros((len(bit) // 64 + 1) * 64, bool)
+        padded[: len(bit)] = bit
+        plane = np.packbits(padded, bitorder="little").view("<u8")
+        self.ones = np.zeros(len(plane) + 1, np.int32)
+        np.cumsum(np.bitwise_count(plane), out=self.ones[1:])
+        self.plane = np.append(plane, np.uint64(0))
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before the place `at`."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[word].astype(np.int64) + np.bitwise_count(self.plane[word] & mask)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.plane[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletMatrix:
     """Rank queries on a sequence of small numbers: one bit plane for each bit, with counts every 64 places."""
 
     def __init__(self, values: np.ndarray, symbols: int):
         self.levels = max(1, int(symbols - 1).bit_length())
         self.n = len(values)
-        self.planes, self.blocks, self.zeros = [], [], []
+        self.planes, self.zeros = [], []
         values = values.astype(np.uint32)
         for level in range(self.levels - 1, -1, -1):
             bit = (values >> np.uint32(level) & np.uint32(1)).astype(bool)
-            padded = np.zeros((self.n // 64 + 1) * 64, bool)
-            padded[: self.n] = bit
-            plane = np.packbits(padded, bitorder="little").view("<u8")
-            ones = np.zeros(len(plane) + 1, np.int64)
-            np.cumsum(np.bitwise_count(plane), out=ones[1:])
-            self.planes.append(np.append(plane, np.uint64(0)))
-            self.blocks.append(ones)
-            self.zeros.append(int(self.n - ones[-1]))
+            self.planes.append(BitVector(bit))
+            self.zeros.append(int(self.n - self.planes[-1].ones[-1]))
             values = np.concatenate([values[~bit], values[bit]])
         # where each symbol's places end up: the walk from place 0, made once
         every = np.arange(symbols, dtype=np.int64)
@@ -36,9 +55,7 @@ class WaveletMatrix:
 
     def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level in range(self.levels):
-            word = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.blocks[level][word] + np.bitwise_count(self.planes[level][word] & mask)
+            ones = self.planes[level].rank(at)
             one = (symbol >> (self.levels - 1 - level) & 1).astype(bool)
             at = np.where(one, self.zeros[level] + ones, at - ones)
         return at
@@ -83,20 +100,21 @@ class FmIndex:
                 halves = (rank, depth)
             order, rank = ranks(rank * (n + 1) + behind(rank + 1, depth))
             depth *= 2
-        self.rows = order
         counts = np.bincount(text, minlength=symbols)
         self.first = np.cumsum(counts) - counts
-        self.last_column = WaveletMatrix(text[self.rows - 1], symbols)
-        # runs of rows that agree in a whole window, by two overlapping halves, and the earliest place of each
+        self.last_column = WaveletMatrix(text[order - 1], symbols)
+        # runs of rows that agree in a whole window, by two overlapping halves; the earliest place of those of two rows or more
         half, size = halves
-        at = np.minimum(self.rows + (window - size), max(0, n - 1))
-        one, two = half[self.rows], half[at]
+        at = np.minimum(order + (window - size), max(0, n - 1))
+        one, two = half[order], half[at]
         start = np.ones(n, bool)
         start[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        self.run_of = np.cumsum(start) - 1
-        self.run_start = np.flatnonzero(start)
-        self.run_end = np.append(self.run_start[1:], n)
-        self.earliest = np.minimum.reduceat(self.rows, self.run_start) if n else np.empty(0, np.int64)
+        self.starts = BitVector(start)
+        begins = np.flatnonzero(start)
+        long_ = np.diff(np.append(begins, n)) > 1
+        self.run_start = begins.astype(np.int32)
+        self.repeats = BitVector(long_)
+        self.earliest = (np.minimum.reduceat(order, begins) if n else begins)[long_].astype(np.int32)
 
     def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The bound of an interval after its pattern is extended by a word to the left."""
@@ -117,8 +135,8 @@ class FmIndex:
     def matching(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Streams the pieces [begin, end) of the indexed text from right to left through the index.
 
-        For each place that starts a whole window inside its piece: the place, how
-        often the window occurs in the index, and where first.  As the pieces are
+        For each place that starts a whole window inside its piece: the place, whether
+        the window occurs more than once in the index, and where first.  As the pieces are
         in the index, no interval is ever empty and its lower bound will do.
         """
         lo = np.zeros(len(begin), np.int64)
@@ -129,9 +147,12 @@ class FmIndex:
             lo = self.step(self.text[place], lo)
             depth += 1
             if depth >= self.window:  # a word too deep or just right: the run of rows at the window's depth
-                run = self.run_of[lo]
-                lo = self.run_start[run]
-                out.append((place, self.run_end[run] - lo, self.earliest[run]))
+                run = self.starts.rank(lo + 1) - 1
+                lo = self.run_start[run].astype(np.int64)
+                again = self.repeats[run]
+                earliest = place.copy()  # of a window that occurs once
+                earliest[again] = self.earliest[self.repeats.rank(run[again])]
+                out.append((place, again, earliest))
             on = place > begin[active]
             active, lo, place = active[on], lo[on], place[on] - 1
         if not out:
