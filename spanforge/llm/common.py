@@ -97,7 +97,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
 def _libc():
     try:
         found = ctypes.CDLL("libc.so.6")
-        found.mallopt(-3, 1 << 20)  # arrays of a megabyte or more get pages of their own, which go back when freed
+        found.mallopt(-3, 16 << 20)  # larger arrays get pages of their own, which go back when freed
+        found.mallopt(-1, 256 << 20)  # the rest goes back when asked for, not with each free
         pa.set_memory_pool(pa.system_memory_pool())
         return found
     except (OSError, AttributeError):  # another C library: freed memory stays with the worker
@@ -112,12 +113,14 @@ def trimmed(result=None):
 
 
 def lean(items: Iterable) -> Iterator:
-    """The items; before the first and after each, memory that this worker has freed goes back to the system."""
-    trimmed()
-    for x in items:
+    """The items; now and then, and after the last, memory that this worker has freed goes back to the system."""
+    _libc()
+    for i, x in enumerate(items):
         yield x
         del x
-        trimmed()
+        if i % 8 == 7:
+            trimmed()
+    trimmed()
 
 
 def shared_folder(spark: SparkSession) -> str:

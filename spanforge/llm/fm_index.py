@@ -22,7 +22,7 @@ class BitVector:
         padded = np.zeros((len(bit) // 64 + 1) * 64, bool)
         padded[: len(bit)] = bit
         plane = np.packbits(padded, bitorder="little").view("<u8")
-        self.ones = np.zeros(len(plane) + 1, np.int32)
+        self.ones = np.zeros(len(plane) + 1, np.int64)
         np.cumsum(np.bitwise_count(plane), out=self.ones[1:])
         self.plane = np.append(plane, np.uint64(0))
 
@@ -30,7 +30,7 @@ class BitVector:
         """How many ones stand before the place `at`."""
         word = at >> 6
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ones[word].astype(np.int64) + np.bitwise_count(self.plane[word] & mask)
+        return self.ones[word] + np.bitwise_count(self.plane[word] & mask)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         return (self.plane[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

@@ -18,7 +18,7 @@ A minimizer that ``HOT`` segments or more share would fill one shard.  Its segme
 are marked by a join, cut into single windows, and spread by the windows' own hash,
 after each task has settled the windows that it holds twice by itself; a window that
 every document has then sends one row for each task.  What a task makes of its
-texts depends on slices of about a megabyte, not on the size of a batch.
+texts depends on slices of a few megabytes, not on the size of a batch.
 
 A row is known by its id and, where an id has several texts, by a hash of its text.
 """
@@ -41,7 +41,9 @@ from spanforge.llm.fm_index import FmIndex, ranks
 WINDOW = 20
 K = 6
 #: Entries of a bucket and words of a shard, about; segments of a minimizer from which it is cut up.
-ENTRIES, SHARD_WORDS, HOT = 400_000, 250_000, 2_000
+ENTRIES, SHARD_WORDS, HOT = 400_000, 600_000, 2_000
+#: Bytes of text that a task works on at a time.
+SLICE = 4 << 20
 #: Hot minimizers that are broadcast; more are joined by a shuffle.  Numbers that a task keeps of what it has sent.
 HOT_BROADCAST, MEMO = 100_000, 100_000
 
@@ -140,7 +142,7 @@ def minimizer_entries(texts: DataFrame, window: int, k: int, buckets: int) -> Da
             columns = [known, zero, zero, zero.astype(np.uint32), zero.astype(np.uint16), number_of.astype(np.uint32)]
             return bucketed(columns, ((known >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), buckets)
 
-        for part in lean(s for batch in batches for s in slices(batch, "text")):
+        for part in lean(s for batch in batches for s in slices(batch, "text", SLICE)):
             ids, mark, texts_, _ = in_order(part)
             codes = [WORD_CODES.of(t.split()) for t in texts_]
             key, text, start, number = segments(np.concatenate(codes), np.array([len(c) for c in codes]), window, k)
@@ -243,7 +245,7 @@ def words_to_shards(joined: DataFrame, window: int, shards: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Sent()
-        for part in lean(s for batch in batches for s in slices(batch, "text")):
+        for part in lean(s for batch in batches for s in slices(batch, "text", SLICE)):
             ids, marks, texts, order = in_order(part)
             words = [WORD_CODES.of(t.split()) for t in texts]
             codes = np.concatenate(words)
