@@ -15,7 +15,7 @@ Mixing.  The predictors' log-odds are added with weights; a gate made of the
 predictors' confidences and the node's depth picks the weight set.  A last stage
 maps the mixed probability through adaptive interpolated tables, one for each
 depth, and averages.  Both start from a fit over all training texts, each bit's own
-count left out: ``ROUNDS`` Newton steps, whose sums by gate and by map cell add up
+count left out: a Newton step, whose sums by gate and by map cell add up
 over tasks, so neither order nor partitions matter.  From there on each document
 learns by itself: every ``BATCH`` bits its own weights and maps are updated.  The
 counters cover all training texts too: each task counts into tables of its own, and
@@ -44,7 +44,9 @@ from spanforge.llm.common import LOWER, MIX_A, MIX_B, Scratch, binaries, mix
 HEAD = 65_536
 HEAD_WORD_BYTES = 64
 TABLE_BITS = 22
-ROUNDS, BATCH = 2, 1_024
+ROUNDS, BATCH = 1, 1_024
+#: Tokens of a run of documents that arrays hold at a time, about.
+RUN = 16_000
 FAN_IN = 64
 #: No word holds a line feed.
 END = b"\n"
@@ -170,7 +172,7 @@ def decisions(code: Code, symbols: np.ndarray, doc: np.ndarray, table_bits: int)
     return Bits(token, node, code.bits[flat], depth, slots)
 
 
-def runs(texts: list[bytes], code: Code, most: int = 100_000) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
+def runs(texts: list[bytes], code: Code, most: int = RUN) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
     """Consecutive documents with about so many tokens together: from, to, tokens, symbols, document of each token."""
     at, words, sizes = 0, [], []
     for i, text in enumerate(texts):
@@ -284,10 +286,13 @@ def inputs(code: Code, tables: list[np.ndarray], bits: Bits, doc: np.ndarray) ->
             np.multiply(found >> 2, np.float32(1 / STEP), out=x[k], casting="unsafe")
             levels.append((found & 3).astype(np.int32))
         else:
-            counts = table[slot].astype(np.int64)
-            counts[np.arange(n), bits.bit] -= counts[np.arange(n), bits.bit] > 0
-            x[k] = LOGS[counts[:, 1]] - LOGS[counts[:, 0]]
-            levels.append(levels_of(counts).astype(np.int32))
+            pairs = table.view(np.uint32).ravel()[slot]  # both 16-bit counters at once, the first in the low half
+            own = np.where(bits.bit == 1, np.uint32(1 << 16), np.uint32(1))
+            zeros, ones = pairs & np.uint32(0xFFFF), pairs >> np.uint32(16)
+            zeros -= (own == 1) & (zeros > 0)
+            ones -= (own > 1) & (ones > 0)
+            np.subtract(LOGS[ones], LOGS[zeros], out=x[k])
+            levels.append(LEVEL[np.minimum(zeros + ones, np.uint32(65_535))].astype(np.int32))
     n0, n1 = own_history(bits, doc)
     np.minimum(n0, 65_535, out=n0)
     np.minimum(n1, 65_535, out=n1)
@@ -399,25 +404,26 @@ def fit_sums(code: Code, tables: list[np.ndarray], mixer: Mixer, texts: list[byt
     """Slopes and second derivatives by gate, and hits and ones by map cell, added over all bits of the texts."""
     gates, cells = len(mixer.weights), mixer.maps.size
     weights = np.ascontiguousarray(mixer.weights.T)
-    total = np.zeros(gates * (5 + len(PAIRS)) + 2 * cells)
-    for _, _, _, symbols, doc in runs(texts, code, 20_000):
+    slope, bend = np.zeros((gates, 5)), np.zeros((gates, 5, 5))
+    hit, ones = np.zeros(cells), np.zeros(cells)
+    for _, _, _, symbols, doc in runs(texts, code, RUN):
         every = decisions(code, symbols, doc, table_bits)
-        x_all, gate_all = inputs(code, tables, every, doc)
-        for at in range(0, len(gate_all), 65_536):
-            cut = slice(at, at + 65_536)
-            x, gate, bit = x_all[:, cut], gate_all[cut], every.bit[cut]
-            s = mixed(x, weights, gate)
-            p = squash(s)
-            error, curve = bit - p, p * (1 - p)
-            low, share = place(s)
-            cell = np.minimum(every.depth[cut], DEPTHS - 1) * APM_STEPS + low
-            parts = [np.bincount(gate, error * x[k], gates) for k in range(5)]
-            curved = x * curve
-            parts += [np.bincount(gate, curved[i] * x[j], gates) for i, j in PAIRS]
-            parts.append(np.bincount(cell, 1 - share, cells) + np.bincount(cell + 1, share, cells))
-            parts.append(np.bincount(cell, (1 - share) * bit, cells) + np.bincount(cell + 1, share * bit, cells))
-            total += np.concatenate(parts)
-    return total
+        x, gate = inputs(code, tables, every, doc)
+        order = np.argsort(gate.astype(np.uint16), kind="stable")  # decisions of a gate side by side
+        x, gate, bit = x[:, order], gate[order], every.bit[order]
+        s = mixed(x, weights, gate)
+        p = squash(s)
+        error, curved = bit - p, x * (p * (1 - p))
+        begin = np.flatnonzero(np.diff(gate, prepend=-1))
+        slope[gate[begin]] += np.add.reduceat(x * error, begin, axis=1).T if len(begin) else 0
+        for i, j in zip(begin, np.append(begin[1:], len(gate)), strict=True):
+            bend[gate[i]] += curved[:, i:j] @ x[:, i:j].T
+        low, share = place(s)
+        cell = np.minimum(every.depth[order], DEPTHS - 1) * APM_STEPS + low
+        hit += np.bincount(cell, 1 - share, cells) + np.bincount(cell + 1, share, cells)
+        ones += np.bincount(cell, (1 - share) * bit, cells) + np.bincount(cell + 1, share * bit, cells)
+    upper = [bend[:, i, j] for i, j in PAIRS]
+    return np.concatenate([slope.T.ravel(), *upper, hit, ones])
 
 
 def fit(train: DataFrame, code, tables: list[np.ndarray], table_bits: int) -> Mixer:
