@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.vocabulary import VALUES, strip, vocab
-from spanforge.operators.spans import let
+from spanforge.operators.spans import coded, let
 
 ENTITY = "struct<start:int,end:int,text:string,label:string,color:string>"
 RECORD = (
@@ -77,7 +77,7 @@ def bio_issues(tags: Column) -> Column:
     unknown; O and tags without a hyphen do not.
     """
 
-    def of(parts: Column) -> Column:
+    def details(parts: Column) -> Column:
         def one(p: Column, i: Column) -> Column:
             before = F.get(parts, i - 1)
             follows = F.coalesce(before.getField("prefix").isin("B", "I") & (before.getField("label") == p.getField("label")), F.lit(False))
@@ -88,12 +88,15 @@ def bio_issues(tags: Column) -> Column:
 
         return F.flatten(F.transform(parts, one))
 
-    return let(F.transform(tags, tag_parts), of)
+    # most sequences have nothing to report, which the tags' numbers tell without looking at a text twice
+    odd = let(coded(tags), lambda t: F.exists(F.transform(t, lambda c, i: (c == 0) | ((c > 1) & (c.bitwiseAND(F.lit(1)) == 1) & (F.shiftright(F.coalesce(F.get(t, i - 1), F.lit(0)), 1) != F.shiftright(c, 1)))), lambda x: x))
+    return F.when(odd, let(F.transform(tags, tag_parts), details)).otherwise(F.array().cast(ISSUE))
 
 
 def bio_labels(tags: Column) -> Column:
-    parts = F.transform(tags, tag_parts)
-    return F.array_distinct(F.transform(F.filter(parts, lambda p: p.getField("valid")), lambda p: p.getField("label")))
+    """Labels that the tags name, once each."""
+    numbers = F.array_distinct(F.transform(F.filter(coded(tags), lambda c: c > 1), lambda c: F.shiftright(c, 1)))
+    return F.transform(numbers, lambda k: F.get(vocab(), k - 1))
 
 
 def same_set(a: Column, b: Column) -> Column:
@@ -127,7 +130,12 @@ def record_issues() -> Column:
 
 
 def with_issues(records: DataFrame) -> DataFrame:
-    return records.withColumn("issues", record_issues())
+    """Records that have an issue, with all of theirs.
+
+    Issues are made in a generator, which the optimiser neither copies into a
+    filter nor evaluates twice.
+    """
+    return records.withColumn("issues", F.explode(F.filter(F.array(record_issues()), lambda x: F.size(x) > 0)))
 
 
 def canonical_json(*columns: str) -> Column:
@@ -199,7 +207,11 @@ def quality_report(records: DataFrame, *keys: str) -> DataFrame:
     flagged = records.select(*keys, quality_flags().alias("flags"))
     each = flagged.select(*keys, F.explode("flags").alias("f")).groupBy(*keys, "f.code", "f.severity").agg(F.count(F.lit(1)).alias("n"))
     totals = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.size("flags") > 0).alias("flagged"))
-    return each.join(totals, list(keys)) if keys else each.crossJoin(F.broadcast(totals))
+    if not keys:
+        return each.crossJoin(F.broadcast(totals))
+    renamed = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], "records", "flagged")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return each.join(renamed, same).drop(*[f"_{k}" for k in keys])
 
 
 # --- drafts, scopes, people, citations ---------------------------------------------------
@@ -207,7 +219,7 @@ def quality_report(records: DataFrame, *keys: str) -> DataFrame:
 
 def draft_is_coherent() -> Column:
     """Raw drafts: entities lie in the sentence with their text and a colour, tags are O or B/I with a hex."""
-    inside = F.forall("entities", lambda e: (e.getField("start") >= 0) & (e.getField("end") > e.getField("start")) & (F.substr(F.col("sentence"), e.getField("start") + 1, e.getField("end") - e.getField("start")) == e.getField("text")) & e.getField("color").rlike("^#[0-9A-F]{6}$"))
+    inside = F.forall("entities", lambda e: (e.getField("start") >= 0) & (e.getField("end") > e.getField("start")) & (e.getField("end") <= F.length("sentence")) & (F.substr(F.col("sentence"), e.getField("start") + 1, e.getField("end") - e.getField("start")) == e.getField("text")) & e.getField("color").rlike("^#[0-9A-F]{6}$"))
     tags = F.forall("ner_tags", lambda t: t.rlike("^(O|[BI]-#[0-9A-F]{6})$"))
     return inside & tags & (F.size("tokens") == F.size("ner_tags"))
 

@@ -101,23 +101,73 @@ def is_page_number(text: Column, x0: Column, y0: Column, x1: Column, y1: Column,
     return near & F.trim(text).rlike(r"^([-–—]\s*)?\d{1,4}(\s*[-–—])?$")
 
 
-def reading_order(blocks: DataFrame, *keys: str, full: float = 0.6, shared: float = 0.3) -> DataFrame:
-    """Adds band, col and position: full-width blocks cut a page into bands, columns follow in each band.
+# Shares of the page's width that make a block full width, the overlap that joins a column, and its slack.
+FULL_LEFT, FULL_RIGHT, FULL_WIDTH, JOINED, SLACK = 0.45, 0.55, 0.6, 0.3, 5
 
-    blocks: keys, block, x0, y0, x1, y1, width (of the page).  A block joins the
-    column left of it when they share at least `shared` of the narrower one's
-    width.  Within a column blocks go by their height, rounded to threes.
+
+def reading_order(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Adds band, col and position: full-width blocks cut an upright page into bands, columns follow in each band.
+
+    blocks: keys, block, x0, y0, x1, y1, width and height of the page, rotation.  Both
+    edges of full-width blocks bound bands, and a block lies in the first band that
+    holds its middle.  From left to right a block joins the first column that it
+    overlaps by more than JOINED of the narrower one, or that holds it within SLACK.
+    Within a column blocks go by height, rounded to threes.  Turned pages go by
+    their turned lines.  A page is one row while it is ordered.
     """
-    wide = (F.col("x1") - F.col("x0")) >= full * F.col("width")
-    down = Window.partitionBy(*keys).orderBy("y0", "x0", "block")
-    banded = blocks.withColumn("wide", wide).withColumn("band", F.sum(F.when(F.col("wide") | F.coalesce(F.lag("wide").over(down), F.lit(False)), 1).otherwise(0)).over(down))
-    across = Window.partitionBy(*keys, "band").orderBy("x0", "x1", "block")
-    reach = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    common = F.least(reach, F.col("x1")) - F.col("x0")
-    new = F.when(common >= shared * (F.col("x1") - F.col("x0")), 0).otherwise(1)
-    columned = banded.withColumn("_n", new).withColumn("col", F.sum("_n").over(across))
-    order = Window.partitionBy(*keys).orderBy("band", "col", F.bround(F.col("y0") / 3), "x0", "block")
-    return columned.withColumn("position", F.row_number().over(order)).drop("_n")
+    box = ["block", "x0", "y0", "x1", "y1"]
+    double = [F.col(c).cast("double").alias(c) if c != "block" else F.col(c) for c in box]
+    pages = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*double))).alias("b"), *[F.first(c).cast("double").alias(c) for c in ("width", "height", "rotation")])
+    get = lambda x, c: x.getField(c)
+    wide = lambda x: (get(x, "x0") < FULL_LEFT * F.col("width")) & (get(x, "x1") > FULL_RIGHT * F.col("width")) & (get(x, "x1") - get(x, "x0") > FULL_WIDTH * F.col("width"))
+    centre = lambda x: (get(x, "y0") + get(x, "y1")) / 2
+    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.col("height")), F.flatten(F.transform(F.filter("b", wide), lambda x: F.array(get(x, "y0"), get(x, "y1")))))))
+    pages = pages.withColumn("edges", edges)
+
+    def held(x: Column, i: Column) -> Column:
+        return centre(x).between(F.get("edges", i), F.get("edges", i + 1))
+
+    def fits(x: Column, c: Column) -> Column:
+        common = F.least(get(x, "x1"), get(c, "x1")) - F.greatest(get(x, "x0"), get(c, "x0"))
+        narrow = F.least(get(x, "x1") - get(x, "x0"), get(c, "x1") - get(c, "x0"))
+        inside = (common > 0) & (get(x, "x0") >= get(c, "x0") - SLACK) & (get(x, "x1") <= get(c, "x1") + SLACK)
+        return (common > JOINED * narrow) | inside
+
+    def column(state: Column, x: Column) -> Column:
+        columns = get(state, "columns")
+        k = F.coalesce(F.array_position(F.transform(columns, lambda c: fits(x, c)), True), F.lit(0)).cast("int")
+        grown = F.transform(columns, lambda c, i: F.when(i == k - 1, F.struct(F.least(get(c, "x0"), get(x, "x0")).alias("x0"), F.greatest(get(c, "x1"), get(x, "x1")).alias("x1"))).otherwise(c))
+        more = F.array_append(columns, F.struct(get(x, "x0").alias("x0"), get(x, "x1").alias("x1")))
+        of = F.struct(get(x, "block").alias("block"), F.when(k > 0, k - 1).otherwise(F.size(columns)).alias("col"))
+        return F.struct(F.when(k > 0, grown).otherwise(more).alias("columns"), F.array_append(get(state, "of"), of).alias("of"))
+
+    block = blocks.schema["block"].dataType.simpleString()
+    start = F.struct(F.array().cast("array<struct<x0:double,x1:double>>").alias("columns"), F.array().cast(f"array<struct<block:{block},col:int>>").alias("of"))
+
+    def of_band(i: Column) -> Column:
+        mine = F.filter("b", lambda x: ~wide(x) & held(x, i))
+        across = F.array_sort(F.transform(mine, lambda x, j: F.struct(get(x, "x0").alias("from"), j.alias("j"), *[get(x, c).alias(c) for c in box])))
+        return F.struct(i.alias("band"), F.aggregate(across, start, column, lambda s: get(s, "of")).alias("of"))
+
+    bands = F.sequence(F.lit(0), F.size("edges") - 2)
+    pages = pages.withColumn("bands", F.transform(bands, of_band))
+
+    def placed(x: Column) -> Column:
+        band = F.coalesce(F.get(F.filter(bands, lambda i: held(x, i)), F.lit(0)), F.lit(0))
+        mine = F.filter(get(F.get("bands", band), "of"), lambda o: get(o, "block") == get(x, "block"))
+        col = F.when(wide(x), F.lit(0)).otherwise(F.coalesce(get(F.get(mine, F.lit(0)), "col"), F.lit(0)))
+        line = F.bround(get(x, "y0") / 5) * 5
+        turned = [(90, [-F.bround(get(x, "y1") / 5) * 5, get(x, "x0")]), (180, [-get(x, "y0"), -get(x, "x0")]), (270, [line, -get(x, "x0")])]
+        upright = F.array(band.cast("double"), col.cast("double"), F.bround(get(x, "y0") / 3) * 3, get(x, "x0"))
+        order = upright
+        for angle, by in turned:
+            order = F.when(F.col("rotation") == angle, F.array(*by)).otherwise(order)
+        flat = F.coalesce(F.col("rotation").isin(90, 180, 270), F.lit(False))
+        return F.struct(order.alias("order"), get(x, "block").alias("block"), F.when(flat, F.lit(0)).otherwise(band).alias("band"), F.when(flat, F.lit(0)).otherwise(col).alias("col"))
+
+    ordered = pages.select(*keys, F.posexplode(F.array_sort(F.transform("b", placed))).alias("position", "x"))
+    found = ordered.select(*keys, F.col("x.block").alias("block"), F.col("x.band").alias("band"), F.col("x.col").alias("col"), (F.col("position") + 1).alias("position"))
+    return blocks.join(found, [*keys, "block"])
 
 
 def joined_lines(lines: Column) -> Column:

@@ -6,11 +6,14 @@ row, so a sequence costs no shuffle; scores add counts over rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.scores import summary, with_scores
 from spanforge.functions.vocabulary import TAGS, VALUES, tag_value, vocab
+from spanforge.functions.vocabulary import tags as all_tags
 
 
 def starts_span(tags: Column, tag: Column, i: Column) -> Column:
@@ -44,92 +47,138 @@ def span_rows(sequences: DataFrame, tags: str, *keys: str) -> DataFrame:
     return sequences.select(*keys, F.inline(spans(F.col(tags))))
 
 
-def counted(sequences: DataFrame, counts: Column, *keys: str) -> DataFrame:
-    """Adds arrays of (value, tp, fp, fn) over sequences; every label has a row for each group."""
-    each = sequences.select(*keys, F.inline(counts))
-    sums = each.groupBy(*keys, "value").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])
-    groups = sequences.select(*keys).distinct() if keys else sequences.sparkSession.range(1).select()
-    grid = groups.select(*keys, F.explode(vocab()).alias("value"))
-    filled = grid.join(sums, [*keys, "value"], "left")
-    return filled.select(*keys, "value", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+def coded(found: Column) -> Column:
+    """Tags as numbers: 1 for O, twice a label's number for its B and one more for its I, 0 for a tag of no label."""
+    return F.transform(found, lambda t: F.coalesce(F.array_position(all_tags(), t), F.lit(0)).cast("int"))
+
+
+LABEL_BITS, END_BITS = 4, 30
+
+
+def span_numbers(codes: Column) -> Column:
+    """Spans as numbers (start, end, label), in order; set operations on numbers hash, and compare no structs."""
+
+    def of(t: Column) -> Column:
+        label = lambda c: F.shiftright(c, 1)
+        inside = lambda c: c.bitwiseAND(F.lit(1)) == 1
+        at = lambda i: F.coalesce(F.get(t, i), F.lit(0))
+        begins = lambda c, i: (c > 1) & (~inside(c) | (label(at(i - 1)) != label(c)))
+        ends = lambda c, i: (c > 1) & ~(inside(at(i + 1)) & (label(at(i + 1)) == label(c)))
+        number = lambda c, i: F.shiftleft(i.cast("long"), LABEL_BITS + END_BITS) + label(c)
+        first = F.filter(F.transform(t, lambda c, i: F.when(begins(c, i), number(c, i))), lambda x: x.isNotNull())
+        last = F.filter(F.transform(t, lambda c, i: F.when(ends(c, i), F.shiftleft((i + 1).cast("long"), LABEL_BITS))), lambda x: x.isNotNull())
+        return F.zip_with(first, last, lambda x, y: x + y)
+
+    return let(codes, of)
+
 
+def start_of(x: Column) -> Column:
+    return F.shiftright(x, LABEL_BITS + END_BITS)
 
-def span_names(tags: Column) -> Column:
-    """Spans as texts "s:e:value": set operations on texts hash, those on structs compare each with each."""
-    return F.transform(spans(tags), lambda x: F.concat_ws(":", x.getField("s"), x.getField("e"), x.getField("value")))
+
+def end_of(x: Column) -> Column:
+    return F.shiftright(x, LABEL_BITS).bitwiseAND(F.lit((1 << END_BITS) - 1))
+
+
+def label_of(x: Column) -> Column:
+    return F.get(vocab(), (x.bitwiseAND(F.lit((1 << LABEL_BITS) - 1)) - 1).cast("int"))
+
+
+def marked(value: Column, column: str | None) -> Column:
+    """(value, tp, fp, fn) with one in the given count."""
+    return F.struct(value.alias("value"), *[F.lit(int(c == column)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+
+
+def counted(sequences: DataFrame, counts: Column, *keys: str) -> DataFrame:
+    """Adds arrays of (value, tp, fp, fn) over sequences; every label has a row for each group, null groups too.
+
+    Each sequence brings a row of zeros for every label, so nothing is joined afterwards.
+    """
+    zeros = F.transform(vocab(), lambda v: marked(v, None))
+    each = sequences.select(*keys, F.inline(F.concat(counts, zeros)))
+    if not keys:  # the labels are there even without a sequence
+        each = each.unionByName(sequences.sparkSession.range(1).select(F.inline(zeros)))
+    return each.filter("value is not null").groupBy(*keys, "value").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])
 
 
 def by_value(found: Column, column: str) -> Column:
-    """Structs (value, tp, fp, fn) with one in the given count, from span texts."""
-    value = lambda x: F.substring_index(x, ":", -1)
-    one = lambda x: [(F.lit(1 if c == column else 0)).cast("long").alias(c) for c in ("tp", "fp", "fn")]
-    return F.transform(found, lambda x: F.struct(value(x).alias("value"), *one(x)))
+    return F.transform(found, lambda x: marked(label_of(x), column))
 
 
-def exact_counts(gold: Column, pred: Column) -> Column:
-    """Spans count as right if start, end and label agree."""
+def span_counts(gold: Column, pred: Column, right: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Counts from span numbers; right names the gold and the predicted spans that count as right."""
 
     def of(pair: Column) -> Column:
         g, p = pair.getField("g"), pair.getField("p")
-        return F.concat(by_value(F.array_intersect(g, p), "tp"), by_value(F.array_except(p, g), "fp"), by_value(F.array_except(g, p), "fn"))
 
-    return let(F.struct(span_names(gold).alias("g"), span_names(pred).alias("p")), of)
+        def rest(found: Column) -> Column:
+            a, b = found.getField("a"), found.getField("b")
+            return F.concat(by_value(a, "tp"), by_value(F.array_except(p, b), "fp"), by_value(F.array_except(g, a), "fn"))
+
+        a, b = right(g, p)
+        return let(F.struct(a.alias("a"), b.alias("b")), rest)
+
+    return let(F.struct(span_numbers(coded(gold)).alias("g"), span_numbers(coded(pred)).alias("p")), of)
+
+
+def exact_counts(gold: Column, pred: Column) -> Column:
+    """Spans count as right if start, end and label agree."""
+    return span_counts(gold, pred, lambda g, p: (F.array_intersect(g, p), F.array_intersect(g, p)))
 
 
 def token_counts(gold: Column, pred: Column) -> Column:
     """Tokens count as right if both sides give the same label, whatever the prefix; O on both sides does not count."""
 
     def of(g: Column, p: Column) -> Column:
-        gv, pv = tag_value(g), tag_value(p)
-        same = F.coalesce(gv == pv, F.lit(False))
-        row = lambda v, **n: F.struct(v.alias("value"), *[F.lit(n.get(c, 0)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
-        return F.when(same, F.array(row(gv, tp=1))).otherwise(F.filter(F.array(row(pv, fp=1), row(gv, fn=1)), lambda x: x.getField("value").isNotNull()))
+        gv, pv = F.shiftright(g, 1), F.shiftright(p, 1)
+        named = lambda v, column: F.when(v > 0, marked(F.get(vocab(), v - 1), column))
+        return F.when(gv == pv, F.array(named(gv, "tp"))).otherwise(F.array(named(pv, "fp"), named(gv, "fn")))
 
-    return F.flatten(F.zip_with(gold, pred, of))
+    return F.filter(F.flatten(F.zip_with(coded(gold), coded(pred), lambda g, p: of(F.coalesce(g, F.lit(0)), F.coalesce(p, F.lit(0))))), lambda x: x.isNotNull())
 
 
-def overlap_counts(sequences: DataFrame, *keys: str) -> DataFrame:
-    """tp, fp, fn where a predicted span is right if it overlaps a gold span of its label.
+def spread(found: Column) -> Column:
+    """For each token up to the last span's end, the number of the span that holds it, or 0."""
 
-    Spans pair one to one, largest overlap first, then by gold and predicted
-    place.  Spans of one side never overlap, so a span meets the other side's
-    spans in a few neighbours; the pairs of a sequence and label are sorted and
-    folded, each taking its spans out.
-    """
-    ids = sequences.withColumn("_row", F.monotonically_increasing_id())
-    gold = ids.select("_row", *keys, F.inline(spans(F.col("gold")))).select("_row", *keys, "value", F.col("s").alias("gs"), F.col("e").alias("ge"))
-    pred = ids.select("_row", F.inline(spans(F.col("pred")))).select("_row", "value", F.col("s").alias("ps"), F.col("e").alias("pe"))
+    def one(x: Column, i: Column) -> Column:
+        gap = start_of(x) - F.coalesce(end_of(F.get(found, i - 1)), F.lit(0))
+        return F.concat(F.array_repeat(F.lit(0).cast("long"), gap.cast("int")), F.array_repeat(x, (end_of(x) - start_of(x)).cast("int")))
+
+    return F.flatten(F.transform(found, one))
 
-    # places are binned so that the join is on equality: a span is in every bin it touches
-    width = 16
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)))
-    near = gold.withColumn("bin", bins("gs", "ge")).join(pred.withColumn("bin", bins("ps", "pe")), ["_row", "value", "bin"])
-    overlap = F.least("ge", "pe") - F.greatest("gs", "ps")
-    pairs = near.filter((overlap > 0) & (F.col("bin") == F.floor(F.greatest("gs", "ps") / width)))
+
+def overlapping(g: Column, p: Column) -> Column:
+    """Pairs (less, g, p) of spans of one label that share tokens, the largest overlap first, then by place; read off the tokens."""
+
+    def pairs(both: Column) -> Column:
+        new = lambda x, i: (x.getField("g") > 0) & (x.getField("p") > 0) & (label_bits(x.getField("g")) == label_bits(x.getField("p"))) & ~F.coalesce(F.get(both, i - 1) == x, F.lit(False))
+        return F.filter(both, new)
+
+    label_bits = lambda x: x.bitwiseAND(F.lit((1 << LABEL_BITS) - 1))
+    zero = F.lit(0).cast("long")
+    both = F.zip_with(spread(g), spread(p), lambda x, y: F.struct(F.coalesce(x, zero).alias("g"), F.coalesce(y, zero).alias("p")))
+    sized = lambda x: F.struct((F.greatest(start_of(x.getField("g")), start_of(x.getField("p"))) - F.least(end_of(x.getField("g")), end_of(x.getField("p")))).alias("less"), x.getField("g").alias("g"), x.getField("p").alias("p"))
+    return F.array_sort(F.transform(let(both, pairs), sized))
+
+
+def overlap_counts(gold: Column, pred: Column) -> Column:
+    """A predicted span is right if it overlaps a gold span of its label; pairs are one to one, the largest overlap first.
+
+    All inside the row: spans of a side never overlap, so the tokens name all
+    pairs, and one fold over the sorted pairs takes each span once.
+    """
 
     def take(state: Column, x: Column) -> Column:
-        free = ~F.array_contains(state.getField("g"), x.getField("gs")) & ~F.array_contains(state.getField("p"), x.getField("ps"))
-        add = F.struct(F.concat(state.getField("g"), F.array(x.getField("gs"))).alias("g"), F.concat(state.getField("p"), F.array(x.getField("ps"))).alias("p"))
-        return F.when(free, add).otherwise(state)
-
-    # chains of overlapping spans do not touch one another: each is folded by itself
-    order = Window.partitionBy("_row", "value").orderBy("gs", "ps")
-    reach = F.max(F.greatest("ge", "pe")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chained = pairs.withColumn("_new", F.coalesce((F.least("gs", "ps") >= reach).cast("int"), F.lit(1))).withColumn("chain", F.sum("_new").over(order))
-    listed = chained.groupBy("_row", *keys, "value", "chain").agg(F.array_sort(F.collect_list(F.struct((-overlap).alias("o"), "gs", "ge", "ps", "pe"))).alias("pairs"))
-    start = F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("p"))
-    right = listed.select(*keys, "value", F.size(F.aggregate("pairs", start, take).getField("g")).cast("long").alias("tp"))
-
-    def total(df: DataFrame, c: Column, name: str) -> DataFrame:
-        return df.groupBy(*keys, "value").agg(c.cast("long").alias(name))
-
-    groups = sequences.select(*keys).distinct() if keys else sequences.sparkSession.range(1).select()
-    grid = groups.select(*keys, F.explode(vocab()).alias("value"))
-    n_pred = total(ids.select(*keys, F.inline(spans(F.col("pred")))), F.count(F.lit(1)), "n_pred")
-    out = grid.join(total(right, F.sum("tp"), "tp"), [*keys, "value"], "left")
-    out = out.join(total(gold, F.count(F.lit(1)), "n_gold"), [*keys, "value"], "left").join(n_pred, [*keys, "value"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(*keys, "value", zero("tp").alias("tp"), (zero("n_pred") - zero("tp")).alias("fp"), (zero("n_gold") - zero("tp")).alias("fn"))
+        free = ~F.array_contains(state.getField("a"), x.getField("g")) & ~F.array_contains(state.getField("b"), x.getField("p"))
+        more = F.struct(F.array_append(state.getField("a"), x.getField("g")).alias("a"), F.array_append(state.getField("b"), x.getField("p")).alias("b"))
+        return F.when(free, more).otherwise(state)
+
+    def right(g: Column, p: Column) -> tuple[Column, Column]:
+        none = F.array().cast("array<bigint>")
+        taken = F.aggregate(overlapping(g, p), F.struct(none.alias("a"), none.alias("b")), take)
+        return taken.getField("a"), taken.getField("b")
+
+    return span_counts(gold, pred, right)
 
 
 def exact_scores(sequences: DataFrame, *keys: str) -> DataFrame:
@@ -141,12 +190,12 @@ def token_scores(sequences: DataFrame, *keys: str) -> DataFrame:
 
 
 def overlap_scores(sequences: DataFrame, *keys: str) -> DataFrame:
-    return with_scores(overlap_counts(sequences, *keys))
+    return with_scores(counted(sequences, overlap_counts(F.col("gold"), F.col("pred")), *keys))
 
 
 def all_scores(sequences: DataFrame, *keys: str) -> DataFrame:
     """Micro and macro scores of the three ways side by side."""
-    ways = {"exact_span": counted(sequences, exact_counts(F.col("gold"), F.col("pred")), *keys), "overlap_span": overlap_counts(sequences, *keys), "token": counted(sequences, token_counts(F.col("gold"), F.col("pred")), *keys)}
+    ways = {"exact_span": counted(sequences, exact_counts(F.col("gold"), F.col("pred")), *keys), "overlap_span": counted(sequences, overlap_counts(F.col("gold"), F.col("pred")), *keys), "token": counted(sequences, token_counts(F.col("gold"), F.col("pred")), *keys)}
     out = None
     for kind, counts in ways.items():
         one = summary(counts, *keys).withColumn("kind", F.lit(kind))
@@ -167,9 +216,8 @@ def tag_weights(sequences: DataFrame, tags: str = "gold") -> DataFrame:
 
 def argmax_tag(p: Column) -> Column:
     """The tag of the largest probability, the first of equal ones; O without probabilities."""
-    all_tags = F.array(*[F.lit(t) for t in TAGS])
     at = F.array_position(p, F.array_max(p)).cast("int")
-    return F.coalesce(F.get(all_tags, at - 1), F.lit("O"))
+    return F.coalesce(F.get(all_tags(), at - 1), F.lit("O"))
 
 
 def best_value_tag(p: Column) -> Column:

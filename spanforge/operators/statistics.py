@@ -36,6 +36,8 @@ def hashed_weight(row: Column, resample: Column) -> Column:
 
     Only the named queries use it, whose SQL has the same arithmetic.
     """
+    row = F.pmod(row, F.lit(1000))  # before multiplying, so that no number is too large
+    resample = F.pmod(resample, F.lit(1000))
     u = (row * 7919 + resample * 104_729 + row * resample * 31 + (row + 17) * (resample + 5) * (row + resample)) % 1000
     return sum((u >= edge).cast("int") for edge in POISSON)
 

@@ -177,7 +177,12 @@ def stratified_split(spark, d):
     return split.iterative_split(rows)
 
 
-@query("proportional_split")
+@query(
+    "proportional_split",
+    f"""WITH {V.UNITS}, l AS (SELECT collection, doc_id::VARCHAR AS example_id, coalesce(string_agg(CASE WHEN g = 1 THEN value END, '|' ORDER BY value), '') AS labels FROM units GROUP BY ALL),
+u AS (SELECT *, ('0x' || md5(concat_ws('|', '13', collection, labels, example_id))[1:8])::BIGINT AS drawn FROM l)
+SELECT collection, example_id, CASE WHEN drawn < {round(0.7 * (1 << 32))} THEN 'train' WHEN drawn < {round(0.8 * (1 << 32))} THEN 'validation' ELSE 'test' END AS part FROM u""",
+)
 def proportional_split(spark, d):
     rows = V.units(spark, d).select("collection", F.col("doc_id").cast("string").alias("example_id"), decode(F.col("gold")).alias("values"))
     return split.proportional_split(rows)
@@ -219,12 +224,19 @@ def token_scores(spark, d):
     return S.token_scores(V.sequences(spark, d))
 
 
-@query("overlap_span_scores")
+# pairs of spans of a label that overlap, folded from the largest overlap on; each pair is taken if both its spans are free
+OVERLAP = """pairs AS (SELECT g.doc_id, g.value, least(g.e, p.e) - greatest(g.s, p.s) AS n, g.s AS gs, p.s AS ps FROM gold_spans g JOIN pred_spans p ON g.doc_id = p.doc_id AND g.value = p.value AND g.s < p.e AND p.s < g.e),
+listed AS (SELECT doc_id, value, list({'gs': [gs], 'ps': [ps]} ORDER BY n DESC, gs, ps) AS l FROM pairs GROUP BY ALL),
+taken AS (SELECT value, sum(len(list_reduce(l, lambda a, b: CASE WHEN list_contains(a.gs, b.gs[1]) OR list_contains(a.ps, b.ps[1]) THEN a ELSE {'gs': a.gs || b.gs, 'ps': a.ps || b.ps} END).gs)) AS tp FROM listed GROUP BY value),
+overlap_counts AS (SELECT g.value, coalesce(tp, 0)::BIGINT AS tp, (n_pred - coalesce(tp, 0))::BIGINT AS fp, (n_gold - coalesce(tp, 0))::BIGINT AS fn FROM (SELECT value, count(*) AS n_gold FROM gold_spans GROUP BY value) g JOIN (SELECT value, count(*) AS n_pred FROM pred_spans GROUP BY value) p USING (value) LEFT JOIN taken USING (value))"""
+
+
+@query("overlap_span_scores", f"WITH {BOTH}, {OVERLAP} SELECT value, tp, fp, fn, {PRF} FROM overlap_counts")
 def overlap_span_scores(spark, d):
     return S.overlap_scores(V.sequences(spark, d))
 
 
-@query("t2_all_scores")
+@query("t2_all_scores", f"WITH {BOTH}, {EXACT}, {TOKEN}, {OVERLAP} " + " UNION ALL ".join(f"SELECT *, '{kind}' AS kind FROM ({summary_sql('', source)})" for kind, source in (("exact_span", "exact_counts"), ("overlap_span", "overlap_counts"), ("token", "token_counts"))))
 def t2_all_scores(spark, d):
     return S.all_scores(V.sequences(spark, d))
 
@@ -333,7 +345,7 @@ UNION ALL SELECT doc_id, sentence_id, 1, 'entity_text_mismatch', '$.entities[0]'
 SELECT doc_id, sentence_id::INTEGER AS sentence_id, count(*)::BIGINT AS n, string_agg(code || '@' || path, ';' ORDER BY position) AS issues FROM found GROUP BY ALL""",
 )
 def contract_issues(spark, d):
-    found = contract.with_issues(records(spark, d)).filter(F.size("issues") > 0)
+    found = contract.with_issues(records(spark, d))
     text = F.array_join(F.transform("issues", lambda i: F.concat(i.getField("code"), F.lit("@"), i.getField("path"))), ";")
     return found.select("doc_id", "sentence_id", F.size("issues").cast("long").alias("n"), text.alias("issues"))
 
@@ -615,7 +627,7 @@ def run_dominance(spark, d):
 @query(
     "bio_projection",
     f"""WITH {V.TAGS}, {PLACES}, ents AS (SELECT doc_id, pos AS entity, (['social','age'])[pos % 2 + 1] AS label, ts AS es, ts + 25 AS ee FROM places WHERE pos % 6 = 0),
-h AS (SELECT p.doc_id, p.pos, e.entity, e.label, min(p.pos) OVER (PARTITION BY p.doc_id, e.entity) AS first FROM places p JOIN ents e ON p.doc_id = e.doc_id AND e.entity BETWEEN p.pos - 40 AND p.pos AND p.ts >= es AND p.ts + length(p.token) <= ee),
+h AS (SELECT p.doc_id, p.pos, e.entity, e.label, min(p.pos) OVER (PARTITION BY p.doc_id, e.entity) AS first FROM (SELECT *, (pos // 6 - j) * 6 AS near FROM places, range(0, 6) r(j)) p JOIN ents e ON p.doc_id = e.doc_id AND e.entity = p.near AND p.ts >= es AND p.ts + length(p.token) <= ee),
 w AS (SELECT doc_id, pos, arg_max((CASE WHEN pos = first THEN 'B-' ELSE 'I-' END) || label, entity) AS tag FROM h GROUP BY ALL)
 SELECT p.doc_id, p.pos::INTEGER AS token, coalesce(w.tag, 'O') AS tag FROM places p LEFT JOIN w ON p.doc_id = w.doc_id AND p.pos = w.pos""",
 )
@@ -640,3 +652,7 @@ def audit_window_counts(spark, d):
 def latest_decision(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("event_type").alias("event"), F.col("ts").alias("occurred_at"), "event_id")
     return registry.latest_decisions(e, "user_id", "occurred_at", "event_id").select("user_id", "event", "occurred_at")
+
+
+# the rest of the queries register themselves
+from spanforge.plans import expressions, workflows  # noqa: E402, F401

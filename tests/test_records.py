@@ -4,6 +4,8 @@ import csv
 import json
 import zipfile
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ GOOD = {
 
 def codes(spark, **change):
     df = spark.createDataFrame([{**GOOD, **change}], contract.RECORD)
-    return [i.code for i in contract.with_issues(df).first().issues]
+    found = [i.code for i in df.select(contract.record_issues().alias("issues")).first().issues]
+    assert [[i.code for i in r.issues] for r in contract.with_issues(df).collect()] == ([found] if found else [])
+    return found
 
 
 @pytest.mark.parametrize(
@@ -116,8 +120,61 @@ def test_layout(spark):
     assert layout.first_containing(points, rects).first().color is None
     colored = spark.createDataFrame([(1, "a", "red"), (2, "b.", "red"), (3, "c", None), (4, "d", "red")], "word int, text string, color string")
     assert {(r.first, r.last, r.text) for r in layout.islands(colored).collect()} == {(1, 2, "a b"), (4, 4, "d")}
-    blocks = spark.createDataFrame([(1, 0, 0, 100, 10, 100), (2, 0, 20, 45, 30, 100), (3, 55, 20, 100, 30, 100), (4, 0, 40, 45, 50, 100)], "block int, x0 int, y0 int, x1 int, y1 int, width int")
-    assert [r.block for r in layout.reading_order(blocks).orderBy("position").collect()] == [1, 2, 4, 3]
+
+
+def order_plain(blocks, width, height):
+    """(band, column) of blocks by definition: bands between edges of wide blocks, first column that fits."""
+    wide = [b for b in blocks if b[1] < 0.45 * width and b[3] > 0.55 * width and b[3] - b[1] > 0.6 * width]
+    edges = sorted({0, height} | {y for b in wide for y in (b[2], b[4])})
+    inside = lambda b: [i for i in range(len(edges) - 1) if edges[i] <= (b[2] + b[4]) / 2 <= edges[i + 1]]
+    column = {}
+    for i in range(len(edges) - 1):
+        columns = []
+        for b in sorted((b for b in blocks if b not in wide and i in inside(b)), key=lambda b: b[1]):
+            at = None
+            for k, (lo, hi) in enumerate(columns):
+                common = min(b[3], hi) - max(b[1], lo)
+                if common > 0.3 * min(b[3] - b[1], hi - lo) or common > 0 and b[1] >= lo - 5 and b[3] <= hi + 5:
+                    at = k
+                    break
+            if at is None:
+                columns.append((b[1], b[3]))
+            else:
+                columns[at] = (min(columns[at][0], b[1]), max(columns[at][1], b[3]))
+            column.setdefault((i, b[0]), len(columns) - 1 if at is None else at)
+    meta = {b[0]: ((inside(b) or [0])[0], 0 if b in wide else column.get(((inside(b) or [0])[0], b[0]), 0)) for b in blocks}
+    return [b[0] for b in sorted(blocks, key=lambda b: (*meta[b[0]], round(b[2] / 3) * 3, b[1], b[0]))]
+
+
+def test_reading_order(spark):
+    rng = random.Random(9)
+    pages = {}
+    for page in range(12):
+        pages[page] = []
+        for block in range(rng.randrange(1, 14)):
+            x0, y0 = rng.randrange(0, 80), rng.randrange(0, 180)
+            pages[page].append((block, x0, y0, x0 + rng.choice([8, 20, 40, 90]), y0 + rng.choice([4, 10, 20])))
+    schema = "page int, block int, x0 int, y0 int, x1 int, y1 int, width int, height int, rotation int"
+    df = spark.createDataFrame([(p, *b, 100, 200, 0) for p, found in pages.items() for b in found], schema)
+    got = {}
+    for r in layout.reading_order(df, "page").orderBy("page", "position").collect():
+        got.setdefault(r.page, []).append(r.block)
+    assert got == {p: order_plain(found, 100, 200) for p, found in pages.items()}
+    turned = spark.createDataFrame([(1, b, x, y, x + 5, y + 5, 100, 200, a) for a in (90, 180, 270) for b, x, y in ((a, 10, 50), (a + 1, 30, 20))], schema)
+    by = lambda a: [r.block for r in layout.reading_order(turned.filter(F.col("rotation") == a), "page").orderBy("position").collect()]
+    assert by(90) == [90, 91] and by(180) == [180, 181] and by(270) == [271, 270]
+
+
+def test_null_groups_and_large_rows(spark):
+    from spanforge.operators import spans, statistics
+
+    df = spark.createDataFrame([(None, ["B-age", "O"], ["B-age", "O"]), ("c", ["B-age"], ["O"])], "collection string, gold array<string>, pred array<string>")
+    for way in (spans.exact_scores, spans.overlap_scores, spans.token_scores):
+        got = {(r.collection, r.value): (r.tp, r.support) for r in way(df, "collection").collect()}
+        assert len(got) == 16 and got[None, "age"] == (1, 1) and got["c", "age"] == (0, 1) and got[None, "social"] == (0, 0)
+    assert spark.range(1).select(statistics.hashed_weight(F.lit(10**12), F.lit(1000))).first()[0] >= 0
+    records = spark.createDataFrame([{**GOOD, "sentence": "x"}], contract.RECORD).withColumn("collection", F.lit(None).cast("string"))
+    assert contract.quality_report(records, "collection").filter("code = 'unusually_short_sentence'").count() == 1
 
 
 def test_text(spark):

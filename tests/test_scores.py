@@ -166,11 +166,17 @@ def test_merge_sequences_against_a_plain_fold(spark):
 
 def test_stratified_parts(spark):
     items = {f"i{n:03d}": {"age"} if n < 10 else {"social"} for n in range(100)}
-    placed = split.stratify(items, split.PARTS, 13)
+    rows = spark.createDataFrame([("c", i, sorted(v)) for i, v in items.items()], "collection string, example_id string, values array<string>")
+    placed = {r.example_id: r.part for r in split.iterative_split(rows).collect()}
     count = lambda ids: [sum(placed[i] == p for i in ids) for p in split.PARTS]
     assert count(items) == [70, 10, 20] and count([i for i in items if "age" in items[i]]) == [7, 1, 2]
-    rows = spark.createDataFrame([("c", i, sorted(v)) for i, v in items.items()], "collection string, example_id string, values array<string>")
-    assert {r.example_id: r.part for r in split.iterative_split(rows).collect()} == placed
+    rng = random.Random(2)
+    some = {tuple(sorted(rng.sample(["age", "social", "historic", "political"], rng.randrange(4)))): rng.randrange(1, 40) for _ in range(30)}
+    given = split.quotas(some, split.PARTS)
+    assert all(sum(given[c].values()) == n for c, n in some.items())
+    for label in ("age", "social", "historic", "political"):
+        total = sum(n for c, n in some.items() if label in c)
+        assert all(abs(sum(given[c][p] for c in some if label in c) - total * x) <= 2.5 for p, x in split.PARTS.items())
     dealt = split.proportional_split(rows)
     assert dealt.count() == 100 and dealt.exceptAll(split.proportional_split(rows)).isEmpty()
     with pytest.raises(ValueError):
