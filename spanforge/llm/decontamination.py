@@ -11,15 +11,16 @@ Words that no item has cannot be part of a match.  They become a separator, and
 runs between separators that are shorter than the shortest window are left out
 of the suffix array: no window can lie in them.
 
-The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text; each block is
-broadcast by itself, and every shard is searched for every block, so neither the
-driver nor a task ever holds more than a block of it.
+The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text (a longer item is a
+block); each block is broadcast by itself, with its items' names, and every shard is
+searched for every block, so neither the driver nor a task ever holds more than a
+block of it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import binaries
+from spanforge.llm.common import binaries, lean
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -55,14 +56,16 @@ class Block:
     start: np.ndarray
     length: np.ndarray
     item: np.ndarray
+    names: list[str | None]
     longest: int
     least: int
 
 
-def make_block(items: list[tuple[str, bytes]], names: dict[str, int], window: int) -> Block:
+def make_block(items: list[tuple[str | None, bytes]], window: int) -> Block:
     ids: dict[bytes, int] = Ids()
     text, start, length, item = [0], [], [], []
     longest = 0
+    names: dict[str | None, int] = {}
     for name, content in items:
         words = split(content)
         if not words:
@@ -79,7 +82,7 @@ def make_block(items: list[tuple[str, bytes]], names: dict[str, int], window: in
         text.append(0)
         longest = max(longest, len(words))
     as_array = lambda x: np.array(x, np.int64)
-    return Block(ids, as_array(text), as_array(start), as_array(length), as_array(item), longest, min(length, default=1))
+    return Block(ids, as_array(text), as_array(start), as_array(length), as_array(item), list(names), longest, min(length, default=1))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -146,11 +149,11 @@ def search(text: np.ndarray, array: np.ndarray, block: Block) -> tuple[np.ndarra
 class Found:
     n_words: list[int]
     hits: list[np.ndarray]
-    items: list[set[int]]
+    items: list[set[str | None]]
     longest: list[int]
 
 
-def match(texts: list[bytes], blocks: list[Block]) -> Found:
+def match(texts: list[bytes], blocks: Iterable[Block]) -> Found:
     """Hits of the blocks' windows in a shard of documents: merged [start, end) word intervals, items and longest match."""
     words = [split(t) for t in texts]
     out = Found([len(w) for w in words], [np.empty((0, 2), np.int64)] * len(texts), [set() for _ in texts], [0] * len(texts))
@@ -187,7 +190,7 @@ def match(texts: list[bytes], blocks: list[Block]) -> Found:
             by_range.setdefault(int(first[i]) * (1 << 32) + int(last[i]), []).append(i)
         for windows in by_range.values():
             i = windows[0]
-            numbers, deep = {int(block.item[j]) for j in windows}, max(int(longest[j]) for j in windows)
+            numbers = {block.names[int(block.item[j])] for j in windows}
             for doc in np.unique(owner[at[array[first[i] : last[i]]]]):
                 out.items[doc] |= numbers
         # a document's longest match: the deepest suffix among those that start in it at the deepest places
@@ -209,27 +212,35 @@ def deepest(text: np.ndarray, array: np.ndarray, block: Block, i: int, lo: int,
     pattern = block.text[block.start[i] : block.start[i] + depth]
     n = int(block.length[i])
     places = array[lo:hi]
-    rows = np.minimum(places[:, None] + np.arange(n, depth), len(text) - 1)
-    return places[(text[rows] == pattern[n:]).all(1)]
+    for k in range(n, depth):  # one word deeper at a time, so only places are held
+        places = places[text[np.minimum(places + k, len(text) - 1)] == pattern[k]]
+    return places
 
 
 class Benchmark:
-    """The items in blocks, each a broadcast of bounded size."""
+    """The items in blocks, each a broadcast of bounded size; a worker reads one block at a time."""
 
     def __init__(self, items: DataFrame, window: int, block_bytes: int = BLOCK_BYTES):
-        spark = items.sparkSession
-        self.names: dict[str, int] = {}
+        context = items.sparkSession.sparkContext
         self.blocks = []
         rows, size = [], 0
         found = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
         for r in found.toLocalIterator():
             if rows and size + len(r["text"] or b"") > block_bytes:
-                self.blocks.append(spark.sparkContext.broadcast(make_block(rows, self.names, window)))
+                self.blocks.append(context.broadcast(make_block(rows, window)))
                 rows, size = [], 0
-            rows.append(("" if r["item_id"] is None else r["item_id"], bytes(r["text"] or b"")))
+            rows.append((r["item_id"], bytes(r["text"] or b"")))
             size += len(r["text"] or b"")
         if rows:
-            self.blocks.append(spark.sparkContext.broadcast(make_block(rows, self.names, window)))
+            self.blocks.append(context.broadcast(make_block(rows, window)))
+
+
+def one_by_one(blocks: list) -> Iterator[Block]:
+    """The blocks' values; of several, each is dropped again before the next is read."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            b.__dict__.pop("_value", None)
 
 
 def shards(batch: pa.RecordBatch, text: str, words: int = SHARD_WORDS) -> Iterator[tuple[int, list[bytes]]]:
@@ -252,18 +263,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     is the longest verbatim match that starts with a whole window.  Null and empty
     texts have no words; items without words match nothing; items of fewer words
     than a window are one window; equal items and repeated rows count each by
-    their own id or row.  An empty table on either side gives no rows or no hits.
+    their own id or row; an item without an id is one of its own, with an empty
+    name.  Of equally long matches any may be the longest.  Texts of any length are
+    read whole, in shards of whole texts.  An empty table on either side gives no rows or no hits.
     """
-    benchmark = Benchmark(items, window)
-    names, blocks = list(benchmark.names), benchmark.blocks
+    blocks = Benchmark(items, window).blocks
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [b.value for b in blocks]
-        for batch in batches:
+        for batch in lean(batches):
             for at, texts in shards(batch, "text"):
-                got = match(texts, own)
+                got = match(texts, one_by_one(blocks))
                 hit = [int((h[:, 1] - h[:, 0]).sum()) for h in got.hits]
-                digests = [hashlib.sha256(",".join(sorted(names[i] for i in x)).encode()).hexdigest() for x in got.items]
+                digests = [hashlib.sha256(",".join(sorted(i or "" for i in x)).encode()).hexdigest() for x in got.items]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(texts)),
@@ -284,14 +295,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, without those whose text has a window of an item; a null text has none."""
+    """The rows of docs, all columns as they are, without those whose text has a window of an item.
+
+    Null and empty texts have no window and stay; repeated rows stay or go alike;
+    texts of any length are read whole; without items all rows stay, without rows
+    there are none.  Columns may have any names.
+    """
     blocks = Benchmark(items, window).blocks
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [b.value for b in blocks]
-        for batch in batches:
+        for batch in lean(batches):
             for at, texts in shards(batch, "text"):
-                keep = pa.array([not len(h) for h in match(texts, own).hits], pa.bool_())
+                keep = pa.array([not len(h) for h in match(texts, one_by_one(blocks)).hits], pa.bool_())
                 yield batch.slice(at, len(texts)).filter(keep)
 
     return docs.mapInArrow(clean, docs.schema)
