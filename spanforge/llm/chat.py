@@ -122,3 +122,14 @@ SELECT conv_id, turn, coalesce(role, 'user') AS role, 'message' AS kind, turn AS
        '{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"role":' || to_json(coalesce(role, 'user'))::VARCHAR || '}' AS json
 FROM conversations
 """
+
+#: Over conversations turned into calls and results (queries.tool_turns): links, their order, the schema's verdicts.
+LINKED_ORACLE = """
+WITH t AS (SELECT DISTINCT conv_id, turn, turn % 2 = 0 AS is_call, 'c' || conv_id || '-' AS c FROM conversations),
+calls AS (SELECT conv_id, turn, c || turn AS id, turn % 3 <> 0 AS valid, CASE WHEN turn % 3 = 0 THEN '{"limit":3}' ELSE '{"limit":2,"query":"q' || turn || '"}' END AS arguments FROM t WHERE is_call),
+results AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'none' ELSE c || (turn - 1) END AS id FROM t WHERE NOT is_call)
+SELECT conv_id, turn, 'assistant' AS role, 'call' AS kind, turn AS order_turn, 0::BIGINT AS order_step, 1::BIGINT AS n_calls, valid::BIGINT AS n_valid,
+'{"content":"Look.","role":"assistant","tool_calls":[{"arguments":' || arguments || ',"id":"' || id || '","name":"search"}]}' AS json FROM calls
+UNION ALL SELECT r.conv_id, r.turn, 'tool', CASE WHEN k.id IS NULL THEN 'orphan' ELSE 'result' END, coalesce(k.turn, r.turn), CASE WHEN k.id IS NULL THEN 0 ELSE 1 END, 0, coalesce(valid, false)::BIGINT,
+'{"content":"r' || r.turn || '","role":"tool","tool_call_id":"' || r.id || '"}' FROM results r LEFT JOIN calls k ON r.conv_id = k.conv_id AND r.id = k.id
+"""

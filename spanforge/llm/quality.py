@@ -104,12 +104,15 @@ def ledger(docs: DataFrame, *keep: str) -> DataFrame:
         "_m.lines.n_lines",
         "_m.n_exclamations",
     )
-    columns = {c: F.col(c) for c in flat.columns}
-    bits = [F.when(FAILS[rule](columns), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES)]
-    mask = bits[0]
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit)
-    return flat.withColumn("fail_bits", mask.cast("long"))
+    return flat.withColumn("fail_bits", bits_of({c: F.col(c) for c in flat.columns}))
+
+
+def bits_of(measured: dict[str, Column]) -> Column:
+    """Bit i: whether rule i fails, over named measurements."""
+    mask = F.lit(0)
+    for i, rule in enumerate(RULES):
+        mask = mask.bitwiseOR(F.when(FAILS[rule](measured), F.lit(1 << i)).otherwise(F.lit(0)))
+    return mask.cast("long")
 
 
 def rejected(mask: int, bits: str = "fail_bits") -> Column:
@@ -142,25 +145,30 @@ def ablation(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of docs, all columns as they are, that a policy keeps.
+    """The rows of docs, all columns as they are, that a policy keeps: the ledger's bits under the policy's mask.
 
-    The verdict is one expression around the measurements, so a filter that the
+    Null and empty texts have no words and go; equal rows stay or go alike; texts of
+    any length are measured whole; no rows give no rows; columns may have any names.
+    The bits are one expression around the measurements, so a filter that the
     optimiser moves or splits still measures each text once.
     """
     mask = POLICIES[policy] | BASE
 
     def verdict(m: Column) -> Column:
         words, lines = m.getField("words"), m.getField("lines")
-        fields = {name: part.getField(name) for part, names in ((words, ["n_words", "word_chars", "n_repeat_words"]), (lines, ["n_lines", "n_dup_lines"]), (m, ["n_symbols", "n_exclamations"])) for name in names}
-        chosen = [FAILS[name](fields) for i, name in enumerate(RULES) if mask >> i & 1]
-        bad = chosen[0]
-        for c in chosen[1:]:
-            bad = bad | c
-        return ~bad
+        parts = ((words, ["n_words", "word_chars", "n_repeat_words"]), (lines, ["n_lines", "n_dup_lines"]), (m, ["n_symbols", "n_exclamations"]))
+        measured = {name: part.getField(name) for part, names in parts for name in names}
+        return bits_of(measured).bitwiseAND(F.lit(mask)) == 0
 
     return docs.filter(let(measurements(F.col("text")), verdict))
 
 
+def stored(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+    """The ledger, written to a folder once and read again: what policies and ablations work on."""
+    ledger(docs, *keep).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -185,3 +193,10 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, 'v2' AS policy
 FROM b
 """
+
+#: What a rule of the current policy rejects, alone and with others, from the ledger in SQL.
+ABLATION_ORACLE = f"""
+WITH entries AS ({ORACLE}), rules(rule, bit) AS (VALUES {', '.join(f"('{name}', {1 << i})" for i, name in enumerate(RULES) if (POLICIES[CURRENT] | BASE) >> i & 1)})
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (fail_bits & {POLICIES[CURRENT] | BASE} = bit)::BIGINT AS n_only,
+count(*) FILTER (kept)::BIGINT AS n_kept, count(*) FILTER (fail_bits & {POLICIES[CURRENT] | BASE} & ~bit = 0)::BIGINT AS n_kept_without FROM entries, rules GROUP BY rule
+"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanforge.llm import chat, licenses, quality
+from spanforge.llm.common import Scratch
 from spanforge.llm.decontamination import contamination
 from spanforge.llm.html_extract import extract
 from spanforge.llm.lm_scoring import score
@@ -48,6 +50,31 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(documents(spark, sf_dir), "doc_id"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, from a stored ledger."""
+    folder = f"{Scratch(spark, 'quality').root}/ledger"
+    return quality.ablation(quality.stored(documents(spark, sf_dir), folder, "doc_id"))
+
+
+def tool_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose assistant turns call a tool and whose user turns bring results, some of them odd.
+
+    Every third call lacks what its tool needs, and results of every fifth turn name no call.
+    """
+    turn, conv = F.col("turn"), F.col("conv_id")
+    name = lambda x: F.concat(F.lit("c"), conv, F.lit("-"), x)
+    arguments = F.when(turn % 3 == 0, F.lit('{"limit":3}')).otherwise(F.concat(F.lit('{"query":"q'), turn, F.lit('","limit":2}')))
+    call = F.concat(F.lit('Look. <tool_call>{"name":"search","arguments":'), arguments, F.lit(',"id":"'), name(turn), F.lit('"}</tool_call>'))
+    result = F.concat(F.lit('{"content":"r'), turn, F.lit('","tool_call_id":"'), F.when(turn % 5 == 0, "none").otherwise(name(turn - 1)), F.lit('"}'))
+    calls = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    is_call = turn % 2 == 0
+    return calls.select("conv_id", "turn", F.when(is_call, "assistant").otherwise("tool").alias("role"), F.when(is_call, call).otherwise(result).alias("text"))
+
+
+def linked_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(tool_turns(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -75,10 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
+    "quality_ablation": quality_ablation,
+    "linked_tool_calls": linked_tool_calls,
 }
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op4_chat_formatting": chat.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "quality_ablation": quality.ABLATION_ORACLE,
+    "linked_tool_calls": chat.LINKED_ORACLE,
 }
