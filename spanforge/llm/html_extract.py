@@ -10,12 +10,14 @@ own best one.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
-DROPPED = set("head nav footer aside form button dialog menu object canvas audio video map".split())
+DROPPED = set("head nav footer aside button dialog menu object canvas audio video map".split())
 CONTAINERS = set("body main article section div td".split())
 #: Words in classes and ids of what is not the article.
 ASIDE = set(
@@ -59,6 +61,15 @@ ASIDE = set(
 ROLES_ASIDE = set("navigation banner contentinfo complementary search form dialog alert menu".split())
 MAIN_WORDS = set("article content post entry story main body text".split())
 NAMES = re.compile(r"[a-z]+")
+#: Elements that hold prose themselves.
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+#: Characters from which a form that holds half of a page is taken for its wrapper.
+WRAPPER = 200
+
+
+@functools.cache
+def raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I)
 
 
 def host_of(url: str = "url"):
@@ -67,42 +78,98 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
 
 
+class Open:
+    """The open elements, with the depths of each name and of a few kinds, so that no question walks the stack."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, int, bool, int]] = []  # name, container, whether it is left out, form
+        self.depths: dict[str, list[int]] = defaultdict(list)
+
+    def kinds(self, name: str) -> tuple[str, ...]:
+        out = [name]
+        if name not in INLINE:
+            out.append("*block")
+        if name in ("button", "td", "th", "table"):
+            out.append("*cell")
+        if name in ("article", "main"):
+            out.append("*article")
+        return tuple(out)
+
+    def push(self, name: str, container: int, out: bool, form: int) -> None:
+        for kind in self.kinds(name):
+            self.depths[kind].append(len(self.elements))
+        self.elements.append((name, container, out, form))
+
+    def top(self, *names: str) -> int:
+        """The depth of the innermost open element of these names or kinds; -1 if there is none."""
+        return max((d[-1] for d in (self.depths.get(n) for n in names) if d), default=-1)
+
+    def cut(self, depth: int) -> None:
+        while len(self.elements) > depth:
+            for kind in self.kinds(self.elements.pop()[0]):
+                self.depths[kind].pop()
+
+    def state(self) -> tuple[int, bool, int]:
+        return self.elements[-1][1:] if self.elements else (0, False, 0)
+
+
 class Page:
     """Blocks of text of a page, with the containers around each."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, int]] = []  # text, characters in links, container
+        self.forms: list[int] = []  # of each block, the form around it, 0 for none
         self.parent: list[int] = [-1]
         self.label: list[str] = [""]
         self.tag: list[str] = [""]
         self.strong: list[bool] = [False]
         self.parse(source)
+        self.drop_forms()
+        self.paths: list[str] = [""]
+        for c in range(1, len(self.parent)):
+            before = self.paths[self.parent[c]]
+            path = f"{before}>{self.label[c]}" if before else self.label[c]
+            self.paths.append(path if len(path) <= 1_000 else "#" + xxhash.xxh3_128_hexdigest(path))  # very deep: by digest
 
-    def flush(self, pieces: list[str], links: int, container: int) -> None:
+    def drop_forms(self) -> None:
+        """Blocks in forms go, unless a form is a wrapper of the page: it holds half of the text or more."""
+        whole = sum(len(t) for t, _, _ in self.blocks)
+        inside: dict[int, int] = defaultdict(int)
+        for (text, _, _), form in zip(self.blocks, self.forms, strict=True):
+            inside[form] += len(text)
+        keep = {form for form, size in inside.items() if not form or 2 * size >= whole and size >= WRAPPER}
+        self.blocks = [b for b, form in zip(self.blocks, self.forms, strict=True) if form in keep]
+
+    def flush(self, pieces: list[str], links: int, container: int, form: int) -> None:
         if pieces:
             text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
                 self.blocks.append((text, min(links, len(text)), container))
+                self.forms.append(form)
 
     def parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # name, container, whether it is left out
+        stack = Open()
         pieces: list[str] = []
-        links, container, out, at = 0, 0, False, 0
+        links, container, out, form, forms, at = 0, 0, False, 0, 0, 0
+
+        def settle() -> None:
+            nonlocal pieces, links
+            self.flush(pieces, links, container, form)
+            pieces, links = [], 0
 
         def end(depth: int) -> None:
             """Closes all elements from this depth on."""
-            nonlocal pieces, links, container, out
-            if any(name not in INLINE for name, _, _ in stack[depth:]):
-                self.flush(pieces, links, container)
-                pieces, links = [], 0
-            del stack[depth:]
-            container, out = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+            nonlocal container, out, form
+            if stack.top("*block") >= depth:
+                settle()
+            stack.cut(depth)
+            container, out, form = stack.state()
 
         def add(text: str) -> None:
             nonlocal links
             if text and not out:
                 pieces.append(text)
-                if any(s[0] == "a" for s in stack):
+                if stack.top("a") >= 0:
                     links += len(text)
 
         while m := TAG.search(source, at):
@@ -110,101 +177,90 @@ class Page:
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
-                if m[0].startswith("<![CDATA["):
-                    continue
                 continue
-            if m[1] or m[4]:  # an end tag
-                if name == "br":
-                    pieces.append(" ")
-                    continue
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is None or (name in INLINE and any(s[0] not in INLINE for s in stack[depth:])):
-                    continue
-                end(depth)
-                continue
-            attributes = m[3] if m[2] else m[6]
             if name == "br":
                 if not out:
                     pieces.append(" ")
                 continue
+            if m[1] or m[4]:  # an end tag; one of an inline element does not reach beyond a block
+                depth = stack.top(name)
+                if depth >= 0 and not (name in INLINE and stack.top("*block") > depth):
+                    end(depth)
+                continue
+            attributes = m[3] if m[2] else m[6]
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
                 if not attributes.endswith("/"):
+                    close = raw_end(name).search(source, at)
                     at = close.end() if close else len(source)
                     at = source.find(">", at) + 1 or len(source) if close else at
-                if name not in INLINE and not out and name in ("iframe", "template"):
-                    self.flush(pieces, links, container)
-                    pieces, links = [], 0
+                if not out and name in ("iframe", "template"):
+                    settle()
                 continue
             if name in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if depth is not None and not any(s[0] in ("button", "td", "th", "table") for s in stack[depth:]):
+                depth = stack.top("p")
+                if depth >= 0 and stack.top("*cell") < depth:
                     end(depth)
             if name in ENDS:
                 closes, within = ENDS[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in closes:
-                        end(i)
+                limit = stack.top(*within)
+                while (depth := stack.top(*closes)) > limit:
+                    end(depth)
             if name not in INLINE:
-                self.flush(pieces, links, container)
-                pieces, links = [], 0
+                settle()
             if name in VOID or attributes.endswith("/") and name not in CLOSES_P:
                 continue
             if name in INLINE and "class" not in attributes and "hidden" not in attributes and "id" not in attributes:
-                stack.append((name, container, out))
+                stack.push(name, container, out, form)
                 continue
-            left_out, label, strong = self.kind(name, attributes, stack)
+            left_out, label, strong = self.kind(name, attributes, stack.top("*article") >= 0, form > 0)
             if name in CONTAINERS and not out and not left_out:
                 self.parent.append(container)
                 self.label.append(label)
                 self.tag.append(name)
                 self.strong.append(strong)
                 container = len(self.parent) - 1
+            if name == "form":
+                forms += 1
+                form = forms
             out = out or left_out
-            stack.append((name, container, out))
+            stack.push(name, container, out, form)
         add(source[at:])
-        self.flush(pieces, links, container)
+        settle()
 
-    def kind(self, name: str, attributes: str, stack: list) -> tuple[bool, str, bool]:
+    def kind(self, name: str, attributes: str, in_article: bool, in_form: bool) -> tuple[bool, str, bool]:
         """Whether an element is left out, its generalised label, and whether it names itself the article."""
         found: dict[str, str] = {}
         if attributes:
             for a in ATTRIBUTE.finditer(attributes):
                 found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")  # of equal names the first counts
         classes = found.get("class", "").lower().split()
-        label = ".".join([name, *sorted({re.sub(r"\d+", "#", c) for c in classes})[:4]])
+        label = ".".join([name, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
         role = found.get("role", "").lower()
-        in_article = any(s[0] in ("article", "main") for s in stack)
         strong = name in ("article", "main") or role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower()
         words = [NAMES.findall(c) for c in [*classes, found.get("id", "").lower()] if c]
         if name in ("article", "main", "body", "html") or strong:
             return False, label, True if name != "body" and name != "html" else False
-        left = name in DROPPED or name == "header" and not in_article or role in ROLES_ASIDE
+        left = name in DROPPED or name == "header" and not in_article or role in ROLES_ASIDE and name != "form"
+        left |= in_form and name in ("label", "legend")
         left |= "hidden" in found and name != "html" or found.get("aria-hidden", "").lower() == "true"
         left |= "display:none" in found.get("style", "").replace(" ", "").lower()
-        for w in words:
+        # classes tell containers from the article; a paragraph or heading inside it stays, whatever its class
+        for w in words if not (in_article and name in PROSE) else ():
             if w and not {"with", "has", "no", "without"} & set(w):
                 hit = ASIDE & {w[0], w[-1]}
                 left |= bool(hit - {"header"} if in_article else hit)
         return left, label, bool(words) and any(w and w[-1] in MAIN_WORDS for w in words)
 
     def path(self, container: int) -> str:
-        out = []
-        while container > 0:
-            out.append(self.label[container])
-            container = self.parent[container]
-        return ">".join(reversed(out))
+        return self.paths[container]
 
     def best(self) -> int:
         """The container of the main text: one that names itself so, or the deepest with most of the text."""
         mass = [0] * len(self.parent)
         for text, links, container in self.blocks:
-            good = max(0, len(text) - 2 * links)
-            while container >= 0:
-                mass[container] += good
-                container = self.parent[container]
+            mass[container] += max(0, len(text) - 2 * links)
+        for c in range(len(mass) - 1, 0, -1):  # containers come before those inside them
+            mass[self.parent[c]] += mass[c]
         whole = mass[0]
         named = [c for c in range(1, len(mass)) if self.strong[c] and self.tag[c] in ("article", "main") and mass[c] >= 0.3 * whole]
         if not named:
@@ -219,7 +275,7 @@ class Page:
         if path:
             on = [False] * len(self.parent)
             for c in range(1, len(self.parent)):
-                on[c] = on[self.parent[c]] or self.path(c) == path
+                on[c] = on[self.parent[c]] or self.paths[c] == path
             if any(on):
                 return "\n\n".join(t for t, _, c in self.blocks if on[c])
         best = self.best()
@@ -255,7 +311,8 @@ def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     Null and empty html give an empty text; a null or odd url belongs to the
     nameless host.  Ties between paths go to the one with more text, then the
     smaller name.  Repeated rows vote and are extracted each; no rows give no
-    rows; other columns are not read.  Whole pages are read, however long.
+    rows; other columns are not read.  Whole pages are read, however long, in time
+    that grows with their tags.
     """
     source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
     scratch = Scratch(pages.sparkSession, "html")

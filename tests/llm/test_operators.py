@@ -509,3 +509,26 @@ def test_attributes_are_read_by_name():
         assert "Kept" in text(kept), kept
     for left in ('<div id="sidebar" data-video="x">Gone</div>', '<div id=sidebar width="5">Gone</div>', "<p hidden>Gone</p>", "<p data-a=1 HIDDEN=''>Gone</p>", "<p style='display: none'>Gone</p>", '<p data-x="y" aria-hidden = "true">Gone</p>', '<div class="ads" class="x">Gone</div>'):
         assert "Gone" not in text(left), left
+
+
+def test_forms_prose_and_many_open_elements():
+    import time
+
+    prose = " ".join(f"word{i}" for i in range(60))
+    page = lambda x: html_extract.Page(x).text(None)
+    assert page(f"<body><form><nav>Menu</nav><article><p>{prose}</p><p class='social'>And this.</p></article><label>Name</label></form></body>") == f"{prose}\n\nAnd this."
+    assert page(f"<body><article><p>{prose}</p></article><form>Sign up <p>now</p></form></body>") == prose
+    assert page(f"<body><article><p>{prose}</p><div class='social'>Share</div></article></body>") == prose
+    start = time.process_time()
+    assert page("<p>" + "<b>" * 40_000 + "x" + "<i>" * 40_000 + "y" + "</b>" * 40_000) == "xy"
+    page("<div>" * 20_000 + "x" + "</p></span>" * 20_000)
+    assert time.process_time() - start < 8
+
+
+def test_votes_decide_between_containers(spark):
+    """Most pages of a host have their text in one container; a page whose comments are longer follows them."""
+    body = lambda text, other: f"<body><div class='story'><p>{text}</p></div><div class='extra'><p>{other}</p></div></body>"
+    long = lambda i, n: " ".join(f"t{i}x{j}" for j in range(n))
+    rows = [(i, "http://a.org/x", body(long(i, 80), "short")) for i in range(5)] + [(9, "http://a.org/y", body(long(9, 10), long(8, 90)))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == long(9, 10) and got[0] == long(0, 80)
