@@ -201,14 +201,19 @@ def packed_pieces(shard: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: n
     for rows in np.split(order, cuts) if len(order) else []:
         head = np.stack([doc[rows], mark[rows], start[rows], sizes[rows]]).astype("<i8")
         of.append(int(shard[rows[0]]))
-        data.append(len(rows).to_bytes(4, "little") + zlib.compress(head.tobytes() + gathered(codes, begin[rows], sizes[rows]).astype("<u8").tobytes(), 1))
+        # words as places in the block's own list of them: most bytes of the places are zero
+        words, place = np.unique(gathered(codes, begin[rows], sizes[rows]), return_inverse=True)
+        planes = place.astype("<u4").view(np.uint8).reshape(-1, 4).T
+        data.append(len(rows).to_bytes(4, "little") + len(words).to_bytes(4, "little") + zlib.compress(head.tobytes() + words.astype("<u8").tobytes() + planes.tobytes(), 1))
     return of, data
 
 
 def unpack_segments(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:4], "little")
-    raw = zlib.decompress(data[4:])
-    return np.frombuffer(raw, "<i8", 4 * n).reshape(4, n), np.frombuffer(raw, "<u8", offset=32 * n)
+    n, m = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    raw = zlib.decompress(data[8:])
+    words = np.frombuffer(raw, "<u8", m, 32 * n)
+    planes = np.frombuffer(raw, np.uint8, offset=32 * n + 8 * m).reshape(4, -1)
+    return np.frombuffer(raw, "<i8", 4 * n).reshape(4, n), words[np.ascontiguousarray(planes.T).view("<u4").ravel()]
 
 
 class Sent:
@@ -349,6 +354,7 @@ def with_repeats(docs: DataFrame, window: int, k: int, *more: str) -> DataFrame:
     size = content.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     entries = size // 6 // ((window - k) // 2 + 1) + 1
     found = scratch.keep(repeated_segments(minimizer_entries(content, window, k, int(max(12, entries // ENTRIES))), HOT), "segments")
+    scratch.free()  # the shuffle of the entries is done with
     hot = found.filter("doc_id is null").select("key", F.lit(True).alias("hot"))
     mine = found.filter("doc_id is not null")
     words = mine.agg(F.coalesce(F.sum(F.col("windows") + F.lit(window - 1)), F.lit(0))).first()[0]
