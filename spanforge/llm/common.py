@@ -165,9 +165,11 @@ class Scratch:
         """Deletes tables of this object that nothing reads any more, and lets Spark remove shuffles of finished steps.
 
         Spark drops a shuffle's files when the driver's garbage collector finds it
-        unused, which may otherwise not happen before a query ends.
+        unused, which may otherwise not happen before a query ends.  What Python has
+        let go of reaches the driver's JVM within a second, so that is waited for.
         """
         import gc
+        import time
 
         jvm = self.spark.sparkContext._jvm
         own = self.root.rsplit("/", 1)[-1]
@@ -175,5 +177,7 @@ class Scratch:
             if f"/{own}/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+        for wait in (1.2, 0.2):
+            gc.collect()
+            jvm.System.gc()
+            time.sleep(wait)
