@@ -13,7 +13,8 @@ from spanforge.plans import views as V
 from spanforge.plans.queries import page_drawings, page_words, query, token_places
 from spanforge.session import table
 
-I = F.col("doc_id")
+def row_id() -> Column:
+    return F.col("doc_id")
 
 
 def documents(spark, d) -> DataFrame:
@@ -40,7 +41,7 @@ SPELLINGS = "m(key, label) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v i
 
 @query("label_spellings", f"WITH {SPELLINGS}, n AS (SELECT doc_id, {sql_pick(NAMES, 'doc_id')} AS name FROM documents) SELECT doc_id, label FROM n LEFT JOIN m ON lower(trim(name, E' \\t')) = key")
 def label_spellings(spark, d):
-    return documents(spark, d).select("doc_id", L.normalise_value(pick(NAMES, I)).alias("label"))
+    return documents(spark, d).select("doc_id", L.normalise_value(pick(NAMES, row_id())).alias("label"))
 
 
 @query("label_vectors", f"WITH {V.UNITS} SELECT doc_id, string_agg(g::VARCHAR, '' ORDER BY k) AS bits FROM units GROUP BY doc_id")
@@ -58,13 +59,13 @@ c AS (SELECT doc_id, j, CASE WHEN tag = 'O' THEN 'O' WHEN tag[1] IN ('B', 'I') T
 SELECT doc_id, CASE WHEN count(*) = count(tag) THEN string_agg(tag, ' ' ORDER BY j) END AS tags FROM c GROUP BY doc_id""",
 )
 def canonical_tags(spark, d):
-    found = F.array(*[pick(ODD_TAGS, I + j * j) for j in range(4)])
+    found = F.array(*[pick(ODD_TAGS, row_id() + j * j) for j in range(4)])
     return documents(spark, d).select("doc_id", F.array_join(L.canonical_tags(found), " ").alias("tags"))
 
 
 @query("effective_texts", "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 1 THEN 'new ' || doc_id ELSE trim(coalesce(text, ''), E' \\t\\n\\r\\f\\v') END) AS digest FROM documents")
 def effective_texts(spark, d):
-    curated = F.when(I % 3 == 0, "").when(I % 3 == 1, F.concat(F.lit(" new "), I, F.lit("\n")))
+    curated = F.when(row_id() % 3 == 0, "").when(row_id() % 3 == 1, F.concat(F.lit(" new "), row_id(), F.lit("\n")))
     return documents(spark, d).select("doc_id", F.md5(T.effective_text(curated, F.col("text")).cast("binary")).alias("digest"))
 
 
@@ -79,7 +80,7 @@ CHANCES = f"p AS (SELECT doc_id, k, {TAG_NAMES}[k + 1] AS tag, ((doc_id * 31 + k
 
 
 def chances() -> Column:
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(16).cast("long")), lambda k: F.pmod(I * 31 + k * k * 17, F.lit(101)).cast("double") / 100.0)
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(16).cast("long")), lambda k: F.pmod(row_id() * 31 + k * k * 17, F.lit(101)).cast("double") / 100.0)
 
 
 @query("argmax_tags", f"WITH {CHANCES} SELECT doc_id, arg_max(tag, p * 1000 - k) AS tag FROM p GROUP BY doc_id")
@@ -98,7 +99,7 @@ def best_value_tags(spark, d):
 SELECT doc_id, CASE WHEN NOT odd AND b >= a THEN array_to_string(list_sort(list_distinct(list_concat(range(a, b + 1), [c]))), ',') END AS pages FROM s""",
 )
 def page_ranges(spark, d):
-    spec = F.concat_ws("", I % 9 + 1, F.lit(" - "), I % 5 + I % 7 + 1, F.lit(", "), I % 13 + 1, F.when(I % 11 == 0, ",x"))
+    spec = F.concat_ws("", row_id() % 9 + 1, F.lit(" - "), row_id() % 5 + row_id() % 7 + 1, F.lit(", "), row_id() % 13 + 1, F.when(row_id() % 11 == 0, ",x"))
     return documents(spark, d).select("doc_id", F.array_join(T.page_numbers(spec).cast("array<string>"), ",").alias("pages"))
 
 
@@ -107,7 +108,7 @@ MARGINS = ["EN1", "SO3/EN1", " AUT ", "N.v.t.", "Hello EN1", "so3", "EN12", "INT
 
 @query("margin_codes", f"WITH m AS (SELECT doc_id, trim({sql_pick(MARGINS, 'doc_id')}) AS t FROM documents) SELECT doc_id, t IN ('AUT', 'INT', 'N.v.t.') OR regexp_full_match(t, '[A-Z]{{2}}\\d(/[A-Z]{{2}}\\d)*') AS code FROM m")
 def margin_codes(spark, d):
-    return documents(spark, d).select("doc_id", T.is_margin_code(pick(MARGINS, I)).alias("code"))
+    return documents(spark, d).select("doc_id", T.is_margin_code(pick(MARGINS, row_id())).alias("code"))
 
 
 NAMED = ", ".join(f"({i}, '{h}', '{n}', {int(h[1:3], 16)}, {int(h[3:5], 16)}, {int(h[5:7], 16)})" for i, (h, n) in enumerate(T.COLOR_NAMES.items()))
@@ -121,7 +122,7 @@ SELECT doc_id, printf('#%02X%02X%02X', r, g, b) AS hex, greatest(r, g, b) - leas
 CASE WHEN exact THEN name ELSE 'Near ' || lower(name) END AS name FROM c JOIN n USING (doc_id)""",
 )
 def colour_values(spark, d):
-    part = lambda k, pure: F.when(I % 6 == 0, pure).otherwise(I * k % 256)
+    part = lambda k, pure: F.when(row_id() % 6 == 0, pure).otherwise(row_id() * k % 256)
     c = documents(spark, d).select("doc_id", T.hex_color(part(7, 255), part(13, 0), part(29, 0)).alias("hex"))
     return c.select("doc_id", "hex", T.is_colourful(F.col("hex")).alias("colourful"), T.contrast(F.col("hex")).alias("ink"), T.color_name(F.col("hex")).alias("name"))
 
@@ -132,7 +133,7 @@ HIGHLIGHT_NAMES = [*T.HIGHLIGHTS, "MAUVE"]
 
 @query("highlight_colours", f"WITH h(name, hex) AS (VALUES {HIGHLIGHT_ROWS}), n AS (SELECT doc_id, {sql_pick(HIGHLIGHT_NAMES, 'doc_id')} AS name FROM documents) SELECT doc_id, hex FROM n LEFT JOIN h USING (name)")
 def highlight_colours(spark, d):
-    return documents(spark, d).select("doc_id", T.highlight_hex(pick(HIGHLIGHT_NAMES, I)).alias("hex"))
+    return documents(spark, d).select("doc_id", T.highlight_hex(pick(HIGHLIGHT_NAMES, row_id())).alias("hex"))
 
 
 NUMBERS = ["12", "- 7 -", "page 3", "1234", "12345", "–9–"]
@@ -145,9 +146,9 @@ SELECT doc_id, CASE WHEN a IN (90, 270) THEN cx < 70 OR cx > 595 - 70 ELSE cy <
 CASE WHEN a IN (90, 270) THEN cx < 595 * 0.15 OR cx > 595 * 0.85 ELSE cy < 842 * 0.15 OR cy > 842 * 0.85 END AND regexp_full_match(trim(t), '([-–—]\\s*)?\\d{{1,4}}(\\s*[-–—])?') AS number FROM b""",
 )
 def page_margins(spark, d):
-    x, y, a = I * 37 % 540, I * 53 % 836, (I % 4) * 90
+    x, y, a = row_id() * 37 % 540, row_id() * 53 % 836, (row_id() % 4) * 90
     box = (x, y, x + 60, y + 12, F.lit(595), F.lit(842), a)
-    return documents(spark, d).select("doc_id", layout.is_margin(*box).alias("margin"), layout.is_page_number(pick(NUMBERS, F.floor(I / 4)), *box).alias("number"))
+    return documents(spark, d).select("doc_id", layout.is_margin(*box).alias("margin"), layout.is_page_number(pick(NUMBERS, F.floor(row_id() / 4)), *box).alias("number"))
 
 
 @query(
@@ -156,7 +157,7 @@ def page_margins(spark, d):
 SELECT doc_id, length(regexp_replace(t, '[\\s\\x0B\\p{Z}]', '', 'g')) >= 200 AND length(regexp_replace(t, '[^\\p{L}]', '', 'g')) < 0.15 * length(regexp_replace(t, '[\\s\\x0B\\p{Z}]', '', 'g')) AS unreadable FROM t""",
 )
 def readable_texts(spark, d):
-    t = F.when(I % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", "[a-z]", "7"))
+    t = F.when(row_id() % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", "[a-z]", "7"))
     return documents(spark, d).select("doc_id", T.unreadable(t).alias("unreadable"))
 
 
@@ -170,7 +171,7 @@ h AS (SELECT doc_id, t, regexp_extract(t, '^([\\p{{L}}\\p{{N}}_]+(?:\\s+[\\p{{L}
 SELECT doc_id, length(head)::INTEGER AS shift, md5(t[length(head) + 1:]) AS digest FROM h""",
 )
 def speaker_names(spark, d):
-    found = T.strip_speaker(F.concat(pick(SPEAKERS, I), F.lit("said. "), F.col("text")))
+    found = T.strip_speaker(F.concat(pick(SPEAKERS, row_id()), F.lit("said. "), F.col("text")))
     return documents(spark, d).select("doc_id", found.alias("s")).select("doc_id", "s.shift", F.md5(F.col("s.text").cast("binary")).alias("digest"))
 
 
@@ -239,7 +240,7 @@ def words_in_sentences(spark, d):
 def citation_validity(spark, d):
     from spanforge.operators.people import citation_valid
 
-    rows = documents(spark, d).select("doc_id", F.when(I % 3 == 1, "anna").when(I % 3 == 2, "").alias("confirmed_by"), F.when(I % 5 == 2, "valid").when(I % 5 == 3, "invalid").alias("program_status"))
+    rows = documents(spark, d).select("doc_id", F.when(row_id() % 3 == 1, "anna").when(row_id() % 3 == 2, "").alias("confirmed_by"), F.when(row_id() % 5 == 2, "valid").when(row_id() % 5 == 3, "invalid").alias("program_status"))
     return rows.select("doc_id", citation_valid().alias("valid"))
 
 
@@ -264,13 +265,13 @@ PERSON_RULES = [
 
 @query("person_rules", f"SELECT doc_id, {sql_codes(PERSON_RULES)} AS codes FROM documents")
 def person_rules(spark, d):
-    every = lambda n: I % n == 0
-    role = F.when(every(13), F.array(F.lit("king"))).when(I % 4 == 1, F.array(F.lit("annotator"))).otherwise(F.array(F.lit("curator"), F.lit("data_owner")))
+    every = lambda n: row_id() % n == 0
+    role = F.when(every(13), F.array(F.lit("king"))).when(row_id() % 4 == 1, F.array(F.lit("annotator"))).otherwise(F.array(F.lit("curator"), F.lit("data_owner")))
     rows = documents(spark, d).select(
         "doc_id",
         F.when(every(2), "person 1").otherwise("PERSON-A1").alias("person_id"),
         F.when(every(3), " \t").otherwise("Anna").alias("name"),
-        F.when(every(5), "anna@home").otherwise(F.when(I % 3 == 1, "").otherwise("anna@home.org")).alias("email"),
+        F.when(every(5), "anna@home").otherwise(F.when(row_id() % 3 == 1, "").otherwise("anna@home.org")).alias("email"),
         F.when(every(7), "0000-0001").otherwise("0000-0002-1825-009X").alias("orcid"),
         F.when(every(11), F.array().cast("array<string>")).otherwise(role).alias("roles"),
         every(17).alias("active_curator"),
@@ -291,7 +292,7 @@ CITATION_RULES = [
 
 @query("citation_rules", f"SELECT doc_id, {sql_codes(CITATION_RULES)} AS codes FROM documents")
 def citation_rules(spark, d):
-    every = lambda n: I % n == 0
+    every = lambda n: row_id() % n == 0
     rows = documents(spark, d).select(
         "doc_id",
         F.when(every(2), " ").otherwise("A title").alias("title"),
@@ -300,8 +301,8 @@ def citation_rules(spark, d):
         F.when(every(7), None).when(every(11), 99).otherwise(1999).alias("issued_year"),
         F.lit(False).alias("undated"),
         F.when(~every(13), "Anna 1999").alias("citation"),
-        F.when(I % 4 == 0, "https://example.org").alias("reference"),
-        F.when(I % 4 > 1, "lost").otherwise("").alias("not_findable_reason"),
+        F.when(row_id() % 4 == 0, "https://example.org").alias("reference"),
+        F.when(row_id() % 4 > 1, "lost").otherwise("").alias("not_findable_reason"),
     )
     return rows.select("doc_id", joined_codes(contract.citation_issues()).alias("codes"))
 
@@ -329,19 +330,19 @@ READY_RULES = [
 
 @query("readiness_rules", f"SELECT doc_id, {sql_codes(READY_RULES)} AS codes, {sql_codes([(c, n) for c, n in READY_RULES if n != 'source_not_findable' and n not in contract.CITATION_CODES])} AS blocking FROM documents")
 def readiness_rules(spark, d):
-    every = lambda n: I % n == 0
+    every = lambda n: row_id() % n == 0
     none = F.array().cast("array<string>")
     color = "array<struct<hex:string,label:string,status:string,reason:string>>"
     one = lambda label, status, reason: F.array(F.struct(F.lit("#FF0000").alias("hex"), F.lit(label).cast("string").alias("label"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))).cast(color)
-    colors = F.when(every(8), F.array().cast(color)).when(every(9), one(None, "pending", None)).when(I % 9 == 1, one(None, "approved", None)).when(I % 9 == 2, one(None, "ignored", "")).otherwise(one("age", "approved", None))
+    colors = F.when(every(8), F.array().cast(color)).when(every(9), one(None, "pending", None)).when(row_id() % 9 == 1, one(None, "approved", None)).when(row_id() % 9 == 2, one(None, "ignored", "")).otherwise(one("age", "approved", None))
     day = F.lit("2020-01-01").cast("date")
     rows = documents(spark, d).select(
         "doc_id",
         F.when(every(2), "").otherwise("t").alias("title"),
         F.array(F.lit("Anna")).alias("creators"),
         F.when(~every(3), "c").alias("citation"),
-        F.when(I % 5 > 1, "r").alias("reference"),
-        F.when(I % 5 == 1, "lost").alias("not_findable_reason"),
+        F.when(row_id() % 5 > 1, "r").alias("reference"),
+        F.when(row_id() % 5 == 1, "lost").alias("not_findable_reason"),
         (~every(7)).alias("citation_validated"),
         F.when(every(11), none).otherwise(F.array(F.lit("Ben"))).alias("annotators"),
         F.when(~every(13), "m").alias("method"),
@@ -366,9 +367,9 @@ def readiness_rules(spark, d):
 @query("extraction_scopes", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 = 0 ELSE doc_id % 5 > 2 END AS valid FROM documents")
 def extraction_scopes(spark, d):
     lists = [F.array().cast("array<int>"), F.array(F.lit(2), F.lit(1)), F.array(F.lit(1), F.lit(1)), F.array(F.lit(1), F.lit(4)), F.array(F.lit(7))]
-    partial = F.get(F.array(*lists), (I % 5).cast("int"))
-    full = F.when(I % 4 == 0, F.lit(None).cast("array<int>")).otherwise(F.array(F.lit(1)))
-    rows = documents(spark, d).select("doc_id", (I % 2 == 0).alias("full"), F.when(I % 2 == 0, full).otherwise(partial).alias("pages"))
+    partial = F.get(F.array(*lists), (row_id() % 5).cast("int"))
+    full = F.when(row_id() % 4 == 0, F.lit(None).cast("array<int>")).otherwise(F.array(F.lit(1)))
+    rows = documents(spark, d).select("doc_id", (row_id() % 2 == 0).alias("full"), F.when(row_id() % 2 == 0, full).otherwise(partial).alias("pages"))
     return rows.select("doc_id", contract.scope_is_valid(F.col("full"), F.col("pages")).alias("valid"))
 
 
@@ -384,7 +385,7 @@ SELECT doc_id, CASE WHEN contains(code, 'package') OR contains(code, 'resource')
 def guide_pages(spark, d):
     from spanforge.operators.registry import guide
 
-    return documents(spark, d).select("doc_id", guide(pick(CODES, I), pick(PATHS, F.floor(I / 5))).alias("page"))
+    return documents(spark, d).select("doc_id", guide(pick(CODES, row_id()), pick(PATHS, F.floor(row_id() / 5))).alias("page"))
 
 
 MOVES = [("backlog", "start", "in_progress"), ("in_progress", "submit", "in_review"), ("in_review", "approve", "done"), ("in_review", "reject", "in_progress")]
@@ -399,7 +400,7 @@ SELECT doc_id, coalesce(after, status) AS status FROM s LEFT JOIN m USING (statu
 def workflow_moves(spark, d):
     from spanforge.operators.registry import next_status
 
-    return documents(spark, d).select("doc_id", next_status(pick(STATES, I), pick(EVENTS, F.floor(I / 4))).alias("status"))
+    return documents(spark, d).select("doc_id", next_status(pick(STATES, row_id()), pick(EVENTS, F.floor(row_id() / 4))).alias("status"))
 
 
 @query(

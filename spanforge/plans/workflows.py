@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import colors, contract, evaluation, people, registry
 from spanforge.plans import views as V
-from spanforge.plans.expressions import I, documents, pick, sql_pick
+from spanforge.plans.expressions import documents, pick, row_id, sql_pick
 from spanforge.plans.queries import RECORD_KINDS, query, records
 from spanforge.sources import documents as D
 from spanforge.sources import sinks
@@ -26,8 +26,8 @@ WANTED = "wanted AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'incoming/' WHEN doc_i
 
 
 def wanted(spark, d):
-    place = F.when(I % 7 == 0, "incoming/").when(I % 3 == 0, "nowhere/").otherwise("sources/")
-    return documents(spark, d).filter(I % 2 == 0).select(V.path_of(place).alias("source_path"))
+    place = F.when(row_id() % 7 == 0, "incoming/").when(row_id() % 3 == 0, "nowhere/").otherwise("sources/")
+    return documents(spark, d).filter(row_id() % 2 == 0).select(V.path_of(place).alias("source_path"))
 
 
 @query("registered_sources", f"WITH {V.REGISTRY}, {WANTED} SELECT source_path, checksum FROM discovered SEMI JOIN wanted USING (source_path) ANTI JOIN registry USING (source_path)")
@@ -53,15 +53,15 @@ def scan_report(spark, d):
 @query("reusable_checkpoints", "SELECT doc_id::VARCHAR AS document_id, doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS reuse FROM documents")
 def reusable_checkpoints(spark, d):
     """A checkpoint is there but for every fifth document; sources, mappings or counts of some have changed."""
-    docs = documents(spark, d).select(I.cast("string").alias("document_id"), F.md5(F.col("text").cast("binary")).alias("source_sha256"), F.col("lang").alias("mapping_sha256"), F.col("n_chars").alias("records"), "doc_id")
+    docs = documents(spark, d).select(row_id().cast("string").alias("document_id"), F.md5(F.col("text").cast("binary")).alias("source_sha256"), F.col("lang").alias("mapping_sha256"), F.col("n_chars").alias("records"), "doc_id")
     now = docs.drop("doc_id")
-    old = docs.filter(I % 5 != 0).select("document_id", F.when(I % 3 == 0, "x").otherwise(F.col("source_sha256")).alias("source_sha256"), F.when(I % 7 == 0, "x").otherwise(F.col("mapping_sha256")).alias("mapping_sha256"), (F.col("records") + (I % 11 == 0).cast("int")).alias("records"))
+    old = docs.filter(row_id() % 5 != 0).select("document_id", F.when(row_id() % 3 == 0, "x").otherwise(F.col("source_sha256")).alias("source_sha256"), F.when(row_id() % 7 == 0, "x").otherwise(F.col("mapping_sha256")).alias("mapping_sha256"), (F.col("records") + (row_id() % 11 == 0).cast("int")).alias("records"))
     return registry.reusable(old, now).select("document_id", "reuse")
 
 
 @query("batch_report", "SELECT source, count(*) FILTER (doc_id % 4 = 0) AS completed, count(*) FILTER (doc_id % 4 IN (1, 2)) AS reused, count(*) FILTER (doc_id % 4 = 3) AS failed, count(*) FILTER (doc_id % 4 = 3) = 0 AS successful FROM (SELECT *, 'all' AS source FROM (SELECT doc_id FROM documents)) GROUP BY source")
 def batch_report(spark, d):
-    results = documents(spark, d).select(pick(["completed", "reused", "reused", "failed"], I).alias("status"))
+    results = documents(spark, d).select(pick(["completed", "reused", "reused", "failed"], row_id()).alias("status"))
     return registry.batch_report(results).withColumn("source", F.lit("all"))
 
 
@@ -81,9 +81,9 @@ SELECT c.source_filename, title, CASE WHEN n = 1 THEN source_path END AS source_
 )
 def matched_citations(spark, d):
     docs = documents(spark, d)
-    sources = docs.select(F.when(I % 4 == 3, F.concat("lang", I, F.lit("/same.pdf"))).otherwise(V.path_of(F.lit("sources/"))).alias("source_path"))
-    name = F.when(I % 4 == 0, V.path_of(F.lit("sources/"))).when(I % 4 == 1, V.path_of(F.lit(""))).when(I % 4 == 2, F.concat(F.lit("lost"), I)).otherwise("same.pdf")
-    cited = docs.select(name.alias("source_filename"), F.concat(F.lit("t"), I).alias("title"))
+    sources = docs.select(F.when(row_id() % 4 == 3, F.concat("lang", row_id(), F.lit("/same.pdf"))).otherwise(V.path_of(F.lit("sources/"))).alias("source_path"))
+    name = F.when(row_id() % 4 == 0, V.path_of(F.lit("sources/"))).when(row_id() % 4 == 1, V.path_of(F.lit(""))).when(row_id() % 4 == 2, F.concat(F.lit("lost"), row_id())).otherwise("same.pdf")
+    cited = docs.select(name.alias("source_filename"), F.concat(F.lit("t"), row_id()).alias("title"))
     return people.unique_match(cited, sources).select("source_filename", "title", "source_path", "code")
 
 
@@ -93,9 +93,9 @@ def matched_citations(spark, d):
 CASE doc_id % 4 WHEN 0 THEN 'Anna' WHEN 1 THEN 'Ben' END AS creator, CASE doc_id % 5 WHEN 0 THEN '1999' WHEN 1 THEN '2004' ELSE '' END AS year FROM documents""",
 )
 def proposed_citations(spark, d):
-    when = lambda k, r, v: F.when(I % k == r, v)
+    when = lambda k, r, v: F.when(row_id() % k == r, v)
     rows = documents(spark, d).select(
-        F.concat(F.lit("sources/my_doc_"), I, F.lit(".v1.pdf")).alias("source_path"),
+        F.concat(F.lit("sources/my_doc_"), row_id(), F.lit(".v1.pdf")).alias("source_path"),
         when(3, 0, " Given ").otherwise(" ").alias("title"),
         when(3, 1, "Embedded").alias("embedded_title"),
         when(4, 0, "Anna").alias("creator"),
@@ -120,32 +120,32 @@ def assigned_people(spark, d):
     key = F.col("c_custkey")
     roles = F.when(key % 3 == 0, F.array(F.lit("annotator"))).otherwise(F.array(F.lit("curator"), F.lit("annotator")))
     known = table(spark, d, "customer").filter(key % 4 != 0).select(F.concat(F.lit("PERSON-"), key).alias("person_id"), F.col("c_name").alias("name"), roles.alias("roles"), F.lit("home").alias("affiliation"), F.lit(None).cast("string").alias("orcid"))
-    asked = documents(spark, d).select(I.alias("document_id"), F.concat(F.lit("PERSON-"), I % 97 + 1).alias("person_id"))
+    asked = documents(spark, d).select(row_id().alias("document_id"), F.concat(F.lit("PERSON-"), row_id() % 97 + 1).alias("person_id"))
     return people.assign(asked, known, "curator").select("document_id", "person_id", F.col("snapshot.name").alias("name"), "code")
 
 
 @query("documents_of_people", "SELECT 'PERSON-' || (doc_id % 97 + 1) AS person_id, count(DISTINCT doc_id)::BIGINT AS n, string_agg(DISTINCT lpad(doc_id::VARCHAR, 12, '0'), ',' ORDER BY lpad(doc_id::VARCHAR, 12, '0')) AS documents FROM documents GROUP BY 1")
 def documents_of_people(spark, d):
-    asked = documents(spark, d).select(F.lpad(I.cast("string"), 12, "0").alias("document_id"), F.concat(F.lit("PERSON-"), I % 97 + 1).alias("person_id"))
+    asked = documents(spark, d).select(F.lpad(row_id().cast("string"), 12, "0").alias("document_id"), F.concat(F.lit("PERSON-"), row_id() % 97 + 1).alias("person_id"))
     return people.documents_of(asked).select("person_id", F.size("documents").cast("long").alias("n"), F.array_join("documents", ",").alias("documents"))
 
 
 @query("current_decisions", "SELECT source AS document_id, max(doc_id) AS candidate_id, CASE WHEN max(doc_id) % 3 = 0 THEN NULL WHEN max(doc_id) % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS decision FROM documents GROUP BY source")
 def current_decisions(spark, d):
     """Each source's latest document is its candidate; two decisions on a candidate, the last counts; a third has none."""
-    candidates = documents(spark, d).select(F.col("source").alias("document_id"), I.alias("candidate_id"), I.alias("ord"))
-    decided = documents(spark, d).filter(I % 3 != 0)
-    last = decided.select(I.alias("candidate_id"), F.when(I % 2 == 0, "accepted").otherwise("rejected").alias("decision"), F.lit("b").alias("actor"), F.lit(2).alias("ord"))
-    first = decided.select(I.alias("candidate_id"), F.lit("deferred").alias("decision"), F.lit("a").alias("actor"), F.lit(1).alias("ord"))
+    candidates = documents(spark, d).select(F.col("source").alias("document_id"), row_id().alias("candidate_id"), row_id().alias("ord"))
+    decided = documents(spark, d).filter(row_id() % 3 != 0)
+    last = decided.select(row_id().alias("candidate_id"), F.when(row_id() % 2 == 0, "accepted").otherwise("rejected").alias("decision"), F.lit("b").alias("actor"), F.lit(2).alias("ord"))
+    first = decided.select(row_id().alias("candidate_id"), F.lit("deferred").alias("decision"), F.lit("a").alias("actor"), F.lit(1).alias("ord"))
     return people.current_decisions(candidates, last.union(first)).select("document_id", "candidate_id", "decision")
 
 
 # --- colours ------------------------------------------------------------------------------------
 
 
-@query("colour_occurrences", f"WITH {RECORD_KINDS} SELECT CASE WHEN kind = 4 THEN 'RED' ELSE '#00FF00' END AS hex, doc_id, sentence_id::INTEGER AS sentence_id, 0 AS start, (CASE WHEN kind = 2 THEN length(sentence) + 1 ELSE length(first) END)::INTEGER AS \"end\" FROM kinds")
+@query("colour_occurrences", f"WITH {RECORD_KINDS} SELECT CASE WHEN kind = 4 THEN 'RED' ELSE '#00FF00' END AS hex, doc_id, sentence_id::INTEGER AS sentence_id, 0 AS begins, (CASE WHEN kind = 2 THEN length(sentence) + 1 ELSE length(first) END)::INTEGER AS ends FROM kinds")
 def colour_occurrences(spark, d):
-    return colors.occurrences(records(spark, d), "doc_id", "sentence_id")
+    return colors.occurrences(records(spark, d), "doc_id", "sentence_id").withColumnsRenamed({"start": "begins", "end": "ends"})
 
 
 PALETTE_HEX = ["#FF0000", "#00FF00", "#0000FF", "#FFFF00"]
@@ -170,7 +170,7 @@ a AS (SELECT document_id, hex, label, 'approved' AS status FROM palette UNION AL
 SELECT *, document_id NOT IN (SELECT document_id FROM a WHERE status = 'pending') AS confirmed FROM a""",
 )
 def new_colours(spark, d):
-    seen = documents(spark, d).select(F.col("source").alias("document_id"), pick(PALETTE_HEX, I).alias("hex")).distinct()
+    seen = documents(spark, d).select(F.col("source").alias("document_id"), pick(PALETTE_HEX, row_id()).alias("hex")).distinct()
     return colors.with_new_colors(palette(spark, d), seen, "document_id")
 
 
@@ -190,9 +190,9 @@ def batch_palette_issues(spark, d):
 SELECT hex, CASE WHEN doc_id % 2 = 0 THEN 'social' WHEN doc_id % 3 = 0 THEN 'age' END AS label, CASE WHEN doc_id % 2 = 0 THEN 'document' WHEN doc_id % 3 = 0 THEN 'profile' ELSE 'manual' END AS method FROM c""",
 )
 def mapping_precedence(spark, d):
-    seen = documents(spark, d).select(F.format_string("#%06X", I).alias("hex"), I).distinct()
-    own = seen.filter(I % 2 == 0).select(F.lower("hex").alias("hex"), F.lit("social").alias("label"))
-    profile = seen.filter(I % 3 == 0).select("hex", F.lit("age").alias("label"))
+    seen = documents(spark, d).select(F.format_string("#%06X", row_id()).alias("hex"), row_id()).distinct()
+    own = seen.filter(row_id() % 2 == 0).select(F.lower("hex").alias("hex"), F.lit("social").alias("label"))
+    profile = seen.filter(row_id() % 3 == 0).select("hex", F.lit("age").alias("label"))
     return colors.resolve(seen.select("hex"), ("document", own), ("profile", profile))
 
 
@@ -203,14 +203,14 @@ def mapping_precedence(spark, d):
 def chosen_labels(spark, d):
     rows = spark.createDataFrame([(1, "#00ff00", "age", "social", "approved"), (1, "#FF0000", None, "historic", "pending"), (1, "#0000FF", "age", None, "ignored")], "one int, hex string, label string, suggestion string, status string")
     found = rows.groupBy("one").agg(F.array_sort(F.collect_list(F.struct("hex", "label", "suggestion", "status"))).alias("colors"))
-    chosen = colors.chosen_labels(F.col("colors"), I % 3 == 0, I % 3 < 2)
+    chosen = colors.chosen_labels(F.col("colors"), row_id() % 3 == 0, row_id() % 3 < 2)
     out = documents(spark, d).select("doc_id").crossJoin(F.broadcast(found)).select("doc_id", F.array_sort(F.map_entries(chosen)).alias("m"))  # one row
     return out.select("doc_id", F.array_join(F.transform("m", lambda x: F.concat_ws("=", x.getField("key"), x.getField("value"))), ",").alias("labels"))
 
 
 @query(
     "compiled_drafts",
-    f"""WITH {RECORD_KINDS} SELECT doc_id, sentence_id::INTEGER AS sentence_id, CASE WHEN kind = 4 THEN '' ELSE 'age' END AS "values", CASE WHEN kind = 4 THEN 'RED' ELSE '' END AS unresolved FROM kinds WHERE kind <> 12""",
+    f"""WITH {RECORD_KINDS} SELECT doc_id, sentence_id::INTEGER AS sentence_id, CASE WHEN kind = 4 THEN '' ELSE 'age' END AS labels, CASE WHEN kind = 4 THEN 'RED' ELSE '' END AS unresolved FROM kinds WHERE kind <> 12""",
 )
 def compiled_drafts(spark, d):
     """Green becomes a label, red is unknown, the colour of every twelfth kind is ignored."""
@@ -218,7 +218,7 @@ def compiled_drafts(spark, d):
     labels = F.when(F.col("kind") == 12, F.create_map(F.lit("#FFFFFF"), F.lit("social"))).otherwise(F.create_map(F.lit("#00FF00"), F.lit("age")))
     ignored = F.when(F.col("kind") == 12, F.array(F.lit("#00FF00"))).otherwise(F.array().cast("array<string>"))
     out = colors.compile_draft(rows, labels, ignored)
-    return out.select("doc_id", "sentence_id", F.array_join("values", ",").alias("values"), F.array_join("unresolved", ",").alias("unresolved"))
+    return out.select("doc_id", "sentence_id", F.array_join("values", ",").alias("labels"), F.array_join("unresolved", ",").alias("unresolved"))
 
 
 @query(
@@ -228,7 +228,7 @@ SELECT hex, CASE k WHEN 1 THEN 'missing_decision' WHEN 2 THEN 'unknown_color' WH
 )
 def colour_decisions(spark, d):
     """Of six colours one has no decision, one was not seen, one is decided twice, one has a label and a reason."""
-    c = documents(spark, d).select(F.format_string("#%06x", I).alias("hex"), (I % 6).alias("k"))
+    c = documents(spark, d).select(F.format_string("#%06x", row_id()).alias("hex"), (row_id() % 6).alias("k"))
     made = c.filter("k <> 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("k") == 3, 2).otherwise(1))))
     made = made.select("hex", F.lit("age").alias("label"), F.when(F.col("k") == 4, "odd").alias("reason"))
     return colors.decision_issues(c.filter("k <> 2").select("hex"), made)
@@ -238,7 +238,7 @@ VERSIONS = "versions AS (SELECT source AS configuration_id, (doc_id % 3 + 1)::IN
 
 
 def versions(spark, d):
-    return documents(spark, d).select(F.col("source").alias("configuration_id"), (I % 3 + 1).cast("int").alias("version"), F.format_string("#%06X", I).alias("hex"), F.lit("age").alias("label"))
+    return documents(spark, d).select(F.col("source").alias("configuration_id"), (row_id() % 3 + 1).cast("int").alias("version"), F.format_string("#%06X", row_id()).alias("hex"), F.lit("age").alias("label"))
 
 
 @query("selected_palettes", f"WITH {VERSIONS} SELECT * FROM versions WHERE version = length(configuration_id) % 3 + 1")
@@ -293,14 +293,14 @@ FILES = "f AS (SELECT doc_id::VARCHAR AS document_id, doc_id, file, (doc_id + le
 
 def packages(spark, d):
     """Metadata, two records, their reviews and three files of every document, with faults by number."""
-    docs = documents(spark, d).select("doc_id", I.cast("string").alias("document_id"))
-    state = F.when(I % 17 == 0, "missing").when(I % 17 == 1, "changed").otherwise("current")
-    meta = docs.select("document_id", F.when(I % 19 == 0, 3).otherwise(2).cast("long").alias("record_count"), state.alias("source_state"))
+    docs = documents(spark, d).select("doc_id", row_id().cast("string").alias("document_id"))
+    state = F.when(row_id() % 17 == 0, "missing").when(row_id() % 17 == 1, "changed").otherwise("current")
+    meta = docs.select("document_id", F.when(row_id() % 19 == 0, 3).otherwise(2).cast("long").alias("record_count"), state.alias("source_state"))
     rec = docs.select("doc_id", "document_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("sentence_id")).withColumn("record_sha256", F.lit("x"))
-    status = F.when((I % 23 == 0) & (F.col("sentence_id") == 1), "pending").when((I % 23 == 1) & (F.col("sentence_id") == 2), "odd").otherwise("approved")
-    rev = rec.filter(~((I % 29 == 0) & (F.col("sentence_id") == 2))).select("document_id", "sentence_id", F.when(I % 31 == 0, "y").otherwise(F.col("record_sha256")).alias("record_sha256"), status.alias("status"))
+    status = F.when((row_id() % 23 == 0) & (F.col("sentence_id") == 1), "pending").when((row_id() % 23 == 1) & (F.col("sentence_id") == 2), "odd").otherwise("approved")
+    rev = rec.filter(~((row_id() % 29 == 0) & (F.col("sentence_id") == 2))).select("document_id", "sentence_id", F.when(row_id() % 31 == 0, "y").otherwise(F.col("record_sha256")).alias("record_sha256"), status.alias("status"))
     files = docs.select("doc_id", "document_id", F.explode(F.array(*[F.lit(f) for f in registry.PACKAGE_FILES])).alias("file"))
-    k = (I + F.length("file")) % 13
+    k = (row_id() + F.length("file")) % 13
     files = files.select("document_id", "file", F.when(k == 0, "unreadable").when(k == 1, "invalid_json").when(k == 2, "invalid").when(k == 3, "missing").otherwise("ok").alias("state"), F.when(k == 4, "other").otherwise(F.col("document_id")).alias("named_document"), F.when(k == 5, "a.json").otherwise("annotations.json").alias("resource_path"))
     return meta, rec.drop("doc_id"), rev, files
 
@@ -341,8 +341,8 @@ SELECT case_id, count(*) FILTER (g)::BIGINT AS gold, count(*) FILTER (o)::BIGINT
 round(count(*) FILTER (g AND o) / nullif(count(*) FILTER (o), 0)::DOUBLE, 9) AS precision, round(count(*) FILTER (g AND o) / nullif(count(*) FILTER (g), 0)::DOUBLE, 9) AS recall FROM r GROUP BY case_id""",
 )
 def record_ratios(spark, d):
-    each = documents(spark, d).select(I, F.col("source").alias("case_id"), F.to_json(F.struct((I % 50).alias("r"))).alias("record"))
-    out = evaluation.record_ratios(each.filter(I % 4 != 0), each.filter(I % 3 != 0))
+    each = documents(spark, d).select(row_id(), F.col("source").alias("case_id"), F.to_json(F.struct((row_id() % 50).alias("r"))).alias("record"))
+    out = evaluation.record_ratios(each.filter(row_id() % 4 != 0), each.filter(row_id() % 3 != 0))
     return out.select("case_id", *[F.col(c).cast("long").alias(c) for c in ("gold", "observed", "matched")], "precision", "recall")
 
 
@@ -352,14 +352,14 @@ def record_ratios(spark, d):
 round(count(*) FILTER (doc_id % 5 = 0) / count(*)::DOUBLE, 9) AS abstention_rate FROM documents GROUP BY source""",
 )
 def proposal_rates(spark, d):
-    return evaluation.rates(documents(spark, d).select("source", F.when(I % 5 != 0, "age").alias("label"), (I % 3 == 0).alias("corrected")), "source")
+    return evaluation.rates(documents(spark, d).select("source", F.when(row_id() % 5 != 0, "age").alias("label"), (row_id() % 3 == 0).alias("corrected")), "source")
 
 
 @query("split_differences", "SELECT 'missing' AS side, doc_id AS id FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT 'added', -doc_id - 1 FROM documents WHERE doc_id % 9 = 0")
 def split_differences(spark, d):
     """Rows of a published split that a computed one lacks, and the other way round; ids of every ninth row differ."""
-    published = documents(spark, d).select(I.alias("id"), "lang")
-    computed = documents(spark, d).select(F.when(I % 9 == 0, -I - 1).otherwise(I).alias("id"), "lang")
+    published = documents(spark, d).select(row_id().alias("id"), "lang")
+    computed = documents(spark, d).select(F.when(row_id() % 9 == 0, -row_id() - 1).otherwise(row_id()).alias("id"), "lang")
     assert not registry.same_split(published, computed)
     return published.exceptAll(computed).select(F.lit("missing").alias("side"), "id").union(computed.exceptAll(published).select(F.lit("added"), "id"))
 
@@ -409,15 +409,15 @@ SHAPES = [
 
 @query("structural_issues", f"SELECT doc_id, {sql_pick([p for _, p in SHAPES], 'doc_id')} AS paths FROM documents")
 def structural_issues(spark, d):
-    found = contract.structural(pick([s for s, _ in SHAPES], I))
+    found = contract.structural(pick([s for s, _ in SHAPES], row_id()))
     return documents(spark, d).select("doc_id", F.array_join(F.transform(found, lambda i: i.getField("path")), ",").alias("paths"))
 
 
-@query("flat_records", f"WITH {RECORD_KINDS} SELECT doc_id, sentence_id::INTEGER AS sentence_id, '[\"' || CASE WHEN kind = 9 THEN 'age\",\"social' ELSE label END || '\"]' AS \"values\", md5(sentence) AS digest FROM kinds")
+@query("flat_records", f"WITH {RECORD_KINDS} SELECT doc_id, sentence_id::INTEGER AS sentence_id, '[\"' || CASE WHEN kind = 9 THEN 'age\",\"social' ELSE label END || '\"]' AS labels, md5(sentence) AS digest FROM kinds")
 def flat_records(spark, d):
     """Records as rows of a CSV file, lists as JSON."""
     rows = records(spark, d).withColumnRenamed("doc_id", "document_id")
-    return sinks.flat(rows).select(F.col("document_id").alias("doc_id"), "sentence_id", "values", F.md5(F.col("sentence").cast("binary")).alias("digest"))
+    return sinks.flat(rows).select(F.col("document_id").alias("doc_id"), "sentence_id", F.col("values").alias("labels"), F.md5(F.col("sentence").cast("binary")).alias("digest"))
 
 
 @query(
