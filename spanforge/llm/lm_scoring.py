@@ -53,6 +53,8 @@ END = b"\n"
 A = 0.4
 GATES, DEPTHS = 16, 8
 APM_STEPS, APM_EDGE = 33, 8.0
+#: Log-odds of a predictor are within the edge, in steps of a 14-bit number.
+EDGE, STEP = 12.0, 8_191 / 12.0
 #: What the fit's first weights count for, and rates of learning inside a document.
 RIDGE, RATE, MAP_PRIOR = 8.0, 0.005, 255.0
 
@@ -97,8 +99,8 @@ class Code:
     counts: np.ndarray
     offset: np.ndarray = field(init=False)
     size: np.ndarray = field(init=False)
-    nodes: np.ndarray = field(init=False)
-    bits: np.ndarray = field(init=False)
+    #: Node, depth (at most DEPTHS - 1) and bit of each step of each path, in one number.
+    path: np.ndarray = field(init=False)
     log_odds: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -115,8 +117,8 @@ class Code:
             weight[node] = a + b
             odds[node - n] = np.log((b + A) / (a + A))
             heapq.heappush(heap, (a + b, node))
-        self.log_odds = odds
-        paths, at = [[], []], 0
+        self.log_odds = np.clip(odds, -EDGE, EDGE)
+        steps, at = [], 0
         self.offset, self.size = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for leaf in range(n):
             path = []
@@ -126,10 +128,8 @@ class Code:
                 node = parent[node]
             self.offset[leaf], self.size[leaf] = at, len(path)
             at += len(path)
-            for node, bit in reversed(path):
-                paths[0].append(node)
-                paths[1].append(bit)
-        self.nodes, self.bits = np.array(paths[0], np.int32), np.array(paths[1], np.int8)
+            steps += [node << 4 | min(depth, DEPTHS - 1) << 1 | int(bit) for depth, (node, bit) in enumerate(reversed(path))]
+        self.path = np.array(steps, np.int32)
         self.ids = {w: i for i, w in enumerate(self.words)}
 
     @property
@@ -142,9 +142,9 @@ class Code:
 
 @dataclass
 class Bits:
-    """The decisions of a run of whole documents."""
+    """The decisions of a run of whole documents: document, node, bit, depth (at most DEPTHS - 1) and slots of each."""
 
-    token: np.ndarray
+    of: np.ndarray
     node: np.ndarray
     bit: np.ndarray
     depth: np.ndarray
@@ -153,11 +153,10 @@ class Bits:
 
 def decisions(code: Code, symbols: np.ndarray, doc: np.ndarray, table_bits: int) -> Bits:
     size = code.size[symbols]
-    token = np.repeat(np.arange(len(symbols), dtype=np.int32), size)
-    shift_back = np.repeat((np.cumsum(size) - size).astype(np.int32), size)
-    depth = np.arange(len(token), dtype=np.int32) - shift_back
-    flat = np.repeat(code.offset[symbols].astype(np.int32), size) + depth
-    node = code.nodes[flat]
+    flat = np.repeat(code.offset[symbols] - (np.cumsum(size) - size), size)
+    flat += np.arange(len(flat))
+    path = code.path.take(flat)
+    node, low = path >> 4, path.astype(np.uint8)
     start = np.uint64(code.escape + 1)
     before = [np.full(len(symbols), start), np.full(len(symbols), start)]
     for k, b in enumerate(before, 1):
@@ -167,9 +166,17 @@ def decisions(code: Code, symbols: np.ndarray, doc: np.ndarray, table_bits: int)
     one = mix((before[0] + np.uint64(1)) * MIX_A)
     two = mix(one + (before[1] + np.uint64(1)) * MIX_B)
     shift = np.uint64(64 - table_bits)
-    n = (node.astype(np.uint64) + np.uint64(1)) * MIX_B
-    slots = [(((np.repeat(h, size) ^ n) * MIX_A) >> shift).view(np.int64) for h in (one, two)]
-    return Bits(token, node, code.bits[flat], depth, slots)
+    n = node.astype(np.uint64)
+    n += np.uint64(1)
+    n *= MIX_B
+    slots = []
+    for h in (one, two):
+        slot = np.repeat(h, size)
+        slot ^= n
+        slot *= MIX_A
+        slot >>= shift
+        slots.append(slot.view(np.int64))
+    return Bits(np.repeat(doc.astype(np.int32), size), node, low & np.uint8(1), (low >> 1) & np.uint8(DEPTHS - 1), slots)
 
 
 def runs(texts: list[bytes], code: Code, most: int = RUN) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
@@ -235,71 +242,75 @@ def count_tables(train: DataFrame, code, table_bits: int, scratch: Scratch) -> l
     return tables
 
 
-def own_history(bits: Bits, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each decision, how often its node took bit 0 and bit 1 earlier in the same document.
+def own_history(bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """For each decision, how often its node took bit 0 and bit 1 earlier in the same document, 65,535 at most.
 
     Decisions come by document, so a stable sort by node (a radix sort, for nodes
     have 16 bits) puts those of a node and document side by side, in order.
     """
     order = np.argsort(bits.node.astype(np.uint16 if bits.node.max(initial=0) < 1 << 16 else np.int64), kind="stable")
-    node, of, bit = bits.node[order], doc[bits.token][order], bits.bit[order].astype(np.int32)
-    new = np.empty(len(node), bool)
+    key = ((bits.node.astype(np.int64) << 32) | (bits.of.astype(np.int64) << 1) | bits.bit).take(order)
+    bit = (key & 1).astype(np.int32)
+    key >>= 1
+    new = np.empty(len(key), bool)
     new[:1] = True
-    new[1:] = (node[1:] != node[:-1]) | (of[1:] != of[:-1])
-    first = np.flatnonzero(new)
-    group = np.cumsum(new, dtype=np.int32) - 1
-    before = np.cumsum(bit, dtype=np.int32) - bit
-    ones = before - before[first][group]
-    zeros = np.arange(len(node), dtype=np.int32) - first.astype(np.int32)[group] - ones
-    n1, n0 = np.empty(len(node), np.int32), np.empty(len(node), np.int32)
-    n1[order], n0[order] = ones, zeros
-    return n0, n1
-
-
-LOGS = np.log(np.arange(65_536) + A).astype(np.float32)
-LEVEL = np.minimum(3, np.log2(np.arange(65_536) + 1.0).astype(np.int64) // 2 + (np.arange(65_536) > 0)).astype(np.int8)
-EDGE, STEP = 12.0, 8_191 / 12.0
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    at, before = np.arange(len(key), dtype=np.int32), np.cumsum(bit, dtype=np.int32)
+    before -= bit
+    # both grow, so the greatest seen at a group's start is that of the last start
+    ones = before - np.maximum.accumulate(before * new)
+    zeros = at - np.maximum.accumulate(at * new) - ones
+    both = np.empty(len(key), np.uint32)
+    both[order] = np.minimum(zeros, 65_535).astype(np.uint32) | np.minimum(ones, 65_535).astype(np.uint32) << np.uint32(16)
+    return both & np.uint32(0xFFFF), both >> np.uint32(16)
+
 
+def level(total: np.ndarray) -> np.ndarray:
+    """Confidence of a counter by its total: none, up to 2, up to 14, more."""
+    return (total > 0).astype(np.uint8) + (total > 2) + (total > 14)
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    return LEVEL[np.minimum(counts[:, 0].astype(np.int64) + counts[:, 1], 65_535)]
+
+def odds(zeros: np.ndarray, ones: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Log-odds of bit 1 from counts as floats."""
+    return np.subtract(np.log(ones + np.float32(A)), np.log(zeros + np.float32(A)), out=out)
 
 
 def compact(table: np.ndarray) -> np.ndarray:
     """Counters as 16 bits a slot: log-odds in 14, confidence in 2; a score then looks at one number a context."""
-    odds = np.clip(LOGS[table[:, 1]] - LOGS[table[:, 0]], -EDGE, EDGE)
-    return (np.rint(odds * STEP).astype(np.int16) << 2) | levels_of(table).astype(np.int16)
+    zeros, ones = table[:, 0].astype(np.float32), table[:, 1].astype(np.float32)
+    return (np.rint(np.clip(odds(zeros, ones), -EDGE, EDGE) * STEP).astype(np.int16) << 2) | level(zeros + ones).astype(np.int16)
 
 
-def inputs(code: Code, tables: list[np.ndarray], bits: Bits, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def inputs(code: Code, tables: list[np.ndarray], bits: Bits) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of the predictors, one row each with a constant, and the gate of each decision.
 
     tables: compact ones; or counters, from which each decision's own count is left out.
     """
-    n = len(bits.node)
-    x = np.empty((5, n), np.float32)
-    x[0] = code.log_odds[bits.node]
-    levels = []
+    x = np.empty((5, len(bits.node)), np.float32)
+    np.take(code.log_odds, bits.node, out=x[0], mode="clip")
+    gate = np.zeros(len(bits.node), np.uint8)
     for k, (table, slot) in enumerate(zip(tables, bits.slots, strict=True), 1):
+        gate *= 4
         if table.ndim == 1:
-            found = table[slot]
+            found = table.take(slot)
             np.multiply(found >> 2, np.float32(1 / STEP), out=x[k], casting="unsafe")
-            levels.append((found & 3).astype(np.int32))
+            gate += found.astype(np.uint8) & np.uint8(3)
         else:
-            pairs = table.view(np.uint32).ravel()[slot]  # both 16-bit counters at once, the first in the low half
-            own = np.where(bits.bit == 1, np.uint32(1 << 16), np.uint32(1))
-            zeros, ones = pairs & np.uint32(0xFFFF), pairs >> np.uint32(16)
-            zeros -= (own == 1) & (zeros > 0)
-            ones -= (own > 1) & (ones > 0)
-            np.subtract(LOGS[ones], LOGS[zeros], out=x[k])
-            levels.append(LEVEL[np.minimum(zeros + ones, np.uint32(65_535))].astype(np.int32))
-    n0, n1 = own_history(bits, doc)
-    np.minimum(n0, 65_535, out=n0)
-    np.minimum(n1, 65_535, out=n1)
-    x[3] = LOGS[n1] - LOGS[n0]
+            pairs = table.view(np.uint32).ravel().take(slot)  # both 16-bit counters at once, the first in the low half
+            zeros, ones = (pairs & np.uint32(0xFFFF)).astype(np.float32), (pairs >> np.uint32(16)).astype(np.float32)
+            ones -= bits.bit
+            zeros -= bits.bit ^ np.uint8(1)
+            np.maximum(zeros, 0, out=zeros)
+            np.maximum(ones, 0, out=ones)
+            odds(zeros, ones, x[k])
+            gate += level(zeros + ones)
+    n0, n1 = own_history(bits)
+    odds(n0.astype(np.float32), n1.astype(np.float32), x[3])
     x[4] = 0.3
-    np.clip(x, -EDGE, EDGE, out=x)
-    gate = ((levels[0] * 4 + levels[1]) * 2 + (n0 + n1 > 2)) * DEPTHS + np.minimum(bits.depth, DEPTHS - 1).astype(np.int32)
+    gate *= 2
+    gate += n0 + n1 > 2
+    gate *= DEPTHS
+    gate += bits.depth
     return x, gate
 
 
@@ -332,12 +343,12 @@ class Mixer:
             start = np.cumsum(cut) - cut
             i = np.repeat(first[:more] + at - start, cut) + np.arange(cut.sum())
             own = np.repeat(np.arange(more) if at else np.zeros(more, np.int64), cut)
-            set_ = own * gates + gate[i]
+            set_ = own * gates + gate.take(i)
             flat_w, flat_m = weights.reshape(len(x), -1), maps.reshape(-1)
-            xs = x[:, i]
+            xs, b = x.take(i, axis=1), bit.take(i)
             s = mixed(xs, flat_w, set_)
             low, share = place(s)
-            cell = own * cells + np.minimum(depth[i], DEPTHS - 1) * APM_STEPS + low
+            cell = own * cells + (depth.take(i) * np.int64(APM_STEPS) + low)
             p[i] = refined(s, flat_m, cell, share)
             more, at = int(np.searchsorted(-size, -(at + BATCH), "left")), at + BATCH
             if not more:
@@ -349,13 +360,12 @@ class Mixer:
                 own = np.repeat(np.arange(more), BATCH)
                 set_, cell = set_[:n] + own * gates, cell[:n] + own * cells
             weights, maps, set_, cell, share = weights[:, :more].copy(), maps[:more].copy(), set_[:n], cell[:n], share[:n]
-            b = bit[i[:n]]
+            b = b[:n]
             error = b - squash(s[:n])
             often = np.sqrt(np.maximum(np.bincount(set_, minlength=more * gates), 1))
             for k in range(len(x)):
                 weights[k] += (RATE * np.bincount(set_, error * xs[k, :n], more * gates) / often).reshape(more, gates)
-            hit = np.bincount(cell, 1 - share, maps.size) + np.bincount(cell + 1, share, maps.size)
-            ones = np.bincount(cell, (1 - share) * b, maps.size) + np.bincount(cell + 1, share * b, maps.size)
+            hit, ones = map_sums(cell, share, b, maps.size)
             flat = maps.reshape(-1)
             flat += (ones - hit * flat) / (hit + MAP_PRIOR)
         return p
@@ -380,48 +390,70 @@ PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
 
 def mixed(x: np.ndarray, weights: np.ndarray, set_: np.ndarray) -> np.ndarray:
     """Weighted log-odds; weights: one row for each predictor."""
-    s = x[0] * weights[0][set_]
+    s = weights[0].take(set_)
+    s *= x[0]
     for k in range(1, len(x)):
-        s += x[k] * weights[k][set_]
-    return np.clip(s, -14, 14)
+        more = weights[k].take(set_)
+        more *= x[k]
+        s += more
+    return np.clip(s, -14, 14, out=s)
 
 
 def place(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lower map cell of log-odds, and the share of the upper one."""
-    at = (np.clip(s, -APM_EDGE, APM_EDGE) + np.float32(APM_EDGE)) * np.float32((APM_STEPS - 1) / (2 * APM_EDGE))
+    at = np.clip(s, -APM_EDGE, APM_EDGE)
+    at += np.float32(APM_EDGE)
+    at *= np.float32((APM_STEPS - 1) / (2 * APM_EDGE))
     low = np.minimum(at.astype(np.int32), APM_STEPS - 2)
-    return low, at - low
+    at -= low
+    return low, at
 
 
 def refined(s: np.ndarray, maps: np.ndarray, cell: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Probabilities of bit 1 after the last stage."""
-    p = maps[cell]
-    p = p + (maps[cell + 1] - p) * share
-    return np.clip(0.5 * (squash(s) + p), 1e-6, 1 - 1e-6)
+    p = maps.take(cell)
+    p += (maps.take(cell + 1) - p) * share
+    p += squash(s)
+    p *= 0.5
+    return np.clip(p, 1e-6, 1 - 1e-6, out=p)
+
+
+def map_sums(cell: np.ndarray, share: np.ndarray, bit: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hits and ones by map cell: a decision's upper cell gets its share, the lower one the rest."""
+    pair = cell * 2
+    pair += bit
+    upper = np.bincount(pair, share, 2 * cells).reshape(-1, 2)
+    lower = np.bincount(pair, minlength=2 * cells).reshape(-1, 2) - upper
+    lower[1:] += upper[:-1]
+    return lower.sum(1), lower[:, 1]
 
 
 def fit_sums(code: Code, tables: list[np.ndarray], mixer: Mixer, texts: list[bytes], table_bits: int) -> np.ndarray:
     """Slopes and second derivatives by gate, and hits and ones by map cell, added over all bits of the texts."""
     gates, cells = len(mixer.weights), mixer.maps.size
-    weights = np.ascontiguousarray(mixer.weights.T)
     slope, bend = np.zeros((gates, 5)), np.zeros((gates, 5, 5))
     hit, ones = np.zeros(cells), np.zeros(cells)
     for _, _, _, symbols, doc in runs(texts, code, RUN):
         every = decisions(code, symbols, doc, table_bits)
-        x, gate = inputs(code, tables, every, doc)
-        order = np.argsort(gate.astype(np.uint16), kind="stable")  # decisions of a gate side by side
-        x, gate, bit = x[:, order], gate[order], every.bit[order]
-        s = mixed(x, weights, gate)
+        x, gate = inputs(code, tables, every)
+        order = np.argsort(gate, kind="stable")  # decisions of a gate side by side
+        x, gate, bit = x.take(order, axis=1), gate.take(order), every.bit.take(order)
+        begin = np.flatnonzero(np.diff(gate, prepend=~gate[:1]))
+        each = list(zip(gate[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(gate)], strict=True))
+        s = np.empty(len(gate), np.float32)
+        for g, i, j in each:
+            np.dot(mixer.weights[g], x[:, i:j], out=s[i:j])
+        np.clip(s, -14, 14, out=s)
         p = squash(s)
-        error, curved = bit - p, x * (p * (1 - p))
-        begin = np.flatnonzero(np.diff(gate, prepend=-1))
-        slope[gate[begin]] += np.add.reduceat(x * error, begin, axis=1).T if len(begin) else 0
-        for i, j in zip(begin, np.append(begin[1:], len(gate)), strict=True):
-            bend[gate[i]] += curved[:, i:j] @ x[:, i:j].T
+        error = bit - p
+        curved = x * (p * (1 - p))
+        for g, i, j in each:
+            slope[g] += x[:, i:j] @ error[i:j]
+            bend[g] += curved[:, i:j] @ x[:, i:j].T
         low, share = place(s)
-        cell = np.minimum(every.depth[order], DEPTHS - 1) * APM_STEPS + low
-        hit += np.bincount(cell, 1 - share, cells) + np.bincount(cell + 1, share, cells)
-        ones += np.bincount(cell, (1 - share) * bit, cells) + np.bincount(cell + 1, share * bit, cells)
+        more = map_sums(every.depth.take(order) * np.int64(APM_STEPS) + low, share, bit, cells)
+        hit += more[0]
+        ones += more[1]
     upper = [bend[:, i, j] for i, j in PAIRS]
     return np.concatenate([slope.T.ravel(), *upper, hit, ones])
 
@@ -456,10 +488,9 @@ def log_probabilities(code: Code, tables: list[np.ndarray], mixer: Mixer, symbol
     bits = decisions(code, symbols, doc, table_bits)
     if not len(bits.node):
         return np.zeros(n_docs)
-    x, gate = inputs(code, tables, bits, doc)
-    of = doc[bits.token]
-    p = mixer.online(x, gate, bits.depth, bits.bit, of)
-    return np.bincount(of, np.log(np.where(bits.bit == 1, p, 1 - p)), n_docs)
+    x, gate = inputs(code, tables, bits)
+    p = mixer.online(x, gate, bits.depth, bits.bit, bits.of)
+    return np.bincount(bits.of, np.log(np.where(bits.bit == 1, p, 1 - p)), n_docs)
 
 
 def score(docs: DataFrame, head: int = HEAD, table_bits: int | None = None) -> DataFrame:
