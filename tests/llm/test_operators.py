@@ -333,6 +333,127 @@ def test_lm_scoring(docs, rows, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def plain_scores(rows, head):
+    """log10 probabilities of texts, one bit at a time: the definition of the model without hashing or arrays."""
+    import heapq
+
+    import numpy as np
+
+    tokens = lambda t: [*words(t, lower=True), b"\n"]
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for t in train for w in t)
+    top = sorted(c, key=lambda w: (-c[w], w))[:head]
+    rest = sum(c.values()) - sum(c[w] for w in top)
+    heap = [(c[w], i, w) for i, w in enumerate(top)] + [(max(1, rest), len(top), None)]
+    heapq.heapify(heap)
+    number, start_odds, paths = len(heap), {}, {w: [] for w in [*top, None]}
+    below = {i: [w] for i, w in enumerate([*top, None])}
+    while len(heap) > 1:
+        (a, i, _), (b, j, _) = heapq.heappop(heap), heapq.heappop(heap)
+        start_odds[number] = math.log((b + 0.4) / (a + 0.4))
+        for bit, side in ((0, i), (1, j)):
+            for w in below[side]:
+                paths[w].insert(0, (number, bit))
+        below[number] = below[i] + below[j]
+        heapq.heappush(heap, (a + b, number, None))
+        number += 1
+
+    def bits(text):
+        """(node, bit, depth, the two contexts) of each decision."""
+        known = [w if w in paths else None for w in text]
+        for k, w in enumerate(known):
+            one = known[k - 1] if k > 0 else "start"
+            two = known[k - 2] if k > 1 else "start"
+            yield from ((node, bit, min(depth, 7), ((node, one), (node, one, two))) for depth, (node, bit) in enumerate(paths[w]))
+
+    counts = {}
+    for t in train:
+        for _, bit, _, contexts in bits(t):
+            for key in contexts:
+                counts.setdefault(key, [0, 0])[bit] += 1
+
+    level = lambda n: (n > 0) + (n > 2) + (n > 14)
+    odds = lambda z, o: math.log(o + 0.4) - math.log(z + 0.4)
+
+    def inputs(text, own):
+        """Log-odds, gate, depth and bit of each decision; own: what a decision itself has added to the counters."""
+        seen = {}
+        for node, bit, depth, contexts in bits(text):
+            x, gate = [start_odds[node]], 0
+            for key in contexts:
+                z, o = counts.get(key, (0, 0))
+                z, o = (z - own * (bit == 0), o - own * bit)
+                x.append(odds(z, o) if own else round(odds(z, o) * 8191 / 12) * 12 / 8191)
+                gate = gate * 4 + level(z + o)
+            z, o = seen.setdefault(node, [0, 0])
+            x += [odds(z, o), 0.3]
+            yield np.array(x), (gate * 2 + (z + o > 2)) * 8 + depth, depth, bit
+            seen[node][bit] += 1
+
+    squash = lambda s: 1 / (1 + math.exp(-s))
+    start = np.array([0.3, 0.4, 0.2, 0.15, 0.0])
+    flat = np.array([[squash(-8 + i / 2) for i in range(33)]] * 8)
+    slope, bend = {}, {}
+    hit, ones = np.zeros((8, 33)), np.zeros((8, 33))
+
+    def place(s):
+        at = (min(8, max(-8, s)) + 8) * 2
+        low = min(int(at), 31)
+        return low, at - low
+
+    for t in train:
+        for x, gate, depth, bit in inputs(t, 1):
+            s = min(14, max(-14, float(x @ start)))
+            p = squash(s)
+            slope[gate] = slope.get(gate, 0) + x * (bit - p)
+            bend[gate] = bend.get(gate, 0) + np.outer(x, x) * p * (1 - p)
+            low, up = place(s)
+            for cell, share in ((low, 1 - up), (low + 1, up)):
+                hit[depth, cell] += share
+                ones[depth, cell] += share * bit
+    fitted = {g: start + np.clip(np.linalg.solve(bend[g] + 8 * np.eye(5), slope[g]), -0.5, 0.5) for g in slope}
+    flat = (ones + 30 * flat) / (hit + 30)
+
+    out = []
+    for _, text in rows:
+        weights, maps, total = dict(fitted), flat.copy(), 0.0
+        each = list(inputs(tokens(text), 0))
+        for at in range(0, len(each), 1024):
+            change, often, hit, ones = {}, Counter(), np.zeros((8, 33)), np.zeros((8, 33))
+            for x, gate, depth, bit in each[at : at + 1024]:
+                s = min(14, max(-14, float(x @ weights.get(gate, start))))
+                low, up = place(s)
+                p = 0.5 * (squash(s) + maps[depth, low] * (1 - up) + maps[depth, low + 1] * up)
+                p = min(1 - 1e-6, max(1e-6, p))
+                total += math.log10(p if bit else 1 - p)
+                change[gate] = change.get(gate, 0) + (bit - squash(s)) * x
+                often[gate] += 1
+                for cell, share in ((low, 1 - up), (low + 1, up)):
+                    hit[depth, cell] += share
+                    ones[depth, cell] += share * bit
+            for g in change:
+                weights[g] = weights.get(g, start) + 0.005 * change[g] / math.sqrt(often[g])
+            maps += (ones - hit * maps) / (hit + 255)
+        for w in tokens(text):
+            if w not in paths:
+                total += math.log10((c[w] + 0.5) / (rest + 0.5 * (len(c) - len(top) + 1)))
+        out.append(total)
+    return out
+
+
+def test_scores_equal_a_plain_model(spark):
+    rng = random.Random(5)
+    parts = ["the cat sat on the mat .", "a dog saw the cat .", "The bird sang", "rain rain rain", "odd%d word%d", "on the mat a dog sat"]
+    text = lambda n: " ".join(p % (rng.randrange(40), rng.randrange(40)) if "%" in p else p for p in rng.choices(parts, k=n))
+    rows = [(i, text(rng.choice([1, 3, 20, 60]))) for i in range(30)] + [(30, ""), (31, None), (32, text(1_500)), (33, text(900))]
+    rows += [(34, "never seen words never"), (1, rows[1][1]), (35, "the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.score) for r in lm_scoring.score(df.repartition(3), head=20, table_bits=22).collect())
+    want = sorted(zip((i for i, _ in rows), plain_scores(rows, 20), strict=True))
+    for (i, a), (j, b) in zip(got, want, strict=True):
+        assert i == j and math.isclose(a, b, rel_tol=1e-3, abs_tol=1e-3), (i, a, b)
+
+
 def test_code_probabilities_sum_to_one():
     import numpy as np
 
