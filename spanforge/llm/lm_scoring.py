@@ -493,6 +493,16 @@ def log_probabilities(code: Code, tables: list[np.ndarray], mixer: Mixer, symbol
     return np.bincount(bits.of, np.log(np.where(bits.bit == 1, p, 1 - p)), n_docs)
 
 
+def tails(words: list[bytes], out: np.ndarray, doc: np.ndarray, n_docs: int) -> pa.Array:
+    """Each document's words at the places out, as a list of (word, n)."""
+    found = pa.array([words[i] for i in out.tolist()], pa.binary()).dictionary_encode()
+    most = max(1, len(found.dictionary))
+    pairs, n = np.unique(doc[out].astype(np.int64) * most + found.indices.to_numpy(), return_counts=True)
+    ends = np.searchsorted(pairs, np.arange(n_docs + 1) * most)
+    each = pa.StructArray.from_arrays([found.dictionary.take(pa.array(pairs % most)), pa.array(n, pa.int64())], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+
 def score(docs: DataFrame, head: int = HEAD, table_bits: int | None = None) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of docs.
 
@@ -532,10 +542,6 @@ def score(docs: DataFrame, head: int = HEAD, table_bits: int | None = None) -> D
                 known = symbols != own.escape
                 logs = np.bincount(doc[known], head_logs[symbols[known]], to - at)
                 n_known = np.bincount(doc[known], minlength=to - at)
-                out = np.flatnonzero(~known)
-                tails: list[Counter] = [Counter() for _ in range(at, to)]
-                for d, w in zip(doc[out].tolist(), map(words.__getitem__, out.tolist()), strict=True):
-                    tails[d][w] += 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(at, to - at) for c in ("doc_id", "held_out")),
@@ -544,7 +550,7 @@ def score(docs: DataFrame, head: int = HEAD, table_bits: int | None = None) -> D
                         pa.array(n_known, pa.int64()),
                         pa.array(logs, pa.float64()),
                         pa.array(bits, pa.float64()),
-                        pa.array([[{"word": w, "n": n} for w, n in t.items()] for t in tails], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                        tails(words, np.flatnonzero(~known), doc, to - at),
                     ],
                     names=["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "tail"],
                 )
