@@ -145,6 +145,21 @@ def color_name(hex_: Column) -> Column:
     return F.coalesce(exact, F.concat(F.lit("Near "), F.lower(near)))
 
 
+def stays_inside(path: Column) -> Column:
+    """Whether a path is relative and has no part that goes up."""
+    return ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), "..")
+
+
+def stays_below(path: Column) -> Column:
+    """Whether a path is relative and, with its parts that go up, never leaves the folder it starts in."""
+
+    def step(at: Column, part: Column) -> Column:
+        to = at + F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)
+        return F.when((at < 0) | (to < 0), -1).otherwise(to)
+
+    return ~path.startswith("/") & (F.aggregate(F.split(path, "/"), F.lit(0), step) >= 0)
+
+
 def is_margin_code(c: Column) -> Column:
     """Whether a block is only a code from the margin, such as EN1 or SO3/EN1."""
     return F.trim(c).isin("AUT", "INT", "N.v.t.") | F.trim(c).rlike(r"^[A-Z]{2}\d(/[A-Z]{2}\d)*$")

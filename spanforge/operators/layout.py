@@ -21,19 +21,62 @@ def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.greatest(x1 - x0, F.lit(0)) * F.greatest(y1 - y0, F.lit(0))
 
 
+def covering(words: DataFrame, drawings: DataFrame, share: float, *keys: str) -> DataFrame:
+    """Words with each drawing that covers at least a share of their area, and the area shared."""
+    w = words.select(*keys, "word", "x0", "y0", "x1", "y1", strips("y0", "y1").alias("strip"))
+    d = drawings.select(*keys, "drawing", "color", *[F.col(c).alias("d" + c) for c in ("x0", "y0", "x1", "y1")]).withColumn("strip", strips("dy0", "dy1"))
+    both = w.join(d, [*keys, "strip"]).filter(F.col("strip") == F.floor(F.greatest("y0", "dy0") / STRIP))
+    shared = area(F.greatest("x0", "dx0"), F.greatest("y0", "dy0"), F.least("x1", "dx1"), F.least("y1", "dy1"))
+    return both.withColumn("shared", shared).filter((F.col("shared") > 0) & (F.col("shared") >= share * area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))))
+
+
 def highlight_words(words: DataFrame, drawings: DataFrame, share: float = 0.1, *keys: str) -> DataFrame:
     """(keys, word, color): the drawing that covers most of each word, if at least a share of its area; the first of equal ones.
 
     words: keys, word, x0, y0, x1, y1; drawings: keys, drawing, color and the same.
     """
-    w = words.select(*keys, "word", "x0", "y0", "x1", "y1", strips("y0", "y1").alias("strip"))
-    d = drawings.select(*keys, "drawing", "color", *[F.col(c).alias("d" + c) for c in ("x0", "y0", "x1", "y1")]).withColumn("strip", strips("dy0", "dy1"))
-    both = w.join(d, [*keys, "strip"]).filter(F.col("strip") == F.floor(F.greatest("y0", "dy0") / STRIP))
-    shared = area(F.greatest("x0", "dx0"), F.greatest("y0", "dy0"), F.least("x1", "dx1"), F.least("y1", "dy1"))
-    hit = both.withColumn("shared", shared).filter((F.col("shared") > 0) & (F.col("shared") >= share * area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))))
+    hit = covering(words, drawings, share, *keys)
     return hit.groupBy(*keys, "word").agg(F.max_by("color", F.struct("shared", -F.col("drawing"))).alias("color"))
 
 
+def recognised_colors(words: DataFrame, spans: DataFrame, share: float = 0.35, *keys: str) -> DataFrame:
+    """(keys, word, color) of recognised words on coloured spans: as highlight_words, but the greater colour of equal ones."""
+    return covering(words, spans, share, *keys).groupBy(*keys, "word").agg(F.max(F.struct("shared", "color")).getField("color").alias("color"))
+
+
+def block_words(words: DataFrame, *keys: str) -> DataFrame:
+    """(keys, block, words): words of each block in their order.  words: keys, block, word, text."""
+    each = F.array_sort(F.collect_list(F.struct("word", "text")))
+    return words.groupBy(*keys, "block").agg(F.transform(each, lambda w: w.getField("text")).alias("words"))
+
+
+def recognised_records(words: DataFrame, *keys: str) -> DataFrame:
+    """(keys, sentence_id, sentence, entities): coloured paragraphs and table cells of recognised words, in order of place.
+
+    words: keys, block, paragraph, line, word, text, x0, y0, color (or null) and cell
+    (or null), which goes before block and paragraph.  Lines of a group are joined by
+    a line feed, words by a space; neighbours of one colour are one entity.  Groups
+    without colour are left out before sentences are numbered by upper, then left edge, then first word.
+    """
+    part = [*keys, "group"]
+    kind = F.when(F.col("cell").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("cell").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("block").cast("long").alias("a"), F.col("paragraph").cast("long").alias("b")))
+    in_order = Window.partitionBy(*part).orderBy("line", "word", "x0")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lag("line").over(in_order)
+    rows = words.withColumn("group", kind)
+    glue = F.when(F.row_number().over(in_order) == 1, "").when(before != F.col("line"), "\n").otherwise(" ")
+    rows = rows.withColumns({"piece": F.concat(glue, F.col("text")), "n": F.row_number().over(in_order), "was": F.lag("color").over(in_order)})
+    rows = rows.withColumn("end", F.sum(F.length("piece")).over(so_far).cast("int"))
+    rows = rows.withColumn("island", F.sum(F.when(F.col("color").eqNullSafe(F.col("was")) & (F.col("n") > 1), 0).otherwise(1)).over(so_far))
+    runs = rows.groupBy(*part, "island", "color").agg(F.min(F.col("end") - F.length("text")).alias("s"), F.max("end").alias("e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda p: p.getField("piece")), "").alias("piece"), F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.min("word").alias("first"))
+    whole = runs.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("island", "s", "e", "color", "piece"))).alias("runs"), F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.min("first").alias("first"))
+    whole = whole.withColumn("sentence", F.array_join(F.transform("runs", lambda r: r.getField("piece")), ""))
+    entity = lambda r: F.struct(r.getField("s").alias("start"), r.getField("e").alias("end"), F.substring(F.col("sentence"), r.getField("s") + 1, r.getField("e") - r.getField("s")).alias("text"), r.getField("color").alias("label"))
+    found = whole.withColumn("entities", F.transform(F.filter("runs", lambda r: r.getField("color").isNotNull()), entity)).filter(F.size("entities") > 0)
+    place = Window.partitionBy(*keys).orderBy("y0", "x0", "first")
+    return found.select(*keys, F.row_number().over(place).alias("sentence_id"), "sentence", "entities")
+
+
 def first_containing(points: DataFrame, rects: DataFrame, *keys: str) -> DataFrame:
     """(keys, point, color): colour of the first rectangle that holds a point, even if that is null."""
     p = points.select(*keys, "point", "x", "y", F.floor(F.col("y") / STRIP).cast("long").alias("strip"))

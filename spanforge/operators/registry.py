@@ -57,6 +57,53 @@ def unknown(wanted: DataFrame, found: DataFrame, key: str = "source_path") -> Da
     return wanted.join(found, key, "left_anti")
 
 
+def bound_sources(entries: DataFrame, bindings: DataFrame, found: DataFrame) -> DataFrame:
+    """(document_id, path, problem): where each document's source is; problem is unbound, missing or changed, or null.
+
+    entries: document_id, source_path, binding (project, or external for sources that bindings places), checksum;
+    bindings: document_id, path; found: path, observed_checksum.
+    """
+    placed = entries.join(bindings.withColumnRenamed("path", "outside"), "document_id", "left")
+    placed = placed.withColumn("path", F.when(F.col("binding") == "project", F.col("source_path")).otherwise(F.col("outside")))
+    seen = placed.join(found, "path", "left")
+    problem = F.when(F.col("path").isNull(), "unbound").when(F.col("observed_checksum").isNull(), "missing").when(F.col("observed_checksum") != F.col("checksum"), "changed")
+    return seen.select("document_id", "path", problem.alias("problem"))
+
+
+def selected(registered: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """Registered documents that are asked for; all of them if nobody asks.  An empty, repeated or unknown choice is an error."""
+    if ids is None:
+        return registered
+    if not ids:
+        raise ValueError("choose at least one document")
+    if len(ids) != len(set(ids)):
+        raise ValueError("a document is chosen twice")
+    asked = registered.sparkSession.createDataFrame([(i,) for i in ids], "document_id string")  # as many as were typed in
+    strange = sorted(r["document_id"] for r in asked.join(registered, "document_id", "left_anti").collect())
+    if strange:
+        raise ValueError(f"unknown documents: {strange}")
+    return registered.join(asked, "document_id", "left_semi")
+
+
+def collection(documents: DataFrame, records: DataFrame, issues: DataFrame) -> DataFrame:
+    """(document_id, source_path, checksum, record_count, records) of all documents that are done, or an error if one of them has an issue.
+
+    documents: document_id, source_path, checksum, status; records: document_id,
+    page, sentence_id and more, sorted by both; issues: document_id, code.  A
+    document without records has an empty list.
+    """
+    done = documents.filter("status = 'done'").drop("status")
+    wrong = issues.join(done, "document_id", "left_semi").groupBy("code").agg(F.countDistinct("document_id").alias("n")).orderBy("code").collect()  # one row for each code
+    if wrong:
+        raise ValueError("documents with issues: " + ", ".join(f"{r['code']} ({r['n']})" for r in wrong))
+    rest = [c for c in records.columns if c not in ("document_id", "page", "sentence_id")]
+    each = F.array_sort(F.collect_list(F.struct("page", "sentence_id", *rest)))
+    grouped = records.join(done, "document_id", "left_semi").groupBy("document_id").agg(each.alias("records"))
+    out = done.join(grouped, "document_id", "left")
+    found = F.coalesce("records", F.array().cast(grouped.schema["records"].dataType))
+    return out.select("document_id", "source_path", "checksum", F.size(found).alias("record_count"), found.alias("records"))
+
+
 def reusable(checkpoints: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds reuse: a checkpoint counts if source, mapping and number of records are those of now."""
     joined = sources.join(checkpoints.select("document_id", F.col("source_sha256").alias("s"), F.col("mapping_sha256").alias("m"), F.col("records").alias("r")), "document_id", "left")

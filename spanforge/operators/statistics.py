@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,28 +17,25 @@ from pyspark.sql import functions as F
 from spanforge.functions.scores import f1
 from spanforge.functions.vocabulary import VALUES
 
-#: Upper edges, in thousandths, of the numbers of draws 0, 1, 2, ... of a row in a resample of equal size.
-POISSON = [368, 736, 920, 981, 996, 999]
-#: The same edges in 2^-32: cumulative Poisson(1) chances.
-POISSON_32 = [round(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) * 2**32) for i in range(12)]
+#: Upper edges, in 2^-32, of the numbers of draws 0, 1, 2, ... of a row in a resample of equal size: cumulative Poisson(1) chances.
+POISSON_32 = [round(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) * 2**32) for i in range(11)]
 DEFAULT_RESAMPLES = 1000
 
 
-def digest_weight(row: Column, resample: Column) -> Column:
-    """How often a row is drawn in a resample: a Poisson number from 32 bits of an MD5 digest, independent for each pair."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", row.cast("string"), resample.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return sum((u >= edge).cast("int") for edge in POISSON_32)
+def digest(row: Column, group: Column) -> Column:
+    """32 hexadecimal digits, eight for each of four resamples."""
+    return F.md5(F.concat_ws(":", row.cast("string"), group.cast("string")).cast("binary"))
+
 
+def drawn(digits: Column) -> Column:
+    """A Poisson number from eight hexadecimal digits; digits of one length compare as their numbers do."""
+    return sum((digits >= F.lit(f"{edge:08x}")).cast("int") for edge in POISSON_32)
 
-def hashed_weight(row: Column, resample: Column) -> Column:
-    """As digest_weight, from integer arithmetic mod 1000; rows with equal numbers mod 1000 are drawn together.
 
-    Only the named queries use it, whose SQL has the same arithmetic.
-    """
-    row = F.pmod(row, F.lit(1000))  # before multiplying, so that no number is too large
-    resample = F.pmod(resample, F.lit(1000))
-    u = (row * 7919 + resample * 104_729 + row * resample * 31 + (row + 17) * (resample + 5) * (row + resample)) % 1000
-    return sum((u >= edge).cast("int") for edge in POISSON)
+def digest_weight(row: Column, resample: Column) -> Column:
+    """How often a row is drawn in a resample (from 1): a Poisson number, independent for each pair."""
+    at = (resample - 1).cast("long")
+    return drawn(F.substring(digest(row, F.floor(at / 4)), F.pmod(at, F.lit(4)).cast("int") * 8 + 1, F.lit(8)))
 
 
 def drawn_weights(spark, n: int, resamples: int, seed: int = 13) -> DataFrame:
@@ -73,19 +69,23 @@ def metric_columns() -> list[Column]:
     return [F.struct(F.lit(name).alias("metric"), c.alias("value")) for name, c in named]
 
 
-def resampled(rows: DataFrame, rules: dict[str, str], resamples: int = DEFAULT_RESAMPLES, row: str = "doc_id", weight: Callable[[Column, Column], Column] | None = None, weights: DataFrame | None = None) -> DataFrame:
+def resampled(rows: DataFrame, rules: dict[str, str], resamples: int = DEFAULT_RESAMPLES, row: str = "doc_id", weights: DataFrame | None = None) -> DataFrame:
     """(rule, resample, metric, value); resample 0 is the rows as they are.  All rules share the weights."""
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), *count_columns(F.col("gold"), F.col(c))) for r, c in rules.items()]))
-    counts = rows.select(F.col(row).alias("row"), each.alias("x")).select("row", "x.*")
+    of_rule = F.array(*[F.struct(F.lit(r).alias("rule"), *count_columns(F.col("gold"), F.col(c))) for r, c in rules.items()])
+    counts = rows.select(F.col(row).alias("row"), of_rule.alias("rules"))
     names = [f"{c}{k}" for k in range(len(VALUES)) for c in ("tp", "fp", "fn")]
+    whole = counts.select("rules", F.lit(0).alias("resample"), F.lit(1).alias("w"))
     if weights is None:
-        weight = weight or digest_weight
-        number = F.explode(F.sequence(F.lit(0), F.lit(resamples)))
-        drawn = counts.withColumn("resample", number).withColumn("w", F.when(F.col("resample") == 0, 1).otherwise(weight(F.col("row"), F.col("resample").cast("long"))))
+        # step by step, so that a digest is made once for four resamples and weights once for all rules
+        groups = counts.select("row", "rules", F.explode(F.sequence(F.lit(0), F.lit((resamples + 3) // 4 - 1))).alias("g"))
+        digests = groups.select("rules", "g", digest(F.col("row"), F.col("g")).alias("digest"))
+        parts = digests.select("rules", "g", F.posexplode(F.array(*[F.substring("digest", 8 * j + 1, 8) for j in range(4)])).alias("j", "digits"))
+        some = parts.select("rules", (F.col("g") * 4 + F.col("j") + 1).alias("resample"), drawn(F.col("digits")).alias("w")).filter(F.col("resample") <= resamples)
     else:
-        whole = counts.withColumns({"resample": F.lit(0), "w": F.lit(1)})
-        drawn = whole.unionByName(counts.join(weights.withColumn("resample", F.col("resample") + 1), "row"))
-    sums = drawn.groupBy("rule", "resample").agg(F.sum("w").alias("n"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in names])
+        some = counts.join(weights.withColumn("resample", F.col("resample") + 1), "row").select("rules", "resample", "w")
+    # rows that are not drawn add nothing
+    each = whole.unionByName(some.filter("w > 0")).select("resample", "w", F.explode("rules").alias("x")).select("resample", "w", "x.*")
+    sums = each.groupBy("rule", "resample").agg(F.sum("w").alias("n"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in names])
     return sums.select("rule", "resample", F.inline(F.array(*metric_columns())))
 
 

@@ -16,7 +16,7 @@ from spanforge.functions.vocabulary import TAGS, VALUES, decode
 from spanforge.operators import colors, contract, dedup, evaluation, layout, multilabel, registry, split, statistics, thresholds
 from spanforge.operators import spans as S
 from spanforge.plans import views as V
-from spanforge.session import table
+from spanforge.session import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -472,11 +472,11 @@ def color_evidence(spark, d):
 
 # --- statistics --------------------------------------------------------------------------------
 
-RESAMPLES = 200
+RESAMPLES = statistics.DEFAULT_RESAMPLES
 SAMPLES = f"""WITH {V.UNITS}, rules AS (SELECT doc_id, k, value, 'tuned' AS rule, g, p FROM units UNION ALL SELECT doc_id, k, value, 'default', g, CASE WHEN prob >= 0.5::DOUBLE THEN 1 ELSE 0 END FROM units),
 b AS (SELECT unnest(range(0, {RESAMPLES + 1})) AS b),
-u AS (SELECT doc_id, b, (doc_id * 7919 + b * 104729 + doc_id * b * 31 + (doc_id + 17) * (b + 5) * (doc_id + b)) % 1000 AS u FROM (SELECT doc_id FROM documents), b),
-w AS (SELECT doc_id, b, CASE WHEN b = 0 THEN 1 ELSE (u >= 368)::INT + (u >= 736)::INT + (u >= 920)::INT + (u >= 981)::INT + (u >= 996)::INT + (u >= 999)::INT END AS w FROM u),
+u AS (SELECT doc_id, b, substr(md5(doc_id || ':' || ((b - 1) // 4)), (b - 1) % 4 * 8 + 1, 8) AS u FROM (SELECT doc_id FROM documents), b),
+w AS (SELECT doc_id, b, CASE WHEN b = 0 THEN 1 ELSE {' + '.join(f"(u >= '{edge:08x}')::INT" for edge in statistics.POISSON_32)} END AS w FROM u),
 c AS (SELECT rule, b, k, value, sum(g * p * w) AS tp, sum((1 - g) * p * w) AS fp, sum(g * (1 - p) * w) AS fn, sum(w) AS n FROM rules JOIN w USING (doc_id) GROUP BY ALL),
 m AS (SELECT rule, b, 'micro_f1' AS metric, f1(tp, fp, fn) AS value FROM (SELECT rule, b, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY ALL)
 UNION ALL SELECT rule, b, 'hamming_loss', (sum(fp) + sum(fn))::DOUBLE / (max(n) * 8)::DOUBLE FROM c GROUP BY ALL
@@ -484,8 +484,8 @@ UNION ALL SELECT rule, b, 'f1/' || value, f1(tp, fp, fn) FROM c)"""
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.units(spark, d).withColumn("default", F.transform("prob", lambda p: (p >= 0.5).cast("int")))
-    return statistics.resampled(rows, {"tuned": "pred", "default": "default"}, RESAMPLES, "doc_id", statistics.hashed_weight).filter("metric <> 'macro_f1'")
+    rows = dealt(V.units(spark, d)).withColumn("default", F.transform("prob", lambda p: (p >= 0.5).cast("int")))
+    return statistics.resampled(rows, {"tuned": "pred", "default": "default"}, RESAMPLES, "doc_id").filter("metric <> 'macro_f1'")
 
 
 @query(
@@ -655,4 +655,4 @@ def latest_decision(spark, d):
 
 
 # the rest of the queries register themselves
-from spanforge.plans import expressions, workflows  # noqa: E402, F401
+from spanforge.plans import assembly, expressions, workflows  # noqa: E402, F401

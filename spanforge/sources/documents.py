@@ -53,6 +53,30 @@ def paragraphs(raw: bytes) -> Iterator[tuple[int, int, list[tuple[str, str | Non
             yield number, start, runs
 
 
+def properties(raw: bytes) -> tuple[str | None, list[str]]:
+    """Title and creators that a .docx file states itself; nothing if it can't be read."""
+    dc = "{http://purl.org/dc/elements/1.1/}"
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            core = ElementTree.fromstring(z.read("docProps/core.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None, []
+    title, creator = ((core.findtext(dc + name) or "").strip() for name in ("title", "creator"))
+    return title or None, [creator] if creator else []
+
+
+def read_properties(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, title, creators) of all .docx files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(folder).select("path", "content")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [properties(bytes(raw)) for raw in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "title": [t for t, _ in found], "creators": [c for _, c in found]})
+
+    return files.mapInPandas(parse, "path string, title string, creators array<string>")
+
+
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """(path, paragraph, page, run, text, color, rs, re, problem): coloured runs of all .docx files below a folder.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.text import effective_text
 from spanforge.functions.vocabulary import canonical_tags, normalise_value, tag_value
-from spanforge.operators.contract import ENTITY
+from spanforge.operators.contract import ENTITY, structural
 
 PACKAGE = f"documents array<struct<document_id:string,records:array<struct<sentence_id:int,page:int,sentence:string,curated_sentence:string,tokens:array<string>,values:array<string>,entities:array<{ENTITY}>,ner_tags:array<string>,schema_version:string>>>>"
 LISTS = {"values": "array<string>", "tokens": "array<string>", "entities": f"array<{ENTITY}>", "ner_tags": "array<string>"}
@@ -103,15 +103,28 @@ def read_citations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, i, json): elements of JSON arrays, each as text for the structural check; a broken file has one null row."""
+    """(path, broken, i, json): elements of JSON arrays, each as text for the structural check; a broken or empty file has one null row."""
     raw = spark.read.option("wholetext", "true").text(paths).withColumn("path", F.input_file_name())
     items = F.from_json("value", "array<string>")
-    return raw.select("path", F.posexplode_outer(items).alias("i", "json"))
+    return raw.select("path", items.isNull().alias("broken"), F.posexplode_outer(items).alias("i", "json"))
 
 
-def source_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_path, checksum) of documents below a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,docx,PDF,DOCX}").load(folder)
+def validated(records: DataFrame) -> DataFrame:
+    """(path, state, records, issues) of each file of read_records: valid, invalid or parse_error."""
+    found = records.withColumn("_n", F.when(F.col("json").isNull(), 0).otherwise(F.size(structural(F.col("json")))))
+    sums = found.groupBy("path").agg(F.bool_or("broken").alias("broken"), F.count("json").alias("records"), F.sum("_n").cast("long").alias("issues"))
+    return sums.select("path", F.when(F.col("broken"), "parse_error").when(F.col("issues") > 0, "invalid").otherwise("valid").alias("state"), "records", "issues")
+
+
+def exit_code(report: DataFrame) -> int:
+    """0 if all files of validated are valid, 2 if one can't be parsed, else 1; no files are an error too (1)."""
+    r = report.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "parse_error").alias("broken"), F.count_if(F.col("state") != "valid").alias("bad")).first()
+    return 2 if r["broken"] else int(r["bad"] > 0 or not r["n"])
+
+
+def source_files(spark: SparkSession, folder: str, deep: bool = True) -> DataFrame:
+    """(source_path, checksum) of documents below a folder, or right in it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(deep).lower()).option("pathGlobFilter", "*.{pdf,docx,PDF,DOCX}").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     root = folder.rstrip("/") + "/"
     return found.filter(~name.startswith("~$")).select(F.element_at(F.split("path", root), -1).alias("source_path"), F.sha2("content", 256).alias("checksum"))

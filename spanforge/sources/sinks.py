@@ -7,7 +7,7 @@ import io
 import json
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LISTS = ["values", "tokens", "entities", "ner_tags"]
@@ -63,6 +63,44 @@ def package_zip(files: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+def file_list(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, hash) of a written folder's data files, read back from the store."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.element_at(F.split("path", folder.rstrip("/").rsplit("/", 1)[-1] + "/"), -1)
+    return found.filter(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]")).select(name.alias("path"), F.col("length").alias("bytes"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
+
+
+def write_release(records: DataFrame, documents: DataFrame, issues: DataFrame, folder: str, ids: list[str] | None = None) -> DataFrame:
+    """Writes a release of chosen documents and returns its files with sizes and hashes.
+
+    documents: document_id, source_path, checksum; records: approved ones, with
+    COLUMNS; issues: (document_id, code) of errors.  Written are annotations
+    (nested JSON), table (flat CSV), build-log (membership with checksums of
+    sources and annotations, and documents left out) and datapackage (the list of
+    files), each a folder of parts.  An empty, repeated or unknown choice, no
+    documents, or a chosen document with an issue is an error before anything is written.
+    """
+    from spanforge.operators.registry import selected
+
+    spark = records.sparkSession
+    chosen = selected(documents, ids)
+    if chosen.isEmpty():
+        raise ValueError("no documents to release")
+    wrong = issues.join(chosen, "document_id", "left_semi").groupBy("code").agg(F.countDistinct("document_id").alias("n")).orderBy("code").collect()  # one row for each code
+    if wrong:
+        raise ValueError("documents are not ready: " + ", ".join(f"{r['code']} ({r['n']})" for r in wrong))
+    kept = records.join(chosen, "document_id", "left_semi")
+    packages = chosen.select("document_id").join(nested(kept), "document_id", "left")
+    packages.write.mode("errorifexists").json(f"{folder}/annotations")
+    write_flat(kept, f"{folder}/table")
+    digest = F.sha2(F.coalesce("package", F.lit("")), 256)
+    log = documents.select("document_id", "source_path", F.col("checksum").alias("source_checksum")).join(packages.select("document_id", digest.alias("annotations_checksum")), "document_id", "left")
+    log.withColumn("released", F.col("annotations_checksum").isNotNull()).write.json(f"{folder}/build-log")
+    files = file_list(spark, folder)
+    files.write.json(f"{folder}/datapackage")
+    return spark.read.schema(files.schema).json(f"{folder}/datapackage")
+
+
 def validation_text(issues: DataFrame) -> DataFrame:
     """(document_id, report): readable lines of all issues of a document."""
     line = F.concat_ws(" ", F.lit("-"), "code")

@@ -172,7 +172,7 @@ def test_null_groups_and_large_rows(spark):
     for way in (spans.exact_scores, spans.overlap_scores, spans.token_scores):
         got = {(r.collection, r.value): (r.tp, r.support) for r in way(df, "collection").collect()}
         assert len(got) == 16 and got[None, "age"] == (1, 1) and got["c", "age"] == (0, 1) and got[None, "social"] == (0, 0)
-    assert spark.range(1).select(statistics.hashed_weight(F.lit(10**12), F.lit(1000))).first()[0] >= 0
+    assert spark.range(1).select(statistics.digest_weight(F.lit(10**12), F.lit(1000))).first()[0] >= 0
     records = spark.createDataFrame([{**GOOD, "sentence": "x"}], contract.RECORD).withColumn("collection", F.lit(None).cast("string"))
     assert contract.quality_report(records, "collection").filter("code = 'unusually_short_sentence'").count() == 1
 

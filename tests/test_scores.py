@@ -210,8 +210,8 @@ def test_rows_are_drawn_apart(spark):
 
     n, mean = vectors(statistics.digest_weight)
     assert n == 3_000 and abs(mean - 1) < 0.02
-    assert vectors(statistics.hashed_weight)[0] <= 1_000
     rows = spark.range(3).select("id", F.array(*[F.lit(1)] * 8).alias("gold"))
     got = statistics.resampled(rows, {"r": "gold"}, 5, "id")
-    same = statistics.resampled(rows, {"r": "gold"}, 5, "id", statistics.digest_weight)
+    weights = rows.select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("resample")).withColumn("w", statistics.digest_weight(F.col("row"), F.col("resample") + 1))
+    same = statistics.resampled(rows, {"r": "gold"}, 5, "id", weights=weights)
     assert sorted(got.collect()) == sorted(same.collect())
