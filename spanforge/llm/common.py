@@ -161,6 +161,15 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def discard(self, *done: DataFrame) -> None:
+        """Deletes tables of this object that nothing reads any more."""
+        context = self.spark.sparkContext
+        own = self.root.rsplit("/", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for df in done for f in df.inputFiles()}:
+            if f"/{own}/" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
     def free(self, *done: DataFrame) -> None:
         """Deletes tables of this object that nothing reads any more, and lets Spark remove shuffles of finished steps.
 
@@ -171,13 +180,8 @@ class Scratch:
         import gc
         import time
 
-        jvm = self.spark.sparkContext._jvm
-        own = self.root.rsplit("/", 1)[-1]
-        for folder in {f.rsplit("/", 1)[0] for df in done for f in df.inputFiles()}:
-            if f"/{own}/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.discard(*done)
         for wait in (1.2, 0.2):
             gc.collect()
-            jvm.System.gc()
+            self.spark.sparkContext._jvm.System.gc()
             time.sleep(wait)

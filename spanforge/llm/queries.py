@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import chat, licenses, quality
+from spanforge.llm import chat, filter_audit, licenses, quality, sentence_pieces
 from spanforge.llm.common import Scratch
 from spanforge.llm.decontamination import contamination
 from spanforge.llm.html_extract import extract
@@ -16,6 +16,7 @@ from spanforge.llm.near_duplicates import near_duplicates
 from spanforge.llm.packing import pack
 from spanforge.llm.substring_dedup import remove_repeats
 from spanforge.llm.token_counts import count_tokens
+from spanforge.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +92,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(sentence_pieces.encode_decode(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -102,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_sentence_pieces": op13_sentence_pieces,
     "quality_ablation": quality_ablation,
     "linked_tool_calls": linked_tool_calls,
 }
@@ -110,6 +126,7 @@ ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op4_chat_formatting": chat.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
     "quality_ablation": quality.ABLATION_ORACLE,
     "linked_tool_calls": chat.LINKED_ORACLE,
 }
