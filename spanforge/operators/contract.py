@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.vocabulary import VALUES, strip, vocab
 from spanforge.operators.spans import coded, let
+from spanforge.operators.structure import TEXT, WHOLE, Fields, Items, Nullable, shape_issues, walk
 
 ENTITY = "struct<start:int,end:int,text:string,label:string,color:string>"
 RECORD = (
@@ -103,9 +104,8 @@ def same_set(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
 
-def record_issues() -> Column:
-    """All issues of a record row, in the contract's order."""
-    c = F.col
+def record_issues(c=F.col) -> Column:
+    """All issues of a record row, or of what c gives for its columns' names, in the contract's order."""
     curated = F.when(c("curated_sentence") != c("sentence"), c("curated_sentence"))
     version = F.coalesce(c("schema_version"), F.lit(VERSIONS[0]))
     mapping = c("mapping_provenance")
@@ -120,15 +120,39 @@ def record_issues() -> Column:
             when(~mapping.getField("status").isin("pending_review", "approved"), "invalid_mapping_status", "$.mapping_provenance.status"),
         ),
         F.array_compact(F.transform(c("values"), lambda v, i: when(~known(v), "unknown_label", indexed("values", i)))),
-        present(when(F.size("tokens") != F.size("ner_tags"), "token_tag_length_mismatch", "$.ner_tags")),
+        present(when(F.size(c("tokens")) != F.size(c("ner_tags")), "token_tag_length_mismatch", "$.ner_tags")),
         bio_issues(c("ner_tags")),
         present(
-            when(~same_set(c("values"), F.transform("entities", lambda e: e.getField("label"))), "value_entity_mismatch", "$.values"),
+            when(~same_set(c("values"), F.transform(c("entities"), lambda e: e.getField("label"))), "value_entity_mismatch", "$.values"),
             when(~same_set(c("values"), bio_labels(c("ner_tags"))), "bio_value_mismatch", "$.ner_tags"),
         ),
     )
 
 
+#: What each code means to a reader.
+MESSAGES = {
+    "invalid_json": "can't be read as JSON",
+    "invalid_document": "a list of records is needed",
+    "invalid_type": "missing, unknown, or of another type than the record's shape has",
+    "invalid_curated_sentence": "a curated sentence needs text",
+    "unknown_label": "no label of the vocabulary",
+    "invalid_color": "a colour is # and six hexadecimal digits",
+    "invalid_entity_offset": "start and end leave the sentence or enclose nothing",
+    "entity_text_mismatch": "the sentence has another text between start and end",
+    "unsupported_schema_version": "versions are " + " and ".join(VERSIONS),
+    "invalid_mapping_status": "a mapping is pending_review or approved",
+    "token_tag_length_mismatch": "each token has one tag",
+    "invalid_bio_tag": "a tag is O, or B or I with a label",
+    "invalid_bio_transition": "an I tag follows a tag of its label",
+    "value_entity_mismatch": "values and the labels of entities differ",
+    "bio_value_mismatch": "values and the labels of tags differ",
+}
+
+
+def message(code: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair]), code), F.lit(""))
+
+
 def with_issues(records: DataFrame) -> DataFrame:
     """Records that have an issue, with all of theirs.
 
@@ -144,31 +168,32 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*[curated.alias(c) if c == "curated_sentence" else F.col(c) for c in sorted(columns)]))
 
 
+_NAMED = Fields({"start": WHOLE, "end": WHOLE, "text": TEXT, "label": TEXT}, {"color": Nullable(TEXT)})
+_MAPPING = Fields({"method": TEXT, "status": TEXT}, {"config_id": Nullable(TEXT)})
+#: The shape of a record; types are strict: no number for a text, no text for a number.
+SHAPE = Fields(
+    {"sentence_id": WHOLE, "page": WHOLE, "sentence": TEXT},
+    {"curated_sentence": Nullable(TEXT)},
+    {"tokens": Items(TEXT), "values": Items(TEXT), "entities": Items(_NAMED), "ner_tags": Items(TEXT)},
+    {"schema_version": TEXT, "mapping_provenance": Nullable(_MAPPING)},
+)
+
+
 def structural(json_text: Column) -> Column:
-    """Issues of the shape of a record in JSON: not an object, missing or unknown keys, wrong types.
+    """Issues of the shape of a record in JSON, at any depth: no object, keys that lack or are too many, wrong types."""
+    return shape_issues(json_text, SHAPE)
 
-    Types are strict: no number for a text, no text for a number.
-    """
-    value = F.try_parse_json(json_text)
-    kinds = {
-        "sentence_id": "^BIGINT$",
-        "page": "^BIGINT$",
-        "sentence": "^STRING$",
-        "tokens": "^ARRAY<(STRING|VOID)>$",
-        "values": "^ARRAY<(STRING|VOID)>$",
-        "entities": "^ARRAY<(OBJECT<.*|VOID)>$",
-        "ner_tags": "^ARRAY<(STRING|VOID)>$",
-    }
-    optional = {"curated_sentence": "^(STRING|VOID)$", "schema_version": "^STRING$", "mapping_provenance": "^(OBJECT<.*|VOID)$"}
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant"))
-    keys = F.json_object_keys(json_text)
-    there = lambda k: F.array_contains(keys, k)
-    found = [when(~there(k) | ~F.coalesce(kind(k).rlike(t), F.lit(False)), "invalid_type", f"$.{k}") for k, t in kinds.items()]
-    found += [when(there(k) & ~F.coalesce(kind(k), F.lit("VOID")).rlike(t), "invalid_type", f"$.{k}") for k, t in optional.items()]
-    extra = F.transform(F.array_except(keys, F.array(*[F.lit(k) for k in [*kinds, *optional]])), lambda k: issue("invalid_type", F.concat(F.lit("$."), k)))
-    no_object = F.array(issue("invalid_type", "$"))
-    broken = F.array(issue("invalid_json", "$"))
-    return F.when(value.isNull(), broken).when(keys.isNull(), no_object).otherwise(F.concat(present(*found), extra))
+
+def checked(record: Column) -> Column:
+    """All issues of a parsed record: those of its shape, or, if it has none, those of the contract's rules."""
+
+    def rules(r: Column) -> Column:
+        return record_issues(lambda name: r.getField(name))
+
+    unreadable = F.array(issue("invalid_json", "$"))
+    shape = F.when(record.isNull(), unreadable).otherwise(walk(record, SHAPE, F.lit("$")))
+    typed = F.try_variant_get(record, "$", "struct<" + ",".join(x.replace(" ", ":", 1) for x in RECORD.split(", ")) + ">")
+    return let(shape, lambda found: F.when(F.size(found) > 0, found).otherwise(let(typed, rules)))
 
 
 # --- quality flags ---------------------------------------------------------------------

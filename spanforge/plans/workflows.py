@@ -397,22 +397,6 @@ def canonical_records(spark, d):
     return records(spark, d).select("doc_id", "sentence_id", F.md5(text.cast("binary")).alias("digest"))
 
 
-SHAPES = [
-    ('{"sentence_id":1,"page":1,"sentence":"a","tokens":["a"],"values":[],"entities":[],"ner_tags":["O"]}', ""),
-    ('{"sentence_id":"1","page":1,"sentence":"a","tokens":["a"],"values":[],"entities":[],"ner_tags":["O"]}', "$.sentence_id"),
-    ('{"sentence_id":1,"page":1,"sentence":2,"tokens":["a"],"values":[],"entities":[],"ner_tags":["O"],"more":1}', "$.sentence,$.more"),
-    ('{"page":1,"sentence":"a","tokens":["a"],"values":[],"entities":[{}],"ner_tags":"O"}', "$.sentence_id,$.ner_tags"),
-    ("[1]", "$"),
-    ("{", "$"),
-]
-
-
-@query("structural_issues", f"SELECT doc_id, {sql_pick([p for _, p in SHAPES], 'doc_id')} AS paths FROM documents")
-def structural_issues(spark, d):
-    found = contract.structural(pick([s for s, _ in SHAPES], row_id()))
-    return documents(spark, d).select("doc_id", F.array_join(F.transform(found, lambda i: i.getField("path")), ",").alias("paths"))
-
-
 @query("flat_records", f"WITH {RECORD_KINDS} SELECT doc_id, sentence_id::INTEGER AS sentence_id, '[\"' || CASE WHEN kind = 9 THEN 'age\",\"social' ELSE label END || '\"]' AS labels, md5(sentence) AS digest FROM kinds")
 def flat_records(spark, d):
     """Records as rows of a CSV file, lists as JSON."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.text import effective_text
 from spanforge.functions.vocabulary import canonical_tags, normalise_value, tag_value
-from spanforge.operators.contract import ENTITY, structural
+from spanforge.operators.contract import ENTITY, ISSUE, checked, issue, message
+from spanforge.operators.structure import is_json, json_fault
 
 PACKAGE = f"documents array<struct<document_id:string,records:array<struct<sentence_id:int,page:int,sentence:string,curated_sentence:string,tokens:array<string>,values:array<string>,entities:array<{ENTITY}>,ner_tags:array<string>,schema_version:string>>>>"
 LISTS = {"values": "array<string>", "tokens": "array<string>", "entities": f"array<{ENTITY}>", "ner_tags": "array<string>"}
@@ -103,17 +104,86 @@ def read_citations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, broken, i, json): elements of JSON arrays, each as text for the structural check; a broken or empty file has one null row."""
-    raw = spark.read.option("wholetext", "true").text(paths).withColumn("path", F.input_file_name())
-    items = F.from_json("value", "array<string>")
-    return raw.select("path", items.isNull().alias("broken"), F.posexplode_outer(items).alias("i", "json"))
+    """(path, fault, array, i, record): elements of JSON arrays, parsed, with their place.
+
+    fault: (position, line, column) where a text stops being JSON, all 0 if it is no
+    UTF-8; array: whether it is a list; files without elements have one row without
+    i.  Records that can be read as JSON but not parsed here (a repeated key, NaN)
+    are null.
+    """
+    content = F.col("content")
+    found, _ = existing(spark, paths)
+    raw = spark.read.format("binaryFile").load(paths).select("path", F.is_valid_utf8(content.cast("string")).alias("utf8"), content.cast("string").alias("value"))
+    # the reader leaves out files without a byte
+    empty = spark.createDataFrame([(path, True, "") for path, size in found if not size], raw.schema)
+    return parsed_records(raw.unionByName(empty))
+
+
+def parsed_records(raw: DataFrame) -> DataFrame:
+    """The rows of read_records for (path, utf8, value) and other columns, which stay."""
+    value = F.col("value")
+    good = raw.withColumn("whole", F.when(F.col("utf8") & is_json(value), F.try_parse_json(value)))
+    nowhere = F.struct(*[F.lit(0).alias(x) for x in ("position", "line", "column")])
+    faults = F.when(~F.col("utf8"), nowhere).when(F.col("whole").isNull(), json_fault(value))
+    apart = F.when(F.col("whole").isNull() & F.col("fault").isNull(), F.transform(F.from_json(value, "array<string>"), F.try_parse_json))
+    elements = F.coalesce(F.try_variant_get("whole", "$", "array<variant>"), apart)
+    items = good.withColumn("fault", faults).withColumn("elements", elements).withColumn("array", F.col("elements").isNotNull())
+    return items.select("*", F.posexplode_outer("elements").alias("i", "record")).drop("elements", "whole", "value", "utf8")
+
+
+def findings(records: DataFrame) -> DataFrame:
+    """(path, i, n, code, place) of every issue in the rows of read_records, numbered in each record; those of whole files without i."""
+    whole = F.when(F.col("fault").isNotNull(), F.array(issue("invalid_json", "$"))).when(~F.col("array"), F.array(issue("invalid_document", "$")))
+    found = F.coalesce(whole, F.when(F.col("i").isNotNull(), checked(F.col("record"))), F.array().cast(ISSUE))
+    each = records.withColumn("_found", F.explode(F.filter(F.array(found), lambda x: F.size(x) > 0))).drop("record")
+    return each.select("*", F.posexplode("_found").alias("n", "_x")).select("*", F.col("_x.code").alias("code"), F.col("_x.path").alias("place")).drop("_found", "_x")
+
+
+def validated(records: DataFrame, *keys: str) -> DataFrame:
+    """(path, state, records, issues, line, column) of each file of read_records: valid, invalid or parse_error."""
+    keys = keys or ("path",)
+    found = F.when(F.col("fault").isNotNull() | ~F.col("array"), 0).when(F.col("i").isNotNull(), F.size(checked(F.col("record")))).otherwise(0)
+    sums = (
+        records.withColumn("_n", found)
+        .groupBy(*keys)
+        .agg(F.max("fault").alias("fault"), F.bool_and("array").alias("array"), F.count("i").alias("records"), F.sum("_n").cast("long").alias("issues"))
+    )
+    issues = F.when(~F.col("array") & F.col("fault").isNull(), 1).otherwise(F.col("issues"))
+    state = F.when(F.col("fault").isNotNull(), "parse_error").when(issues > 0, "invalid").otherwise("valid")
+    return sums.select(*keys, state.alias("state"), "records", issues.alias("issues"), "fault.line", "fault.column")
 
 
-def validated(records: DataFrame) -> DataFrame:
-    """(path, state, records, issues) of each file of read_records: valid, invalid or parse_error."""
-    found = records.withColumn("_n", F.when(F.col("json").isNull(), 0).otherwise(F.size(structural(F.col("json")))))
-    sums = found.groupBy("path").agg(F.bool_or("broken").alias("broken"), F.count("json").alias("records"), F.sum("_n").cast("long").alias("issues"))
-    return sums.select("path", F.when(F.col("broken"), "parse_error").when(F.col("issues") > 0, "invalid").otherwise("valid").alias("state"), "records", "issues")
+def existing(spark: SparkSession, patterns: list[str]) -> tuple[list[tuple[str, int]], list[str]]:
+    """The files of patterns with their sizes, and the patterns without one; the store is asked, no file is read."""
+    found, none = [], []
+    for pattern in patterns:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        got = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        names = [(x.getPath().toString(), x.getLen()) for x in got] if got is not None else []
+        found, none = [*found, *names], none if names else [*none, pattern]
+    return found, none
+
+
+def validate(spark: SparkSession, patterns: list[str], most: int = 20) -> tuple[DataFrame, int]:
+    """(text) lines on all files of some patterns, in order, and the exit code.
+
+    Each file has a line with its state, and up to `most` lines on its issues.  A
+    pattern without a file has a line too and counts as an input that can't be read.
+    """
+    found, none = existing(spark, patterns)
+    absent = spark.createDataFrame([(x, f"INPUT ERROR: {x}: no such file") for x in none], "path string, text string")
+    if not found:
+        return absent.select("text"), 2 if none else 1
+    records = read_records(spark, [path for path, _ in found])
+    report = validated(records)
+    sums = F.concat_ws(" ", F.concat("path", F.lit(":")), "records", F.lit("records,"), "issues", F.lit("issues"))
+    where = F.concat(F.lit("PARSE ERROR: "), "path", F.lit(": line "), "line", F.lit(", column "), "column")
+    heads = report.select("path", F.when(F.col("state") == "parse_error", where).otherwise(F.concat(F.upper("state"), F.lit(": "), sums)).alias("text"))
+    line = F.concat_ws(" ", F.lit("-"), "code", F.concat("place", F.lit(":")), message(F.col("code")))
+    one_file = Window.partitionBy("path").orderBy("i", "n")
+    listed = findings(records).filter("fault is null").withColumn("rank", F.row_number().over(one_file)).filter(F.col("rank") <= most)
+    texts = heads.withColumn("rank", F.lit(0)).unionByName(listed.select("path", line.alias("text"), "rank")).unionByName(absent.withColumn("rank", F.lit(0)))
+    return texts.orderBy("path", "rank").select("text"), max(exit_code(report), 2 if none else 0)
 
 
 def exit_code(report: DataFrame) -> int:

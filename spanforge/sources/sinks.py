@@ -101,7 +101,14 @@ def write_release(records: DataFrame, documents: DataFrame, issues: DataFrame, f
     return spark.read.schema(files.schema).json(f"{folder}/datapackage")
 
 
-def validation_text(issues: DataFrame) -> DataFrame:
-    """(document_id, report): readable lines of all issues of a document."""
-    line = F.concat_ws(" ", F.lit("-"), "code")
-    return issues.groupBy("document_id").agg(F.concat_ws("\n", F.col("document_id"), F.array_sort(F.collect_list(line))).alias("report"))
+def validation_text(issues: DataFrame, key: str = "document_id") -> DataFrame:
+    """(document_id, report): a document's issues as readable lines, with their places and what they mean.
+
+    issues: document_id, code, and path if there is one; lines are in order of path and code.
+    """
+    from spanforge.operators.contract import message
+
+    place = F.col("path") if "path" in issues.columns else F.lit("$")
+    line = F.concat_ws(" ", F.lit("-"), "code", F.concat(F.coalesce(place, F.lit("$")), F.lit(":")), message(F.col("code")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("path"), "code", line.alias("line")))), lambda x: F.rtrim(x.getField("line")))
+    return issues.groupBy(key).agg(F.concat_ws("\n", F.col(key), lines).alias("report"))
