@@ -167,26 +167,49 @@ def latest_decisions(events: DataFrame, key: str, *order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last")).select(key, "last.*")
 
 
-def edit_issues(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Guarded edits: (doc_id, sentence_id, code) for changes that an edit must not make.
+#: What an edit leaves as it is.
+IMMUTABLE = ["sentence_id", "page", "sentence", "schema_version", "mapping_provenance"]
+
 
-    Rows: doc_id, sentence_id, page, entities (with label and colour).  Pages stay,
-    and the multiset of labels and colours of the entities stays.
+def edit_issues(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Guarded edits: (doc_id, sentence_id, code, field) for what an edit must not do.
+
+    before: records with doc_id and all their columns; after: the same, with place (the
+    sentence_id of the record it replaces) and excluded (places of the entities it
+    removes).  IMMUTABLE fields stay; tokens stay unless the curated sentence changes;
+    no entity is added, each one removed is named, and of those kept no label with its
+    colour occurs more often than before, so a removal shows what went.  An edit of a
+    record that is not there, and a second one of the same, are issues too.
     """
-    kinds = lambda e: F.array_sort(F.transform(e, lambda x: F.concat_ws("|", x.getField("label"), x.getField("color"))))
-    a = before.select(*KEYS, F.col("page").alias("p0"), kinds(F.col("entities")).alias("k0"))
-    b = after.select(*KEYS, F.col("page").alias("p1"), kinds(F.col("entities")).alias("k1"))
-    joined = a.join(b, KEYS, "full_outer")
+    kinds = lambda e: F.transform(e, lambda x: F.struct(x.getField("label").alias("label"), x.getField("color").alias("color")))
+    names = [*IMMUTABLE[1:], "curated_sentence", "tokens", "entities"]
+    a = before.select("doc_id", F.col("sentence_id").alias("place"), *[F.col(c).alias(f"a_{c}") for c in ["sentence_id", *names]])
+    found = before.groupBy("doc_id", F.col("sentence_id").alias("place")).agg(F.count(F.lit(1)).alias("records"))
+    b = after.select("doc_id", "place", "excluded", *[F.col(c).alias(f"b_{c}") for c in ["sentence_id", *names]]).join(found, ["doc_id", "place"], "left")
+    once = F.coalesce(F.col("records"), F.lit(0)) == 1
+    missing = b.filter(~once).select("doc_id", F.col("place").alias("sentence_id"), F.lit("not_exactly_one_record").alias("code"), F.lit(None).cast("string").alias("field"))
+    rows = b.filter(once).join(a, ["doc_id", "place"])
+    same = lambda c: F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    n0, n1 = F.size("a_entities"), F.size("b_entities")
+    gone = F.array_distinct(F.coalesce("excluded", F.array().cast("array<int>")))
+    outside = F.exists(gone, lambda i: i.isNull() | (i < 0) | (i >= n0))
+    kept = kinds(F.filter("a_entities", lambda e, i: ~F.array_contains(gone, i)))
+    new = kinds(F.col("b_entities"))
+    count = lambda xs, x: F.size(F.filter(xs, lambda y: y.eqNullSafe(x)))
+    more = F.exists(F.array_distinct(new), lambda x: count(new, x) > count(kept, x))
+    one = lambda condition, code, field: F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))
     codes = F.array_compact(
         F.array(
-            F.when(F.col("k0").isNull(), "added_sentence"),
-            F.when(F.col("k1").isNull(), "removed_sentence"),
-            F.when(F.col("p0") != F.col("p1"), "immutable_field_changed"),
-            F.when(F.size("k1") > F.size("k0"), "entity_added"),
-            F.when(F.col("k0") != F.col("k1"), "labels_or_colors_changed"),
+            *[one(~same(c), "immutable_field_changed", c) for c in IMMUTABLE],
+            one(same("curated_sentence") & ~same("tokens"), "tokens_changed", "tokens"),
+            one(outside, "excluded_out_of_range", "excluded"),
+            one(~outside & (n1 > n0), "entity_added", "entities"),
+            one(~outside & (n1 <= n0) & (n1 != n0 - F.size(gone)), "removal_not_named", "entities"),
+            one(~outside & (n1 == n0 - F.size(gone)) & more, "labels_or_colors_changed", "entities"),
         )
     )
-    return joined.select(*KEYS, F.explode(codes).alias("code"))
+    found = rows.select("doc_id", F.col("place").alias("sentence_id"), F.explode(codes).alias("x"))
+    return found.select("doc_id", "sentence_id", "x.code", "x.field").unionByName(missing)
 
 
 def decide(reviews: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

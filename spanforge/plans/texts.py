@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.functions.sentences import ABBREVIATIONS, sentence_spans
-from spanforge.operators import assembly
+from spanforge.operators import assembly, ruling
 from spanforge.plans import views as V
 from spanforge.plans.expressions import documents, pick, sql_pick
 from spanforge.plans.queries import query
+from spanforge.session import kept
 
 # Words of a document on pages of 200 in five blocks, in lines of ten or, in the last block, of one; some end in hyphens.
 COLORS = [None, "#FFFF00", None, "#00B0F0", "#FFFF00"]
@@ -131,3 +132,58 @@ def highlight_records(spark, d):
     found = assembly.highlight_records(assembly.coloured_entities(placed, sentences, "doc_id"), sentences, "doc_id", labels=labels)
     each = F.transform("entities", lambda e: F.concat(e.getField("start"), F.lit("-"), e.getField("end"), F.lit(":"), e.getField("label")))
     return found.select("doc_id", "sentence_id", "page", F.md5(F.col("sentence").cast("binary")).alias("digest"), F.array_join("values", ",").alias("values"), F.array_join(each, " ").alias("entities"))
+
+
+# --- ruled cells ---------------------------------------------------------------------------------
+
+
+def drawn_lines(spark, d):
+    """Lines of a table on the page of each document, in pieces and a little askew, some of them missing."""
+    i = F.col("doc_id")
+    rows, columns = (i % 5 + 1).cast("int"), (F.col("n_chars") % 4 + 1).cast("int")
+    base = documents(spark, d).select("doc_id", "n_chars", rows.alias("r"), columns.alias("c"))
+    cells = base.select("*", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("a")).select("*", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("b"))
+    a, b, n = F.col("a"), F.col("b"), F.col("n_chars")
+    askew = (F.col("doc_id") + a * 3 + b) % 3
+    x, y = b * 60 + 30, a * 25 + 40
+    level = cells.filter((b < F.col("c")) & ((n + a * 7 + b * 5) % 9 != 0)).select("doc_id", (x - 1).alias("x0"), (y + askew).alias("y0"), (x + 60 + askew).alias("x1"), (y + askew).alias("y1"))
+    upright = cells.filter((a < F.col("r")) & ((n + a * 5 + b * 11) % 8 != 0)).select("doc_id", (x + askew - 1).alias("x0"), (y + 25).alias("y0"), (x + askew - 1).alias("x1"), (y - 1).alias("y1"))
+    other = base.filter(i % 3 == 0).select("doc_id", F.lit(300).alias("x0"), F.lit(300).alias("y0"), F.lit(400).alias("x1"), F.lit(390).alias("y1"))
+    second = base.filter(i % 4 == 1).select("doc_id", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), box, strict=True)]) for box in GRID])).alias("l")).select("doc_id", "l.*")
+    return level.unionByName(upright).unionByName(other).unionByName(second)
+
+
+#: A second table of two rows and two columns, whose upper cells are one.
+GRID = [(500, 40, 600, 40), (500, 70, 600, 70), (500, 100, 600, 100), (500, 130, 600, 130), (500, 40, 500, 130), (550, 70, 550, 130), (600, 40, 600, 130)]
+
+CELLS_SQL = f"""
+base AS (SELECT doc_id, n_chars AS n, doc_id % 5 + 1 AS r, n_chars % 4 + 1 AS c FROM documents),
+grid AS (SELECT *, (doc_id + a * 3 + b) % 3 AS k, b * 60 + 30 AS x, a * 25 + 40 AS y FROM (SELECT *, unnest(range(0, c + 1)) AS b FROM (SELECT *, unnest(range(0, r + 1)) AS a FROM base))),
+lines AS (SELECT doc_id, x - 1 AS x0, y + k AS y0, x + 60 + k AS x1, y + k AS y1 FROM grid WHERE b < c AND (n + a * 7 + b * 5) % 9 <> 0
+UNION ALL SELECT doc_id, x + k - 1, y - 1, x + k - 1, y + 25 FROM grid WHERE a < r AND (n + a * 5 + b * 11) % 8 <> 0
+UNION ALL SELECT doc_id, g[1], g[2], g[3], g[4] FROM base, (SELECT unnest({[list(g) for g in GRID]}) AS g) WHERE doc_id % 4 = 1),
+s AS (SELECT DISTINCT doc_id, y1 - y0 <= 3 AS level, (CASE WHEN y1 - y0 <= 3 THEN y0 ELSE x0 END)::DOUBLE AS p, (CASE WHEN y1 - y0 <= 3 THEN x0 ELSE y0 END)::DOUBLE AS lo, (CASE WHEN y1 - y0 <= 3 THEN x1 ELSE y1 END)::DOUBLE AS hi FROM lines),
+pc AS (SELECT doc_id, level, p, sum(far) OVER (PARTITION BY doc_id, level ORDER BY p) AS cl FROM (SELECT DISTINCT doc_id, level, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id, level ORDER BY p) <= 3 THEN 0 ELSE 1 END AS far FROM (SELECT DISTINCT doc_id, level, p FROM s))),
+sn AS (SELECT s.doc_id, s.level, cl, min(s.p) OVER (PARTITION BY s.doc_id, s.level, cl) AS p, lo, hi FROM s JOIN pc USING (doc_id, level, p)),
+mg AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, level, cl ORDER BY lo, hi) AS piece FROM (SELECT *, CASE WHEN lo <= 3 + max(hi) OVER (PARTITION BY doc_id, level, cl ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS gap FROM sn)),
+st AS (SELECT doc_id, level, p, min(lo) AS lo, max(hi) AS hi, row_number() OVER (ORDER BY doc_id, level, p, min(lo)) AS id FROM mg GROUP BY doc_id, level, cl, p, piece),
+pt AS (SELECT h.doc_id, h.id AS h, v.id AS v, v.p AS x, h.p AS y, h.hi > v.p + 3 AS rt, v.hi > h.p + 3 AS dn FROM st h JOIN st v ON h.doc_id = v.doc_id AND h.level AND NOT v.level AND v.p BETWEEN h.lo - 3 AND h.hi + 3 AND h.p BETWEEN v.lo - 3 AND v.hi + 3),
+rr AS (SELECT a.doc_id, a.h, a.v, min(b.x) AS x1 FROM pt a JOIN pt b ON a.doc_id = b.doc_id AND a.h = b.h AND b.x > a.x AND b.dn GROUP BY ALL),
+bb AS (SELECT a.doc_id, a.h, a.v, min(b.y) AS y1 FROM pt a JOIN pt b ON a.doc_id = b.doc_id AND a.v = b.v AND b.y > a.y AND b.rt GROUP BY ALL),
+ce AS (SELECT DISTINCT pt.doc_id, pt.h, pt.x, pt.y, rr.x1, bb.y1 FROM pt JOIN rr USING (doc_id, h, v) JOIN bb USING (doc_id, h, v) WHERE pt.rt AND pt.dn AND EXISTS (
+  SELECT 1 FROM pt c JOIN pt ra ON ra.doc_id = c.doc_id AND ra.v = c.v JOIN pt ba ON ba.doc_id = c.doc_id AND ba.h = c.h WHERE c.doc_id = pt.doc_id AND ra.h = pt.h AND ra.x = rr.x1 AND ba.v = pt.v AND ba.y = bb.y1)),
+links AS (SELECT DISTINCT a.doc_id, a.h AS s, b.h AS t FROM pt a JOIN pt b ON a.doc_id = b.doc_id AND a.v = b.v)"""
+
+
+@query(
+    "ruled_cells",
+    f"""WITH RECURSIVE {CELLS_SQL},
+walk AS (SELECT DISTINCT doc_id, s, s AS t FROM links UNION SELECT walk.doc_id, walk.s, links.t FROM walk JOIN links ON walk.doc_id = links.doc_id AND walk.t = links.s),
+tb AS (SELECT doc_id, s AS h, min(t) AS tab FROM walk GROUP BY doc_id, s),
+cc AS (SELECT ce.*, tab FROM ce JOIN tb USING (doc_id, h)),
+ok AS (SELECT doc_id, tab FROM cc GROUP BY doc_id, tab HAVING count(DISTINCT y) > 1 AND count(DISTINCT x) > 1)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY y, x) - 1)::INTEGER AS cell, x AS x0, y AS y0, x1, y1 FROM cc SEMI JOIN ok USING (doc_id, tab)""",
+)
+def ruled_cells(spark, d):
+    """Cells of tables from their drawn lines."""
+    return ruling.ruled_cells(drawn_lines(spark, d), "doc_id", keep=kept(spark)).drop("table")

@@ -258,21 +258,6 @@ def appended_palette(spark, d):
 # --- reviews, packages, evaluation --------------------------------------------------------------
 
 
-@query(
-    "guarded_edits",
-    f"""WITH {RECORD_KINDS}, k AS (SELECT doc_id, sentence_id, (doc_id * 3 + sentence_id) % 9 AS k, label FROM kinds),
-c(k, code) AS (VALUES (1, 'removed_sentence'), (2, 'immutable_field_changed'), (3, 'entity_added'), (3, 'labels_or_colors_changed'), (4, 'labels_or_colors_changed'))
-SELECT doc_id, sentence_id::INTEGER AS sentence_id, code FROM k JOIN c USING (k)""",
-)
-def guarded_edits(spark, d):
-    """Of nine sentences one is removed, one moves to another page, one gets an entity and one another colour."""
-    before = records(spark, d).select("doc_id", "sentence_id", "page", "entities")
-    k = (F.col("doc_id") * 3 + F.col("sentence_id")) % 9
-    other = F.transform("entities", lambda e: e.withField("color", F.lit("#123456")))
-    after = before.filter(k != 1).select("doc_id", "sentence_id", F.when(k == 2, F.col("page") + 1).otherwise(F.col("page")).alias("page"), F.when(k == 3, F.concat("entities", "entities")).when(k == 4, other).otherwise(F.col("entities")).alias("entities"))
-    return registry.edit_issues(before, after)
-
-
 @query(
     "review_decisions",
     f"""WITH {V.SENTENCES}, {V.REVIEWS}, n AS (SELECT doc_id, sentence_id, CASE WHEN sentence_id % 2 = 0 THEN 'excluded' ELSE 'approved' END AS status, 2 AS at FROM sentences WHERE (doc_id + sentence_id) % 3 = 0)

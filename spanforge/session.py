@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +32,31 @@ def dealt(df: DataFrame) -> DataFrame:
     """The rows, dealt out evenly where the scan has fewer splits than there are cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a test folder if it is unset in local mode."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spanforge-')}")
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get().rstrip("/")
+
+
+def kept(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a table to the shared folder and reads it again: lineage is cut, lost executors cost tasks only."""
+    root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex[:12]}"
+    numbers = itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(numbers):04d}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
