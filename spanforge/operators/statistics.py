@@ -8,14 +8,13 @@ sums per resample are combined; labels x resamples rows are shuffled per task.
 from __future__ import annotations
 
 import math
-import random
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.scores import f1
 from spanforge.functions.vocabulary import VALUES
+from spanforge.operators.draws import resampled_sums
 
 #: Upper edges, in 2^-32, of the numbers of draws 0, 1, 2, ... of a row in a resample of equal size: cumulative Poisson(1) chances.
 POISSON_32 = [round(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) * 2**32) for i in range(11)]
@@ -38,15 +37,6 @@ def digest_weight(row: Column, resample: Column) -> Column:
     return drawn(F.substring(digest(row, F.floor(at / 4)), F.pmod(at, F.lit(4)).cast("int") * 8 + 1, F.lit(8)))
 
 
-def drawn_weights(spark, n: int, resamples: int, seed: int = 13) -> DataFrame:
-    """(resample, row, w) of seeded draws with replacement from n rows; for row numbers of a bounded test set."""
-    chance = random.Random(seed)
-    rows = []
-    for b in range(resamples):
-        rows += [(b, i, w) for i, w in Counter(chance.randrange(n) for _ in range(n)).items()]
-    return spark.createDataFrame(rows, "resample int, row long, w int")
-
-
 def count_columns(gold: Column, pred: Column) -> list[Column]:
     """tp, fp, fn of each label, wrong decisions and rows, as columns of a row."""
     out = []
@@ -89,6 +79,15 @@ def resampled(rows: DataFrame, rules: dict[str, str], resamples: int = DEFAULT_R
     return sums.select("rule", "resample", F.inline(F.array(*metric_columns())))
 
 
+def exactly_resampled(rows: DataFrame, rules: dict[str, str], resamples: int = DEFAULT_RESAMPLES, row: str = "doc_id", seed: int = 13) -> DataFrame:
+    """(rule, resample, metric, value, draws) as resampled(), but with exactly as many draws as rows in each resample."""
+    names = [f"{c}{k}" for k in range(len(VALUES)) for c in ("tp", "fp", "fn")]
+    flat = rows.select(row, *[x.alias(f"{i}_{n}") for i, c in enumerate(rules.values()) for x, n in zip(count_columns(F.col("gold"), F.col(c)), names, strict=True)])
+    sums = resampled_sums(flat, row, flat.columns[1:], resamples, seed)
+    each = F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), *[F.col(f"{i}_{n}").alias(n) for n in names]) for i, r in enumerate(rules)]))
+    return sums.select("resample", "n", each).select("rule", "resample", F.inline(F.array(*metric_columns())), F.col("n").alias("draws"))
+
+
 def intervals(samples: DataFrame, digits: int = 9) -> DataFrame:
     """(rule, metric, value, lo, hi): observed value and the 2.5 and 97.5 percentiles, by linear interpolation."""
     drawn = F.when(F.col("resample") > 0, F.col("value"))

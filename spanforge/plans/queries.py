@@ -513,6 +513,22 @@ def paired_holm(spark, d):
     return out.select("metric", "per_value", *[F.round(c, 9).alias(c) for c in ("difference", "p_value", "p_holm")])
 
 
+@query(
+    "exact_bootstrap",
+    f"""WITH {V.UNITS}, rules AS (SELECT doc_id, k, value, 'tuned' AS rule, g, p FROM units UNION ALL SELECT doc_id, k, value, 'default', g, CASE WHEN prob >= 0.5::DOUBLE THEN 1 ELSE 0 END FROM units),
+c AS (SELECT rule, value, sum(g * p) AS tp, sum((1 - g) * p) AS fp, sum(g * (1 - p)) AS fn FROM rules GROUP BY ALL),
+m AS (SELECT rule, 'micro_f1' AS metric, f1(tp, fp, fn) AS value FROM (SELECT rule, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY ALL) UNION ALL SELECT rule, 'f1/' || value, f1(tp, fp, fn) FROM c),
+n AS (SELECT count(*) AS n FROM documents)
+SELECT rule, metric, round(value, 9) AS value, n::BIGINT AS fewest, n::BIGINT AS most, {RESAMPLES}::BIGINT AS resamples FROM m, n""",
+)
+def exact_bootstrap(spark, d):
+    """Observed values, and that every resample has as many draws as there are rows; the tests look at the draws themselves."""
+    rows = dealt(V.units(spark, d)).withColumn("default", F.transform("prob", lambda p: (p >= 0.5).cast("int")))
+    s = statistics.exactly_resampled(rows, {"tuned": "pred", "default": "default"}, RESAMPLES).filter("metric not in ('macro_f1', 'hamming_loss')")
+    drawn = F.when(F.col("resample") > 0, F.col("draws"))
+    return s.groupBy("rule", "metric").agg(F.round(F.max(F.when(F.col("resample") == 0, F.col("value"))), 9).alias("value"), F.min(drawn).alias("fewest"), F.max(drawn).alias("most"), F.count_if(F.col("resample") > 0).alias("resamples"))
+
+
 # --- evaluation --------------------------------------------------------------------------------
 
 

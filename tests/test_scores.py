@@ -1,12 +1,15 @@
 """Hand-computed cases of counts, spans, thresholds and statistics."""
 
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions.vocabulary import VALUES, canonical_tags, normalise_value, one_hot
-from spanforge.operators import dedup, multilabel, split, statistics, thresholds
+from spanforge.operators import dedup, draws, multilabel, split, statistics, thresholds
 from spanforge.operators import spans as S
 
 
@@ -195,7 +198,10 @@ def test_bootstrap(spark):
         g = [int(rng.random() < 0.4) for _ in VALUES]
         rows.append((i, g, g, [1 - x if rng.random() < 0.4 else x for x in g]))
     df = spark.createDataFrame(rows, "row long, gold array<int>, good array<int>, bad array<int>")
-    s = statistics.resampled(df, {"good": "good", "bad": "bad", "same": "bad"}, 100, "row", weights=statistics.drawn_weights(spark, 60, 100)).cache()
+    rules = {"good": "good", "bad": "bad", "same": "bad"}
+    s = statistics.resampled(df, rules, 100, "row", weights=draws.drawn_weights(df, "row", 100)).cache()
+    exact = statistics.exactly_resampled(df.repartition(7), rules, 100, "row")
+    assert sorted(s.collect()) == sorted(exact.drop("draws").collect()) and {r.draws for r in exact.collect()} == {60}
     p = {r.metric: r for r in statistics.paired(s, "good", "bad").collect()}
     assert p["micro_f1"].p_value < 0.05 and p["micro_f1"].difference > 0
     assert {r.p_value for r in statistics.paired(s, "bad", "same").collect()} == {1.0}
@@ -215,3 +221,32 @@ def test_rows_are_drawn_apart(spark):
     weights = rows.select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("resample")).withColumn("w", statistics.digest_weight(F.col("row"), F.col("resample") + 1))
     same = statistics.resampled(rows, {"r": "gold"}, 5, "id", weights=weights)
     assert sorted(got.collect()) == sorted(same.collect())
+
+
+def test_draws_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(draws, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(draws, "HELD", 5_000)
+    rows = spark.range(500).withColumn("x", F.col("id") * 3)
+    got = draws.drawn_weights(rows, "id", 200).collect()
+    total, by_row = Counter(), Counter()
+    for r in got:
+        total[r.resample] += r.w
+        by_row[r.row] += r.w
+    assert set(total.values()) == {500} and len(total) == 200
+    assert len(by_row) == 500 and abs(sum((w - 200) ** 2 for w in by_row.values()) / 500 - 200) < 50  # a Poisson's variance, nearly
+    again = draws.drawn_weights(rows.repartition(9), "id", 200).collect()
+    assert sorted(got) == sorted(again)
+    sums = {r.resample: (r.n, r.x) for r in draws.resampled_sums(rows, "id", ["x"], 200).collect()}
+    assert sums[0] == (500, 3 * 499 * 250) and {n for n, _ in sums.values()} == {500}
+    assert all(sums[b + 1][1] == sum(r.row * 3 * r.w for r in got if r.resample == b) for b in range(0, 200, 40))
+    assert draws.drawn_weights(rows.limit(0), "id", 5).count() == 0
+
+
+def test_draws_fall_as_they_should(monkeypatch):
+    """Three rows in three blocks: all ways of three draws, as often as chance has it."""
+    sizes = np.array([1, 1, 1])
+    parts = np.stack([draws.share_of(sizes, k, 60_000, 5) for k in range(3)])
+    assert (parts.sum(axis=0) == 3).all()
+    seen = Counter(map(tuple, parts.T.tolist()))
+    chance = {(a, b, 3 - a - b): math.factorial(3) / (math.factorial(a) * math.factorial(b) * math.factorial(3 - a - b)) / 27 for a in range(4) for b in range(4 - a)}
+    assert sum((seen[k] - 60_000 * p) ** 2 / (60_000 * p) for k, p in chance.items()) < 27.9  # 0.1 % of nine degrees of freedom
