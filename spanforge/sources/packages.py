@@ -9,6 +9,7 @@ from spanforge.functions.text import effective_text
 from spanforge.functions.vocabulary import canonical_tags, normalise_value, tag_value
 from spanforge.operators.contract import ENTITY, ISSUE, checked, issue, message
 from spanforge.operators.structure import is_json, json_fault
+from spanforge.sources.ordinals import numbered
 
 PACKAGE = f"documents array<struct<document_id:string,records:array<struct<sentence_id:int,page:int,sentence:string,curated_sentence:string,tokens:array<string>,values:array<string>,entities:array<{ENTITY}>,ner_tags:array<string>,schema_version:string>>>>"
 LISTS = {"values": "array<string>", "tokens": "array<string>", "entities": f"array<{ENTITY}>", "ner_tags": "array<string>"}
@@ -33,12 +34,13 @@ def read_package_json(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_package_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of flat packages: list columns hold JSON, blank ones are empty lists."""
-    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("encoding", "UTF-8").csv(paths).withColumn("path", F.input_file_name())
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("encoding", "UTF-8").csv(paths)
+    raw = numbered(raw)
     first = raw.columns[0]
     raw = raw.withColumnRenamed(first, first.lstrip("﻿"))
     lists = {c: F.coalesce(F.from_json(F.when(F.trim(c) != "", F.col(c)), kind), F.array().cast(kind)) for c, kind in LISTS.items()}
     numbers = {c: F.col(c).try_cast("int") for c in ("sentence_id", "page")}
-    out = raw.withColumns({**lists, **numbers, "ord": F.monotonically_increasing_id()})
+    out = raw.withColumns({**lists, **numbers})
     for c in ("curated_sentence", "schema_version"):
         out = out if c in out.columns else out.withColumn(c, F.lit(None).cast("string"))
     return out.select(*FIELDS)
@@ -84,8 +86,8 @@ def load_report(examples: DataFrame) -> DataFrame:
 
 def read_split(spark: SparkSession, folder: str) -> DataFrame:
     """Released JSON lines with the part from the file's name and the line's place."""
-    rows = spark.read.json(f"{folder}/*.jsonl")
-    return rows.withColumn("part", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1)).withColumn("ord", F.monotonically_increasing_id())
+    rows = numbered(spark.read.json(f"{folder}/*.jsonl"), "path", "ord")
+    return rows.withColumn("part", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)).drop("path")
 
 
 def read_people(spark: SparkSession, path: str) -> DataFrame:

@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.sources.ordinals import order_differences
+
 LISTS = ["values", "tokens", "entities", "ner_tags"]
 COLUMNS = ["document_id", "sentence_id", "page", "sentence", "curated_sentence", "values", "tokens", "entities", "ner_tags", "schema_version"]
 
 
 def write_split(rows: DataFrame, folder: str, published: DataFrame | None = None, key: str = "id") -> None:
-    """JSON lines by part; nothing is written if a published split differs from the rows'."""
+    """JSON lines by part; nothing is written if a published split differs from the rows'.
+
+    Where both have ord, the rows' places count too.
+    """
     if published is not None:
-        from spanforge.operators.registry import same_split
+        if "ord" in rows.columns and "ord" in published.columns:
+            same = order_differences(published, rows, [key], "part").isEmpty()
+        else:
+            from spanforge.operators.registry import same_split
 
-        if not same_split(published.select(key, "part"), rows.select(key, "part")):
+            same = same_split(published.select(key, "part"), rows.select(key, "part"))
+        if not same:
             raise ValueError("the published split differs from the one at hand")
     rows.write.partitionBy("part").mode("errorifexists").json(folder)
 
@@ -54,15 +61,6 @@ def manifest(files: dict[str, bytes]) -> dict:
     return {"resources": [{"path": n, "bytes": len(files[n]), "sha256": hashlib.sha256(files[n]).hexdigest()} for n in sorted(files)]}
 
 
-def package_zip(files: dict[str, bytes]) -> bytes:
-    """A ZIP whose bytes depend on names and contents only."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name in sorted(files):
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), files[name])
-    return out.getvalue()
-
-
 def file_list(spark: SparkSession, folder: str) -> DataFrame:
     """(path, bytes, hash) of a written folder's data files, read back from the store."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

@@ -259,7 +259,7 @@ def test_sinks(spark, tmp_path):
     assert [r["sentence_id"] for r in package["records"]] == [1, 2] and package["record_count"] == 2
     assert json.loads(sinks.flat(record).first()["values"]) == ["age"]
     files = {"b": b"2", "a": b"1"}
-    assert sinks.package_zip(files) == sinks.package_zip(dict(reversed(files.items()))) and [r["path"] for r in sinks.manifest(files)["resources"]] == ["a", "b"]
+    assert [r["path"] for r in sinks.manifest(files)["resources"]] == ["a", "b"]
 
 
 def test_stream(spark, tmp_path):
