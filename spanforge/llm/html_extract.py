@@ -23,12 +23,9 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import Scratch
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+#: What an opening angle bracket starts: a comment, a section of characters, a declaration, or a tag's name.
+START = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+PLAIN = re.compile(r"[^>\"']*+")
 #: One attribute: its name, and a value after an equals sign; attributes are read one after another, values never searched.
 ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?+")
 SPACE = re.compile(r"\s+")
@@ -61,10 +58,13 @@ ASIDE = set(
 ROLES_ASIDE = set("navigation banner contentinfo complementary search form dialog alert menu".split())
 MAIN_WORDS = set("article content post entry story main body text".split())
 NAMES = re.compile(r"[a-z]+")
+#: Words that say nothing about what a container holds; with words of ASIDE alone they name no part of an article.
+NEUTRAL = set(
+    "area articles bar block blocks body bottom box boxes btn button buttons card cards col container content div form group holder icon icons inner item items left "
+    "link links list main module outer page panel post posts right row section site slot stories strip thread threads tile tiles top unit wrap wrapper zone".split()
+)
 #: Elements that hold prose themselves.
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
-#: Characters from which a form that holds half of a page is taken for its wrapper.
-WRAPPER = 200
 
 
 @functools.cache
@@ -93,6 +93,8 @@ class Open:
             out.append("*cell")
         if name in ("article", "main"):
             out.append("*article")
+        if name in PROSE:
+            out.append("*prose")
         return tuple(out)
 
     def push(self, name: str, container: int, out: bool, form: int) -> None:
@@ -113,12 +115,52 @@ class Open:
         return self.elements[-1][1:] if self.elements else (0, False, 0)
 
 
+class Tags:
+    """Where tags of a page end, in time that grows with the page.
+
+    A tag ends at the first > outside quotation marks, or, if a mark stays open up to
+    the page's end, at the first > there is.  Where a search has failed, every later
+    one that meets it at the same mark fails too, so no stretch is searched twice in
+    the same state.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.failed: set[int] = set()  # marks met outside others by searches that found no end
+        self.none_from = {'"': len(source), "'": len(source)}  # from there on no such mark
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at a place; -1 if there is none."""
+        if at > self.last:
+            return -1
+        source, met = self.source, []
+        here = at
+        while True:
+            here = PLAIN.match(source, here).end()
+            if here < len(source) and source[here] == ">":
+                return here
+            if here >= len(source) or here in self.failed:
+                break
+            met.append(here)
+            mark = source[here]
+            close = source.find(mark, here + 1) if here + 1 < self.none_from[mark] else -1
+            if close < 0:
+                self.none_from[mark] = min(self.none_from[mark], here + 1)
+                break
+            here = close + 1
+        self.failed.update(met)
+        return source.find(">", at)
+
+
 class Page:
     """Blocks of text of a page, with the containers around each."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, int]] = []  # text, characters in links, container
         self.forms: list[int] = []  # of each block, the form around it, 0 for none
+        self.prose: list[bool] = []  # of each block, whether a paragraph, heading or the like holds it
+        self.articles: set[int] = set()  # forms with an article inside
         self.parent: list[int] = [-1]
         self.label: list[str] = [""]
         self.tag: list[str] = [""]
@@ -132,29 +174,34 @@ class Page:
             self.paths.append(path if len(path) <= 1_000 else "#" + xxhash.xxh3_128_hexdigest(path))  # very deep: by digest
 
     def drop_forms(self) -> None:
-        """Blocks in forms go, unless a form is a wrapper of the page: it holds half of the text or more."""
+        """Blocks in forms go, unless a form is a wrapper of the page.
+
+        A wrapper holds half of the text or more, and an article, or more text in
+        paragraphs and headings than besides; how long the text is does not matter.
+        """
         whole = sum(len(t) for t, _, _ in self.blocks)
-        inside: dict[int, int] = defaultdict(int)
-        for (text, _, _), form in zip(self.blocks, self.forms, strict=True):
-            inside[form] += len(text)
-        keep = {form for form, size in inside.items() if not form or 2 * size >= whole and size >= WRAPPER}
+        inside: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        for (text, _, _), form, prose in zip(self.blocks, self.forms, self.prose, strict=True):
+            inside[form][prose] += len(text)
+        keep = {form for form, (other, prose) in inside.items() if not form or 2 * (other + prose) >= whole and (form in self.articles or prose > other)}
         self.blocks = [b for b, form in zip(self.blocks, self.forms, strict=True) if form in keep]
 
-    def flush(self, pieces: list[str], links: int, container: int, form: int) -> None:
+    def flush(self, pieces: list[str], links: int, container: int, form: int, prose: bool) -> None:
         if pieces:
             text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
                 self.blocks.append((text, min(links, len(text)), container))
                 self.forms.append(form)
+                self.prose.append(prose)
 
     def parse(self, source: str) -> None:
-        stack = Open()
+        stack, tags = Open(), Tags(source)
         pieces: list[str] = []
         links, container, out, form, forms, at = 0, 0, False, 0, 0, 0
 
         def settle() -> None:
             nonlocal pieces, links
-            self.flush(pieces, links, container, form)
+            self.flush(pieces, links, container, form, stack.top("*prose") >= 0)
             pieces, links = [], 0
 
         def end(depth: int) -> None:
@@ -172,22 +219,33 @@ class Page:
                 if stack.top("a") >= 0:
                     links += len(text)
 
-        while m := TAG.search(source, at):
-            add(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+        while (bracket := source.find("<", at)) >= 0:
+            if bracket > tags.last:  # no tag ends any more; an open comment goes up to the end
+                close = min((x for x in (source.find(c, at) for c in ("<!--", "<![CDATA[")) if x >= 0), default=len(source))
+                add(source[at:close])
+                at = len(source)
+                break
+            m = START.match(source, bracket)
+            stop = m.end() if m and not m[2] else tags.end(m.end()) + 1 if m else 0
+            if not stop:  # a bracket that starts nothing is text
+                add(source[at : bracket + 1])
+                at = bracket + 1
+                continue
+            add(source[at:bracket])
+            at = stop
+            name = (m[2] or "").lower()
             if not name:
                 continue
             if name == "br":
                 if not out:
                     pieces.append(" ")
                 continue
-            if m[1] or m[4]:  # an end tag; one of an inline element does not reach beyond a block
+            if m[1]:  # an end tag; one of an inline element does not reach beyond a block
                 depth = stack.top(name)
                 if depth >= 0 and not (name in INLINE and stack.top("*block") > depth):
                     end(depth)
                 continue
-            attributes = m[3] if m[2] else m[6]
+            attributes = source[m.end() : stop - 1]
             if name in RAW:
                 if not attributes.endswith("/"):
                     close = raw_end(name).search(source, at)
@@ -222,6 +280,8 @@ class Page:
             if name == "form":
                 forms += 1
                 form = forms
+            if strong and name in ("article", "main"):
+                self.articles.add(form)
             out = out or left_out
             stack.push(name, container, out, form)
         add(source[at:])
@@ -247,8 +307,10 @@ class Page:
         # classes tell containers from the article; a paragraph or heading inside it stays, whatever its class
         for w in words if not (in_article and name in PROSE) else ():
             if w and not {"with", "has", "no", "without"} & set(w):
-                hit = ASIDE & {w[0], w[-1]}
-                left |= bool(hit - {"header"} if in_article else hit)
+                if in_article:  # there, one word of several says little: a part on social policy is no list of links
+                    left |= bool(ASIDE.intersection(w) - {"header"}) and ASIDE.union(NEUTRAL).issuperset(w)
+                else:
+                    left |= bool(ASIDE & {w[0], w[-1]})
         return left, label, bool(words) and any(w and w[-1] in MAIN_WORDS for w in words)
 
     def path(self, container: int) -> str:
@@ -271,13 +333,14 @@ class Page:
         return max((c for c in range(len(mass)) if mass[c] >= 0.7 * whole), default=0)
 
     def text(self, path: str | None) -> str:
-        """Blocks in the containers on a path; without such, in the best container."""
+        """Blocks in the containers on a path; without such, or if they hold no text, in the best container."""
         if path:
             on = [False] * len(self.parent)
             for c in range(1, len(self.parent)):
                 on[c] = on[self.parent[c]] or self.paths[c] == path
-            if any(on):
-                return "\n\n".join(t for t, _, c in self.blocks if on[c])
+            found = [t for t, _, c in self.blocks if on[c]]
+            if found:
+                return "\n\n".join(found)
         best = self.best()
         inside = [c == best for c in range(len(self.parent))]
         for c in range(best + 1, len(self.parent)):
@@ -311,8 +374,8 @@ def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     Null and empty html give an empty text; a null or odd url belongs to the
     nameless host.  Ties between paths go to the one with more text, then the
     smaller name.  Repeated rows vote and are extracted each; no rows give no
-    rows; other columns are not read.  Whole pages are read, however long, in time
-    that grows with their tags.
+    rows; other columns are not read.  Whole pages are read, however long and however
+    their tags are left open, in time that grows with the page.
     """
     source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
     scratch = Scratch(pages.sparkSession, "html")

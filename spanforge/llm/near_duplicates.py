@@ -294,7 +294,7 @@ class Join:
         scratch.free(rows)
         # each set leaves out its most frequent keys, as many as the group has to spare
         rank = F.row_number().over(Window.partitionBy("node", "grp").orderBy(F.desc("often"), "key"))
-        spare = F.element_at(F.array(*[F.lit(int(x)) for x in bands.spare[:200]]), (F.col("grp") + 1).cast("int"))
+        spare = F.element_at(F.lit(bands.spare.astype(np.int32)), (F.col("grp") + 1).cast("int"))
         kept = raw.repartition("node").withColumn("rank", rank).filter(F.col("rank") > spare)
         weight = F.count(F.lit(1)).over(Window.partitionBy("node"))
         open_ = scratch.keep(kept.select("key", "node", "n", weight.alias("weight")), "open")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from fractions import Fraction
 
 import duckdb
@@ -12,7 +13,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import filter_audit, sentence_pieces, whitening
+from spanforge.llm import filter_audit, html_extract, near_duplicates, sentence_pieces, whitening
+from tests.llm.test_operators import components_plain
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -234,3 +236,96 @@ def test_digests_of_a_table(spark, pieces):
         ids = pieces.model.encode(r.text or "")
         want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(pieces.model.decode(ids)) if ids else sha("")))
     assert sorted(map(tuple, sentence_pieces.digests(sentence_pieces.encode_decode(docs)).collect())) == sorted(want)
+
+
+# --- pages ---------------------------------------------------------------------------------
+
+
+def main_text(source, path=None):
+    return html_extract.Page(source).text(path)
+
+
+def test_an_empty_container_on_the_hosts_path(spark):
+    article = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(i, f"http://h/{i}", f"<body><main class='a'><p>{article(i)}</p></main></body>") for i in range(5)]
+    rows += [(9, "http://h/9", f"<body><main class='a'></main><div class='b'><p>{article(9)}</p></div></body>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: article(i) for i in (0, 1, 2, 3, 4, 9)}
+
+
+def test_tags_left_open_take_no_longer():
+    for piece in ('<a "', '<a x="1" ', "<a ", "<!x ", "<", '<a ">" ', "<b '\">' \" ", "<a<", "</a ", "<a x='>\" "):
+        for tail in ("", ">", "'>", '">'):
+            start = time.process_time()
+            main_text(piece * (1_000_000 // len(piece)) + tail)
+            assert time.process_time() - start < 4, (piece, tail)
+
+
+def test_tags_end_where_they_did():
+    """Against the plain rule: the first > outside quotation marks, else the first one."""
+    rule = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^>]*)>")
+    rng = random.Random(6)
+    for _ in range(3_000):
+        source = "".join(rng.choice("<a>\"' x=") for _ in range(rng.randrange(40)))
+        tags = html_extract.Tags(source)
+        for at in sorted(rng.sample(range(len(source) + 1), min(6, len(source) + 1))):
+            m = rule.match(source, at)
+            assert tags.end(at) == (m.end() - 1 if m else -1), (source, at)
+    assert main_text("a <!-- b > c") == "a" and main_text("a > b <!-- c") == "a > b" and main_text("a <b") == "a <b" and main_text("x<![CDATA[ y") == "x"
+
+
+def test_forms_are_judged_by_what_they_hold():
+    short = "An article of few words, in a form that wraps the page."
+    assert main_text(f"<body><form><div><p>{short}</p></div><input></form></body>") == short
+    assert main_text(f"<body><form><article>{short}</article></form></body>") == short
+    assert main_text("<body><form>User name <input> Pass word <input></form></body>") == ""
+    assert main_text(f"<body><article><p>{short}</p></article><form>Your mail <p>Sign up</p></form></body>") == short
+
+
+def test_one_word_of_a_class_drops_no_part_of_an_article():
+    body = "Words of the article that stand here. " * 4
+    page = lambda name: main_text(f"<body><article><p>{body.strip()}</p><section class='{name}'><p>Inner part.</p></section></article></body>")
+    for name in ("social-policy", "comment-analysis", "banner-story", "related-work", "share-prices", "cookie-recipe", "widget-guide", "notice-of-meeting"):
+        assert "Inner part." in page(name), name
+    for name in ("social", "comments", "comment-list", "related-posts", "share-buttons", "newsletter-box", "sidebar-left", "promo", "ad-slot"):
+        assert "Inner part." not in page(name), name
+
+
+def test_several_templates_of_a_host(spark):
+    """Pages of three templates and two hosts; what is not the article is known by how the pages are made."""
+    rng = random.Random(9)
+    say = lambda tag, n: f"{tag} " + " ".join(f"{tag}{rng.randrange(999)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        parts = [say("story", rng.randrange(25, 60)) for _ in range(rng.randrange(1, 5))]
+        prose = "".join(f"<p>{p}</p>" for p in parts)
+        menu, side, note = say("menu", 5), say("side", 8), say("note", 6)
+        kind = i % 3
+        if kind == 0:
+            source = f"<html><body><nav>{menu}</nav><main class='c{i}'><article>{prose}</article></main><footer>{note}</footer></body></html>"
+        elif kind == 1:
+            source = f"<div id='navbar'><a href=x>{menu}</a></div><div class='page{i}'><div class='story-text'>{prose}<div class='comments'><p>{side}</p></div></div><div class='sidebar'>{side}</div></div>"
+        else:
+            source = f"<table><tr><td class='menu'>{menu}<td class='text'>{prose}<form>{note}<input></form></table><script>{side}</script>"
+        rows.append((i, f"https://h{i % 2}.org/{i}", source))
+        want[i] = "\n\n".join(parts)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+
+
+# --- near duplicates at high thresholds ------------------------------------------------------
+
+
+def test_near_duplicates_at_99_of_100(spark):
+    rng = random.Random(1)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (1200, 1200, 700, 30)]
+    rows = []
+    for i in range(80):
+        text = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(99)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    for num in (95, 97, 99):
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, 4, num, 100).collect()}
+        assert got == {tuple(x) for x in components_plain(rows, 4, num, 100)}
