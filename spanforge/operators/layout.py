@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.functions.sentences import running
+from spanforge.operators.spans import let
+
 STRIP = 50
 
 
@@ -51,7 +54,7 @@ def block_words(words: DataFrame, *keys: str) -> DataFrame:
 
 
 def recognised_records(words: DataFrame, *keys: str) -> DataFrame:
-    """(keys, sentence_id, sentence, entities): coloured paragraphs and table cells of recognised words, in order of place.
+    """(keys, sentence_id, sentence, tokens, values, entities, ner_tags): coloured paragraphs and table cells of recognised words, in order of place.
 
     words: keys, block, paragraph, line, word, text, x0, y0, color (or null) and cell
     (or null), which goes before block and paragraph.  Lines of a group are joined by
@@ -71,10 +74,37 @@ def recognised_records(words: DataFrame, *keys: str) -> DataFrame:
     runs = rows.groupBy(*part, "island", "color").agg(F.min(F.col("end") - F.length("text")).alias("s"), F.max("end").alias("e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda p: p.getField("piece")), "").alias("piece"), F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.min("word").alias("first"))
     whole = runs.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("island", "s", "e", "color", "piece"))).alias("runs"), F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.min("first").alias("first"))
     whole = whole.withColumn("sentence", F.array_join(F.transform("runs", lambda r: r.getField("piece")), ""))
-    entity = lambda r: F.struct(r.getField("s").alias("start"), r.getField("e").alias("end"), F.substring(F.col("sentence"), r.getField("s") + 1, r.getField("e") - r.getField("s")).alias("text"), r.getField("color").alias("label"))
+    entity = lambda r: F.struct(r.getField("s").alias("start"), r.getField("e").alias("end"), F.substring(F.col("sentence"), r.getField("s") + 1, r.getField("e") - r.getField("s")).alias("text"), r.getField("color").alias("label"), r.getField("color").alias("color"))
     found = whole.withColumn("entities", F.transform(F.filter("runs", lambda r: r.getField("color").isNotNull()), entity)).filter(F.size("entities") > 0)
     place = Window.partitionBy(*keys).orderBy("y0", "x0", "first")
-    return found.select(*keys, F.row_number().over(place).alias("sentence_id"), "sentence", "entities")
+    numbered = found.withColumn("sentence_id", F.row_number().over(place)).withColumn("at", token_spans(F.col("sentence")))
+    tokens = F.transform("at", lambda t: F.substring(F.col("sentence"), t.getField("start") + 1, t.getField("end") - t.getField("start")))
+    values = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e.getField("label"))))
+    return numbered.select(*keys, "sentence_id", "sentence", tokens.alias("tokens"), values.alias("values"), "entities", span_tags(F.col("at"), F.col("entities")).alias("ner_tags"))
+
+
+# A token of a recognised text is a word, with apostrophes and hyphens inside, or one other visible character.
+TOKEN = r"[\p{L}\p{N}_]+(?:['’\-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\p{Z}\s]"
+
+
+def token_spans(text: Column) -> Column:
+    """array<struct<start,end>> of a text's tokens, in code points."""
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda t: F.length(t))
+    gaps = F.transform(F.split(text, TOKEN), lambda g: F.length(g))
+    steps = F.transform(sizes, lambda n, i: n + F.get(gaps, i))
+    return let(F.struct(sizes.alias("sizes"), gaps.alias("gaps"), running(steps).alias("before")), lambda x: F.transform(x.getField("sizes"), lambda n, i: F.struct((F.get(x.getField("before"), i) + F.get(x.getField("gaps"), i)).alias("start"), (F.get(x.getField("before"), i) + F.get(x.getField("gaps"), i) + n).alias("end"))))
+
+
+def span_tags(spans: Column, entities: Column) -> Column:
+    """BIO tags of tokens that lie wholly in an entity, by its label; entities are apart and in order."""
+    inside = lambda t, e: (t.getField("start") >= e.getField("start")) & (t.getField("end") <= e.getField("end"))
+
+    def tags(found: Column) -> Column:
+        """found: for each token the entity's number from 1, 0 for none."""
+        prefix = lambda k, i: F.when(k == F.coalesce(F.get(found, i - 1), F.lit(0)), "I-").otherwise("B-")
+        return F.transform(found, lambda k, i: F.when(k == 0, F.lit("O")).otherwise(F.concat(prefix(k, i), F.get(entities, k - 1).getField("label"))))
+
+    return let(F.transform(spans, lambda t: F.coalesce(F.array_position(F.transform(entities, lambda e: inside(t, e)), True), F.lit(0)).cast("int")), tags)
 
 
 def first_containing(points: DataFrame, rects: DataFrame, *keys: str) -> DataFrame:

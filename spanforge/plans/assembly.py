@@ -70,38 +70,6 @@ def first_subtokens(spark, d):
 # --- review queue ---------------------------------------------------------------------------------
 
 
-@query(
-    "readiness_gates",
-    """WITH g AS (SELECT doc_id, doc_id % 11 <> 0 AS curator, doc_id % 3 <> 0 AS original_annotator, doc_id % 2 = 0 AND (doc_id % 4 <> 0 OR doc_id % 8 = 0) AS citation,
-doc_id % 5 <> 0 AND doc_id % 6 NOT IN (1, 2) AS color_configuration, doc_id % 7 > 0 AND doc_id % 13 <> 0 AS extraction, doc_id % 7 > 0 AND doc_id % 9 <> 0 AND doc_id % 10 <> 0 AS sentence_review FROM documents)
-SELECT *, concat_ws('|', CASE WHEN NOT curator THEN 'Select an active project curator.' END, CASE WHEN NOT original_annotator THEN 'Assign at least one original annotator to this document.' END,
-CASE WHEN NOT color_configuration THEN 'Review and confirm the document color configuration.' END, CASE WHEN NOT extraction THEN 'Run extraction and persist a non-empty sentence inventory.' END,
-CASE WHEN NOT sentence_review THEN 'Approve or exclude every extracted sentence.' END) AS reasons FROM g""",
-)
-def readiness_gates(spark, d):
-    i = row_id()
-    none = F.array().cast("array<string>")
-    statuses = F.when(i % 6 == 0, F.array(F.lit("approved"), F.lit("ignored"))).when(i % 6 == 1, none).when(i % 6 == 2, F.array(F.lit("pending"))).otherwise(F.array(F.lit("approved")))
-    rows = documents(spark, d).select(
-        "doc_id",
-        (i % 11 != 0).alias("active_curator"),
-        F.when(i % 3 != 0, F.array(F.lit("a"))).otherwise(none).alias("original_annotators"),
-        (i % 2 == 0).alias("human_confirmed"),
-        F.lit("t").alias("title"),
-        F.array(F.lit("c")).alias("creators"),
-        F.lit("x").alias("citation_text"),
-        F.when(i % 4 == 0, "").otherwise("r").alias("reference"),
-        F.when(i % 8 == 0, "n").alias("not_findable_reason"),
-        (i % 5 != 0).alias("colors_confirmed"),
-        statuses.alias("color_statuses"),
-        (i % 7 + (i % 13 == 0).cast("int")).alias("resource_count"),
-        (i % 7).alias("n_records"),
-        F.when(i % 9 != 0, i % 7).alias("n_reviewed"),
-        (i % 7 - (i % 10 == 0).cast("int")).alias("n_decided"),
-    )
-    return review_queue.gates(rows).select("doc_id", *review_queue.REASONS, F.array_join("reasons", "|").alias("reasons"))
-
-
 @query(
     "review_queue",
     f"""WITH {V.SENTENCES}, {V.REVIEWS}, f AS (SELECT doc_id, sentence_id, (length(sentence) > 80 AND sentence_id % 3 <> 0) OR regexp_matches(sentence, '[0-9]') AS flagged FROM sentences),
@@ -129,19 +97,6 @@ def queue(spark, d):
 # --- sources and releases ---------------------------------------------------------------------------
 
 
-@query(
-    "bound_sources",
-    """SELECT doc_id AS document_id, CASE WHEN doc_id % 4 <> 0 THEN 'p' || doc_id WHEN doc_id % 8 = 0 THEN 'x' || doc_id END AS path,
-CASE WHEN doc_id % 4 = 0 AND doc_id % 8 <> 0 THEN 'unbound' WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' END AS problem FROM documents""",
-)
-def bound_sources(spark, d):
-    docs = documents(spark, d).select(row_id().alias("document_id"), F.concat(F.lit("p"), row_id()).alias("source_path"), F.when(row_id() % 4 == 0, "external").otherwise("project").alias("binding"), F.col("lang").alias("checksum"), "doc_id")
-    bindings = docs.filter(row_id() % 8 == 0).select("document_id", F.concat(F.lit("x"), row_id()).alias("path"))
-    place = F.when(row_id() % 4 == 0, F.concat(F.lit("x"), row_id())).otherwise(F.col("source_path"))
-    found = docs.filter(row_id() % 3 != 0).select(place.alias("path"), F.when(row_id() % 5 == 0, "other").otherwise(F.col("checksum")).alias("observed_checksum"))
-    return registry.bound_sources(docs.drop("doc_id"), bindings, found)
-
-
 @query(
     "collection_documents",
     f"""WITH {V.SENTENCES}, s AS (SELECT doc_id, count(*) AS n, md5(string_agg(sentence, chr(10) ORDER BY page, sentence_id)) AS digest FROM sentences GROUP BY doc_id)
@@ -175,23 +130,47 @@ def block_words(spark, d):
     return layout.block_words(words, "doc_id").select("doc_id", "block", F.array_join("words", "|").alias("words"))
 
 
-@query(
-    "recognised_records",
-    f"""WITH {WORDS}, h AS (SELECT doc_id, word, arg_max(color, struct_pack(s := shared, c := color)) AS color FROM hit WHERE shared * 100 >= 35 * 480 GROUP BY ALL),
+RECOGNISED = f"""WITH {WORDS}, h AS (SELECT doc_id, word, arg_max(color, struct_pack(s := shared, c := color)) AS color FROM hit WHERE shared * 100 >= 35 * 480 GROUP BY ALL),
 cw AS (SELECT w.*, w.word // 10 AS line, h.color, CASE WHEN w.word % 100 < 5 THEN 'c' || (w.word // 100) ELSE 'p' || (w.word // 20) END AS g FROM words w LEFT JOIN h ON h.doc_id = w.doc_id AND h.word = w.word),
 pc AS (SELECT *, CASE WHEN row_number() OVER o = 1 THEN '' WHEN lag(line) OVER o <> line THEN chr(10) ELSE ' ' END || text AS piece, row_number() OVER o AS n, lag(color) OVER o AS was FROM cw WINDOW o AS (PARTITION BY doc_id, g ORDER BY line, word)),
 e AS (SELECT *, sum(length(piece)) OVER s AS e, sum(CASE WHEN n > 1 AND color IS NOT DISTINCT FROM was THEN 0 ELSE 1 END) OVER s AS island FROM pc WINDOW s AS (PARTITION BY doc_id, g ORDER BY n)),
 ent AS (SELECT doc_id, g, island, color, min(e - length(text)) AS s, max(e) AS e FROM e WHERE color IS NOT NULL GROUP BY ALL),
 es AS (SELECT doc_id, g, string_agg(s || '-' || e || '=' || color, ',' ORDER BY s) AS entities FROM ent GROUP BY ALL),
-grp AS (SELECT doc_id, g, string_agg(piece, '' ORDER BY n) AS sentence, min(y0) AS y0, min(x0) AS x0, min(word) AS first FROM e GROUP BY ALL)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, first)::INTEGER AS sentence_id, sentence, entities FROM grp JOIN es USING (doc_id, g)""",
-)
-def recognised_records(spark, d):
+grp AS (SELECT doc_id, g, string_agg(piece, '' ORDER BY n) AS sentence, min(y0) AS y0, min(x0) AS x0, min(word) AS first FROM e GROUP BY ALL)"""
+
+
+def recognised(spark, d):
     """Lines of ten words, paragraphs of two lines; the first words of every hundred stand in a table cell."""
     words = page_words(spark, d)
     word = F.col("word")
     colored = words.join(layout.recognised_colors(words, page_drawings(words), 0.35, "doc_id"), ["doc_id", "word"], "left")
     placed = colored.withColumns({"block": F.floor(word / 40), "paragraph": F.floor(word / 20), "line": F.floor(word / 10), "cell": F.when(word % 100 < 5, F.floor(word / 100))})
-    out = layout.recognised_records(placed, "doc_id")
+    return layout.recognised_records(placed, "doc_id")
+
+
+@query("recognised_records", RECOGNISED + """
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, first)::INTEGER AS sentence_id, sentence, entities FROM grp JOIN es USING (doc_id, g)""")
+def recognised_records(spark, d):
     shown = F.transform("entities", lambda e: F.concat(e.getField("start"), F.lit("-"), e.getField("end"), F.lit("="), e.getField("label")))
-    return out.select("doc_id", "sentence_id", "sentence", F.array_join(shown, ",").alias("entities"))
+    return recognised(spark, d).select("doc_id", "sentence_id", "sentence", F.array_join(shown, ",").alias("entities"))
+
+
+WORD = r"[\p{L}\p{N}_]"
+
+
+@query(
+    "recognised_tags",
+    RECOGNISED
+    + rf""", s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, first)::INTEGER AS sentence_id, g, sentence FROM grp JOIN es USING (doc_id, g)),
+t AS (SELECT doc_id, sentence_id, g, sentence, i, toks[i] AS tok, gaps[i] AS gap, toks FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS i FROM (
+  SELECT *, regexp_extract_all(sentence, '{WORD}+(?:[''’\-]{WORD}+)*|[^\p{{L}}\p{{N}}_\p{{Z}}\s]') AS toks, string_split_regex(sentence, '{WORD}+(?:[''’\-]{WORD}+)*|[^\p{{L}}\p{{N}}_\p{{Z}}\s]') AS gaps FROM s))),
+p AS (SELECT *, sum(length(tok) + length(gap)) OVER (PARTITION BY doc_id, sentence_id ORDER BY i) AS fin FROM t),
+m AS (SELECT p.*, ent.s AS es, ent.color FROM p LEFT JOIN ent ON p.doc_id = ent.doc_id AND p.g = ent.g AND p.fin - length(tok) >= ent.s AND p.fin <= ent.e),
+b AS (SELECT *, CASE WHEN color IS NULL THEN 'O' WHEN es IS NOT DISTINCT FROM lag(es) OVER (PARTITION BY doc_id, sentence_id ORDER BY i) THEN 'I-' || color ELSE 'B-' || color END AS tag FROM m)
+SELECT doc_id, sentence_id, count(*)::BIGINT AS tokens, string_agg(tag, ' ' ORDER BY i) AS tags, md5(string_agg(tok, ' ' ORDER BY i)) AS digest, coalesce(array_to_string(list_sort(list(DISTINCT color) FILTER (color IS NOT NULL)), ','), '') AS labels FROM b GROUP BY doc_id, sentence_id""",
+)
+def recognised_tags(spark, d):
+    """Tokens of recognised records with their tags and labels."""
+    out = recognised(spark, d)
+    digest = F.md5(F.array_join("tokens", " ").cast("binary"))
+    return out.select("doc_id", "sentence_id", F.size("tokens").cast("long").alias("tokens"), F.array_join("ner_tags", " ").alias("tags"), digest.alias("digest"), F.array_join("values", ",").alias("labels"))

@@ -236,143 +236,6 @@ def words_in_sentences(spark, d):
 # --- rules ------------------------------------------------------------------------------------
 
 
-@query("citation_validity", "SELECT doc_id, doc_id % 3 = 1 OR doc_id % 5 = 2 AS valid FROM documents")
-def citation_validity(spark, d):
-    from spanforge.operators.people import citation_valid
-
-    rows = documents(spark, d).select("doc_id", F.when(row_id() % 3 == 1, "anna").when(row_id() % 3 == 2, "").alias("confirmed_by"), F.when(row_id() % 5 == 2, "valid").when(row_id() % 5 == 3, "invalid").alias("program_status"))
-    return rows.select("doc_id", citation_valid().alias("valid"))
-
-
-def joined_codes(issues: Column, *more: str) -> Column:
-    return F.array_join(F.transform(issues, lambda i: i.getField("code")), ",")
-
-
-def sql_codes(rules: list[tuple[str, str]]) -> str:
-    """The codes of rules that hold, in order, comma-joined."""
-    return "concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for cond, code in rules) + ")"
-
-
-PERSON_RULES = [
-    ("doc_id % 2 = 0", "invalid_person_id"),
-    ("doc_id % 3 = 0", "missing_name"),
-    ("doc_id % 5 = 0", "invalid_email"),
-    ("doc_id % 7 = 0", "invalid_orcid"),
-    ("doc_id % 11 = 0 OR doc_id % 13 = 0", "invalid_role"),
-    ("doc_id % 17 = 0 AND (doc_id % 11 = 0 OR doc_id % 4 = 1 OR doc_id % 13 = 0)", "curator_role_missing"),
-]
-
-
-@query("person_rules", f"SELECT doc_id, {sql_codes(PERSON_RULES)} AS codes FROM documents")
-def person_rules(spark, d):
-    every = lambda n: row_id() % n == 0
-    role = F.when(every(13), F.array(F.lit("king"))).when(row_id() % 4 == 1, F.array(F.lit("annotator"))).otherwise(F.array(F.lit("curator"), F.lit("data_owner")))
-    rows = documents(spark, d).select(
-        "doc_id",
-        F.when(every(2), "person 1").otherwise("PERSON-A1").alias("person_id"),
-        F.when(every(3), " \t").otherwise("Anna").alias("name"),
-        F.when(every(5), "anna@home").otherwise(F.when(row_id() % 3 == 1, "").otherwise("anna@home.org")).alias("email"),
-        F.when(every(7), "0000-0001").otherwise("0000-0002-1825-009X").alias("orcid"),
-        F.when(every(11), F.array().cast("array<string>")).otherwise(role).alias("roles"),
-        every(17).alias("active_curator"),
-    )
-    return rows.select("doc_id", joined_codes(contract.person_issues()).alias("codes"))
-
-
-CITATION_RULES = [
-    ("doc_id % 2 = 0", "missing_source_title"),
-    ("doc_id % 3 = 0", "missing_source_creator"),
-    ("doc_id % 5 = 0", "invalid_item_type"),
-    ("doc_id % 7 = 0", "year_or_undated"),
-    ("doc_id % 7 <> 0 AND doc_id % 11 = 0", "invalid_year"),
-    ("doc_id % 13 = 0", "missing_citation"),
-    ("doc_id % 4 = 1", "missing_findability"),
-]
-
-
-@query("citation_rules", f"SELECT doc_id, {sql_codes(CITATION_RULES)} AS codes FROM documents")
-def citation_rules(spark, d):
-    every = lambda n: row_id() % n == 0
-    rows = documents(spark, d).select(
-        "doc_id",
-        F.when(every(2), " ").otherwise("A title").alias("title"),
-        F.when(every(3), F.array().cast("array<string>")).otherwise(F.array(F.lit("Anna"))).alias("creators"),
-        F.when(every(5), "poster").otherwise("book").alias("item_type"),
-        F.when(every(7), None).when(every(11), 99).otherwise(1999).alias("issued_year"),
-        F.lit(False).alias("undated"),
-        F.when(~every(13), "Anna 1999").alias("citation"),
-        F.when(row_id() % 4 == 0, "https://example.org").alias("reference"),
-        F.when(row_id() % 4 > 1, "lost").otherwise("").alias("not_findable_reason"),
-    )
-    return rows.select("doc_id", joined_codes(contract.citation_issues()).alias("codes"))
-
-
-READY_RULES = [
-    ("doc_id % 2 = 0", "missing_source_title"),
-    ("doc_id % 3 = 0", "missing_citation"),
-    ("doc_id % 5 = 0", "missing_findability"),
-    ("doc_id % 5 = 1", "source_not_findable"),
-    ("doc_id % 7 = 0", "citation_not_validated"),
-    ("doc_id % 11 = 0", "missing_original_annotator"),
-    ("doc_id % 13 = 0", "missing_extraction_method"),
-    ("doc_id % 4 = 0", "missing_extraction_date"),
-    ("doc_id % 6 = 0", "annotation_review_incomplete"),
-    ("doc_id % 8 = 0", "missing_color_mapping"),
-    ("doc_id % 8 <> 0 AND doc_id % 9 = 0", "color_pending_review"),
-    ("doc_id % 8 <> 0 AND doc_id % 9 = 1", "approved_color_missing_label"),
-    ("doc_id % 8 <> 0 AND doc_id % 9 = 2", "ignored_color_missing_reason"),
-    ("doc_id % 8 <> 0 AND doc_id % 10 = 0", "color_mapping_unconfirmed"),
-    ("doc_id % 10 <> 0", "missing_color_confirmation_person"),
-    ("doc_id % 10 <> 0", "missing_color_confirmation_date"),
-    ("doc_id % 12 = 0", "missing_annotations_resource"),
-]
-
-
-@query("readiness_rules", f"SELECT doc_id, {sql_codes(READY_RULES)} AS codes, {sql_codes([(c, n) for c, n in READY_RULES if n != 'source_not_findable' and n not in contract.CITATION_CODES])} AS blocking FROM documents")
-def readiness_rules(spark, d):
-    every = lambda n: row_id() % n == 0
-    none = F.array().cast("array<string>")
-    color = "array<struct<hex:string,label:string,status:string,reason:string>>"
-    one = lambda label, status, reason: F.array(F.struct(F.lit("#FF0000").alias("hex"), F.lit(label).cast("string").alias("label"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))).cast(color)
-    colors = F.when(every(8), F.array().cast(color)).when(every(9), one(None, "pending", None)).when(row_id() % 9 == 1, one(None, "approved", None)).when(row_id() % 9 == 2, one(None, "ignored", "")).otherwise(one("age", "approved", None))
-    day = F.lit("2020-01-01").cast("date")
-    rows = documents(spark, d).select(
-        "doc_id",
-        F.when(every(2), "").otherwise("t").alias("title"),
-        F.array(F.lit("Anna")).alias("creators"),
-        F.when(~every(3), "c").alias("citation"),
-        F.when(row_id() % 5 > 1, "r").alias("reference"),
-        F.when(row_id() % 5 == 1, "lost").alias("not_findable_reason"),
-        (~every(7)).alias("citation_validated"),
-        F.when(every(11), none).otherwise(F.array(F.lit("Ben"))).alias("annotators"),
-        F.when(~every(13), "m").alias("method"),
-        F.lit("x").alias("extractor"),
-        F.lit("1").alias("extractor_version"),
-        F.when(~every(4), day).alias("extracted_at"),
-        F.lit(True).alias("sentence_approval_required"),
-        (~every(6)).alias("review_complete"),
-        day.alias("reviewed_at"),
-        colors.alias("colors"),
-        (~every(10)).alias("colors_confirmed"),
-        F.lit(None).cast("string").alias("confirmed_by"),
-        F.lit(None).cast("date").alias("confirmed_at"),
-        F.when(every(12), none).otherwise(F.array(F.lit("annotations.json"))).alias("resources"),
-    )
-    issues = contract.readiness_issues()
-    found = rows.select("doc_id", issues.alias("i"))
-    stop = F.filter("i", lambda x: (contract.severity(x.getField("code")) == "error") & ~x.getField("code").isin(*contract.CITATION_CODES))
-    return found.select("doc_id", joined_codes(F.col("i")).alias("codes"), joined_codes(stop).alias("blocking"))
-
-
-@query("extraction_scopes", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 = 0 ELSE doc_id % 5 > 2 END AS valid FROM documents")
-def extraction_scopes(spark, d):
-    lists = [F.array().cast("array<int>"), F.array(F.lit(2), F.lit(1)), F.array(F.lit(1), F.lit(1)), F.array(F.lit(1), F.lit(4)), F.array(F.lit(7))]
-    partial = F.get(F.array(*lists), (row_id() % 5).cast("int"))
-    full = F.when(row_id() % 4 == 0, F.lit(None).cast("array<int>")).otherwise(F.array(F.lit(1)))
-    rows = documents(spark, d).select("doc_id", (row_id() % 2 == 0).alias("full"), F.when(row_id() % 2 == 0, full).otherwise(partial).alias("pages"))
-    return rows.select("doc_id", contract.scope_is_valid(F.col("full"), F.col("pages")).alias("valid"))
-
-
 CODES = ["missing_package_file", "annotation_resource_mismatch", "source_missing", "invalid_bio_tag", "source_not_current"]
 PATHS = ["$", "$.citation.title", "$.registry[0]", "$.ner_tags[0]"]
 

@@ -671,4 +671,4 @@ def latest_decision(spark, d):
 
 
 # the rest of the queries register themselves
-from spanforge.plans import assembly, expressions, registries, reviews, structures, texts, workflows  # noqa: E402, F401
+from spanforge.plans import assembly, expressions, registries, reviews, rules, structures, texts, workflows  # noqa: E402, F401

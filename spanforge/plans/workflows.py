@@ -16,12 +16,6 @@ LABELS = "(['social','economic','political','historic','aesthetical','scientific
 # --- sources and checkpoints ------------------------------------------------------------------
 
 
-@query("complete_join", "SELECT doc_id AS example_id, lang, source FROM documents")
-def complete_join(spark, d):
-    docs = documents(spark, d)
-    return registry.complete_join(docs.select(F.col("doc_id").alias("example_id"), "lang"), docs.select(F.col("doc_id").alias("example_id"), "source"))
-
-
 WANTED = "wanted AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'incoming/' WHEN doc_id % 3 = 0 THEN 'nowhere/' ELSE 'sources/' END || doc_id || '.pdf' AS source_path FROM documents WHERE doc_id % 2 = 0)"
 
 
@@ -50,15 +44,6 @@ def scan_report(spark, d):
     return registry.scan_report(registry.synchronise(V.registry(spark, d), V.discovered(spark, d)))
 
 
-@query("reusable_checkpoints", "SELECT doc_id::VARCHAR AS document_id, doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS reuse FROM documents")
-def reusable_checkpoints(spark, d):
-    """A checkpoint is there but for every fifth document; sources, mappings or counts of some have changed."""
-    docs = documents(spark, d).select(row_id().cast("string").alias("document_id"), F.md5(F.col("text").cast("binary")).alias("source_sha256"), F.col("lang").alias("mapping_sha256"), F.col("n_chars").alias("records"), "doc_id")
-    now = docs.drop("doc_id")
-    old = docs.filter(row_id() % 5 != 0).select("document_id", F.when(row_id() % 3 == 0, "x").otherwise(F.col("source_sha256")).alias("source_sha256"), F.when(row_id() % 7 == 0, "x").otherwise(F.col("mapping_sha256")).alias("mapping_sha256"), (F.col("records") + (row_id() % 11 == 0).cast("int")).alias("records"))
-    return registry.reusable(old, now).select("document_id", "reuse")
-
-
 @query("batch_report", "SELECT source, count(*) FILTER (doc_id % 4 = 0) AS completed, count(*) FILTER (doc_id % 4 IN (1, 2)) AS reused, count(*) FILTER (doc_id % 4 = 3) AS failed, count(*) FILTER (doc_id % 4 = 3) = 0 AS successful FROM (SELECT *, 'all' AS source FROM (SELECT doc_id FROM documents)) GROUP BY source")
 def batch_report(spark, d):
     results = documents(spark, d).select(pick(["completed", "reused", "reused", "failed"], row_id()).alias("status"))
@@ -221,19 +206,6 @@ def compiled_drafts(spark, d):
     return out.select("doc_id", "sentence_id", F.array_join("values", ",").alias("labels"), F.array_join("unresolved", ",").alias("unresolved"))
 
 
-@query(
-    "colour_decisions",
-    """WITH c AS (SELECT printf('#%06X', doc_id) AS hex, doc_id % 6 AS k FROM documents)
-SELECT hex, CASE k WHEN 1 THEN 'missing_decision' WHEN 2 THEN 'unknown_color' WHEN 3 THEN 'duplicate_decision' ELSE 'label_xor_reason' END AS code FROM c WHERE k BETWEEN 1 AND 4""",
-)
-def colour_decisions(spark, d):
-    """Of six colours one has no decision, one was not seen, one is decided twice, one has a label and a reason."""
-    c = documents(spark, d).select(F.format_string("#%06x", row_id()).alias("hex"), (row_id() % 6).alias("k"))
-    made = c.filter("k <> 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("k") == 3, 2).otherwise(1))))
-    made = made.select("hex", F.lit("age").alias("label"), F.when(F.col("k") == 4, "odd").alias("reason"))
-    return colors.decision_issues(c.filter("k <> 2").select("hex"), made)
-
-
 VERSIONS = "versions AS (SELECT source AS configuration_id, (doc_id % 3 + 1)::INTEGER AS version, printf('#%06X', doc_id) AS hex, 'age' AS label FROM documents)"
 
 

@@ -120,7 +120,9 @@ def test_recognised_records(spark):
     rows = [at(1, 1, "red", 0, 10, "R"), at(2, 1, "words", 20, 10, "R"), at(3, 2, "plain", 0, 20, None), at(4, 2, "blue", 20, 20, "B"), at(5, 3, "none", 0, 40, None, None, 1), at(6, 0, "cell", 5, 5, "B", 7, 1)]
     words = spark.createDataFrame(rows, "page int, word int, block int, paragraph int, line int, text string, x0 double, y0 double, color string, cell int")
     got = [(r.sentence_id, r.sentence, [tuple(e) for e in r.entities]) for r in layout.recognised_records(words, "page").orderBy("sentence_id").collect()]
-    assert got == [(1, "cell", [(0, 4, "cell", "B")]), (2, "red words\nplain blue", [(0, 9, "red words", "R"), (16, 20, "blue", "B")])]
+    assert got == [(1, "cell", [(0, 4, "cell", "B", "B")]), (2, "red words\nplain blue", [(0, 9, "red words", "R", "R"), (16, 20, "blue", "B", "B")])]
+    tagged = layout.recognised_records(words.withColumn("text", F.when(F.col("word") == 1, "re-d,").otherwise(F.col("text"))), "page").orderBy("sentence_id").collect()
+    assert [(r.tokens, r["values"], r.ner_tags) for r in tagged] == [(["cell"], ["B"], ["B-B"]), (["re-d", ",", "words", "plain", "blue"], ["B", "R"], ["B-R", "I-R", "I-R", "O", "B-B"])]
 
 
 def test_paths(spark):
