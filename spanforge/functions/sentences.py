@@ -60,17 +60,25 @@ def running(numbers: Column) -> Column:
     return let(numbers, lambda x: let(F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int"), lambda size: in_blocks(x, size)))
 
 
-def sentence_spans(text: Column, abbreviations: list[str] | None = None) -> Column:
-    """array<struct<start,end>> of the sentences of a text, in code points, white space at their ends left out; none for null."""
+def sentence_parts(text: Column, abbreviations: list[str] | None = None) -> Column:
+    """array<struct<start,end,text>> of the sentences of a text, in code points, white space at their ends left out; none for null.
+
+    The text is cut once, so a sentence is not looked for from the text's beginning.
+    """
     blank = f"[{SPACES}]"
 
     def spans(parts: Column) -> Column:
         return let(running(F.transform(parts, lambda p: F.length(p))), lambda at: F.transform(parts, lambda p, i: trimmed(p, F.get(at, i))))
 
     def trimmed(part: Column, at: Column) -> Column:
-        left = F.length(part) - F.length(F.regexp_replace(part, f"^{blank}+", ""))
-        size = F.length(F.regexp_replace(part, f"^{blank}+|{blank}+$", ""))
-        return F.struct((at + left).alias("start"), (at + left + size).alias("end"))
+        left = F.regexp_replace(part, f"^{blank}+", "")
+        start = at + F.length(part) - F.length(left)
+        return let(F.regexp_replace(left, f"{blank}+$", ""), lambda t: F.struct(start.alias("start"), (start + F.length(t)).alias("end"), t.alias("text")))
 
     found = let(F.split(marked(text, abbreviations), MARK), spans)
-    return F.coalesce(F.filter(found, lambda s: s.getField("end") > s.getField("start")), F.array().cast("array<struct<start:int,end:int>>"))
+    return F.coalesce(F.filter(found, lambda s: s.getField("text") != ""), F.array().cast("array<struct<start:int,end:int,text:string>>"))
+
+
+def sentence_spans(text: Column, abbreviations: list[str] | None = None) -> Column:
+    """array<struct<start,end>>: the places alone."""
+    return F.transform(sentence_parts(text, abbreviations), lambda s: F.struct(s.getField("start").alias("start"), s.getField("end").alias("end")))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.sentences import sentence_spans
+from spanforge.functions.sentences import sentence_parts
 from spanforge.functions.text import strip_speaker
 from spanforge.operators.layout import words_in_sentences
 
@@ -101,8 +101,8 @@ def document_texts(placed: DataFrame, *keys: str) -> DataFrame:
 
 def sentences_of(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, sentence, ss, se, text): sentences of each text with their characters; a leading "name:" goes and moves the start."""
-    each = texts.select(*keys, "text", F.posexplode(sentence_spans(F.col("text"))).alias("sentence", "s"))
-    cut = each.select(*keys, "sentence", F.col("s.start").alias("ss"), F.col("s.end").alias("se"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("whole"))
+    each = texts.select(*keys, F.posexplode(sentence_parts(F.col("text"))).alias("sentence", "s"))
+    cut = each.select(*keys, "sentence", F.col("s.start").alias("ss"), F.col("s.end").alias("se"), F.col("s.text").alias("whole"))
     named = cut.withColumn("cut", strip_speaker(F.col("whole")))
     return named.select(*keys, "sentence", (F.col("ss") + F.col("cut.shift")).alias("ss"), "se", F.trim("cut.text").alias("text"))
 

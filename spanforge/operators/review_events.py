@@ -11,6 +11,9 @@ events: doc_id, seq, kind, actor, sentence_ids (array), status, code, record_sha
   (record_sha256, the record after it), submit
 records: doc_id, sentence_id, record_sha256 before the first event
 warnings: doc_id, sentence_id, record_sha256, code, severity of every version of a record
+
+keep, where a function has it, writes a table and reads it again: the versions are read
+by several steps, and are made once that way.
 """
 
 from __future__ import annotations
@@ -100,10 +103,10 @@ def submissions(admitted_: DataFrame, changes: DataFrame, records: DataFrame) ->
     return found.select("doc_id", "seq", open_.alias("open"), F.when(open_ > 0, "unresolved_sentences").otherwise("applied").alias("outcome"))
 
 
-def outcomes(events: DataFrame, records: DataFrame, warnings: DataFrame) -> DataFrame:
+def outcomes(events: DataFrame, records: DataFrame, warnings: DataFrame, keep=lambda df: df) -> DataFrame:
     """(doc_id, seq, kind, outcome) of every event: applied, nothing_to_do, or why it was refused."""
-    judged = admitted(events, records)
-    rows = versions(judged, records)
+    judged = keep(admitted(events, records))
+    rows = keep(versions(judged, records))
     accepted = acceptances(rows, warnings)
     rank = F.when(F.col("outcome") == "applied", 0).when(F.col("outcome") == "already_accepted", 1).otherwise(2)
     of_warnings = accepted.groupBy("doc_id", "seq").agg(F.min_by("outcome", rank).alias("by_warning"))
@@ -114,12 +117,12 @@ def outcomes(events: DataFrame, records: DataFrame, warnings: DataFrame) -> Data
     return all_.select("doc_id", "seq", "kind", F.coalesce("refused", "by_submit", F.when(F.coalesce(idle, F.lit(False)), "nothing_to_do"), "by_warning", F.lit("applied")).alias("outcome"))
 
 
-def states(events: DataFrame, records: DataFrame, warnings: DataFrame) -> DataFrame:
+def states(events: DataFrame, records: DataFrame, warnings: DataFrame, keep=lambda df: df) -> DataFrame:
     """(keys, record_sha256, status, reviewer, decided_at, accepted) of every sentence after all events.
 
     Last values are aggregates, so a sentence with very many events is no single task's.
     """
-    rows = versions(admitted(events, records), records)
+    rows = keep(versions(admitted(events, records), records))
     last = rows.groupBy(*KEYS).agg(F.max_by("after", "seq").alias("after"), F.max("version").alias("version"))
     status = status_changes(rows, records).groupBy(*KEYS).agg(F.max_by(F.struct("status", "reviewer", "decided_at"), "seq").alias("s"))
     taken = acceptances(rows, warnings).filter("outcome = 'applied'").groupBy(*KEYS, "version").agg(F.array_sort(F.collect_set("code")).alias("accepted"))
@@ -127,9 +130,9 @@ def states(events: DataFrame, records: DataFrame, warnings: DataFrame) -> DataFr
     return found.select(*KEYS, F.coalesce("after", "record_sha256").alias("record_sha256"), F.coalesce("s.status", F.lit("pending")).alias("status"), "s.reviewer", "s.decided_at", F.coalesce("accepted", F.array().cast("array<string>")).alias("accepted"))
 
 
-def audit(events: DataFrame, records: DataFrame, warnings: DataFrame) -> DataFrame:
+def audit(events: DataFrame, records: DataFrame, warnings: DataFrame, keep=lambda df: df) -> DataFrame:
     """(keys, seq, event, actor, at, details): what is kept for each sentence; refused events leave nothing."""
-    rows = versions(admitted(events, records), records)
+    rows = keep(versions(admitted(events, records), records))
     changes = status_changes(rows, records).select(*KEYS, "seq", "was")
     detail = lambda **kw: F.to_json(F.struct(*[c.alias(k) for k, c in kw.items()]))
     decided = rows.filter("kind = 'decide'").join(changes, [*KEYS, "seq"]).select(*KEYS, "seq", F.lit("decision").alias("event"), "actor", "at", detail(**{"from": F.col("was"), "to": F.col("status")}).alias("details"))

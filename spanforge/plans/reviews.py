@@ -8,6 +8,7 @@ from spanforge.operators import registry, review_events
 from spanforge.plans import views as V
 from spanforge.plans.expressions import pick, sql_list, sql_pick
 from spanforge.plans.queries import query
+from spanforge.session import kept
 
 ACTORS = ["anna", "ben ", "  ", "carl", None]
 STATUSES = ["approved", "excluded", "approved", "needs_correction", "pending", "maybe", None]
@@ -99,7 +100,7 @@ FROM s LEFT JOIN (SELECT doc_id, k, arg_max(chg, seq) AS c FROM chg GROUP BY doc
 )
 def review_states(spark, d):
     """The state of every sentence after all events."""
-    return review_events.states(*review_tables(spark, d)).withColumn("accepted", F.array_join("accepted", ","))
+    return review_events.states(*review_tables(spark, d), kept(spark)).withColumn("accepted", F.array_join("accepted", ","))
 
 
 @query(
@@ -116,7 +117,7 @@ FROM adm LEFT JOIN sub USING (doc_id, seq) LEFT JOIN w USING (doc_id, seq) LEFT
 )
 def review_outcomes(spark, d):
     """What became of every event."""
-    return review_events.outcomes(*review_tables(spark, d))
+    return review_events.outcomes(*review_tables(spark, d), kept(spark))
 
 
 @query(
@@ -129,7 +130,7 @@ UNION ALL SELECT doc_id, k, seq, 'warning_accepted', trim(actor), code FROM acc
 )
 def review_audit(spark, d):
     """Audit events of all sentences, their details written out."""
-    found = review_events.audit(*review_tables(spark, d))
+    found = review_events.audit(*review_tables(spark, d), kept(spark))
     part = lambda k: F.get_json_object("details", f"$.{k}")
     detail = F.when(F.col("event") == "decision", F.concat_ws(">", part("from"), part("to"))).when(F.col("event") == "edit", F.concat_ws(">", part("before"), part("after"))).otherwise(F.coalesce(part("previous"), part("code")))
     return found.select("doc_id", "sentence_id", "seq", "event", "actor", detail.alias("detail"))

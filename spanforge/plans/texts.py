@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanforge.functions.sentences import ABBREVIATIONS, sentence_spans
+from spanforge.functions.sentences import ABBREVIATIONS, sentence_parts
 from spanforge.operators import assembly, ruling
 from spanforge.plans import views as V
 from spanforge.plans.expressions import documents, pick, sql_pick
@@ -106,9 +106,8 @@ sents AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1
 @query("document_sentences", f'WITH {sentences_sql("documents")} SELECT doc_id, n AS sentence, ss AS "start", se AS "end", md5(s) AS digest FROM sents')
 def document_sentences(spark, d):
     """Sentences of all texts with their characters."""
-    each = documents(spark, d).select("doc_id", "text", F.posexplode(sentence_spans(F.col("text"))).alias("sentence", "s"))
-    piece = F.expr("substring(text, s.start + 1, s.end - s.start)")
-    return each.select("doc_id", "sentence", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.md5(piece.cast("binary")).alias("digest"))
+    each = documents(spark, d).select("doc_id", F.posexplode(sentence_parts(F.col("text"))).alias("sentence", "s"))
+    return each.select("doc_id", "sentence", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.md5(F.col("s.text").cast("binary")).alias("digest"))
 
 
 RECORDS_SQL = f"""{LAYOUT_SQL}, {sentences_sql("texts")},
@@ -125,9 +124,10 @@ recs AS (SELECT doc_id, n, min(page) AS page, any_value(s) AS s, string_agg(a ||
 
 @query("highlight_records", f'WITH {RECORDS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n))::INTEGER AS sentence_id, page, md5(s) AS digest, vals AS "values", entities FROM recs')
 def highlight_records(spark, d):
-    """Records of sentences with coloured entities, from pages to characters."""
-    placed = assembly.placed_words(*page_layout(spark, d), "doc_id")
-    sentences = assembly.sentences_of(assembly.document_texts(placed, "doc_id"), "doc_id")
+    """Records of sentences with coloured entities, from pages to characters; places and sentences are written once, as several steps read them."""
+    keep = kept(spark)
+    placed = keep(assembly.placed_words(*page_layout(spark, d), "doc_id"))
+    sentences = keep(assembly.sentences_of(assembly.document_texts(placed, "doc_id"), "doc_id"))
     labels = F.create_map(F.lit("#FFFF00"), F.lit("social"))
     found = assembly.highlight_records(assembly.coloured_entities(placed, sentences, "doc_id"), sentences, "doc_id", labels=labels)
     each = F.transform("entities", lambda e: F.concat(e.getField("start"), F.lit("-"), e.getField("end"), F.lit(":"), e.getField("label")))

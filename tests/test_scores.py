@@ -250,3 +250,30 @@ def test_draws_fall_as_they_should(monkeypatch):
     seen = Counter(map(tuple, parts.T.tolist()))
     chance = {(a, b, 3 - a - b): math.factorial(3) / (math.factorial(a) * math.factorial(b) * math.factorial(3 - a - b)) / 27 for a in range(4) for b in range(4 - a)}
     assert sum((seen[k] - 60_000 * p) ** 2 / (60_000 * p) for k, p in chance.items()) < 27.9  # 0.1 % of nine degrees of freedom
+
+
+def test_apportioned_is_row_by_row():
+    rng = random.Random(8)
+    for _ in range(500):
+        wanted = {p: rng.choice([rng.uniform(-3, 12), rng.randrange(5)]) for p in "abc"}
+        then = {p: rng.uniform(0, 9) for p in "abc"}
+        n = rng.randrange(30)
+        given = dict.fromkeys("abc", 0)
+        for _ in range(n):
+            p = max("abc", key=lambda x: (round(wanted[x] * 10**9) - given[x] * 10**9, round(then[x] - given[x], 9)))
+            given[p] += 1
+        assert split.apportioned(n, wanted, then) == given
+
+
+def test_the_rarest_of_what_is_left_goes_first():
+    """The parts' rows of each label, against the same rule applied to single rows, combination after combination."""
+    parts = {"train": 0.7, "validation": 0.1, "test": 0.2}
+    counts = {("a", "b"): 10, ("b",): 20, ("c",): 25, ("b", "c"): 3, (): 42}
+    got = split.quotas(counts, parts)
+    assert {c: sum(k.values()) for c, k in got.items()} == counts
+    assert list(got) == [("a", "b"), ("b",), ("b", "c"), ("c",), ()]  # b has 23 rows left when a is done, fewer than c
+    for p, x in parts.items():
+        assert abs(sum(k[p] for k in got.values()) - 100 * x) < 1.5
+        for label in "abc":
+            n = sum(v for c, v in counts.items() if label in c)
+            assert abs(sum(k[p] for c, k in got.items() if label in c) - n * x) < 1.5
