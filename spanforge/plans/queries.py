@@ -281,7 +281,21 @@ def best_tags(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn("best", F.transform("pred", best))
 
 
-@query("tune_span_thresholds")
+@query(
+    "tune_span_thresholds",
+    f"""WITH {V.TAGS}, {span_sql('gold')}, grid(t) AS (VALUES {GRID}),
+b AS (SELECT doc_id, pos, CASE WHEN pred = 'O' THEN 'B-' || (['social','economic','political','historic','aesthetical','scientific','age','ecological'])[(doc_id + pos) % 8 + 1] ELSE pred END AS tag, ((doc_id * 37 + pos * 101) % 1000)::DOUBLE / 1000.0::DOUBLE AS p FROM tags),
+r AS (SELECT doc_id, pos, tag, tag[3:] AS value, t FROM b, grid WHERE p >= t),
+st AS (SELECT *, CASE WHEN tag[1] = 'B' OR lag(pos) OVER (PARTITION BY doc_id, value, t ORDER BY pos) IS DISTINCT FROM pos - 1 THEN 1 ELSE 0 END AS starts FROM r),
+rn AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, value, t ORDER BY pos) AS run FROM st),
+ps AS (SELECT doc_id, value, t, min(pos) AS s, max(pos) + 1 AS e FROM rn GROUP BY doc_id, value, t, run),
+np AS (SELECT value, t, count(*) AS n, count(*) FILTER (g.s IS NOT NULL) AS tp FROM ps LEFT JOIN (SELECT doc_id, value, s, e FROM gold_spans) g USING (doc_id, value, s, e) GROUP BY value, t),
+gp AS (SELECT value, count(*) AS n FROM gold_spans GROUP BY value),
+f AS (SELECT v.value, grid.t, coalesce(gp.n, 0) AS pos, coalesce(np.tp, 0) AS tp, coalesce(np.n, 0) - coalesce(np.tp, 0) AS fp, coalesce(gp.n, 0) - coalesce(np.tp, 0) AS fn FROM (SELECT unnest(['social','economic','political','historic','aesthetical','scientific','age','ecological']) AS value) v CROSS JOIN grid LEFT JOIN np ON np.value = v.value AND np.t = grid.t LEFT JOIN gp ON gp.value = v.value),
+k AS (SELECT value, t, pos, f1(tp, fp, fn) AS f FROM f),
+q AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY f DESC, abs(t - 0.5::DOUBLE), t) AS rk FROM k)
+SELECT value, CASE WHEN pos = 0 THEN 0.5::DOUBLE ELSE t END AS threshold, round(CASE WHEN pos = 0 THEN 0.0::DOUBLE ELSE f END, 9) AS f1 FROM q WHERE rk = 1""",
+)
 def tune_span_thresholds(spark, d):
     return thresholds.tune_spans(best_tags(V.sequences(spark, d)))
 

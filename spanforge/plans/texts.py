@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.functions.sentences import ABBREVIATIONS, sentence_parts
-from spanforge.operators import assembly, ruling
+from spanforge.operators import assembly, layout, ruling
 from spanforge.plans import views as V
 from spanforge.plans.expressions import documents, pick, sql_pick
 from spanforge.plans.queries import query
@@ -187,3 +187,36 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY y, x) - 1)::INTE
 def ruled_cells(spark, d):
     """Cells of tables from their drawn lines."""
     return ruling.ruled_cells(drawn_lines(spark, d), "doc_id", keep=kept(spark)).drop("table")
+
+
+# --- reading order -------------------------------------------------------------------------------
+
+
+def page_blocks(spark, d):
+    """Blocks of a page for each document, by the digits of its hash: over the whole page, left or right, some askew; some pages are turned."""
+    h = F.md5(F.col("text").cast("binary"))
+    base = documents(spark, d).select("doc_id", h.alias("h"), F.explode(F.sequence(F.lit(0), (F.col("n_chars") % 9 + 3).cast("int"))).alias("block"))
+    digit = lambda shift: F.conv(F.substr("h", F.col("block") * 2 + shift, F.lit(1)), 16, 10).cast("int")
+    k, j, b = digit(1), digit(2), F.col("block")
+    x0 = F.when(k < 4, 20).when(k < 11, 20 + j).otherwise(320 + j)
+    x1 = F.when(k < 4, 580).when(k < 11, 270 + j).otherwise(560 + j)
+    y0 = F.floor(b / 2) * 40 + F.when(k < 4, 0).otherwise(j % 5) + 3
+    return base.select("doc_id", "block", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 20).alias("y1"), F.lit(600).alias("width"), F.lit(900).alias("height"), pick([0, 0, 90, 0, 180, 0, 270], F.col("doc_id")).alias("rotation"))
+
+
+@query(
+    "reading_order",
+    f"""WITH h AS (SELECT doc_id, md5(text) AS h, unnest(range(0, n_chars % 9 + 4)) AS b FROM documents),
+k AS (SELECT doc_id, b, ('0x' || h[b * 2 + 1])::INT AS k, ('0x' || h[b * 2 + 2])::INT AS j FROM h),
+bl AS (SELECT doc_id, b, k < 4 AS wide, CASE WHEN k < 4 THEN 20 WHEN k < 11 THEN 20 + j ELSE 320 + j END AS x0, b // 2 * 40 + CASE WHEN k < 4 THEN 0 ELSE j % 5 END + 3 AS y0, k < 11 AS leftish, {sql_pick([0, 0, 90, 0, 180, 0, 270], "doc_id")} AS rotation FROM k),
+ed AS (SELECT doc_id, 0 AS e FROM bl UNION SELECT doc_id, 900 FROM bl UNION SELECT doc_id, y0 FROM bl WHERE wide UNION SELECT doc_id, y0 + 20 FROM bl WHERE wide),
+bands AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS band, e AS lo, lead(e) OVER (PARTITION BY doc_id ORDER BY e) AS hi FROM ed),
+inb AS (SELECT bl.*, (SELECT min(band) FROM bands WHERE bands.doc_id = bl.doc_id AND hi IS NOT NULL AND y0 + 10 BETWEEN lo AND hi) AS band FROM bl),
+held AS (SELECT inb.doc_id, bands.band, bool_or(leftish) AS has_left FROM inb JOIN bands ON bands.doc_id = inb.doc_id AND hi IS NOT NULL AND y0 + 10 BETWEEN lo AND hi WHERE NOT wide GROUP BY ALL),
+pl AS (SELECT inb.*, CASE WHEN wide OR leftish OR NOT has_left THEN 0 ELSE 1 END AS col FROM inb LEFT JOIN held USING (doc_id, band)),
+o AS (SELECT *, CASE rotation WHEN 90 THEN [-round_even((y0 + 20) / 5.0, 0) * 5, x0, 0, 0] WHEN 180 THEN [-y0, -x0, 0, 0] WHEN 270 THEN [round_even(y0 / 5.0, 0) * 5, -x0, 0, 0] ELSE [band, col, round_even(y0 / 3.0, 0) * 3, x0] END AS key FROM pl)
+SELECT doc_id, b::INTEGER AS block, CASE WHEN rotation = 0 THEN band ELSE 0 END::INTEGER AS band, CASE WHEN rotation = 0 THEN col ELSE 0 END::INTEGER AS col, (row_number() OVER (PARTITION BY doc_id ORDER BY key[1], key[2], key[3], key[4], b))::INTEGER AS position FROM o""",
+)
+def reading_order(spark, d):
+    """Bands between blocks over the whole page, columns within them, and the order in which blocks are read."""
+    return layout.reading_order(page_blocks(spark, d), "doc_id").select("doc_id", "block", "band", "col", "position")
