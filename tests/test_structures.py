@@ -135,3 +135,22 @@ def test_report_text(spark):
     got = {r.document_id: r.report.split("\n") for r in sinks.validation_text(issues).collect()}
     assert got["d"][0] == "d" and [x.split(":")[0] for x in got["d"][1:]] == ["- invalid_color $.entities[0].color", "- unknown_label $.values[1]"]
     assert got["e"] == ["e", "- no_such_code $:"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from spanforge.__main__ import main
+
+    folder = tmp_path / "p"
+    folder.mkdir()
+    (tmp_path / "bad.json").write_text(json.dumps([{**GOOD, "values": []}]))
+    assert main(["validate", str(tmp_path / "bad.json"), "--max-issues", "1"], spark) == 1
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 2 and out[0].startswith("INVALID: ") and out[1].startswith("- value_entity_mismatch $.values: ")
+    assert main(["validate", str(tmp_path / "none*.json")], spark) == 2
+    records = [{**GOOD, "sentence_id": i, "sentence": f"Old town {i % 12}"} for i in range(15)] + [{**GOOD, "sentence_id": 99, "values": ["beauty"]}]
+    (folder / "annotations.json").write_text(json.dumps({"documents": [{"document_id": "d", "records": records}]}))
+    capsys.readouterr()
+    assert main(["inspect", str(tmp_path)], spark) == 0
+    found = {(x["section"], x.get("part"), x["name"]): x["n"] for x in map(json.loads, capsys.readouterr().out.splitlines())}
+    assert found["load", None, "examples"] == 12 and found["load", None, "merged_duplicates"] == 3 and found["load", None, "skipped: unknown_value"] == 1
+    assert sum(found["split", p, "examples"] for p in ("train", "validation", "test")) == 12 and found["split", "train", "value: age"] > 0
