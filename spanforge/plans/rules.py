@@ -299,8 +299,9 @@ def reusable_checkpoints(spark, d):
     return registry.reusable(old, rows.select("document_id", "source_sha256", "mapping_sha256", "records")).select("document_id", "reuse")
 
 
-@query("complete_join", "SELECT n_regionkey AS example_id, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("complete_join", "SELECT c_custkey AS example_id, n, c_name FROM customer JOIN (SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
 def complete_join(spark, d):
-    """Nations and regions: neither side has a key that the other lacks."""
-    nations = table(spark, d, "nation").select(F.col("n_regionkey").alias("example_id"), "n_name")
-    return registry.complete_join(nations, table(spark, d, "region").select(F.col("r_regionkey").alias("example_id"), "r_name"))
+    """Numbers of orders and the customers that have some: neither side has a key that the other lacks."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("example_id")).agg(F.count(F.lit(1)).alias("n"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("example_id"), "c_name")
+    return registry.complete_join(orders, customers.join(orders, "example_id", "left_semi"))
