@@ -54,7 +54,27 @@ def calls_in(text: Column, schemas) -> Column:
             valid_arguments(name, arguments, schemas).alias("valid"),
         )
 
-    return F.transform(F.regexp_extract_all(text, F.lit(CALL), 1), call)
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(CALL), 1), well_formed), call)
+
+
+def well_formed(block: Column) -> Column:
+    """Whether a block holds a JSON object that names a tool."""
+    value = F.try_parse_json(block)
+    return F.coalesce(F.schema_of_variant(value).rlike("^OBJECT<") & F.get_json_object(block, "$.name").isNotNull(), F.lit(False))
+
+
+def without_calls(text: Column) -> Column:
+    """The text around its calls; blocks that are no calls stay, as they are text."""
+    between = F.split(text, CALL)
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(CALL), 1), lambda b: F.when(well_formed(b), F.lit("")).otherwise(F.concat(F.lit("<tool_call>"), b, F.lit("</tool_call>"))))
+    return F.trim(F.array_join(F.zip_with(between, blocks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+
+
+def canonical_content(text: Column) -> Column:
+    """A result's content as a value: texts, numbers, lists and objects stay what they are, keys in order; null where there is none."""
+    value = F.try_variant_get(F.try_parse_json(text), "$.content", "variant")
+    as_text = F.try_variant_get(F.try_parse_json(F.to_json(F.array(F.get_json_object(text, "$.content")))), "$[0]", "variant")
+    return F.when(~F.is_variant_null(F.coalesce(value, as_text)), F.coalesce(value, as_text))
 
 
 def calls(turns: DataFrame, schemas=SCHEMAS) -> DataFrame:
@@ -71,8 +91,10 @@ def format_chat(turns: DataFrame, schemas=SCHEMAS) -> DataFrame:
     kind is message, call, result, or orphan (a result without a call).  Sorting
     a conversation by order_turn, order_step, turn gives the topological order.
     If calls share an identifier, the first call of the conversation has it; a
-    result before its call moves behind it; null texts count as empty, null roles
-    as "user"; repeated rows stay; no rows give no rows; other columns are not read.
+    result before its call moves behind it; blocks that hold no object with a name are
+    text, as they stand; null texts count as empty, null roles as "user"; turns
+    without a conv_id are one conversation; repeated rows stay; texts of any length are
+    read whole; no rows give no rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), text.alias("text"))
@@ -83,7 +105,7 @@ def format_chat(turns: DataFrame, schemas=SCHEMAS) -> DataFrame:
 
     found = F.transform(F.array(calls_in(F.col("text"), schemas)), lambda c: c).getItem(0)
     own = base.filter(~is_result).withColumn("c", F.when(has_calls, found))
-    content = F.when(has_calls, F.trim(F.regexp_replace("text", CALL, ""))).otherwise(F.col("text"))
+    content = F.when(has_calls, without_calls(F.col("text"))).otherwise(F.col("text"))
     listed = F.when(F.size("c") > 0, F.transform("c", lambda c: F.struct(c.getField("arguments").alias("arguments"), c.getField("id").alias("id"), c.getField("name").alias("name"))))
     messages = own.select(
         "conv_id",
@@ -99,7 +121,8 @@ def format_chat(turns: DataFrame, schemas=SCHEMAS) -> DataFrame:
 
     first = calls(base, schemas).filter("id is not null").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "call", "valid")).alias("c"))
     results = base.filter(is_result).withColumn("id", F.get_json_object("text", "$.tool_call_id"))
-    linked = results.join(first.hint("shuffle_hash"), ["conv_id", "id"], "left")
+    named = first.withColumnsRenamed({"conv_id": "conv_of", "id": "id_of"}).hint("shuffle_hash")
+    linked = results.join(named, F.col("conv_id").eqNullSafe(F.col("conv_of")) & (F.col("id") == F.col("id_of")), "left")
     is_linked = F.col("c").isNotNull()
     answers = linked.select(
         "conv_id",
@@ -110,7 +133,7 @@ def format_chat(turns: DataFrame, schemas=SCHEMAS) -> DataFrame:
         F.when(is_linked, F.col("c.call") + 1).otherwise(0).cast("long").alias("order_step"),
         zero.alias("n_calls"),
         F.when(F.col("c.valid"), 1).otherwise(0).cast("long").alias("n_valid"),
-        F.to_json(F.struct(F.get_json_object("text", "$.content").alias("content"), F.col("role").alias("role"), F.col("id").alias("tool_call_id"))).alias("json"),
+        F.to_json(F.struct(canonical_content(F.col("text")).alias("content"), F.col("role").alias("role"), F.col("id").alias("tool_call_id"))).alias("json"),
     )
     return messages.select(*columns).unionByName(answers.select(*columns))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 import time
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import filter_audit, html_extract, near_duplicates, sentence_pieces, whitening
+from spanforge.llm import chat, filter_audit, html_extract, near_duplicates, sentence_pieces, whitening
 from tests.llm.test_operators import components_plain
 
 D = "/root/testdata/sf0.001"
@@ -329,3 +330,28 @@ def test_near_duplicates_at_99_of_100(spark):
     for num in (95, 97, 99):
         got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, 4, num, 100).collect()}
         assert got == {tuple(x) for x in components_plain(rows, 4, num, 100)}
+
+
+# --- chat ----------------------------------------------------------------------------------
+
+
+def test_odd_calls_and_results(spark):
+    call = lambda x: f"<tool_call>{x}</tool_call>"
+    good = '{"id":"a","name":"search","arguments":{"query":"q","limit":1}}'
+    turns = [
+        (1, 0, "assistant", f"Look {call('{broken')} and {call(good)} there {call('[1]')}{call('{}')}"),
+        (1, 1, "tool", '{"tool_call_id":"a","content":{"b":[2,1],"a":null}}'),
+        (1, 2, "tool", '{"tool_call_id":"a","content":"plain \\"text\\""}'),
+        (1, 3, "tool", '{"tool_call_id":"a"}'),
+        (None, 0, "assistant", call(good)),
+        (None, 1, "tool", '{"tool_call_id":"a","content":7}'),
+        (2, 0, "tool", '{"tool_call_id":"a","content":null}'),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    first = json.loads(got[1, 0].json)
+    assert got[1, 0].n_calls == got[1, 0].n_valid == 1 and first["tool_calls"] == [json.loads(good)]
+    assert first["content"] == f"Look {call('{broken')} and  there {call('[1]')}{call('{}')}"
+    assert got[1, 1].json == '{"content":{"a":null,"b":[2,1]},"role":"tool","tool_call_id":"a"}'
+    assert got[1, 2].json == '{"content":"plain \\"text\\"","role":"tool","tool_call_id":"a"}'
+    assert got[1, 3].json == got[2, 0].json == '{"role":"tool","tool_call_id":"a"}'
+    assert (got[None, 1].kind, got[2, 0].kind) == ("result", "orphan") and got[None, 1].json == '{"content":7,"role":"tool","tool_call_id":"a"}'
