@@ -237,46 +237,58 @@ PACKAGE_FILES = ("package_metadata", "annotations", "review_state")
 
 
 def package_issues(metadata: DataFrame, records: DataFrame, reviews: DataFrame, files: DataFrame) -> DataFrame:
-    """(document_id, code) from all rules over packages; one small DataFrame for each rule, put together.
+    """(document_id, code) from all rules over packages, each code once for a document.
 
     metadata: document_id, record_count, source_state; records and reviews: document_id, sentence_id, record_sha256, reviews also status.
     files: document_id, file (one of PACKAGE_FILES), state (ok, missing, unreadable, invalid_json, or invalid for a
     content that breaks its schema), named_document (the id that the file states), resource_path (where the metadata
-    has the annotations).  metadata has a row for every registered document; a file without a row is missing.
+    has the annotations).  metadata has a row for every registered document; a file without a row is missing.  What can't
+    be read is not compared with anything.  Each table is reduced to one wide row a document, and all rules read that row.
     """
-    key = ["document_id", "sentence_id"]
-    rule = lambda df, code: df.select("document_id", F.lit(code).alias("code")).distinct()
-    counts = records.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sentence_id").alias("ids"))
-    with_counts = metadata.join(counts, "document_id", "left")
+    key, one = ["document_id", "sentence_id"], "document_id"
+    any_ = lambda condition: F.coalesce(F.bool_or(condition), F.lit(False))
+    is_ = lambda file, *states: (F.col("file") == file) & F.col("state").isin(*states)
+    counts = records.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).groupBy(one).agg(F.sum("k").alias("n"), F.count("sentence_id").alias("ids"))
     joined = records.select(*key, F.col("record_sha256").alias("now")).join(reviews, key, "full_outer")
-    every = metadata.select("document_id", F.explode(F.array(*[F.lit(f) for f in PACKAGE_FILES])).alias("file")).join(files, ["document_id", "file"], "left")
-    every = every.withColumn("state", F.coalesce("state", F.lit("missing")))
-    # what cannot be read is not compared with anything
-    unread = every.filter("file = 'package_metadata' and state <> 'ok' or file = 'annotations' and state not in ('ok', 'invalid')").select("document_id")
-    unreviewed = every.filter("file = 'review_state' and state <> 'ok'").select("document_id")
-    other = every.filter("state = 'ok' and named_document <> document_id")
+    status = F.col("status")
+    compared = joined.groupBy(one).agg(
+        any_(F.col("now").isNull() | status.isNull()).alias("unmatched"),
+        any_(F.col("now") != F.col("record_sha256")).alias("stale"),
+        any_(status.isin("pending", "needs_correction")).alias("open"),
+        any_(~status.isin("pending", "approved", "needs_correction", "excluded")).alias("odd"),
+    )
+    other = (F.col("state") == "ok") & (F.col("named_document") != F.col(one))
+    seen = files.filter(F.col("file").isin(*PACKAGE_FILES)).groupBy(one).agg(
+        F.countDistinct("file").alias("present"),
+        *[any_(F.col("state") == x).alias(x) for x in ("missing", "unreadable", "invalid_json")],
+        *[any_(is_(x, "invalid")).alias(f"invalid_{x}") for x in PACKAGE_FILES],
+        *[any_(is_(x, "ok", *(["invalid"] if x == "annotations" else []))).alias(f"read_{x}") for x in PACKAGE_FILES],
+        any_(other & (F.col("file") == "package_metadata")).alias("other_metadata"),
+        any_(other & (F.col("file") == "review_state")).alias("other_review"),
+        any_(is_("package_metadata", "ok") & (F.col("resource_path") != "annotations.json")).alias("other_resource"),
+    )
+    wide = metadata.join(counts, one, "full_outer").join(compared, one, "full_outer").join(seen, one, "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    known = F.col("source_state").isNotNull() | F.col("record_count").isNotNull()
     rules = [
-        rule(every.filter("state = 'missing'"), "missing_package_file"),
-        rule(every.filter("state = 'unreadable'"), "unreadable_package_file"),
-        rule(every.filter("state = 'invalid_json'"), "invalid_json"),
-        rule(every.filter("file = 'package_metadata' and state = 'invalid'"), "invalid_package_metadata"),
-        rule(other.filter("file = 'package_metadata'"), "metadata_document_mismatch"),
-        rule(every.filter("file = 'annotations' and state = 'invalid'"), "invalid_annotations_document"),
-        rule(every.filter("file = 'package_metadata' and state = 'ok' and resource_path <> 'annotations.json'"), "annotation_resource_mismatch"),
-        rule(other.filter("file = 'review_state'"), "review_document_mismatch"),
-        rule(with_counts.filter("source_state = 'missing'"), "source_missing"),
-        rule(with_counts.filter("source_state = 'changed'"), "source_not_current"),
-        rule(with_counts.filter("coalesce(n, 0) <> record_count").join(unread, "document_id", "left_anti"), "annotation_count_mismatch"),
-        rule(with_counts.filter("ids < n"), "duplicate_sentence_id"),
-        rule(joined.filter("now is null or status is null").join(unreviewed, "document_id", "left_anti"), "review_annotation_mismatch"),
-        rule(joined.filter("now <> record_sha256"), "stale_sentence_review"),
-        rule(joined.filter("status in ('pending', 'needs_correction')"), "sentence_review_incomplete"),
-        rule(joined.filter("status not in ('pending', 'approved', 'needs_correction', 'excluded')").select("document_id").union(every.filter("file = 'review_state' and state = 'invalid'").select("document_id")), "invalid_review_state"),
+        (known & (yes("missing") | (F.coalesce("present", F.lit(0)) < len(PACKAGE_FILES))), "missing_package_file"),
+        (known & yes("unreadable"), "unreadable_package_file"),
+        (known & yes("invalid_json"), "invalid_json"),
+        (known & yes("invalid_package_metadata"), "invalid_package_metadata"),
+        (known & yes("other_metadata"), "metadata_document_mismatch"),
+        (known & yes("invalid_annotations"), "invalid_annotations_document"),
+        (known & yes("other_resource"), "annotation_resource_mismatch"),
+        (known & yes("other_review"), "review_document_mismatch"),
+        (F.col("source_state") == "missing", "source_missing"),
+        (F.col("source_state") == "changed", "source_not_current"),
+        ((F.coalesce("n", F.lit(0)) != F.col("record_count")) & yes("read_package_metadata") & yes("read_annotations"), "annotation_count_mismatch"),
+        (known & (F.col("ids") < F.col("n")), "duplicate_sentence_id"),
+        (yes("unmatched") & (yes("read_review_state") | ~known), "review_annotation_mismatch"),
+        (yes("stale"), "stale_sentence_review"),
+        (yes("open"), "sentence_review_incomplete"),
+        (yes("odd") | (known & yes("invalid_review_state")), "invalid_review_state"),
     ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+    return wide.select(one, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in rules]))).alias("code"))
 
 
 def project_summary(metadata: DataFrame, issues: DataFrame) -> DataFrame:

@@ -305,3 +305,74 @@ def complete_join(spark, d):
     orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("example_id")).agg(F.count(F.lit(1)).alias("n"))
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("example_id"), "c_name")
     return registry.complete_join(orders, customers.join(orders, "example_id", "left_semi"))
+
+
+# --- packages ------------------------------------------------------------------------------------
+
+
+def by_digit(at: int, *cases: tuple[str, str], other: str) -> str:
+    """A CASE on a hexadecimal digit of the hash: the value of the first case whose bound lies above it."""
+    return f"(CASE {' '.join(f"WHEN substr(h, {at}, 1) < '{bound}' THEN {value}" for bound, value in cases)} ELSE {other} END)"
+
+
+STATE = lambda at: by_digit(at, ("1", "'unreadable'"), ("2", "'invalid_json'"), ("4", "'invalid'"), ("5", "'missing'"), other="'ok'")
+PACKAGE = {
+    "h": "h",
+    "record_count": one_of("n_chars", "2", "2", "3", "1", "0"),
+    "source_state": by_digit(1, ("2", "'missing'"), ("4", "'changed'"), other="'current'"),
+    "ids": one_of("n_chars", "'1,2'", "'1,2'", "'1,2,2'", "'1'", "''", "'2,1'", "'1,3'"),
+    "reviewed": one_of("n_chars + doc_id", "'1,2'", "'1,2'", "'1'", "'1,2,3'", "''"),
+    **{f: STATE(2 + k) for k, f in enumerate(registry.PACKAGE_FILES)},
+    "named": by_digit(6, ("3", "'other'"), other="'same'"),
+    "resource": by_digit(7, ("3", "'a.json'"), other="'annotations.json'"),
+    "absent": by_digit(8, ("2", "true"), other="false"),
+}
+
+
+def packages(spark, d):
+    """(metadata, records, reviews, files) of a package for each document; what is wrong follows from the hash of its text."""
+    rows = made(spark, d, PACKAGE).withColumn("document_id", F.col("doc_id").cast("string"))
+    sentence = lambda c: rows.select("document_id", "h", F.explode(parts(c)).alias("sentence_id"))
+    at = lambda n, width=1: F.substr("h", F.col("sentence_id").cast("int") * 2 + n, F.lit(width))
+    records = sentence("ids").select("document_id", "sentence_id", at(8, 2).alias("record_sha256"))
+    status = F.when(at(16) < "2", "pending").when(at(16) < "3", "odd").when(at(16) < "4", "needs_correction").when(at(16) < "9", "excluded").otherwise("approved")
+    reviews = sentence("reviewed").select("document_id", "sentence_id", F.when(at(17) < "2", "old").otherwise(at(8, 2)).alias("record_sha256"), status.alias("status"))
+    named = F.when(F.col("named") == "same", F.col("document_id")).otherwise(F.col("named"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("file"), F.col(f).alias("state")) for f in registry.PACKAGE_FILES])).alias("f")
+    files = rows.select("document_id", "absent", named.alias("named_document"), F.col("resource").alias("resource_path"), each).filter("not (absent and f.file = 'annotations')")
+    return rows.select("document_id", F.col("record_count").cast("long").alias("record_count"), "source_state"), records, reviews, files.select("document_id", "f.file", "f.state", "named_document", "resource_path")
+
+
+PACKAGE_SQL = f"""{made_sql("p", PACKAGE)}, m AS (SELECT doc_id::VARCHAR AS document_id, * FROM p),
+rec AS (SELECT document_id, id, substr(h, id::INT * 2 + 8, 2) AS sha FROM (SELECT document_id, h, unnest({parts_sql("ids")}) AS id FROM m)),
+rev AS (SELECT document_id, id, CASE WHEN substr(h, id::INT * 2 + 17, 1) < '2' THEN 'old' ELSE substr(h, id::INT * 2 + 8, 2) END AS sha,
+  CASE WHEN c < '2' THEN 'pending' WHEN c < '3' THEN 'odd' WHEN c < '4' THEN 'needs_correction' WHEN c < '9' THEN 'excluded' ELSE 'approved' END AS status FROM (SELECT *, substr(h, id::INT * 2 + 16, 1) AS c FROM (SELECT document_id, h, unnest({parts_sql("reviewed")}) AS id FROM m))),
+fl AS (SELECT document_id, file, CASE WHEN absent AND file = 'annotations' THEN 'missing' ELSE state END AS state, CASE WHEN named = 'same' THEN document_id ELSE named END AS named, resource FROM (
+  {" UNION ALL ".join(f"SELECT document_id, absent, named, resource, '{f}' AS file, {f} AS state FROM m" for f in registry.PACKAGE_FILES)})),
+issues AS (SELECT document_id, CASE state WHEN 'missing' THEN 'missing_package_file' WHEN 'unreadable' THEN 'unreadable_package_file' ELSE 'invalid_json' END AS code FROM fl WHERE state IN ('missing', 'unreadable', 'invalid_json')
+UNION SELECT document_id, CASE file WHEN 'package_metadata' THEN 'invalid_package_metadata' WHEN 'annotations' THEN 'invalid_annotations_document' ELSE 'invalid_review_state' END FROM fl WHERE state = 'invalid'
+UNION SELECT document_id, CASE file WHEN 'package_metadata' THEN 'metadata_document_mismatch' ELSE 'review_document_mismatch' END FROM fl WHERE state = 'ok' AND named <> document_id AND file <> 'annotations'
+UNION SELECT document_id, 'annotation_resource_mismatch' FROM fl WHERE file = 'package_metadata' AND state = 'ok' AND resource <> 'annotations.json'
+UNION SELECT document_id, CASE source_state WHEN 'missing' THEN 'source_missing' ELSE 'source_not_current' END FROM m WHERE source_state <> 'current'
+UNION SELECT m.document_id, 'annotation_count_mismatch' FROM m WHERE record_count <> (SELECT count(*) FROM rec WHERE rec.document_id = m.document_id)
+  AND EXISTS (SELECT 1 FROM fl WHERE fl.document_id = m.document_id AND file = 'package_metadata' AND state = 'ok') AND EXISTS (SELECT 1 FROM fl WHERE fl.document_id = m.document_id AND file = 'annotations' AND state IN ('ok', 'invalid'))
+UNION SELECT document_id, 'duplicate_sentence_id' FROM rec GROUP BY document_id, id HAVING count(*) > 1
+UNION SELECT x.document_id, 'review_annotation_mismatch' FROM (SELECT coalesce(rec.document_id, rev.document_id) AS document_id FROM rec FULL JOIN rev ON rec.document_id = rev.document_id AND rec.id = rev.id WHERE rec.id IS NULL OR rev.id IS NULL) x
+  WHERE EXISTS (SELECT 1 FROM fl WHERE fl.document_id = x.document_id AND file = 'review_state' AND state = 'ok')
+UNION SELECT rec.document_id, 'stale_sentence_review' FROM rec JOIN rev ON rec.document_id = rev.document_id AND rec.id = rev.id WHERE rec.sha <> rev.sha
+UNION SELECT document_id, 'sentence_review_incomplete' FROM rev WHERE status IN ('pending', 'needs_correction')
+UNION SELECT document_id, 'invalid_review_state' FROM rev WHERE status = 'odd')"""
+
+
+@query("package_issues", f"WITH {PACKAGE_SQL} SELECT document_id, code FROM issues")
+def package_issues(spark, d):
+    return registry.package_issues(*packages(spark, d))
+
+
+@query(
+    "project_summary",
+    f"WITH {PACKAGE_SQL}, n AS (SELECT document_id, count(*) AS n FROM issues GROUP BY document_id) SELECT count(*)::BIGINT AS documents, count(*) FILTER (n IS NULL)::BIGINT AS valid, coalesce(sum(n), 0)::BIGINT AS issues, bool_and(n IS NULL) AS all_valid, bool_and(n IS NULL) AS release_ready FROM m LEFT JOIN n USING (document_id)",
+)
+def project_summary(spark, d):
+    meta, *rest = packages(spark, d)
+    return registry.project_summary(meta, registry.package_issues(meta, *rest))

@@ -245,51 +245,6 @@ def review_decisions(spark, d):
     return out.select("doc_id", "sentence_id", "status", "decided_at")
 
 
-FILES = "f AS (SELECT doc_id::VARCHAR AS document_id, doc_id, file, (doc_id + length(file)) % 13 AS k FROM documents, (VALUES ('package_metadata'), ('annotations'), ('review_state')) t(file))"
-
-
-def packages(spark, d):
-    """Metadata, two records, their reviews and three files of every document, with faults by number."""
-    docs = documents(spark, d).select("doc_id", row_id().cast("string").alias("document_id"))
-    state = F.when(row_id() % 17 == 0, "missing").when(row_id() % 17 == 1, "changed").otherwise("current")
-    meta = docs.select("document_id", F.when(row_id() % 19 == 0, 3).otherwise(2).cast("long").alias("record_count"), state.alias("source_state"))
-    rec = docs.select("doc_id", "document_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("sentence_id")).withColumn("record_sha256", F.lit("x"))
-    status = F.when((row_id() % 23 == 0) & (F.col("sentence_id") == 1), "pending").when((row_id() % 23 == 1) & (F.col("sentence_id") == 2), "odd").otherwise("approved")
-    rev = rec.filter(~((row_id() % 29 == 0) & (F.col("sentence_id") == 2))).select("document_id", "sentence_id", F.when(row_id() % 31 == 0, "y").otherwise(F.col("record_sha256")).alias("record_sha256"), status.alias("status"))
-    files = docs.select("doc_id", "document_id", F.explode(F.array(*[F.lit(f) for f in registry.PACKAGE_FILES])).alias("file"))
-    k = (row_id() + F.length("file")) % 13
-    files = files.select("document_id", "file", F.when(k == 0, "unreadable").when(k == 1, "invalid_json").when(k == 2, "invalid").when(k == 3, "missing").otherwise("ok").alias("state"), F.when(k == 4, "other").otherwise(F.col("document_id")).alias("named_document"), F.when(k == 5, "a.json").otherwise("annotations.json").alias("resource_path"))
-    return meta, rec.drop("doc_id"), rev, files
-
-
-PACKAGE_SQL = f"""{FILES}, d AS (SELECT doc_id, doc_id::VARCHAR AS document_id FROM documents),
-bad AS (SELECT document_id, max((file = 'package_metadata' AND k < 4 OR file = 'annotations' AND k IN (0, 1, 3))::INT) AS unread, max((file = 'review_state' AND k < 4)::INT) AS unreviewed FROM f GROUP BY document_id),
-issues AS (SELECT document_id, 'unreadable_package_file' AS code FROM f WHERE k = 0 UNION SELECT document_id, 'invalid_json' FROM f WHERE k = 1 UNION SELECT document_id, 'missing_package_file' FROM f WHERE k = 3
-UNION SELECT document_id, CASE file WHEN 'package_metadata' THEN 'invalid_package_metadata' WHEN 'annotations' THEN 'invalid_annotations_document' ELSE 'invalid_review_state' END FROM f WHERE k = 2
-UNION SELECT document_id, CASE file WHEN 'package_metadata' THEN 'metadata_document_mismatch' ELSE 'review_document_mismatch' END FROM f WHERE k = 4 AND file <> 'annotations'
-UNION SELECT document_id, 'annotation_resource_mismatch' FROM f WHERE k = 5 AND file = 'package_metadata'
-UNION SELECT document_id, 'source_missing' FROM d WHERE doc_id % 17 = 0 UNION SELECT document_id, 'source_not_current' FROM d WHERE doc_id % 17 = 1
-UNION SELECT document_id, 'annotation_count_mismatch' FROM d JOIN bad USING (document_id) WHERE doc_id % 19 = 0 AND unread = 0
-UNION SELECT document_id, 'review_annotation_mismatch' FROM d JOIN bad USING (document_id) WHERE doc_id % 29 = 0 AND unreviewed = 0
-UNION SELECT document_id, 'stale_sentence_review' FROM d WHERE doc_id % 31 = 0
-UNION SELECT document_id, 'sentence_review_incomplete' FROM d WHERE doc_id % 23 = 0
-UNION SELECT document_id, 'invalid_review_state' FROM d WHERE doc_id % 23 = 1 AND doc_id % 29 <> 0)"""
-
-
-@query("package_issues", f"WITH {PACKAGE_SQL} SELECT DISTINCT document_id, code FROM issues")
-def package_issues(spark, d):
-    return registry.package_issues(*packages(spark, d)).distinct()
-
-
-@query(
-    "project_summary",
-    f"WITH {PACKAGE_SQL}, n AS (SELECT document_id, count(DISTINCT code) AS n FROM issues GROUP BY document_id) SELECT count(*)::BIGINT AS documents, count(*) FILTER (n IS NULL)::BIGINT AS valid, coalesce(sum(n), 0)::BIGINT AS issues, bool_and(n IS NULL) AS all_valid, bool_and(n IS NULL) AS release_ready FROM d LEFT JOIN n USING (document_id)",
-)
-def project_summary(spark, d):
-    meta, *rest = packages(spark, d)
-    return registry.project_summary(meta, registry.package_issues(meta, *rest).distinct())
-
-
 @query(
     "record_ratios",
     """WITH s AS (SELECT source AS case_id, doc_id % 50 AS r, doc_id % 4 <> 0 AS gold, doc_id % 3 <> 0 AS seen FROM documents),
