@@ -70,10 +70,10 @@ placed AS (SELECT doc_id, page, block, pos, piece, color, s, s + length(piece) A
 texts AS (SELECT doc_id, string_agg(glue || piece, '' ORDER BY s) AS text FROM placed GROUP BY doc_id)"""
 
 
-@query("document_words", f'WITH {LAYOUT_SQL} SELECT doc_id, page, pos::INTEGER AS word, piece AS text, color, s AS "start", e AS "end", glue FROM placed')
+@query("document_words", f'WITH {LAYOUT_SQL} SELECT doc_id, page, pos::INTEGER AS word, piece AS text, color, s AS first_char, e AS end_char, glue FROM placed')
 def document_words(spark, d):
     """Pieces of words with their characters in the whole document."""
-    return assembly.placed_words(*page_layout(spark, d), "doc_id").drop("block")
+    return assembly.placed_words(*page_layout(spark, d), "doc_id").drop("block").withColumnsRenamed({"start": "first_char", "end": "end_char"})
 
 
 @query("document_texts", f"WITH {LAYOUT_SQL} SELECT doc_id, length(text)::BIGINT AS chars, sha256(text) AS digest FROM texts")
@@ -103,11 +103,11 @@ spans AS (SELECT doc_id, k, place + length(part) - length(lefted) AS ss, regexp_
 sents AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS n, ss::INTEGER AS ss, (ss + length(s))::INTEGER AS se, s FROM spans WHERE s <> '')"""
 
 
-@query("document_sentences", f'WITH {sentences_sql("documents")} SELECT doc_id, n AS sentence, ss AS "start", se AS "end", md5(s) AS digest FROM sents')
+@query("document_sentences", f'WITH {sentences_sql("documents")} SELECT doc_id, n AS sentence, ss AS first_char, se AS end_char, md5(s) AS digest FROM sents')
 def document_sentences(spark, d):
     """Sentences of all texts with their characters."""
     each = documents(spark, d).select("doc_id", F.posexplode(sentence_parts(F.col("text"))).alias("sentence", "s"))
-    return each.select("doc_id", "sentence", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.md5(F.col("s.text").cast("binary")).alias("digest"))
+    return each.select("doc_id", "sentence", F.col("s.start").alias("first_char"), F.col("s.end").alias("end_char"), F.md5(F.col("s.text").cast("binary")).alias("digest"))
 
 
 RECORDS_SQL = f"""{LAYOUT_SQL}, {sentences_sql("texts")},
@@ -122,7 +122,7 @@ recs AS (SELECT doc_id, n, min(page) AS page, any_value(s) AS s, string_agg(a ||
          array_to_string(list_sort(list(DISTINCT CASE WHEN color = '#FFFF00' THEN 'social' ELSE color END)), ',') AS vals FROM clean GROUP BY doc_id, n)"""
 
 
-@query("highlight_records", f'WITH {RECORDS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n))::INTEGER AS sentence_id, page, md5(s) AS digest, vals AS "values", entities FROM recs')
+@query("highlight_records", f'WITH {RECORDS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n))::INTEGER AS sentence_id, page, md5(s) AS digest, vals AS labels, entities FROM recs')
 def highlight_records(spark, d):
     """Records of sentences with coloured entities, from pages to characters; places and sentences are written once, as several steps read them."""
     keep = kept(spark)
@@ -131,7 +131,7 @@ def highlight_records(spark, d):
     labels = F.create_map(F.lit("#FFFF00"), F.lit("social"))
     found = assembly.highlight_records(assembly.coloured_entities(placed, sentences, "doc_id"), sentences, "doc_id", labels=labels)
     each = F.transform("entities", lambda e: F.concat(e.getField("start"), F.lit("-"), e.getField("end"), F.lit(":"), e.getField("label")))
-    return found.select("doc_id", "sentence_id", "page", F.md5(F.col("sentence").cast("binary")).alias("digest"), F.array_join("values", ",").alias("values"), F.array_join(each, " ").alias("entities"))
+    return found.select("doc_id", "sentence_id", "page", F.md5(F.col("sentence").cast("binary")).alias("digest"), F.array_join("values", ",").alias("labels"), F.array_join(each, " ").alias("entities"))
 
 
 # --- ruled cells ---------------------------------------------------------------------------------
