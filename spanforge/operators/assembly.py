@@ -77,13 +77,15 @@ def block_places(blocks: DataFrame, pieces: DataFrame, *keys: str) -> DataFrame:
     return rows.join(pages.select(*part, shift.alias("shift")), part).select(*part, "block", (F.col("in_page") + F.col("shift")).alias("at"), "feed")
 
 
-def placed_words(words: DataFrame, blocks: DataFrame, *keys: str) -> DataFrame:
+def placed_words(words: DataFrame, blocks: DataFrame, *keys: str, keep=lambda df: df) -> DataFrame:
     """(keys, page, block, word, text, color, start, end, glue): pieces with their characters in the document.
 
     glue is what stands before a piece: nothing before the first one of a document.
     Words whose block is not among the blocks go, as headers and page numbers do.
+    keep writes a table and reads it again: pieces are read for their sizes, then for
+    themselves, and are made once that way.
     """
-    pieces = block_pieces(words.join(blocks.select(*keys, "page", "block"), [*keys, "page", "block"], "left_semi"), *keys)
+    pieces = keep(block_pieces(words.join(blocks.select(*keys, "page", "block"), [*keys, "page", "block"], "left_semi"), *keys))
     places = block_places(blocks, pieces, *keys)
     found = pieces.withColumnsRenamed({"at": "inner", "feed": "inner_feed"}).join(places, [*keys, "page", "block"])
     start = F.col("at") + F.col("inner")

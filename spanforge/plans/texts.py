@@ -16,7 +16,12 @@ COLORS = [None, "#FFFF00", None, "#00B0F0", "#FFFF00"]
 ROTATIONS = [0, 90, 0, 270]
 
 
-def page_layout(spark, d):
+def placed(spark, d, keep):
+    words, blocks = page_layout(spark, d, keep)
+    return assembly.placed_words(words, blocks, "doc_id", keep=keep)
+
+
+def page_layout(spark, d, keep):
     """(words, blocks): reading order puts the second column's block first; a block without words stands between."""
     w = V.sequences(spark, d).select("doc_id", F.posexplode("tokens").alias("pos", "token")).filter("token <> ''")
     pos, i = F.col("pos"), F.col("doc_id")
@@ -35,6 +40,7 @@ def page_layout(spark, d):
         y0.alias("y0"),
         (y0 + 10).alias("y1"),
     )
+    words = keep(words)
     found = words.select("doc_id", "page", "block").distinct()
     rows = found.unionByName(found.select("doc_id", "page", F.lit(9).alias("block")).distinct())
     b = F.col("block")
@@ -73,13 +79,13 @@ texts AS (SELECT doc_id, string_agg(glue || piece, '' ORDER BY s) AS text FROM p
 @query("document_words", f'WITH {LAYOUT_SQL} SELECT doc_id, page, pos::INTEGER AS word, piece AS text, color, s AS first_char, e AS end_char, glue FROM placed')
 def document_words(spark, d):
     """Pieces of words with their characters in the whole document."""
-    return assembly.placed_words(*page_layout(spark, d), "doc_id").drop("block").withColumnsRenamed({"start": "first_char", "end": "end_char"})
+    return placed(spark, d, kept(spark)).drop("block").withColumnsRenamed({"start": "first_char", "end": "end_char"})
 
 
 @query("document_texts", f"WITH {LAYOUT_SQL} SELECT doc_id, length(text)::BIGINT AS chars, sha256(text) AS digest FROM texts")
 def document_texts(spark, d):
     """The text of each document, put together from its pages."""
-    texts = assembly.document_texts(assembly.placed_words(*page_layout(spark, d), "doc_id"), "doc_id")
+    texts = assembly.document_texts(placed(spark, d, kept(spark)), "doc_id")
     return texts.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
@@ -126,10 +132,10 @@ recs AS (SELECT doc_id, n, min(page) AS page, any_value(s) AS s, string_agg(a ||
 def highlight_records(spark, d):
     """Records of sentences with coloured entities, from pages to characters; places and sentences are written once, as several steps read them."""
     keep = kept(spark)
-    placed = keep(assembly.placed_words(*page_layout(spark, d), "doc_id"))
-    sentences = keep(assembly.sentences_of(assembly.document_texts(placed, "doc_id"), "doc_id"))
+    at = keep(placed(spark, d, keep))
+    sentences = keep(assembly.sentences_of(assembly.document_texts(at, "doc_id"), "doc_id"))
     labels = F.create_map(F.lit("#FFFF00"), F.lit("social"))
-    found = assembly.highlight_records(assembly.coloured_entities(placed, sentences, "doc_id"), sentences, "doc_id", labels=labels)
+    found = assembly.highlight_records(assembly.coloured_entities(at, sentences, "doc_id"), sentences, "doc_id", labels=labels)
     each = F.transform("entities", lambda e: F.concat(e.getField("start"), F.lit("-"), e.getField("end"), F.lit(":"), e.getField("label")))
     return found.select("doc_id", "sentence_id", "page", F.md5(F.col("sentence").cast("binary")).alias("digest"), F.array_join("values", ",").alias("labels"), F.array_join(each, " ").alias("entities"))
 
