@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,14 +27,17 @@ def active_curators(people: DataFrame) -> DataFrame:
 
 
 def unique_match(citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Citations joined to the one source whose path or file name is theirs; code tells none or several."""
-    by_path = sources.select("source_path", F.col("source_path").alias("source_filename"))
-    by_name = sources.select("source_path", F.element_at(F.split("source_path", "/"), -1).alias("source_filename"))
-    joined = citations.join(by_path.union(by_name).distinct(), "source_filename", "left")
-    n = F.count("source_path").over(Window.partitionBy("source_filename", "title"))
-    marked = joined.withColumn("n", n)
-    code = F.when(F.col("n") == 0, "no_source").when(F.col("n") > 1, "ambiguous_source")
-    return marked.withColumn("code", code).withColumn("source_path", F.when(code.isNull(), F.col("source_path"))).drop("n").distinct()
+    """Citations joined to the one source whose path or file name is theirs; code tells none or several.
+
+    Sources are counted by name first, so a name that many citations and many sources
+    share makes one row a citation and not one a pair.
+    """
+    names = F.array_distinct(F.array("source_path", F.element_at(F.split("source_path", "/"), -1)))
+    keys = sources.select("source_path").distinct().select("source_path", F.explode(names).alias("source_filename"))
+    found = keys.groupBy("source_filename").agg(F.count(F.lit(1)).alias("n"), F.min("source_path").alias("source_path"))
+    joined = citations.join(found, "source_filename", "left")
+    code = F.when(F.col("n").isNull(), "no_source").when(F.col("n") > 1, "ambiguous_source")
+    return joined.withColumn("code", code).withColumn("source_path", F.when(code.isNull(), F.col("source_path"))).drop("n")
 
 
 def current_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
