@@ -322,10 +322,9 @@ def flat_records(spark, d):
 )
 def ocr_confidence(spark, d):
     """Recognised words of a page table: rows of other levels and without confidence are left out."""
-    t = V.sequences(spark, d).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    t = V.sequences(spark, d, by_document=True).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     conf = F.when(F.col("pos") % 9 == 0, -1).otherwise((F.length("token") * 7 + F.col("pos")) % 90 + 10)
     level = lambda n, c, text: F.concat_ws("\t", *[F.lit(x) for x in (n, 1, 1, 1, 1)], F.col("pos"), *[F.lit(x) for x in (10, 20, 30, 40)], c, text)
     lines = t.select("doc_id", F.explode(F.array(level(4, F.lit(-1), F.lit("")), level(5, conf, F.col("token")))).alias("value"))
     words = D.ocr_words(lines)
-    n = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
-    return D.mean_confidence(words, "doc_id").join(n, "doc_id").select("doc_id", "words", F.round("confidence", 2).alias("confidence"))
+    return D.mean_confidence(words, "doc_id").select("doc_id", "words", F.round("confidence", 2).alias("confidence"))

@@ -144,14 +144,17 @@ def draft_records(runs: DataFrame) -> DataFrame:
 
 def ocr_words(lines: DataFrame, scale: float = 1.0) -> DataFrame:
     """Words of OCR tables with tab-separated lines (twelve columns): level 5, with a confidence and text; places in page units."""
-    f = F.split("value", "\t", 12)
+    f = F.col("_f")
     n = lambda i: F.get(f, F.lit(i)).try_cast("double")
-    words = lines.select(*[c for c in lines.columns if c != "value"], n(0).alias("level"), *[n(i).cast("int").alias(c) for i, c in ((1, "page"), (2, "block"), (3, "par"), (4, "line"), (5, "word"))], *[(n(i) / scale).alias(c) for i, c in ((6, "x0"), (7, "y0"))], ((n(6) + n(8)) / scale).alias("x1"), ((n(7) + n(9)) / scale).alias("y1"), n(10).alias("confidence"), F.trim(F.get(f, F.lit(11))).alias("text"))
+    # a line is cut once: conditions on the parts are not moved below an explode, where each would cut it again
+    cut = lines.select("*", F.explode(F.array(F.split("value", "\t", 12))).alias("_f"))
+    words = cut.select(*[c for c in lines.columns if c != "value"], n(0).alias("level"), *[n(i).cast("int").alias(c) for i, c in ((1, "page"), (2, "block"), (3, "par"), (4, "line"), (5, "word"))], *[(n(i) / scale).alias(c) for i, c in ((6, "x0"), (7, "y0"))], ((n(6) + n(8)) / scale).alias("x1"), ((n(7) + n(9)) / scale).alias("y1"), n(10).alias("confidence"), F.trim(F.get(f, F.lit(11))).alias("text"))
     return words.filter((F.col("level") == 5) & (F.col("confidence") >= 0) & (F.col("text") != "")).drop("level")
 
 
 def mean_confidence(words: DataFrame, *keys: str) -> DataFrame:
-    return words.groupBy(*keys).agg(F.avg("confidence").alias("confidence"))
+    """(keys, confidence, words): the mean, and how many words it is of."""
+    return words.groupBy(*keys).agg(F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("words"))
 
 
 REQUIRED = ["document_id", "sentence_id", "page", "sentence", "values", "tokens", "entities", "ner_tags"]

@@ -1,6 +1,7 @@
 """Queries over many words: what is dealt out by document moves once, as whole texts; names that many share make no pairs."""
 
 from spanforge.operators import people
+from spanforge.sources import documents
 
 
 def test_sources_of_one_name_make_no_pairs(spark):
@@ -9,3 +10,10 @@ def test_sources_of_one_name_make_no_pairs(spark):
     found = sorted((r.title, r.source_path or "", r.code or "") for r in people.unique_match(cited, sources).collect())
     one = "d/one.pdf"
     assert found == [("a", "", "ambiguous_source")] * 2 + [("b", one, "")] * 2 + [("c", one, ""), ("d", "", "no_source")]  # a repeated citation is none of its own rivals
+
+
+def test_confidence_and_words_from_one_pass(spark):
+    lines = spark.createDataFrame([(1, "5\t1\t1\t1\t1\t0\t0\t0\t1\t1\t80\ta\tb"), (1, "5\t1\t1\t1\t1\t1\t0\t0\t1\t1\t90\tc"), (1, "5\t1\t1\t1\t1\t2\t0\t0\t1\t1\t-1\td"), (2, "4\t1\t1\t1\t1\t0\t0\t0\t1\t1\t50\te")], "page_id int, value string")
+    words = documents.ocr_words(lines)
+    assert [r.text for r in words.orderBy("word").collect()] == ["a\tb", "c"] and "_f" not in words.columns
+    assert [tuple(r) for r in documents.mean_confidence(words, "page_id").select("page_id", "confidence", "words").collect()] == [(1, 85.0, 2)]
