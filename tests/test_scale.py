@@ -1,6 +1,10 @@
 """Queries over many words: what is dealt out by document moves once, as whole texts; names that many share make no pairs."""
 
+import pytest
+
 from spanforge.operators import people
+from spanforge.plans.queries import QUERIES
+from spanforge.session import beside
 from spanforge.sources import documents
 
 
@@ -17,3 +21,22 @@ def test_confidence_and_words_from_one_pass(spark):
     words = documents.ocr_words(lines)
     assert [r.text for r in words.orderBy("word").collect()] == ["a\tb", "c"] and "_f" not in words.columns
     assert [tuple(r) for r in documents.mean_confidence(words, "page_id").select("page_id", "confidence", "words").collect()] == [(1, 85.0, 2)]
+
+
+@pytest.mark.parametrize("name", ["run_dominance", "recognised_records", "recognised_tags", "entity_islands", "bio_projection", "paragraphs", "block_words", "words_in_sentences", "guarded_edits"])
+def test_words_stay_with_their_document(spark, name):
+    """The texts are dealt out by document; what is exploded from them is not shuffled again."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+    assert dealt and all("hashpartitioning(doc_id" in line and "REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_session_beside_keeps_settings(spark):
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        other = beside(spark)
+        assert other.conf.get("spark.sql.shuffle.partitions") == "7" and other.conf.get("spark.sql.session.timeZone") == "UTC"
+        assert other.conf.get(name) == "false" and spark.conf.get(name) == "true" and beside(other) is other
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
