@@ -7,7 +7,7 @@ entities, ner_tags, schema_version, mapping_provenance).  Issues are an array of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.vocabulary import VALUES, strip, vocab
@@ -101,7 +101,7 @@ def bio_labels(tags: Column) -> Column:
 
 
 def same_set(a: Column, b: Column) -> Column:
-    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: (F.size(F.array_except(x.getField("a"), x.getField("b"))) == 0) & (F.size(F.array_except(x.getField("b"), x.getField("a"))) == 0))
 
 
 def record_issues(c=F.col) -> Column:
@@ -206,37 +206,41 @@ def quality_flags(limits: dict[str, int] | None = None) -> Column:
     """Array of (code, severity): sentence flags, token flags, contract issues, open colours."""
     limits = LIMITS | (limits or {})
     text = F.coalesce(F.when(F.col("curated_sentence") != "", F.col("curated_sentence")), F.col("sentence"))
-    trimmed = strip(text)
-    empty = F.coalesce(trimmed == "", F.lit(True))
-    length = F.length(trimmed)
     flag = lambda condition, code, severity="warning": F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
     words = F.size(F.filter("tokens", lambda t: t.rlike(r"^[\p{L}\p{N}]+$")))
     opened = (F.col("mapping_provenance.status") == "pending_review") | F.exists("entities", lambda e: F.startswith(e.getField("label"), F.lit("#")))
-    of_text = F.array_compact(
-        F.array(
-            flag(empty, "empty_sentence", "error"),
-            flag(~empty & (length < limits["minimum_characters"]), "unusually_short_sentence"),
-            flag(~empty & (length > limits["maximum_characters"]), "unusually_long_sentence"),
-            flag(~empty & text.rlike(CONTROL), "suspicious_character"),
-            flag(~empty & ~F.right(trimmed, F.lit(1)).isin(*".!?;:"), "likely_sentence_boundary_error"),
-            flag(words <= 1, "single_word_sentence"),
-            flag(F.size("tokens") > limits["maximum_tokens"], "too_many_tokens"),
+
+    def of_trimmed(trimmed: Column) -> Column:
+        """The text is trimmed once, not for each condition."""
+        empty, length = F.coalesce(trimmed == "", F.lit(True)), F.length(trimmed)
+        return F.array_compact(
+            F.array(
+                flag(empty, "empty_sentence", "error"),
+                flag(~empty & (length < limits["minimum_characters"]), "unusually_short_sentence"),
+                flag(~empty & (length > limits["maximum_characters"]), "unusually_long_sentence"),
+                flag(~empty & text.rlike(CONTROL), "suspicious_character"),
+                flag(~empty & ~F.right(trimmed, F.lit(1)).isin(*".!?;:"), "likely_sentence_boundary_error"),
+                flag(words <= 1, "single_word_sentence"),
+                flag(F.size("tokens") > limits["maximum_tokens"], "too_many_tokens"),
+            )
         )
-    )
+
+    of_text = let(strip(text), of_trimmed)
     of_contract = F.transform(record_issues(), lambda i: F.struct(i.getField("code").alias("code"), F.lit("error").alias("severity")))
     return F.concat(of_text, of_contract, F.array_compact(F.array(flag(opened, "unresolved_color_mapping"))))
 
 
 def quality_report(records: DataFrame, *keys: str) -> DataFrame:
     """Rows and flagged rows, and how often each flag occurs, by keys."""
-    flagged = records.select(*keys, quality_flags().alias("flags"))
-    each = flagged.select(*keys, F.explode("flags").alias("f")).groupBy(*keys, "f.code", "f.severity").agg(F.count(F.lit(1)).alias("n"))
-    totals = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.size("flags") > 0).alias("flagged"))
-    if not keys:
-        return each.crossJoin(F.broadcast(totals))
-    renamed = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], "records", "flagged")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return each.join(renamed, same).drop(*[f"_{k}" for k in keys])
+    # records are judged once: each distinct array of flags is counted, and both figures are read off the counts
+    kinds = records.select(*keys, quality_flags().alias("flags")).groupBy(*keys, "flags").agg(F.count(F.lit(1)).alias("n"))
+    one = F.struct(F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("severity"))
+    flags = F.coalesce("flags", F.array().cast("array<struct<code:string,severity:string>>"))
+    each = kinds.select(*keys, "n", F.size(flags).alias("size"), F.explode(F.concat(flags, F.array(one))).alias("f"))
+    sums = each.groupBy(*keys, "f.code", "f.severity").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("m"))
+    of = Window.partitionBy(*keys)
+    total = lambda c: F.max(F.when(F.col("code").isNull(), F.col(c))).over(of)
+    return sums.withColumns({"records": total("n"), "flagged": total("m")}).filter("code is not null").drop("m")
 
 
 # --- drafts, scopes, people, citations ---------------------------------------------------

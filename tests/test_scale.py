@@ -1,8 +1,10 @@
 """Queries over many words: what is dealt out by document moves once, as whole texts; names that many share make no pairs."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanforge.operators import people
+from spanforge.operators import contract, people
+from spanforge.operators import spans as S
 from spanforge.plans.queries import QUERIES
 from spanforge.session import beside
 from spanforge.sources import documents
@@ -40,3 +42,29 @@ def test_session_beside_keeps_settings(spark):
         assert other.conf.get(name) == "false" and spark.conf.get(name) == "true" and beside(other) is other
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_overlaps_of_long_sequences_fold_in_short_groups(spark):
+    """Pairs that share no span with their neighbours are groups of their own; a chain is one."""
+    gold = ["B-age", "I-age", "O", "B-age", "I-age", "I-age", "O"] * 50
+    pred = ["B-age", "B-age", "O", "O", "B-age", "B-age", "O"] * 50
+    rows = spark.createDataFrame([(gold, pred)], "gold array<string>, pred array<string>")
+    coded = rows.select(S.span_numbers(S.coded(F.col("gold"))).alias("g"), S.span_numbers(S.coded(F.col("pred"))).alias("p"))
+    sizes = coded.select(F.transform(S.overlapping(F.col("g"), F.col("p")), lambda x: F.size(x)).alias("n")).first().n
+    assert sizes == [2] * 100
+    score = S.overlap_scores(rows).filter("value = 'age'").first()
+    assert (score.tp, score.fp, score.fn) == (100, 100, 0)
+
+
+def test_scores_and_reports_read_their_rows_once(spark):
+    d = "/root/testdata/sf0.001"
+    for name in ("t2_all_scores", "record_quality_report"):
+        assert QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+def test_report_counts_records_without_tokens(spark):
+    row = "'c' AS collection, 'One good sentence here.' AS sentence, CAST(NULL AS string) AS curated_sentence, {} AS tokens, array() AS entities, array() AS values, array() AS ner_tags, 1 AS sentence_id, 1 AS page, '1.0' AS schema_version, CAST(NULL AS struct<method:string,status:string,config_id:string>) AS mapping_provenance"
+    kinds = {"entities": "array<struct<start:int,end:int,text:string,label:string,color:string>>", "values": "array<string>", "ner_tags": "array<string>"}
+    rows = spark.sql("SELECT " + row.format("CAST(NULL AS array<string>)")).union(spark.sql("SELECT " + row.format("array('One')")))
+    found = contract.quality_report(rows.withColumns({k: F.col(k).cast(v) for k, v in kinds.items()}), "collection").collect()
+    assert {(r.code, r.n, r.records, r.flagged) for r in found} >= {("single_word_sentence", 1, 2, 1)}
