@@ -89,24 +89,32 @@ def marked(value: Column, column: str | None) -> Column:
     return F.struct(value.alias("value"), *[F.lit(int(c == column)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
 
 
+#: What a span or token counts as; a count's number is three times its label's number and one of these.
+COUNTS = {"tp": 0, "fp": 1, "fn": 2}
+
+
 def counted(sequences: DataFrame, counts: Column, *keys: str) -> DataFrame:
-    """Adds arrays of (value, tp, fp, fn) over sequences; every label has a row for each group, null groups too.
+    """Adds up arrays of counts' numbers over sequences; every label has a row for each group, null groups too.
 
-    Each sequence brings a row of zeros for every label, so nothing is joined afterwards.
+    Numbers are counted first; labels, and zeros for every label of a group that has a
+    sequence, come to the few sums.
     """
     zeros = F.transform(vocab(), lambda v: marked(v, None))
-    each = sequences.select(*keys, F.inline(F.concat(counts, zeros)))
+    each = sequences.select(*keys, F.explode(F.concat(counts.cast("array<int>"), F.array(F.lit(0)))).alias("c"))
+    c = F.col("c")
+    row = F.struct(F.get(vocab(), F.floor(c / 3).cast("int") - 1).alias("value"), *[F.when(c % 3 == k, F.col("n")).otherwise(0).alias(x) for x, k in COUNTS.items()])
+    few = each.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n")).select(*keys, F.inline(F.when(c < 3, zeros).otherwise(F.array(row))))
     if not keys:  # the labels are there even without a sequence
-        each = each.unionByName(sequences.sparkSession.range(1).select(F.inline(zeros)))
-    return each.filter("value is not null").groupBy(*keys, "value").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+        few = few.unionByName(sequences.sparkSession.range(1).select(F.inline(zeros)))
+    return few.filter("value is not null").groupBy(*keys, "value").agg(*[F.sum(c).cast("long").alias(c) for c in COUNTS])
 
 
 def by_value(found: Column, column: str) -> Column:
-    return F.transform(found, lambda x: marked(label_of(x), column))
+    return F.transform(found, lambda x: x.bitwiseAND(F.lit((1 << LABEL_BITS) - 1)) * 3 + COUNTS[column])
 
 
-def span_counts(gold: Column, pred: Column, right: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """Counts from span numbers; right names the gold and the predicted spans that count as right."""
+def span_counts(gold: Column, pred: Column, right: Callable[[Column, Column], Column]) -> Column:
+    """Counts from coded tags by span numbers; right gives a struct of the gold (a) and the predicted spans (b) that count as right."""
 
     def of(pair: Column) -> Column:
         g, p = pair.getField("g"), pair.getField("p")
@@ -115,26 +123,24 @@ def span_counts(gold: Column, pred: Column, right: Callable[[Column, Column], tu
             a, b = found.getField("a"), found.getField("b")
             return F.concat(by_value(a, "tp"), by_value(F.array_except(p, b), "fp"), by_value(F.array_except(g, a), "fn"))
 
-        a, b = right(g, p)
-        return let(F.struct(a.alias("a"), b.alias("b")), rest)
+        return let(right(g, p), rest)
 
-    return let(F.struct(span_numbers(coded(gold)).alias("g"), span_numbers(coded(pred)).alias("p")), of)
+    return let(F.struct(span_numbers(gold).alias("g"), span_numbers(pred).alias("p")), of)
 
 
 def exact_counts(gold: Column, pred: Column) -> Column:
     """Spans count as right if start, end and label agree."""
-    return span_counts(gold, pred, lambda g, p: (F.array_intersect(g, p), F.array_intersect(g, p)))
+    return span_counts(gold, pred, lambda g, p: let(F.array_intersect(g, p), lambda both: F.struct(both.alias("a"), both.alias("b"))))
 
 
 def token_counts(gold: Column, pred: Column) -> Column:
     """Tokens count as right if both sides give the same label, whatever the prefix; O on both sides does not count."""
 
-    def of(g: Column, p: Column) -> Column:
-        gv, pv = F.shiftright(g, 1), F.shiftright(p, 1)
-        named = lambda v, column: F.when(v > 0, marked(F.get(vocab(), v - 1), column))
-        return F.when(gv == pv, F.array(named(gv, "tp"))).otherwise(F.array(named(pv, "fp"), named(gv, "fn")))
-
-    return F.filter(F.flatten(F.zip_with(coded(gold), coded(pred), lambda g, p: of(F.coalesce(g, F.lit(0)), F.coalesce(p, F.lit(0))))), lambda x: x.isNotNull())
+    label = lambda c: F.shiftright(F.coalesce(c, F.lit(0)), 1)
+    # a number below 3 is of no label
+    seen = F.zip_with(gold, pred, lambda g, p: label(p) * 3 + F.when(label(g) == label(p), COUNTS["tp"]).otherwise(COUNTS["fp"]))
+    missed = F.zip_with(gold, pred, lambda g, p: F.when(label(g) == label(p), 0).otherwise(label(g) * 3 + COUNTS["fn"]))
+    return F.filter(F.concat(seen, missed), lambda x: x >= 3)
 
 
 def spread(found: Column) -> Column:
@@ -148,7 +154,11 @@ def spread(found: Column) -> Column:
 
 
 def overlapping(g: Column, p: Column) -> Column:
-    """Pairs (less, g, p) of spans of one label that share tokens, the largest overlap first, then by place; read off the tokens."""
+    """Groups of pairs (less, g, p) of spans of one label that share tokens, the largest overlap first, then by place; read off the tokens.
+
+    Pairs of different groups have no span in common: along the text, a group ends
+    where the next pair shares neither span with the one before.
+    """
 
     def pairs(both: Column) -> Column:
         new = lambda x, i: (x.getField("g") > 0) & (x.getField("p") > 0) & (label_bits(x.getField("g")) == label_bits(x.getField("p"))) & ~F.coalesce(F.get(both, i - 1) == x, F.lit(False))
@@ -158,14 +168,21 @@ def overlapping(g: Column, p: Column) -> Column:
     zero = F.lit(0).cast("long")
     both = F.zip_with(spread(g), spread(p), lambda x, y: F.struct(F.coalesce(x, zero).alias("g"), F.coalesce(y, zero).alias("p")))
     sized = lambda x: F.struct((F.greatest(start_of(x.getField("g")), start_of(x.getField("p"))) - F.least(end_of(x.getField("g")), end_of(x.getField("p")))).alias("less"), x.getField("g").alias("g"), x.getField("p").alias("p"))
-    return F.array_sort(F.transform(let(both, pairs), sized))
+
+    def grouped(found: Column) -> Column:
+        apart = lambda x, i: (i == 0) | ((F.get(found, i - 1).getField("g") != x.getField("g")) & (F.get(found, i - 1).getField("p") != x.getField("p")))
+        first = F.filter(F.transform(found, lambda x, i: F.when(apart(x, i), i)), lambda i: i.isNotNull())
+        return let(first, lambda at: F.transform(at, lambda i, k: F.array_sort(F.transform(F.slice(found, i + 1, F.coalesce(F.get(at, k + 1), F.size(found)) - i), sized))))
+
+    return let(let(both, pairs), grouped)
 
 
 def overlap_counts(gold: Column, pred: Column) -> Column:
     """A predicted span is right if it overlaps a gold span of its label; pairs are one to one, the largest overlap first.
 
     All inside the row: spans of a side never overlap, so the tokens name all
-    pairs, and one fold over the sorted pairs takes each span once.
+    pairs, and one fold over the sorted pairs of each group takes each span once;
+    groups are short, however long the sequence is.
     """
 
     def take(state: Column, x: Column) -> Column:
@@ -173,34 +190,41 @@ def overlap_counts(gold: Column, pred: Column) -> Column:
         more = F.struct(F.array_append(state.getField("a"), x.getField("g")).alias("a"), F.array_append(state.getField("b"), x.getField("p")).alias("b"))
         return F.when(free, more).otherwise(state)
 
-    def right(g: Column, p: Column) -> tuple[Column, Column]:
+    def right(g: Column, p: Column) -> Column:
         none = F.array().cast("array<bigint>")
-        taken = F.aggregate(overlapping(g, p), F.struct(none.alias("a"), none.alias("b")), take)
-        return taken.getField("a"), taken.getField("b")
+        of_group = lambda pairs: F.aggregate(pairs, F.struct(none.alias("a"), none.alias("b")), take)
+        both = lambda taken: F.struct(*[F.flatten(F.transform(taken, lambda x: x.getField(c))).alias(c) for c in ("a", "b")])
+        return let(F.transform(overlapping(g, p), of_group), both)
 
     return span_counts(gold, pred, right)
 
 
+def of_codes(counts: Callable[[Column, Column], Column]) -> Column:
+    """Counts of the columns gold and pred, whose tags become numbers once."""
+    return let(F.struct(coded(F.col("gold")).alias("g"), coded(F.col("pred")).alias("p")), lambda x: counts(x.getField("g"), x.getField("p")))
+
+
 def exact_scores(sequences: DataFrame, *keys: str) -> DataFrame:
-    return with_scores(counted(sequences, exact_counts(F.col("gold"), F.col("pred")), *keys))
+    return with_scores(counted(sequences, of_codes(exact_counts), *keys))
 
 
 def token_scores(sequences: DataFrame, *keys: str) -> DataFrame:
-    return with_scores(counted(sequences, token_counts(F.col("gold"), F.col("pred")), *keys))
+    return with_scores(counted(sequences, of_codes(token_counts), *keys))
 
 
 def overlap_scores(sequences: DataFrame, *keys: str) -> DataFrame:
-    return with_scores(counted(sequences, overlap_counts(F.col("gold"), F.col("pred")), *keys))
+    return with_scores(counted(sequences, of_codes(overlap_counts), *keys))
 
 
 def all_scores(sequences: DataFrame, *keys: str) -> DataFrame:
-    """Micro and macro scores of the three ways side by side."""
-    ways = {"exact_span": counted(sequences, exact_counts(F.col("gold"), F.col("pred")), *keys), "overlap_span": counted(sequences, overlap_counts(F.col("gold"), F.col("pred")), *keys), "token": counted(sequences, token_counts(F.col("gold"), F.col("pred")), *keys)}
-    out = None
-    for kind, counts in ways.items():
-        one = summary(counts, *keys).withColumn("kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Micro and macro scores of the three ways side by side; sequences are read once for all of them."""
+    ways = {"exact_span": exact_counts, "overlap_span": overlap_counts, "token": token_counts}
+    each = of_codes(lambda g, p: F.array(*[F.struct(F.lit(kind).alias("kind"), counts(g, p).cast("array<int>").alias("counts")) for kind, counts in ways.items()]))
+    rows = sequences.select(*keys, F.inline(each))
+    if not keys:  # a way has its row even without a sequence
+        rows = rows.unionByName(sequences.sparkSession.createDataFrame([(kind, []) for kind in ways], rows.schema))
+    found = summary(counted(rows, F.col("counts"), *keys, "kind"), *keys, "kind")
+    return found.select(*[c for c in found.columns if c != "kind"], "kind")
 
 
 def tag_weights(sequences: DataFrame, tags: str = "gold") -> DataFrame:
