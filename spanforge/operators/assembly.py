@@ -2,9 +2,9 @@
 
 Words become pieces: a word that ends in a hyphen at a line's end is closed with the
 next line's first one.  Every piece is followed by one character, a space or a line
-feed, so a piece's place is a sum of the lengths before it: within its block, of the
-blocks before it on the page, and of the pages before.  Sums are made on these three
-levels, and no task orders all words of a document.  Sentences and coloured entities
+feed, so a piece's place is a sum of the lengths before it: within its block, and of
+the blocks before it.  Sums are made on these two levels, and no window orders all
+words of a document.  Sentences and coloured entities
 then are intervals over the same characters.
 """
 
@@ -70,11 +70,9 @@ def block_places(blocks: DataFrame, pieces: DataFrame, *keys: str) -> DataFrame:
     other = (ahead("band") != F.col("band")) | (ahead("col") != F.col("col"))
     feed = other | F.when(turned, ends | (gap > BLOCK_GAP)).otherwise(line(ahead("y0")) != line(F.col("y0")))
     rows = rows.withColumn("behind", F.when(F.col("size").isNotNull(), F.coalesce(feed, F.lit(False))))
-    rows = rows.withColumns({"feed": F.coalesce(F.last("behind", ignorenulls=True).over(before), F.lit(False)), "in_page": F.coalesce(F.sum("size").over(before), F.lit(0))})
-    rows = rows.filter("size is not null")
-    pages = rows.groupBy(*part).agg(F.sum("size").alias("size"))
-    shift = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(pages.select(*part, shift.alias("shift")), part).select(*part, "block", (F.col("in_page") + F.col("shift")).alias("at"), "feed")
+    rows = rows.withColumn("feed", F.coalesce(F.last("behind", ignorenulls=True).over(before), F.lit(False))).filter("size is not null")
+    earlier = Window.partitionBy(*keys).orderBy("page", "position").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*part, "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("at"), "feed")
 
 
 def placed_words(words: DataFrame, blocks: DataFrame, *keys: str, keep=lambda df: df) -> DataFrame:
@@ -117,8 +115,7 @@ def coloured_entities(placed: DataFrame, sentences: DataFrame, *keys: str) -> Da
     """
     part = [*keys, "sentence"]
     words = placed.withColumn("word", F.col("start")).withColumnsRenamed({"start": "ws", "end": "we"})
-    inside = words_in_sentences(words, sentences, *keys)
-    rows = inside.join(words.select(*keys, "word", "color", "page", "ws", "we"), [*keys, "word"]).join(sentences.select(*part, "ss"), part)
+    rows = words_in_sentences(words, sentences, *keys, more=("color", "page", "ws", "we", "ss"))
     order = Window.partitionBy(*part).orderBy("ws")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     changed = F.when(F.lag("color").over(order).eqNullSafe(F.col("color")) & (F.row_number().over(order) > 1), 0).otherwise(1)

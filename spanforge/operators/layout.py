@@ -126,11 +126,11 @@ def dominant_color(tokens: DataFrame, runs: DataFrame, *keys: str, width: int =
     return sums.groupBy(*keys, "token").agg(F.min_by("color", F.struct((-F.col("n")).alias("n"), F.col("color").isNotNull().alias("c"), F.col("color").alias("name"))).alias("color"))
 
 
-def words_in_sentences(words: DataFrame, sentences: DataFrame, *keys: str, width: int = 256) -> DataFrame:
-    """(keys, sentence, word): words that lie wholly in a sentence's characters."""
-    w = words.select(*keys, "word", "ws", "we").withColumn("bin", F.floor(F.col("ws") / width).cast("long"))
+def words_in_sentences(words: DataFrame, sentences: DataFrame, *keys: str, width: int = 256, more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, sentence, word, more): words that lie wholly in a sentence's characters; more names columns of either table to hand on."""
+    w = words.select(*keys, "word", "ws", "we", *[c for c in more if c in words.columns and c not in ("ws", "we")]).withColumn("bin", F.floor(F.col("ws") / width).cast("long"))
     s = sentences.select(*keys, "sentence", "ss", "se").withColumn("bin", F.explode(F.sequence(F.floor(F.col("ss") / width).cast("long"), F.floor(F.col("se") / width).cast("long"))))
-    return w.join(s, [*keys, "bin"]).filter("ws >= ss and we <= se").select(*keys, "sentence", "word")
+    return w.join(s, [*keys, "bin"]).filter("ws >= ss and we <= se").select(*keys, "sentence", "word", *more)
 
 
 def islands(words: DataFrame, *keys: str) -> DataFrame:

@@ -9,21 +9,21 @@ from spanforge.operators import assembly, layout, ruling
 from spanforge.plans import views as V
 from spanforge.plans.expressions import documents, pick, sql_pick
 from spanforge.plans.queries import query
-from spanforge.session import kept
+from spanforge.session import PARTS, beside, kept
 
 # Words of a document on pages of 200 in five blocks, in lines of ten or, in the last block, of one; some end in hyphens.
 COLORS = [None, "#FFFF00", None, "#00B0F0", "#FFFF00"]
 ROTATIONS = [0, 90, 0, 270]
 
 
-def placed(spark, d, keep):
-    words, blocks = page_layout(spark, d, keep)
-    return assembly.placed_words(words, blocks, "doc_id", keep=keep)
+def placed(spark, d):
+    """Words stay with their document, so they are made again where they are read again, and neither shuffled nor written."""
+    return assembly.placed_words(*page_layout(spark, d), "doc_id")
 
 
-def page_layout(spark, d, keep):
+def page_layout(spark, d):
     """(words, blocks): reading order puts the second column's block first; a block without words stands between."""
-    w = V.sequences(spark, d).select("doc_id", F.posexplode("tokens").alias("pos", "token")).filter("token <> ''")
+    w = V.sequences(spark, d, by_document=True).select("doc_id", F.posexplode("tokens").alias("pos", "token")).filter("token <> ''")
     pos, i = F.col("pos"), F.col("doc_id")
     block = F.floor(pos % 200 / 40).cast("int")
     single = block == 4
@@ -40,9 +40,8 @@ def page_layout(spark, d, keep):
         y0.alias("y0"),
         (y0 + 10).alias("y1"),
     )
-    words = keep(words)
     found = words.select("doc_id", "page", "block").distinct()
-    rows = found.unionByName(found.select("doc_id", "page", F.lit(9).alias("block")).distinct())
+    rows = found.select("doc_id", "page", F.explode(F.array("block", F.lit(9))).alias("block")).distinct()
     b = F.col("block")
     top = b * 40 + i % 5
     place = F.element_at(F.create_map(*[F.lit(x) for pair in ((0, 0), (2, 1), (1, 2), (9, 3), (3, 4), (4, 5)) for x in pair]), b)
@@ -79,13 +78,13 @@ texts AS (SELECT doc_id, string_agg(glue || piece, '' ORDER BY s) AS text FROM p
 @query("document_words", f'WITH {LAYOUT_SQL} SELECT doc_id, page, pos::INTEGER AS word, piece AS text, color, s AS first_char, e AS end_char, glue FROM placed')
 def document_words(spark, d):
     """Pieces of words with their characters in the whole document."""
-    return placed(spark, d, kept(spark)).drop("block").withColumnsRenamed({"start": "first_char", "end": "end_char"})
+    return placed(spark, d).drop("block").withColumnsRenamed({"start": "first_char", "end": "end_char"})
 
 
 @query("document_texts", f"WITH {LAYOUT_SQL} SELECT doc_id, length(text)::BIGINT AS chars, sha256(text) AS digest FROM texts")
 def document_texts(spark, d):
     """The text of each document, put together from its pages."""
-    texts = assembly.document_texts(placed(spark, d, kept(spark)), "doc_id")
+    texts = assembly.document_texts(placed(spark, d), "doc_id")
     return texts.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
@@ -130,10 +129,12 @@ recs AS (SELECT doc_id, n, min(page) AS page, any_value(s) AS s, string_agg(a ||
 
 @query("highlight_records", f'WITH {RECORDS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n))::INTEGER AS sentence_id, page, md5(s) AS digest, vals AS labels, entities FROM recs')
 def highlight_records(spark, d):
-    """Records of sentences with coloured entities, from pages to characters; places and sentences are written once, as several steps read them."""
-    keep = kept(spark)
-    at = keep(placed(spark, d, keep))
-    sentences = keep(assembly.sentences_of(assembly.document_texts(at, "doc_id"), "doc_id"))
+    """Records of sentences with coloured entities, from pages to characters; places and sentences are written once, and dealt out by document once."""
+    keep = kept(beside(spark))
+    at = keep(placed(spark, d))
+    parts = PARTS * at.rdd.getNumPartitions()
+    at = at.repartition(parts, "doc_id")
+    sentences = keep(assembly.sentences_of(assembly.document_texts(at, "doc_id"), "doc_id")).repartition(parts, "doc_id")
     labels = F.create_map(F.lit("#FFFF00"), F.lit("social"))
     found = assembly.highlight_records(assembly.coloured_entities(at, sentences, "doc_id"), sentences, "doc_id", labels=labels)
     each = F.transform("entities", lambda e: F.concat(e.getField("start"), F.lit("-"), e.getField("end"), F.lit(":"), e.getField("label")))

@@ -68,3 +68,11 @@ def test_report_counts_records_without_tokens(spark):
     rows = spark.sql("SELECT " + row.format("CAST(NULL AS array<string>)")).union(spark.sql("SELECT " + row.format("array('One')")))
     found = contract.quality_report(rows.withColumns({k: F.col(k).cast(v) for k, v in kinds.items()}), "collection").collect()
     assert {(r.code, r.n, r.records, r.flagged) for r in found} >= {("single_word_sentence", 1, 2, 1)}
+
+
+@pytest.mark.parametrize("name", ["document_words", "document_texts"])
+def test_placed_words_stay_with_their_document(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all("hashpartitioning(doc_id" in line and "REPARTITION_BY_NUM" in line for line in dealt)
+    assert "Union" not in plan  # parts of a union may cease to lie by the key while the query runs
