@@ -1,9 +1,11 @@
 """Queries over many words: what is dealt out by document moves once, as whole texts; names that many share make no pairs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.operators import contract, people
+from spanforge.operators import contract, people, thresholds
 from spanforge.operators import spans as S
 from spanforge.plans.queries import QUERIES
 from spanforge.session import beside
@@ -76,3 +78,40 @@ def test_placed_words_stay_with_their_document(spark, name):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert dealt and all("hashpartitioning(doc_id" in line and "REPARTITION_BY_NUM" in line for line in dealt)
     assert "Union" not in plan  # parts of a union may cease to lie by the key while the query runs
+
+
+def test_span_thresholds_multiply_no_row_by_the_grid(spark):
+    plan = QUERIES["tune_span_thresholds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1  # one number for each word and gold span
+
+
+def test_span_thresholds_by_counting_at_every_grid_point(spark):
+    draw = random.Random(5)
+    tags = ["O", "B-age", "I-age", "I-age", "B-social", "I-social", "I-other", None]
+    rows = [([draw.choice(tags) for _ in range(n)], [(draw.choice(tags), draw.choice([None, 0.0, 0.05, 0.3, 0.55, 0.6, 0.95, 1.0])) for _ in range(n)]) for n in [0, 1, 2, *[30] * 40]]
+    rows += [([t for t, _ in best], best) for _, best in rows] + [(["B-age"], None), (None, [("B-age", 0.5)])]
+
+    def spans(words):
+        found = []
+        for i, tag in enumerate(words):
+            if tag and tag != "O":
+                if tag[0] == "I" and found and found[-1][1:] == (i, tag[2:]):
+                    found[-1] = (found[-1][0], i + 1, tag[2:])
+                else:
+                    found.append((i, i + 1, tag[2:]))
+        return set(found)
+
+    expected = {}
+    for value in ("age", "social"):
+        at = []
+        for t in thresholds.GRID:
+            tp = n_pred = n_gold = 0
+            for gold, best in rows:
+                g = {s for s in spans(gold or []) if s[2] == value}
+                p = spans([tag if tag and tag[2:] == value and prob is not None and prob >= t else "O" for tag, prob in best or []])
+                tp, n_pred, n_gold = tp + len(g & p), n_pred + len(p), n_gold + len(g)
+            at.append((-2 * tp / (n_pred + n_gold), abs(t - 0.5), t))
+        best_f1, _, t = min(at)
+        expected[value] = (t, round(-best_f1, 9))
+    got = thresholds.tune_spans(spark.createDataFrame(rows, "gold array<string>, best array<struct<tag:string,p:double>>"))
+    assert {r.value: (r.threshold, r.f1) for r in got.collect() if r.value in expected} == expected
