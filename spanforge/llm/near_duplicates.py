@@ -44,6 +44,8 @@ from spanforge.llm.components import components
 
 #: Entries of a bucket of keys; shingles and sets of a block; shingles of a task's group of blocks, about.
 ENTRIES, BLOCK_SHINGLES, BLOCK_SETS, GROUP_SHINGLES = 400_000, 250_000, 4_096, 500_000
+#: The buckets of keys are shuffled in so many turns, which bounds what lies on disk twice.
+TURNS = 4
 
 
 class Bands:
@@ -186,19 +188,32 @@ def shared_keys(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(lambda key, t: trimmed(meet(key, t)), "key long, node long, n long, grp long, often long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, n, row, shingles) of the rows whose id is wanted; row is a number of its own."""
+def sets_at(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(bucket, part, side, of, node, shingles): the sets of the texts whose id and hash have places (rep, mark, node, places).
+
+    The sets are made where the texts lie and go straight to the buckets of their places.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # sets that this task has sent; a bounded memo for rows that repeat id and text
         for part in lean(s for batch in batches for s in slices(batch, "text")):
-            found = [s for s in (shingles(t, k) for t in binaries(part.column("text"))) if len(s)]
-            columns = [pa.array([node_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "shingles"])
+            found = [shingles(t, k) for t in binaries(part.column("text"))]
+            own = []
+            for s, node in zip(found, part.column("node").to_pylist(), strict=True):
+                # texts of one id may share a hash
+                own.append(node not in sent and len(s) > 0 and node_of(s) == node)
+                if own[-1]:
+                    sent.add(node)
+            if len(sent) > 100_000:
+                sent.clear()
+            rows = part.select(["node", "places"]).filter(pa.array(own, pa.bool_()))
+            packed = pa.array([s.tobytes() for s, yes in zip(found, own, strict=True) if yes], pa.binary())
+            yield pa.RecordBatch.from_arrays([*rows.columns, packed], names=["node", "places", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    own = wanted.select(F.col("rep").alias("want")).distinct()
-    texts = texts.join(own, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
-    return texts.mapInArrow(make, "node long, n long, shingles binary").withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")).filter("text is not null")
+    texts = texts.join(places, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("mark"))).select("node", "places", "text")
+    made = texts.mapInArrow(make, f"node long, places {places.schema['places'].dataType.simpleString()}, shingles binary")
+    return made.select("node", "shingles", F.explode("places").alias("p")).select("p.*", "node", "shingles")
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -289,8 +304,13 @@ class Join:
         rows = scratch.keep(sketch_rows(docs, k, bands, buckets), "rows")
         #: (doc_id, mark, n, node) of every row; and the smallest id of every set
         self.meta = scratch.keep(rows.filter("bucket is null").select("doc_id", "mark", "n", "node"), "meta")
-        self.classes = scratch.keep(self.meta.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-        raw = scratch.keep(shared_keys(rows.filter("bucket is not null").select("bucket", "entries")), "keys")
+        first = [F.min("doc_id").alias("rep"), F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("mark")]
+        self.classes = scratch.keep(self.meta.filter("n > 0").groupBy("node").agg(*first), "classes")
+        raw = None
+        for turn in range(TURNS):
+            now = scratch.keep(shared_keys(rows.filter(F.col("bucket") % TURNS == turn).select("bucket", "entries")), "keys")
+            raw = now if raw is None else raw.union(now)
+            scratch.free()
         scratch.free(rows)
         # each set leaves out its most frequent keys, as many as the group has to spare
         rank = F.row_number().over(Window.partitionBy("node", "grp").orderBy(F.desc("often"), "key"))
@@ -302,21 +322,24 @@ class Join:
         hub = open_.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
         self.members = scratch.keep(open_.join(hub, "key").select("hub", "node", "n").distinct(), "members")
         scratch.free(open_)
-        wanted = self.members.select("node").distinct().join(self.classes, "node")
-        self.sets = scratch.keep(sets_of(docs, wanted, k), "sets")
-        self.rows = self.sets.groupBy("node").agg(F.min("row").alias("row"))
         blocks = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)))
         self.groups = scratch.keep(self.members.groupBy("hub").agg(blocks.alias("blocks"), F.sum("n").alias("room")), "groups")
         self.room = self.groups.agg(F.coalesce(F.sum("room"), F.lit(0))).first()[0]
         scratch.free()
 
-    def compared(self, parts: DataFrame, every: bool = False) -> DataFrame:
-        """Links from rows (part, side, node, of): the sets come to their parts, several parts to a task's group."""
+    def compared(self, parts: DataFrame, every: bool = False, most: bool = True) -> DataFrame:
+        """Links from rows (part, side, node, of, n): the sets come to their parts, several parts to a task's group.
+
+        Most texts have a place in the first pass, so it deals them out, without a sort; later
+        places are few, and written, so that their size is known and texts may stay where they are.
+        """
         num, den = self.num, self.den
         room = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         buckets = max(12, room // GROUP_SHINGLES)
-        placed = parts.join(self.rows, "node").select(F.pmod("part", F.lit(buckets)).alias("bucket"), "part", "side", "of", "row")
-        full = placed.join(self.sets.select("row", "node", "shingles"), "row").drop("row")
+        place = F.struct(F.pmod("part", F.lit(buckets)).alias("bucket"), "part", "side", "of")
+        places = parts.groupBy("node").agg(F.collect_list(place).alias("places")).join(self.classes, "node")
+        places = places.hint("shuffle_hash") if most else self.scratch.keep(places, "places")
+        full = sets_at(self.docs, places, self.k)
         found = full.groupBy("bucket").applyInArrow(lambda t: trimmed(compare_blocks(t, num, den, every)), "u long, v long")
         return self.scratch.keep(found.distinct(), "links")
 
@@ -361,7 +384,7 @@ class Join:
         first = meet.select("hub", "block", "part", F.when(F.col("block") == F.col("other"), 2).otherwise(0).alias("side"))
         second = meet.filter("block <> other").select("hub", F.col("other").alias("block"), "part", F.lit(1).alias("side"))
         parts = placed.join(first.union(second), ["hub", "block"]).select("part", "side", "node", "of", "n")
-        return self.compared(self.scratch.keep(parts, "across"), found is None)
+        return self.compared(self.scratch.keep(parts, "across"), found is None, most=False)
 
     def joined(self) -> DataFrame:
         """(node, component) of all sets that have a link."""
@@ -370,7 +393,7 @@ class Join:
         more = self.across(found)
         if more is not None and not more.isEmpty():
             found = components(links.union(more), self.scratch)
-        self.scratch.free(self.sets, self.members)
+        self.scratch.free(self.members)
         return found
 
     def rows_of(self) -> DataFrame:

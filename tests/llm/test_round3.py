@@ -355,3 +355,16 @@ def test_odd_calls_and_results(spark):
     assert got[1, 2].json == '{"content":"plain \\"text\\"","role":"tool","tool_call_id":"a"}'
     assert got[1, 3].json == got[2, 0].json == '{"role":"tool","tool_call_id":"a"}'
     assert (got[None, 1].kind, got[2, 0].kind) == ("result", "orphan") and got[None, 1].json == '{"content":7,"role":"tool","tool_call_id":"a"}'
+
+
+def test_sets_go_straight_to_their_groups(spark, monkeypatch):
+    """Sets are neither written nor joined as tables of their own, and keys are shuffled in turns."""
+    names = []
+    keep = near_duplicates.Scratch.keep
+    monkeypatch.setattr(near_duplicates.Scratch, "keep", lambda self, df, name="t": names.append(name) or keep(self, df, name))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text)] * 20 + [(7, text + " z"), (None, text), (9, "another text of its own"), (3, text + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.component_id) for r in near_duplicates.near_duplicates(docs, 4, 85, 100).collect())
+    assert got == [(0, 3), (3, 3), *[(7, 3)] * 21, (9, 9)]
+    assert "sets" not in names and names.count("keys") == near_duplicates.TURNS
