@@ -31,7 +31,6 @@ proper probability of the text's words and its end.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,7 +47,7 @@ HEAD_WORD_BYTES = 64
 TABLE_BITS = 22
 ROUNDS, BATCH = 1, 1_024
 #: Tokens of a run of documents, about: of whose bits inputs are made at a time, that are fitted, that are scored.
-NEAR, FITTED, SCORED = 5_000, 16_000, 64_000
+NEAR, FITTED, SCORED = 3_500, 32_000, 96_000
 #: Bytes of texts that are cut into words at a time.
 CUT = 8 << 20
 FAN_IN = 64
@@ -237,11 +236,16 @@ def symbol_runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, np.ndar
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
+    """Counts in as few bytes each as they need, compressed; the first byte says how many."""
+    most = x.max(initial=0)
+    kind = "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
+    raw = x.astype(kind).tobytes()
+    return bytes([int(kind[2])]) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpack_counts(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64)
+def unpack_counts(x: bytes, n: int) -> np.ndarray:
+    size = x[0]
+    return np.frombuffer(pa.decompress(x[1:], n * size, codec="zstd", asbytes=True), f"<u{size}").astype(np.int64)
 
 
 def count_tables(train: DataFrame, code, table_bits: int, scratch: Scratch) -> list[np.ndarray]:
@@ -268,7 +272,7 @@ def count_tables(train: DataFrame, code, table_bits: int, scratch: Scratch) -> l
                     yield pa.RecordBatch.from_arrays([pa.array([k * (1 << table_bits) + at // 2]), pa.array([part], pa.int64()), pa.array([pack_counts(part_of)], pa.binary())], names=["block", "part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(unpack_counts(x) for x in binaries(table.column("counts").combine_chunks()))
+        total = sum(unpack_counts(x, 2 * step) for x in binaries(table.column("counts").combine_chunks()))
         return pa.table({"block": table.column("block")[:1], "part": pa.array([min(table.column("part").to_pylist()) // FAN_IN], pa.int64()), "counts": pa.array([pack_counts(np.minimum(total, 0xFFFFFFFF))], pa.binary())})
 
     schema = "block long, part long, counts binary"
@@ -280,7 +284,7 @@ def count_tables(train: DataFrame, code, table_bits: int, scratch: Scratch) -> l
     tables = [np.zeros((1 << table_bits, 2), np.uint16) for _ in range(2)]
     for r in scratch.keep(found, "tables").toLocalIterator():  # at most 2 * 2**table_bits counters
         k, at = divmod(r["block"], 1 << table_bits)
-        counts = unpack_counts(bytes(r["counts"])).reshape(-1, 2)
+        counts = unpack_counts(bytes(r["counts"]), 2 * step).reshape(-1, 2)
         most = counts.max(1, keepdims=True)
         scaled = np.where(most > 65_535, counts * 65_535 // np.maximum(most, 1), counts)
         tables[k][at : at + len(counts)] = scaled
@@ -302,26 +306,27 @@ def own_history(bits: Bits) -> tuple[np.ndarray, np.ndarray]:
     key.sort()
     place = (key & kind((1 << half) - 1)).astype(np.int64)
     key >>= kind(half)
-    found = ((bits.of << 1) | bits.bit).take(place)
-    bit = found & 1
-    found >>= 1
+    found = ((bits.of.astype(np.uint32) << np.uint32(1)) | bits.bit).take(place)
+    bit = found & np.uint32(1)
+    found >>= np.uint32(1)
     new = np.empty(n, bool)
     new[:1] = True
     np.not_equal(key[1:], key[:-1], out=new[1:])
     new[1:] |= found[1:] != found[:-1]
     # decisions so far in the low half, ones among them in the high half; less those before each group's first
-    both = np.cumsum(bit, dtype=np.int64)
+    both = np.cumsum(bit, dtype=kind)
     both -= bit
-    both <<= 32
-    both += np.arange(n)
+    both <<= kind(half)
+    both += np.arange(n, dtype=kind)
     first = np.flatnonzero(new)
     both -= np.repeat(both[first], np.diff(first, append=n))
-    out = np.empty(n, np.int64)
+    out = np.empty(n, kind)
     out[place] = both
-    ones = out >> 32
-    out &= 0xFFFFFFFF
+    ones = out >> kind(half)
+    out &= kind((1 << half) - 1)
     out -= ones
-    return out.astype(np.float32), ones.astype(np.float32)
+    signed = f"i{out.itemsize}"
+    return out.view(signed).astype(np.float32), ones.view(signed).astype(np.float32)
 
 
 def level(total: np.ndarray) -> np.ndarray:
@@ -548,7 +553,8 @@ def fit_sums(code: Code, tables: list[np.ndarray], mixer: Mixer, batch: pa.Recor
         if not len(gate):
             continue
         weights, last = np.ascontiguousarray(mixer.weights[:, :4]), mixer.weights[:, 4]
-        s = mixed(x, weights, last, gate)
+        alike = (mixer.weights == mixer.weights[0]).all()  # as they are at first
+        s = np.clip(x @ weights[0] + ALWAYS * last[0], -14, 14) if alike else mixed(x, weights, last, gate)
         p = squash(s)
         low, share = place(s)
         more = map_sums((gate & np.uint8(DEPTHS - 1)) * np.int64(APM_STEPS) + low, share, bit, cells)
@@ -697,7 +703,7 @@ def score(docs: DataFrame, head: int = HEAD, table_bits: int | None = None) -> D
     schema = f"doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, row long, score double"
     scores = scratch.keep(rows.select(*plain, "low", "high").mapInArrow(scored, schema), "scores")
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
-    joined = tail.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    joined = tail.join(counts.hint("shuffle_hash"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     per_row = joined.groupBy("row").agg(
         F.sum("n").alias("t_n"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("t_known"),

@@ -501,6 +501,40 @@ def test_documents_go_on_learning_by_themselves(monkeypatch):
     assert got[0] > frozen[0] + 10 and got[2] > frozen[2] + 10
 
 
+def test_texts_are_cut_into_words_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, "a b a c " * i) for i in range(40)], "doc_id long, text string")
+    assert lm_scoring.score(df.mapInArrow(watched, df.schema), head=20).count() == 40
+    assert read.value <= 2 * 40
+
+
+def test_symbols_are_those_of_words():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b" \t\n\x0b\x0c\rABab\x1c\x85\xa0\xc3\xff\x00") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [b"", b" ", b"x" * 90]
+    want = [[*t.lower().split(), b"\n"] for t in texts]
+    for head in ([b"a", b"b", b"ab", b"\n"], [b"a", b"\xc3"], []):  # with and without the end
+        code = lm_scoring.Code(head, np.ones(len(head) + 1, np.int64))
+        made = lm_scoring.encoded(pa.array(texts, pa.binary()), code)
+        at = {w: i for i, w in enumerate(head)}
+        symbols, sizes = lm_scoring.unpacked(pa.RecordBatch.from_pydict(made).slice(3))
+        assert symbols.tolist() == [at.get(w, len(head)) for t in want[3:] for w in t] and sizes.tolist() == [len(t) for t in want[3:]]
+        assert [{p["word"]: p["n"] for p in t} for t in made["tail"].to_pylist()] == [Counter(w for w in t if w not in at) for t in want]
+        assert made["n_known"].to_pylist() == [sum(w in at for w in t) for t in want]
+    symbols, sizes = np.array([65_536, 0, 65_535, 70_000]), np.array([1, 0, 3])
+    low, high = lm_scoring.packed(symbols, sizes)
+    back = lm_scoring.unpacked(pa.RecordBatch.from_arrays([low, high], names=["low", "high"]))
+    assert back[0].tolist() == symbols.tolist() and back[1].tolist() == sizes.tolist()
+
+
 # --- quality, licences, chat -------------------------------------------------------------------
 
 
