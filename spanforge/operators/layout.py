@@ -83,16 +83,34 @@ def recognised_records(words: DataFrame, *keys: str) -> DataFrame:
     return numbered.select(*keys, "sentence_id", "sentence", tokens.alias("tokens"), values.alias("values"), "entities", span_tags(F.col("at"), F.col("entities")).alias("ner_tags"))
 
 
+def run_entities(found: DataFrame, palette: Column) -> DataFrame:
+    """Sentences with values and with their runs (start, end, color) as entities; color is a place in the palette, from 1, and the label too."""
+
+    def entity(r: Column) -> Column:
+        color = F.get(palette, r.getField("color") - 1)
+        text = F.substring(F.col("sentence"), r.getField("start") + 1, r.getField("end") - r.getField("start"))
+        return F.struct(r.getField("start").alias("start"), r.getField("end").alias("end"), text.alias("text"), color.alias("label"), color.alias("color"))
+
+    values = F.array_sort(F.array_distinct(F.transform("runs", lambda r: F.get(palette, r.getField("color") - 1))))
+    return found.withColumns({"entities": F.transform("runs", entity), "values": values}).drop("runs")
+
+
 # A token of a recognised text is a word, with apostrophes and hyphens inside, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+(?:['’\-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\p{Z}\s]"
 
 
 def token_spans(text: Column) -> Column:
     """array<struct<start,end>> of a text's tokens, in code points."""
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda t: F.length(t))
-    gaps = F.transform(F.split(text, TOKEN), lambda g: F.length(g))
-    steps = F.transform(sizes, lambda n, i: n + F.get(gaps, i))
-    return let(F.struct(sizes.alias("sizes"), gaps.alias("gaps"), running(steps).alias("before")), lambda x: F.transform(x.getField("sizes"), lambda n, i: F.struct((F.get(x.getField("before"), i) + F.get(x.getField("gaps"), i)).alias("start"), (F.get(x.getField("before"), i) + F.get(x.getField("gaps"), i) + n).alias("end"))))
+    lengths = lambda parts: F.transform(parts, lambda p: F.length(p))
+    cut = F.struct(lengths(F.regexp_extract_all(text, F.lit(TOKEN), 0)).alias("sizes"), lengths(F.split(text, TOKEN)).alias("gaps"))
+
+    def of(x: Column) -> Column:
+        """x: sizes and gaps, which are looked up for each token and so have to be values by then."""
+        sizes, gaps = x.getField("sizes"), x.getField("gaps")
+        start = lambda before, i: F.get(before, i) + F.get(gaps, i)
+        return let(running(F.transform(sizes, lambda n, i: n + F.get(gaps, i))), lambda before: F.transform(sizes, lambda n, i: F.struct(start(before, i).alias("start"), (start(before, i) + n).alias("end"))))
+
+    return let(cut, of)
 
 
 def span_tags(spans: Column, entities: Column) -> Column:

@@ -9,8 +9,9 @@ from spanforge.functions import text as T
 from spanforge.functions.vocabulary import VALUES
 from spanforge.operators import corpus, layout, registry, review_queue
 from spanforge.plans import views as V
+from spanforge.plans.columns import BARS, recognised_rows
 from spanforge.plans.expressions import documents, pick, row_id, sql_pick
-from spanforge.plans.queries import WORDS, page_drawings, page_words, query
+from spanforge.plans.queries import WORDS, page_words, query
 
 # --- corpora ------------------------------------------------------------------------------------
 
@@ -140,12 +141,11 @@ grp AS (SELECT doc_id, g, string_agg(piece, '' ORDER BY n) AS sentence, min(y0)
 
 
 def recognised(spark, d):
-    """Lines of ten words, paragraphs of two lines; the first words of every hundred stand in a table cell."""
-    words = page_words(spark, d)
-    word = F.col("word")
-    colored = words.join(layout.recognised_colors(words, page_drawings(words), 0.35, "doc_id"), ["doc_id", "word"], "left")
-    placed = colored.withColumns({"block": F.floor(word / 40), "paragraph": F.floor(word / 20), "line": F.floor(word / 10), "cell": F.when(word % 100 < 5, F.floor(word / 100))})
-    return layout.recognised_records(placed, "doc_id")
+    """Lines of ten words, paragraphs of two lines; the first words of every hundred stand in a table cell.  A document stays one row up to its sentences."""
+    texts = V.texts(spark, d, by_document=True).select("doc_id", "text").sortWithinPartitions("doc_id")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(recognised_rows, f"doc_id {kind}, sentence_id int, sentence string, runs array<struct<start:int,end:int,color:int>>, tokens array<string>, ner_tags array<string>")
+    return layout.run_entities(found, F.array(*[F.lit(c) for c in BARS])).select("doc_id", "sentence_id", "sentence", "tokens", "values", "entities", "ner_tags")
 
 
 @query("recognised_records", RECOGNISED + """
