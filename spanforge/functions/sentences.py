@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from spanforge.operators.spans import let
 
 SPACES = r" \t\n\r\f\x0B"
+BLANKS = " \t\n\r\f\x0b"
 ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "St", "vs", "e.g", "i.e", "bijv", "dhr", "mevr", "nr", "blz"]
 #: A character that no text holds; it marks where sentences start.
 MARK = "\uFDD0"
@@ -34,8 +35,9 @@ def marked(text: Column, abbreviations: list[str] | None = None) -> Column:
     words = "|".join(re.escape(a) for a in (ABBREVIATIONS if abbreviations is None else abbreviations))
     known = rf"(?<!(?:^|[{SPACES}\p{{P}}{MARK}])(?:{words}))" if words else ""
     period = rf"(?:(?<=[\p{{Ll}}\p{{N}}\p{{P}}{SPACES}])|^|(?<=\p{{Lu}}\p{{Lu}})){known}(?<!\.)\.(?!\.)"
-    behind = rf"((?:{period}|[!?])\p{{P}}*+[{SPACES}][{SPACES}\p{{P}}]*)(?<!\()(?=[^{SPACES}\p{{P}}])"
-    inside = rf"((?<=\p{{Ll}}){known}\.)(?=\p{{Lu}})"
+    # a look ahead for the terminator comes first: what stands behind is only looked at there
+    behind = rf"((?=[.!?])(?:{period}|[!?])\p{{P}}*+[{SPACES}][{SPACES}\p{{P}}]*)(?<!\()(?=[^{SPACES}\p{{P}}])"
+    inside = rf"((?=\.)(?<=\p{{Ll}}){known}\.)(?=\p{{Lu}})"
     lines = rf"(\n[{SPACES}]*)(?=[^{SPACES}(])"
     for pattern in (behind, inside, lines):
         text = F.regexp_replace(text, pattern, "$1" + MARK)
@@ -65,15 +67,14 @@ def sentence_parts(text: Column, abbreviations: list[str] | None = None) -> Colu
 
     The text is cut once, so a sentence is not looked for from the text's beginning.
     """
-    blank = f"[{SPACES}]"
+    blank = F.lit(BLANKS)
 
     def spans(parts: Column) -> Column:
         return let(running(F.transform(parts, lambda p: F.length(p))), lambda at: F.transform(parts, lambda p, i: trimmed(p, F.get(at, i))))
 
     def trimmed(part: Column, at: Column) -> Column:
-        left = F.regexp_replace(part, f"^{blank}+", "")
-        start = at + F.length(part) - F.length(left)
-        return let(F.regexp_replace(left, f"{blank}+$", ""), lambda t: F.struct(start.alias("start"), (start + F.length(t)).alias("end"), t.alias("text")))
+        placed = let(F.ltrim(part, blank), lambda t: F.struct((at + F.length(part) - F.length(t)).alias("start"), F.rtrim(t, blank).alias("text")))
+        return let(placed, lambda x: F.struct(x.getField("start").alias("start"), (x.getField("start") + F.length(x.getField("text"))).alias("end"), x.getField("text").alias("text")))
 
     found = let(F.split(marked(text, abbreviations), MARK), spans)
     return F.coalesce(F.filter(found, lambda s: s.getField("text") != ""), F.array().cast("array<struct<start:int,end:int,text:string>>"))

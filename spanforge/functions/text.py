@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanforge.operators.spans import let
+
 from spanforge.functions.vocabulary import BLANK, strip
 
 
@@ -58,8 +60,8 @@ SPEAKER = r"(?U)^(\w+(?:\s+\w+){0,2})\s*:\s*"
 
 def strip_speaker(c: Column) -> Column:
     """A struct of the text without a leading "name:" and how many characters went."""
-    head = F.regexp_extract(c, SPEAKER, 0)
-    return F.struct(F.substring(c, F.length(head) + 1, F.length(c)).alias("text"), F.length(head).alias("shift"))
+    cut = F.when(~F.contains(c, F.lit(":")), 0).otherwise(F.length(F.regexp_extract(c, SPEAKER, 0)))
+    return let(cut, lambda n: F.struct(F.substring(c, n + 1, F.length(c)).alias("text"), n.alias("shift")))
 
 
 def unreadable(c: Column, least: int = 200, share: float = 0.15) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.sentences import sentence_parts
 from spanforge.functions.text import strip_speaker
 from spanforge.operators.layout import words_in_sentences
+from spanforge.operators.spans import let
 
 #: Gaps that break a paragraph: between lines of a block, and between blocks of a turned page (fixed values).
 LINE_GAP, BLOCK_GAP = 6.0, 18.0
@@ -107,6 +108,15 @@ def sentences_of(texts: DataFrame, *keys: str) -> DataFrame:
     return named.select(*keys, "sentence", (F.col("ss") + F.col("cut.shift")).alias("ss"), "se", F.trim("cut.text").alias("text"))
 
 
+def named_sentences(text: Column) -> Column:
+    """sentences_of for one text inside the row: array of structs (ss, se, text)."""
+
+    def cut(s: Column) -> Column:
+        return let(strip_speaker(s.getField("text")), lambda c: F.struct((s.getField("start") + c.getField("shift")).alias("ss"), s.getField("end").alias("se"), F.trim(c.getField("text")).alias("text")))
+
+    return F.transform(sentence_parts(text), cut)
+
+
 def coloured_entities(placed: DataFrame, sentences: DataFrame, *keys: str) -> DataFrame:
     """(keys, sentence, entity, color, start, end, text, page): runs of one colour among a sentence's words, by the sentence's characters.
 
@@ -145,3 +155,16 @@ def highlight_records(entities: DataFrame, sentences: DataFrame, *keys: str, lab
     found = F.transform("e", lambda x: F.struct(*[x.getField(c).alias(c) for c in ("start", "end", "text", "label", "color")]))
     values = F.array_sort(F.array_distinct(F.transform("e", lambda x: x.getField("label"))))
     return numbered.select(*keys, number.cast("int").alias("sentence_id"), "page", F.col("sentence_text").alias("sentence"), values.alias("values"), found.alias("entities"))
+
+
+def sentence_records(found: DataFrame, palette: Column, labels: Column | None = None) -> DataFrame:
+    """Adds values and entities as in highlight_records to sentences with runs (start, end, color); color is a place in the palette, from 1."""
+
+    def entity(r: Column) -> Column:
+        clean = F.rtrim(F.substring(F.col("sentence"), r.getField("start") + 1, r.getField("end") - r.getField("start")), F.lit(" ,.:;"))
+        color = F.get(palette, r.getField("color") - 1)
+        label = color if labels is None else F.coalesce(F.element_at(labels, color), color)
+        return let(clean, lambda t: F.struct(r.getField("start").alias("start"), (r.getField("start") + F.length(t)).alias("end"), t.alias("text"), label.alias("label"), color.alias("color")))
+
+    rows = found.withColumn("entities", F.transform("runs", entity)).drop("runs")
+    return rows.withColumn("values", F.array_sort(F.array_distinct(F.transform("entities", lambda x: x.getField("label")))))

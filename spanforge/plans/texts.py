@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.functions.sentences import ABBREVIATIONS, sentence_parts
-from spanforge.operators import assembly, layout, ruling
+from spanforge.operators import assembly, layout, pages, ruling
 from spanforge.plans import views as V
+from spanforge.plans.columns import COLORS, PALETTE, ROTATIONS, placed_rows
 from spanforge.plans.expressions import documents, pick, sql_pick
 from spanforge.plans.queries import query
 from spanforge.session import PARTS, beside, kept
 
-# Words of a document on pages of 200 in five blocks, in lines of ten or, in the last block, of one; some end in hyphens.
-COLORS = [None, "#FFFF00", None, "#00B0F0", "#FFFF00"]
-ROTATIONS = [0, 90, 0, 270]
-
-
 def placed(spark, d):
     """Words stay with their document, so they are made again where they are read again, and neither shuffled nor written."""
     return assembly.placed_words(*page_layout(spark, d), "doc_id")
@@ -49,6 +45,15 @@ def page_layout(spark, d):
     return words, blocks.filter(~((b == 3) & ((F.col("page") + i) % 6 == 0)))
 
 
+def coloured_sentences(spark, d):
+    """(doc_id, sentence_id, page, sentence, runs): texts are dealt out by document once, put together, cut into sentences and met with their words."""
+    texts = V.texts(spark, d, by_document=True).select("doc_id", "text").sortWithinPartitions("doc_id")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(placed_rows, f"doc_id {kind}, text string, words array<struct<start:int,end:int,color:int,page:int>>")
+    rows = rows.select("doc_id", "words", assembly.named_sentences(F.col("text")).alias("sentences"))
+    return pages.found_sentences(rows, f"doc_id {kind}, sentence_id int, page int, sentence string, runs array<struct<start:int,end:int,color:int>>")
+
+
 LAYOUT_SQL = f"""{V.TAGS},
 pw AS (SELECT doc_id, pos, (pos // 200 + 1)::INTEGER AS page, (pos % 200 // 40)::INTEGER AS block, CASE WHEN pos % 200 // 40 = 4 THEN pos ELSE pos // 10 END AS line,
        token || CASE WHEN (pos % 10 = 9 AND (doc_id + pos) % 3 = 0) OR (pos % 200 // 40 = 4 AND (pos + doc_id) % 7 < 4) THEN '-' ELSE '' END AS text,
@@ -129,14 +134,9 @@ recs AS (SELECT doc_id, n, min(page) AS page, any_value(s) AS s, string_agg(a ||
 
 @query("highlight_records", f'WITH {RECORDS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n))::INTEGER AS sentence_id, page, md5(s) AS digest, vals AS labels, entities FROM recs')
 def highlight_records(spark, d):
-    """Records of sentences with coloured entities, from pages to characters; places and sentences are written once, and dealt out by document once."""
-    keep = kept(beside(spark))
-    at = keep(placed(spark, d))
-    parts = PARTS * at.rdd.getNumPartitions()
-    at = at.repartition(parts, "doc_id")
-    sentences = keep(assembly.sentences_of(assembly.document_texts(at, "doc_id"), "doc_id")).repartition(parts, "doc_id")
+    """Records of sentences with coloured entities, from pages to characters; each document stays one row from its text to its sentences."""
     labels = F.create_map(F.lit("#FFFF00"), F.lit("social"))
-    found = assembly.highlight_records(assembly.coloured_entities(at, sentences, "doc_id"), sentences, "doc_id", labels=labels)
+    found = assembly.sentence_records(coloured_sentences(spark, d), F.array(*[F.lit(c) for c in PALETTE]), labels)
     each = F.transform("entities", lambda e: F.concat(e.getField("start"), F.lit("-"), e.getField("end"), F.lit(":"), e.getField("label")))
     return found.select("doc_id", "sentence_id", "page", F.md5(F.col("sentence").cast("binary")).alias("digest"), F.array_join("values", ",").alias("labels"), F.array_join(each, " ").alias("entities"))
 

@@ -2,8 +2,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.operators import layout, pages
+from spanforge.operators import assembly, layout, pages
 from spanforge.plans.queries import QUERIES, page_drawings, page_words  # before its modules
+from spanforge.plans import texts as X  # isort: skip
 
 WORDS = ["l'été", "Ann:", "co-op", "x\u000by", "№5", "-", "a’b’", "😀ok", "End.", "(so)", "é", "Dr.", "_1-", "What?!", "日本-語", "plain"]
 
@@ -22,7 +23,7 @@ def rows_of(df):
     return sorted(repr(r.asDict(recursive=True)) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["recognised_records", "recognised_tags"])
+@pytest.mark.parametrize("name", ["recognised_records", "recognised_tags", "highlight_records"])
 def test_documents_are_dealt_out_once_and_neither_joined_nor_ordered(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange") == 1
@@ -41,6 +42,14 @@ def test_recognised_columns_as_by_joins_and_windows(spark, odd):
     assert rows_of(got.select(*want.columns)) == rows_of(want) and got.count() > 50
 
 
+def test_highlighted_columns_as_by_joins_and_windows(spark, odd):
+    at = X.placed(spark, odd)
+    sentences = assembly.sentences_of(assembly.document_texts(at, "doc_id"), "doc_id")
+    want = assembly.highlight_records(assembly.coloured_entities(at, sentences, "doc_id"), sentences, "doc_id").filter("doc_id is not null")
+    got = assembly.sentence_records(X.coloured_sentences(spark, odd), F.array(*[F.lit(c) for c in X.PALETTE]))
+    assert rows_of(got.select(*want.columns)) == rows_of(want) and got.count() > 50
+
+
 def test_runs_of_rows_keep_documents_whole():
     ids, texts = [1, 1, 2, None, 3, 3, 3, 4, 5], ["ab", "cd", None, "x", "efg", "h", "", "i", "jk"]
     batches = [pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(texts[a:b])], names=["doc_id", "text"]) for a, b in ((0, 1), (1, 3), (3, 6), (6, 6), (6, 9))]
