@@ -236,17 +236,20 @@ def found_sentences(documents: DataFrame, schema: str) -> DataFrame:
 # --- recognised words ------------------------------------------------------------------------------
 
 
-def at_strips(t: dict) -> tuple[np.ndarray, np.ndarray]:
+def at_strips(t: dict, height: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and strip of each strip that a rectangle touches."""
-    low, high = np.floor_divide(t["y0"], STRIP).astype(np.int64), np.floor_divide(t["y1"], STRIP).astype(np.int64)
+    low, high = np.floor_divide(t["y0"], height).astype(np.int64), np.floor_divide(t["y1"], height).astype(np.int64)
     n = np.maximum(high - low + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
     return row, low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def recognised_colors(words: dict, drawings: dict, share: float = 0.35) -> np.ndarray:
-    """The colour of the drawing that covers most of each word, if at least a share of its area; the greater number of equal ones, 0 for none."""
-    (w, ws), (d, ds) = at_strips(words), at_strips(drawings)
+def recognised_colors(words: dict, drawings: dict, share: float = 0.35, height: int = STRIP) -> np.ndarray:
+    """The colour of the drawing that covers most of each word, if at least a share of its area; the greater number of equal ones, 0 for none.
+
+    Pairs meet in strips of a height, which has no part in the result; lines' heights are best.
+    """
+    (w, ws), (d, ds) = at_strips(words, height), at_strips(drawings, height)
     low = min(ws.min(initial=0), ds.min(initial=0))
     wide = 1 + max(ws.max(initial=0), ds.max(initial=0)) - low
     wk, dk = words["doc"][w] * wide + ws - low, drawings["doc"][d] * wide + ds - low
@@ -258,7 +261,7 @@ def recognised_colors(words: dict, drawings: dict, share: float = 0.35) -> np.nd
     d, w, ws = d[np.repeat(from_, n) + pair], np.repeat(w, n), np.repeat(ws, n)
     upper = np.maximum(words["y0"][w], drawings["y0"][d])
     across = np.minimum(words["x1"][w], drawings["x1"][d]) - np.maximum(words["x0"][w], drawings["x0"][d])
-    hit = (across > 0) & (ws == np.floor_divide(upper, STRIP))  # each pair in one strip only
+    hit = (across > 0) & (ws == np.floor_divide(upper, height))  # each pair in one strip only
     w, d, upper, across = w[hit], d[hit], upper[hit], across[hit]
     shared = across * np.maximum(np.minimum(words["y1"][w], drawings["y1"][d]) - upper, 0)
     area = np.maximum(words["x1"] - words["x0"], 0) * np.maximum(words["y1"] - words["y0"], 0)
